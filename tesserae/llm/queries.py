@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm.common import documents
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import minhash
+
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tesserae.llm import packing
+
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import simhash
 
@@ -16,7 +30,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    return {"op1_fingerprints": op1_fingerprints, "op5_packing": op5_packing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
