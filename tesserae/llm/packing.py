@@ -1,7 +1,7 @@
 """Best-fit packing by the sum-of-squares rule: documents, cut at the sequence length, into few sequences.
 
-Each piece goes where the sum over gaps of (number of open bins with that gap) squared becomes smallest;
-opening a bin is one of the choices, and ties go to the fuller bin. Pieces are dealt to groups by a hash of their
+Each piece goes into the open bin where the sum over gaps of (number of open bins with that gap) squared
+becomes smallest; ties go to the fuller bin, and a bin is opened only where no open one has room. Pieces are dealt to groups by a hash of their
 document, of about group_size pieces each, and every group is packed longest first on its own: the state is one
 count for each gap, so memory and the result's quality don't depend on the corpus.
 
@@ -92,13 +92,12 @@ def pack(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.nd
         if s > capacity:
             raise ValueError(f"a piece of {s} is longer than {capacity}")
         # change of the sum of squares when a bin of gap g takes the piece: (n[g]-1)^2 - n[g]^2 + (n[g-s]+1)^2 - n[g-s]^2
-        after = 2 * counts[: capacity - s + 1] + 1
-        after[0] = 0  # a full bin is closed and counts no more
-        change = after - 2 * counts[s:] + 1
-        change[-1] = after[-1]  # a new bin
-        change[:-1][counts[s:-1] == 0] = np.iinfo(np.int64).max
-        g = s + int(np.argmin(change))
-        if g == capacity:
+        after = 2 * counts[: capacity - s] + 1
+        after[:1] = 0  # a full bin is closed and counts no more
+        change = np.where(counts[s:-1] > 0, after - 2 * counts[s:-1] + 1, np.iinfo(np.int64).max)
+        g = s + int(np.argmin(change)) if s < capacity else capacity
+        if g == capacity or not counts[g]:
+            g = capacity
             b, made = made, made + 1
         else:
             b = open_[g].pop()
