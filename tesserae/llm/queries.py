@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm.common import documents
+from tesserae.llm.common import documents, labels
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import quality_rules
+
+    return quality_rules.rule_kept(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +36,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op5_packing": op5_packing, "op7_simhash": op7_simhash}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op5_packing": op5_packing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
