@@ -147,7 +147,7 @@ def edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     rows of one id follow one another by text.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = 4 * partitions(spark)  # small ranges keep the buffers of sorting and of Arrow small
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("order"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     bounds = sorted(set(rows.select("order").stat.approxQuantile("order", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
     bounds = [int(b) for b in bounds if b > -(2.0**62)]
