@@ -35,8 +35,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import quality_model
+
+    out = quality_model.classified(documents(spark, sf_dir), labels(spark, sf_dir), train=~quality_model.held_out())
+    return out.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op5_packing": op5_packing, "op7_simhash": op7_simhash}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
