@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, labels
 
@@ -29,6 +30,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import secrets
+
+    found = secrets.scanned(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    own = F.filter("spans", lambda s: s["order"] < len(secrets.KINDS))
+    return found.select("doc_id", *[count(k) for k, *_ in secrets.KINDS], F.sha2(secrets.joined(own), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import simhash
 
@@ -43,7 +53,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op5_packing": op5_packing, "op7_simhash": op7_simhash, "op9_quality_classifier": op9_quality_classifier}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
