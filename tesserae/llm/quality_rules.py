@@ -88,9 +88,9 @@ def cutoffs(stats: DataFrame, labels: DataFrame, rules: Sequence[str] = RULES, g
     hit = lambda v: F.sum(F.when((F.col("label") == v) & F.col("t.rejected"), 1).otherwise(0))
     counts = rows.select("stratum", "label", F.explode(F.array(*tests)).alias("t")).groupBy("stratum", "t.rule", "t.step", "t.cutoff")
     counts = counts.agg(F.sum("label").cast("long").alias("n_good"), hit(1).cast("long").alias("false_rejections"), hit(0).cast("long").alias("bad_rejections"))
-    strata = rows.agg(F.count_distinct("stratum").alias("strata"))  # one row
-    level = F.lit(error) / (F.greatest(F.lit(1), F.col("strata")) * len(rules))
-    tested = counts.join(F.broadcast(strata), F.lit(True)).withColumn("certified", (F.col("n_good") > 0) & (binomial_tail(F.col("n_good"), F.col("false_rejections"), risk / len(rules)) <= level))
+    counts = stored(counts, "rules")
+    level = error / (max(1, counts.select("stratum").distinct().count()) * len(rules))
+    tested = counts.withColumn("certified", (F.col("n_good") > 0) & (binomial_tail(F.col("n_good"), F.col("false_rejections"), risk / len(rules)) <= level))
     # the sequence stops at the first cutoff that isn't certified
     stop = tested.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("certified"), F.col("step"))).alias("stop"))
     passed = tested.join(stop, ["stratum", "rule"]).where("stop is null or step < stop")
