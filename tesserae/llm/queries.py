@@ -28,6 +28,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tesserae.llm import bpe
+
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +78,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_quality_classifier": op9_quality_classifier}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
