@@ -59,6 +59,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import passages
+
+    return passages.report(documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import quality_model
 
@@ -66,6 +72,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 r AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
@@ -78,7 +90,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op9_quality_classifier": op9_quality_classifier}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_quality_classifier": op9_quality_classifier, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
