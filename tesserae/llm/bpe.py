@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
 1. Each text is split into pre-tokens, and each Arrow batch of texts (a chunk) is coded: its distinct words, and
-   for every text the sequence of places in that list, which is the pre-tokens' positions. Chunks are stored.
-2. The distinct words of all chunks are shuffled by word, so that each distinct word is encoded once, by merging its
-   bytes' ranks; its ids join the token-byte table for decoding.
-3. The encoded words join the chunks' words again, and return to their chunk, where each text's ids and bytes
-   are put together by position.
+   for every text the sequence of their places, which keeps the pre-tokens' positions.
+2. The distinct words of all chunks are shuffled by word, so that each distinct word is encoded once, by its bytes' ranks.
+3. The encoded words join the chunks' words again and return to their chunk, where each text's ids are put together
+   by position; decoding looks each id up in the token-byte table. decode() does so for any ids, as a join.
 
-A word that is in many chunks is one row in each, so no key holds more rows than there are chunks.
+A word that is in many chunks is one row in each, so no key holds more rows than there are chunks. Texts are split twice,
+which costs less than storing the coded texts between the passes.
 
 Defined cases: null counts as an empty text, which has no ids; repeated rows are encoded row by row; special tokens'
 strings are ordinary text; an empty table gives an empty result. Extra columns are ignored.
@@ -22,14 +22,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import pretokens
 from tesserae.llm.common import partitions, stored
 
-CHUNK_WORDS = 1_500_000
+#: Texts in one coded group; places from here on are groups, not words.
+TEXTS, GROUPS = 256, 1 << 30
 
 
 @lru_cache(2)
@@ -51,33 +51,51 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(ranks(path).values()), pa.int32()), "bytes": pa.array(list(ranks(path)), pa.binary())}))
 
 
-def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(chunk, docs, words): coded texts of a chunk as (doc_id, n, codes) and its distinct words."""
-    kinds = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Codes as byte planes, compressed: the commonest words have the smallest codes, so the upper planes are nearly empty."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_codes(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+CHUNK = "chunk long, at int, word string, doc_ids binary, counts binary, codes binary"
+
+
+def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", only_words: bool = False) -> DataFrame:
+    """Coded texts, in CHUNK rows: a chunk's distinct words by place, then (after GROUPS) groups of its texts.
+
+    A chunk is an Arrow batch of a scan's partition, so its number and words are the same in every pass.
+    """
+    names = [x.split()[0] for x in CHUNK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        seq = 0
         for batch in batches:
-            for i, j in pieces(batch):
-                b = batch.slice(i, j - i)
-                codes, offsets, words = pretokens.coded(b.column(1), b.column(2))
-                width = np.uint16 if len(words) <= 1 << 16 else np.uint32
-                codes = codes.astype(width)
-                rows = [{"doc_id": d, "n": e - s, "codes": codes[s:e].tobytes()} for d, s, e in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 32) + seq], pa.int64()), pa.array([rows], pa.list_(kinds)), pa.array([words.to_pylist()], pa.list_(pa.string()))], ["chunk", "docs", "words"])
-                seq += 1
-
-    def pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-        """Row ranges of about CHUNK_WORDS pre-tokens."""
-        ends = batch.column(1).offsets.to_numpy().astype(np.int64)
-        start = 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_WORDS, "right")) - 1)
-            yield start, min(end, batch.num_rows)
-            start = end
-
-    split = pretokens.split(docs, F.col(text), F.col(id_col).cast("long").alias("doc_id"))
-    return split.mapInArrow(run, "chunk long, docs array<struct<doc_id long, n long, codes binary>>, words array<string>")
+            if not batch.num_rows:
+                continue
+            part = batch.column(1)[0].as_py()
+            codes, offsets, words = pretokens.coded(batch.column(2), batch.column(3))
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable") if len(words) else np.zeros(0, np.int64)
+            chunk, n = part * (1 << 32) + seq, len(words)
+            seq += 1
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), words.take(pa.array(order)), none, none, none], names)
+            if only_words:
+                continue
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            ids = batch.column(0).to_pylist()
+            for g, lo in enumerate(range(0, len(ids), TEXTS)):
+                hi = min(lo + TEXTS, len(ids))
+                kept = np.array([0 if x is None else x for x in ids[lo:hi]], "<i8").tobytes() + np.array([x is None for x in ids[lo:hi]], np.uint8).tobytes()
+                blob = packed_codes(rank[codes[offsets[lo] : offsets[hi]]])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([GROUPS + g], pa.int32()), pa.nulls(1, pa.string()), pa.array([kept], pa.binary()), pa.array([np.diff(offsets[lo : hi + 1]).astype("<i8").tobytes()], pa.binary()), pa.array([blob], pa.binary())], names)
+
+    split = pretokens.split(docs, F.col(text), F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"))
+    return split.mapInArrow(run, CHUNK)
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
@@ -102,71 +120,66 @@ def decoded_words(sequences: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with full also ids and the decoded bytes."""
-    n = partitions(docs.sparkSession)
-    coded = stored(chunks(docs, text, id_col), "chunks")
-    words = coded.select("chunk", F.posexplode("words").alias("at", "word"))
-    known = stored(encoded_words(words.select("word").distinct(), path), "words")
-    known = stored(known.join(decoded_words(known.select("ids").distinct(), path), "ids"), "words")
-    back = words.join(known, "word").select("chunk", "at", "ids", "bytes")
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full
+    words = chunks(docs, text, id_col, only_words=True).select("word").distinct()
+    known = stored(encoded_words(words, path), "words")
+    coded = chunks(docs, text, id_col)
+    back = coded.where("word is not null").select("chunk", "at", "word").join(known, "word").select("chunk", "at", "ids")
+    texts = coded.where("word is null").select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), "doc_ids", "counts", "codes")
+    empty = F.lit(None).cast("binary")
+    rows = back.select("*", *[empty.alias(c) for c in ("doc_ids", "counts", "codes")]).unionByName(texts)
+    rows = rows.repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "at")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if full else 4]
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sorted(ranks(path).items(), key=lambda x: x[1])
+        size = np.zeros(vocabulary[-1][1] + 1, np.int64)
+        size[[r for _, r in vocabulary]] = [len(b) for b, _ in vocabulary]
+        data, start = np.frombuffer(b"".join(b for b, _ in vocabulary), np.uint8), np.cumsum(size) - size
         held: list[pa.RecordBatch] = []
+        known = None
         for batch in batches:
-            # rows of a chunk follow one another: its words by place, then the chunk's texts
-            docs_at = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False))
-            start = 0
-            for i in docs_at.tolist():
-                held.append(batch.slice(start, i - start))
-                yield from out(pa.Table.from_batches(held), batch.column(3)[i].as_py())
-                held, start = [], i + 1
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
-
-    def out(t: pa.Table, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        ids, counts = _flat(t.column("ids"), np.int32)
-        data, sizes = _flat(t.column("bytes"), np.uint8)
-        id_text = [",".join(map(str, ids[s : s + c].tolist())) for s, c in zip((np.cumsum(counts) - counts).tolist(), counts.tolist())]
-        at_ids, at_data = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
-        width = np.uint16 if len(counts) <= 1 << 16 else np.uint32
-        for lo in range(0, len(rows), 500):
-            cols: list[list] = [[], [], [], [], [], []]
-            for r in rows[lo : lo + 500]:
-                codes = np.frombuffer(r["codes"], width)
-                decoded = pretokens.gather(data, at_data[codes], sizes[codes]).tobytes()
-                cols[0].append(r["doc_id"])
-                cols[1].append(int(counts[codes].sum()))
-                cols[2].append(hashlib.sha256(",".join([id_text[c] for c in codes.tolist()]).encode()).hexdigest())
-                cols[3].append(hashlib.sha256(decoded).hexdigest())
-                if full:
-                    cols[4].append(pretokens.gather(ids, at_ids[codes], counts[codes]))
-                    cols[5].append(decoded)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-            k = 6 if full else 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols[:k], types)], names[:k])
-
-    texts = coded.select("chunk", F.lit(2**31 - 1).alias("at"), F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("bytes"), "docs")
-    rows = back.withColumn("docs", F.lit(None).cast(texts.schema["docs"].dataType)).unionByName(texts)
-    rows = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "at").select("at", "ids", "bytes", "docs")
-    return rows.mapInArrow(assemble, schema)
+            at, begin = batch.column(1).to_numpy(), 0
+            for i in np.flatnonzero(at >= GROUPS).tolist():
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                begin = i + 1
+                if held:  # a chunk's words are complete
+                    ids, counts = _flat(pa.Table.from_batches(held).column("ids"), np.int32)
+                    starts = np.cumsum(counts) - counts
+                    known, held = (ids, counts, starts, [",".join(map(str, ids[a : a + c].tolist())) for a, c in zip(starts.tolist(), counts.tolist())]), []
+                elif at[i] == GROUPS:  # a chunk without words
+                    known = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+                yield out(known, *(batch.column(c)[i].as_py() for c in (3, 4, 5)), data, start, size)
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+
+    def out(known: tuple, doc_ids: bytes, counts: bytes, blob: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        ids, per_word, starts, texts = known
+        n = np.frombuffer(counts, "<i8")
+        codes, ends = unpacked_codes(blob, int(n.sum())), np.cumsum(n)
+        cols: list[list] = [[] for _ in names]
+        for k, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+            own = codes[a:b]
+            tokens = pretokens.gather(ids, starts[own], per_word[own])
+            decoded = pretokens.gather(data, start[tokens], size[tokens]).tobytes()  # the join with the token-byte table
+            null = doc_ids[8 * len(n) + k]
+            row = (None if null else int.from_bytes(doc_ids[8 * k : 8 * k + 8], "little", signed=True), len(tokens), hashlib.sha256(",".join([texts[c] for c in own.tolist()]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), tokens, decoded)
+            for c, v in zip(cols, row):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    return rows.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 
 def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All elements one after the other, and how many each row has."""
-    values, counts = [], []
+    values, counts = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
     for c in column.chunks:
-        if kind is np.uint8:
-            offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int32)
-            values.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(c) and c.buffers()[2] is not None else np.zeros(0, np.uint8))
-        else:
-            offsets = c.offsets.to_numpy()
-            values.append(c.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
-        counts.append(np.diff(offsets))
-    if not values:
-        return np.zeros(0, kind), np.zeros(0, np.int64)
-    return np.concatenate(values), np.concatenate(counts).astype(np.int64)
+        offsets = c.offsets.to_numpy()
+        values.append(c.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
+        counts.append(np.diff(offsets).astype(np.int64))
+    return np.concatenate(values), np.concatenate(counts)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
