@@ -209,7 +209,7 @@ def indicators(invariants: Sequence[Invariant], found: DataFrame, nodes: DataFra
     counts = found.groupBy(*KEY, "name").agg(F.count("*").alias("n"))
     out = declared.join(counts, [*KEY, "name"], "left")
     n = F.when(F.col("evaluated"), F.coalesce("n", F.lit(0)))
-    return out.select(*KEY, "ord", "name", "scope", "evaluated", n.alias("violations"), F.least(n, F.lit(1)).cast("int").alias("indicator"), (n == 0).alias("holds"))
+    return out.select(*KEY, "ord", "name", "scope", "evaluated", n.alias("violations"), F.when(n > 0, 1).when(n == 0, 0).cast("int").alias("indicator"), (n == 0).alias("holds"))
 
 
 def weighted(results: DataFrame, weights: Sequence[tuple[str, float]], declared: Sequence[str]) -> DataFrame:

@@ -123,7 +123,7 @@ def unanswered(a: Analysis) -> DataFrame:
 
 def scan_rows(a: Analysis) -> DataFrame:
     """The flat row of each scan for the scans table: dimension values, totals, counts."""
-    bad = a.results.groupBy(*KEY).agg(F.count_if("holds = false").alias("invariant_violation_count"), F.array_sort(F.collect_list(F.when(~F.col("evaluated"), F.col("name")))).alias("skipped_invariants"))
+    bad = a.results.groupBy(*KEY).agg(F.count_if(~F.col("holds")).alias("invariant_violation_count"), F.array_sort(F.collect_list(F.when(~F.col("evaluated"), F.col("name")))).alias("skipped_invariants"))
     counts = a.nodes.groupBy(*KEY).agg(F.count("*").alias("node_count"))
     lines = a.edges.groupBy(*KEY).agg(F.count("*").alias("edge_count"))
     out = a.values.join(counts, KEY, "left").join(lines, KEY, "left").join(bad, KEY, "left").join(a.passes, KEY, "left").join(a.confidence.select(*KEY, F.col("value").alias("confidence")), KEY, "left")
