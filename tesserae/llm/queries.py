@@ -72,6 +72,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_model.held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import katz
+
+    return katz.scored(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +96,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_quality_classifier": op9_quality_classifier, "pipeline": pipeline}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_quality_classifier": op9_quality_classifier, "op10_katz": op10_katz, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
