@@ -14,12 +14,13 @@ gives an empty result; without samples of either kind no span is added. Extra co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stored
+from tesserae.llm.common import stored, unused
 
 #: The base kinds in their order, patterns, which group's length counts, and the least length.
 KINDS = (
@@ -28,7 +29,7 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # whole runs only, as a run of any length and a filter would give
 )
 CANDIDATE, ORDINARY, RANDOM_LENGTH = r"[A-Za-z0-9+/_-]{12,}=*", r"^[a-z]{12,}$", 16
-#: Natural logarithm of the odds that an added span needs; pseudo-counts of a row, spread evenly.
+#: Natural logarithm of the odds that an added span needs; pseudo-counts of a row, and characters in use.
 THRESHOLD, PRIOR, ALPHABET = 10.0, 8.0, 66
 SPAN = "struct<start:bigint,end:bigint>"
 
@@ -68,29 +69,33 @@ def samples(found: DataFrame) -> DataFrame:
 
 
 def training(labelled: DataFrame) -> DataFrame:
-    """(pair, llr) for each pair of ASCII codes 128 * a + b that occurs: log P(b | a, random) - log P(b | a, ordinary)."""
+    """(pair, n0, n1): how often each pair of ASCII codes, 128 * a + b, occurs in ordinary and in random samples."""
     codes = F.transform(F.split("sample", ""), lambda c: F.ascii(c))
     rows = labelled.where("sample is not null and secret in (0, 1)").select("secret", codes.alias("codes"))
     pairs = F.transform("codes", lambda a, i: F.when((a < 128) & (F.get("codes", i + 1) < 128), a * 128 + F.get("codes", i + 1)))
-    counts = rows.select("secret", F.explode(pairs).alias("pair")).where("pair is not null").groupBy("pair").agg(*[F.sum(F.when(F.col("secret") == v, 1.0).otherwise(0.0)).alias(f"n{v}") for v in (0, 1)])
-    total = counts.groupBy(F.floor(F.col("pair") / 128).alias("a")).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    p = lambda v: F.log((F.col(f"n{v}") + PRIOR / ALPHABET) / (F.col(f"t{v}") + PRIOR))
-    both = counts.join(total, F.floor(F.col("pair") / 128) == F.col("a"))
-    return both.select("pair", (p(1) - p(0)).alias("llr"), "a", "t0", "t1")
+    rows = rows.select("secret", F.explode(pairs).alias("pair")).where("pair is not null")
+    return rows.groupBy("pair").agg(*[F.sum(F.when(F.col("secret") == v, 1.0).otherwise(0.0)).alias(f"n{v}") for v in (0, 1)])
+
+
+def ratios(counts: dict[int, tuple[float, float]]) -> list[float]:
+    """log P(b | a, random) - log P(b | a, ordinary) for each pair; a row leans on its model's own character frequencies."""
+    logs = []
+    for v in (0, 1):
+        rows, chars = [0.0] * 128, [0.5] * 128
+        for pair, n in counts.items():
+            rows[pair // 128] += n[v]
+            chars[pair % 128] += n[v]
+        total = sum(chars) - 64 + ALPHABET / 2
+        logs.append([math.log((counts.get(i, (0.0, 0.0))[v] + PRIOR * chars[i % 128] / total) / (rows[i // 128] + PRIOR)) for i in range(128 * 128)])
+    return [b - a for a, b in zip(*logs)]
 
 
 def table(model: DataFrame) -> Column | None:
     """The model as a constant array over all pairs; it has 128 * 128 entries whatever the corpus holds."""
-    import math
-
-    rows = model.collect()  # 16,384 rows at most
-    if not rows or not any(r["t0"] for r in rows) or not any(r["t1"] for r in rows):
+    counts = {r["pair"]: (r["n0"], r["n1"]) for r in model.collect()}  # 16,384 rows at most
+    if not any(a for a, _ in counts.values()) or not any(b for _, b in counts.values()):
         return None
-    unseen = {r["a"]: math.log(PRIOR / ALPHABET / (r["t1"] + PRIOR)) - math.log(PRIOR / ALPHABET / (r["t0"] + PRIOR)) for r in rows}
-    llr = [unseen.get(i // 128, 0.0) for i in range(128 * 128)]
-    for r in rows:
-        llr[r["pair"]] = r["llr"]
-    return F.split(F.lit(",".join(f"{x:.6f}" for x in llr)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.6f}" for x in ratios(counts))), ",").cast("array<double>")
 
 
 def spanned(order: int, kind: str) -> Callable[[Column], Column]:
@@ -118,13 +123,14 @@ def joined(spans: Column) -> Column:
 def redacted(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
     """docs with every span of the text replaced by mark; texts without spans, and rows without an id, stay as they are."""
     spans = scanned(docs, text, id_col, **options).where(F.size("spans") > 0)
-    spans = stored(spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), "spans"), "secrets")
+    key, cut = unused(docs, "_id"), unused(docs, "_spans")
+    spans = stored(spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(cut)), "secrets")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         until = F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], until).alias("out"))
 
-    new = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
-    found = docs.join(spans, F.col(id_col) == F.col("_id"), "left")
-    return found.select(*[F.when(F.col("spans").isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in docs.columns])
+    new = F.aggregate(cut, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
+    found = docs.join(spans, F.col(id_col).cast("long") == F.col(key), "left")
+    return found.select(*[F.when(F.col(cut).isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in docs.columns])
