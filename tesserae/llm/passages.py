@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import flat
-from tesserae.llm.common import connected_components, partitions, stored
+from tesserae.llm.common import connected_components, partitions, stored, unused
 from tesserae.llm.minhash import coefficients
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -217,8 +217,10 @@ def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **option
 
 def removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the repeated passages; a document of which no word is left goes."""
-    found = stored(repeats(docs, text, id_col, **options).select(F.col("doc_id").alias("_id"), "spans"), "passages")
-    rows = docs.join(found, F.col(id_col).cast("long") == F.col("_id"), "left").select(*docs.columns, "spans")
+    key, cut = unused(docs, "_id"), unused(docs, "_spans")
+    found = stored(repeats(docs, text, id_col, **options).select(F.col("doc_id").alias(key), F.col("spans").alias(cut)), "passages")
+    # texts are dealt by id at every size; the hint keeps them unsorted
+    rows = docs.join(found.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left").select(*docs.columns, cut)
     names = docs.columns
     at = names.index(text)
 

@@ -196,4 +196,5 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **opti
     if not kept.where("n > 1").isEmpty():
         docs = docs.where(F.col(id_col).isNull()).unionByName(docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    # texts are dealt by id at every size; the hint keeps them unsorted
+    return docs.join(stored(gone, "simhash").hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
