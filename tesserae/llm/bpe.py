@@ -2,12 +2,12 @@
 
 1. Each text is split into pre-tokens, and each Arrow batch of texts (a chunk) is coded: its distinct words, and
    for every text the sequence of their places, which keeps the pre-tokens' positions.
-2. The distinct words of all chunks are shuffled by word, so that each distinct word is encoded once, by its bytes' ranks.
-3. The encoded words join the chunks' words again and return to their chunk, where each text's ids are put together
-   by position; decoding looks each id up in the token-byte table. decode() does so for any ids, as a join.
+2. The chunks' words are shuffled by word: all chunks' copies of a word meet in one place, which encodes it once, by its
+   bytes' ranks, and sends the ids back to each chunk that has it.
+3. There each text's ids are put together by position; decoding looks each id up in the token-byte table. decode()
+   does so for any ids, as a join.
 
-A word that is in many chunks is one row in each, so no key holds more rows than there are chunks. Texts are split twice,
-which costs less than storing the coded texts between the passes.
+A word that is in many chunks is one row in each, so no key holds more rows than there are chunks.
 
 Defined cases: null counts as an empty text, which has no ids; repeated rows are encoded row by row; special tokens'
 strings are ordinary text; an empty table gives an empty result. Extra columns are ignored.
@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import pretokens
-from tesserae.llm.common import partitions, stored
+from tesserae.llm import flat, pretokens
+from tesserae.llm.common import partitions
 
 #: Texts in one coded group; places from here on are groups, not words.
 TEXTS, GROUPS = 256, 1 << 30
@@ -61,11 +63,11 @@ def unpacked_codes(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-CHUNK = "chunk long, at int, word string, doc_ids binary, counts binary, codes binary"
+CHUNK = "chunk long, at int, word string, blob binary"
 
 
-def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", only_words: bool = False) -> DataFrame:
-    """Coded texts, in CHUNK rows: a chunk's distinct words by place, then (after GROUPS) groups of its texts.
+def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Coded texts, in CHUNK rows: a chunk's distinct words by place, then (after GROUPS) groups of its texts as blobs.
 
     A chunk is an Arrow batch of a scan's partition, so its number and words are the same in every pass.
     """
@@ -76,38 +78,41 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", only_wor
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column(1)[0].as_py()
             codes, offsets, words = pretokens.coded(batch.column(2), batch.column(3))
             order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable") if len(words) else np.zeros(0, np.int64)
-            chunk, n = part * (1 << 32) + seq, len(words)
+            chunk, n = batch.column(1)[0].as_py() * (1 << 32) + seq, len(words)
             seq += 1
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), words.take(pa.array(order)), none, none, none], names)
-            if only_words:
-                continue
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), pa.array(np.arange(n, dtype=np.int32)), words.take(pa.array(order)), pa.nulls(n, pa.binary())], names)
             rank = np.empty(n, np.int64)
             rank[order] = np.arange(n)
             ids = batch.column(0).to_pylist()
             for g, lo in enumerate(range(0, len(ids), TEXTS)):
                 hi = min(lo + TEXTS, len(ids))
-                kept = np.array([0 if x is None else x for x in ids[lo:hi]], "<i8").tobytes() + np.array([x is None for x in ids[lo:hi]], np.uint8).tobytes()
-                blob = packed_codes(rank[codes[offsets[lo] : offsets[hi]]])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([GROUPS + g], pa.int32()), pa.nulls(1, pa.string()), pa.array([kept], pa.binary()), pa.array([np.diff(offsets[lo : hi + 1]).astype("<i8").tobytes()], pa.binary()), pa.array([blob], pa.binary())], names)
+                blob = pickle.dumps((ids[lo:hi], np.diff(offsets[lo : hi + 1]), packed_codes(rank[codes[offsets[lo] : offsets[hi]]])))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([GROUPS + g], pa.int32()), pa.nulls(1, pa.string()), pa.array([blob], pa.binary())], names)
 
     split = pretokens.split(docs, F.col(text), F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"))
     return split.mapInArrow(run, CHUNK)
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, bytes) of distinct words: ids by rank merges, bytes by joining the ids with the token table."""
+def id_type(path: str) -> np.dtype:
+    return np.dtype("<u2" if max(ranks(path).values()) < 1 << 16 else "<u4")
+
+
+def encoded(words: DataFrame, path: str) -> DataFrame:
+    """(chunk, at, blob) from (word, chunk, at): one shuffle by word, which meets each distinct word in one place and encodes it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode, kind = _encoding(path).encode_ordinary, id_type(path)
+        last: tuple[str | None, bytes] = (None, b"")
         for batch in batches:
-            ids = [encode(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            d = pc.dictionary_encode(batch.column(0))
+            found = [last[1] if w == last[0] else np.array(encode(w), kind).tobytes() for w in d.dictionary.to_pylist()]
+            last = (d.dictionary[-1].as_py(), found[-1]) if found else last
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary()).take(d.indices)], ["chunk", "at", "blob"])
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    dealt = words.select("word", "chunk", "at").repartition(partitions(words.sparkSession), "word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "chunk long, at int, blob binary")
 
 
 def decoded_words(sequences: DataFrame, path: str) -> DataFrame:
@@ -120,13 +125,8 @@ def decoded_words(sequences: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with full also ids and the decoded bytes."""
-    words = chunks(docs, text, id_col, only_words=True).select("word").distinct()
-    known = stored(encoded_words(words, path), "words")
     coded = chunks(docs, text, id_col)
-    back = coded.where("word is not null").select("chunk", "at", "word").join(known, "word").select("chunk", "at", "ids")
-    texts = coded.where("word is null").select("chunk", "at", F.lit(None).cast("array<int>").alias("ids"), "doc_ids", "counts", "codes")
-    empty = F.lit(None).cast("binary")
-    rows = back.select("*", *[empty.alias(c) for c in ("doc_ids", "counts", "codes")]).unionByName(texts)
+    rows = encoded(coded.where("word is not null"), path).unionByName(coded.where("word is null").select("chunk", "at", "blob"))
     rows = rows.repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "at")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if full else 4]
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
@@ -136,35 +136,38 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "do
         size = np.zeros(vocabulary[-1][1] + 1, np.int64)
         size[[r for _, r in vocabulary]] = [len(b) for b, _ in vocabulary]
         data, start = np.frombuffer(b"".join(b for b, _ in vocabulary), np.uint8), np.cumsum(size) - size
-        held: list[pa.RecordBatch] = []
+        held: list[pa.Array] = []
         known = None
         for batch in batches:
             at, begin = batch.column(1).to_numpy(), 0
             for i in np.flatnonzero(at >= GROUPS).tolist():
                 if i > begin:
-                    held.append(batch.slice(begin, i - begin))
+                    held.append(batch.column(2).slice(begin, i - begin))
                 begin = i + 1
-                if held:  # a chunk's words are complete
-                    ids, counts = _flat(pa.Table.from_batches(held).column("ids"), np.int32)
-                    starts = np.cumsum(counts) - counts
-                    known, held = (ids, counts, starts, [",".join(map(str, ids[a : a + c].tolist())) for a, c in zip(starts.tolist(), counts.tolist())]), []
-                elif at[i] == GROUPS:  # a chunk without words
-                    known = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
-                yield out(known, *(batch.column(c)[i].as_py() for c in (3, 4, 5)), data, start, size)
+                if held or at[i] == GROUPS:  # a chunk's words are complete
+                    known, held = words_of(held), []
+                yield out(known, *pickle.loads(batch.column(2)[i].as_py()), data, start, size)
             if begin < batch.num_rows:
-                held.append(batch.slice(begin))
-
-    def out(known: tuple, doc_ids: bytes, counts: bytes, blob: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+                held.append(batch.column(2).slice(begin))
+
+    def words_of(blobs: list[pa.Array]) -> tuple:
+        """(ids, ids per word, first place, ids as text) of a chunk's words."""
+        kind = id_type(path)
+        parts = [flat.flat(b) for b in blobs]
+        ids = np.concatenate([d for d, _ in parts] or [np.zeros(0, np.uint8)]).view(kind)
+        counts = np.concatenate([np.diff(o) for _, o in parts] or [np.zeros(0, np.int64)]) // kind.itemsize
+        starts = np.cumsum(counts) - counts
+        return ids, counts, starts, [",".join(map(str, ids[a : a + c].tolist())) for a, c in zip(starts.tolist(), counts.tolist())]
+
+    def out(known: tuple, doc_ids: list, n: np.ndarray, blob: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         ids, per_word, starts, texts = known
-        n = np.frombuffer(counts, "<i8")
         codes, ends = unpacked_codes(blob, int(n.sum())), np.cumsum(n)
         cols: list[list] = [[] for _ in names]
-        for k, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+        for doc, a, b in zip(doc_ids, (ends - n).tolist(), ends.tolist()):
             own = codes[a:b]
-            tokens = pretokens.gather(ids, starts[own], per_word[own])
+            tokens = pretokens.gather(ids, starts[own], per_word[own]).astype(np.int32)
             decoded = pretokens.gather(data, start[tokens], size[tokens]).tobytes()  # the join with the token-byte table
-            null = doc_ids[8 * len(n) + k]
-            row = (None if null else int.from_bytes(doc_ids[8 * k : 8 * k + 8], "little", signed=True), len(tokens), hashlib.sha256(",".join([texts[c] for c in own.tolist()]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), tokens, decoded)
+            row = (doc, len(tokens), hashlib.sha256(",".join([texts[c] for c in own.tolist()]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), tokens, decoded)
             for c, v in zip(cols, row):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
@@ -172,16 +175,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "do
     return rows.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 
-def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All elements one after the other, and how many each row has."""
-    values, counts = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
-    for c in column.chunks:
-        offsets = c.offsets.to_numpy()
-        values.append(c.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
-        counts.append(np.diff(offsets).astype(np.int64))
-    return np.concatenate(values), np.concatenate(counts)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of every row."""
     return round_trip(docs, path, text, id_col, full=True).select("doc_id", "ids")
