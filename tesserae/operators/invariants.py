@@ -109,18 +109,28 @@ class Invariant:
     def __post_init__(self) -> None:
         not_blank(self.name, "invariant name")
         require(self.scope in PROPERTIES, f"unknown scope {self.scope}")
-        compiled(self.when, self.scope, {})
-        compiled(self.then, self.scope, {})
+        _validated(self.when, self.scope)
+        _validated(self.then, self.scope)
 
     def metrics(self) -> set[str]:
         """Names of the metrics that the predicates read."""
         return {v.metric for v in (*self.when.values(), *self.then.values()) if v.metric}
 
 
+def _validated(p: Predicate, scope: str) -> None:
+    """Refuses properties of another scope, and order comparisons of what isn't a number; needs no session."""
+    for v in p.values():
+        require(v.prop is None or v.prop in PROPERTIES[scope], f"{v.prop} is no property of {scope} scope")
+    if p.op in ("lt", "le", "gt", "ge"):
+        require(all(v.kind in ("int", "double") for v in p.args), f"{p.op} compares numbers")
+    for a in p.args:
+        if isinstance(a, Predicate):
+            _validated(a, scope)
+
+
 def _column(v: Value, scope: str, metrics: dict[str, Column]) -> Column:
     if v.prop is None:
         return F.lit(v.constant)
-    require(v.prop in PROPERTIES[scope], f"{v.prop} is no property of {scope} scope")
     if v.prop == "metric":
         return metrics.get(v.metric, F.col(v.metric))
     return F.col(_COLUMNS[v.prop])
@@ -147,7 +157,6 @@ def compiled(p: Predicate, scope: str, metrics: dict[str, Column]) -> Column:
         for i in range(1, len(columns)):
             out = out | same(i)
         return out
-    require(all(v.kind in ("int", "double") for v in p.args), f"{p.op} compares numbers")
     a, b = (c.cast("double") for c in columns)
     return {"lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[p.op]
 
