@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm import flat
+from tesserae.llm import bands, flat
 from tesserae.llm.common import connected_components, partitions, stored
 
 SHINGLE, PERMUTATIONS, SEED, SIMILARITY = 5, 128, 20, 0.8
@@ -76,53 +76,29 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS, n_bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, jaccard): verified links between classes of equal fingerprints, each named by its smallest doc_id.
 
-    Within a band's bucket a class is compared with the bucket's first class and its neighbours in the order of
-    the whole fingerprint, so that a hot bucket yields rows in proportion to its size, not to its square.
+    Buckets of a few classes give all their links, larger ones enough to connect what links connect (bands.links).
     Texts of one class need no link; membership(...) has them.
     """
     member = stored(fingerprints(docs, text, id_col, k, n_perm), "minhash")
-    firsts = member.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    width = 4 * (n_perm // bands)
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", 1 + i * width, width).alias("key")) for i in range(bands)])
-    banded = firsts.select("doc_id", "fingerprint", F.explode(keys).alias("k")).select("doc_id", F.xxhash64("k.band", "k.key").alias("key"), "fingerprint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = first = last = None
-        for batch in batches:
-            a, b = [], []
-            for i, k_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k_ != key:
-                    key, first, last = k_, i, i
-                    continue
-                for x in {first, last}:
-                    a.append(min(x, i))
-                    b.append(max(x, i))
-                last = i
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    spark = docs.sparkSession
-    order = banded.repartition(partitions(spark), "key").sortWithinPartitions("key", "fingerprint").select("doc_id", "key")
-    pairs = stored(order.mapInArrow(run, "a long, b long").where("a < b").distinct(), "minhash")
+    firsts = member.groupBy("fingerprint").agg(F.min("doc_id").alias("unit")).where("unit is not null")
+    width = 4 * (n_perm // n_bands)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + i * width, width)) for i in range(n_bands)])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat.flat(batch.column(1))
             s, e, rows = flat.word_spans(data, offsets)
-            values, at = flat.shingles(flat.span_hashes(data, s, e), rows, k)
+            values, at = flat.shingles(flat.span_hashes(data, s, e) if len(s) else np.zeros(0, np.uint64), rows, k)
             cut = np.searchsorted(at, np.arange(len(offsets)))
-            lists = [np.unique(values[i:j]).view(np.int64) for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).dropDuplicates(["id"]).join(used, "id", "left_semi")
-    shingled = stored(texts.mapInArrow(sets, "id long, shingles array<long>"), "minhash")
-    both = pairs.join(shingled.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(shingled.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return both.select("a", "b", F.when(union == 0, F.lit(1.0)).otherwise(common / union).alias("jaccard")).where(F.col("jaccard") >= similarity)
+            lists = [np.unique(values[i:j].view(np.int64)) for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["unit", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("unit"), F.col(text).cast("string").alias("text"))
+    sets_of = lambda used: texts.join(used, "unit", "left_semi").dropDuplicates(["unit"]).mapInArrow(sets, "unit long, shingles array<long>")
+    return bands.links(firsts.select(F.explode(keys).alias("key"), "unit"), sets_of, similarity)
 
 
 def membership(docs: DataFrame, pairs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS) -> DataFrame:

@@ -12,9 +12,6 @@ Marked spans that touch, or that fewer than MIN_SENTENCE words separate, form a
 removed. So a passage is removed wherever it stands in a line, and short phrases that happen to repeat stay.
 Repeats within one document stay.
 
-In a band's bucket of up to WHOLE entries all pairs are candidates; in a larger one each entry meets PIVOTS entries
-and its neighbours by hash, so that a hot bucket gives rows in proportion to its size.
-
 Defined cases: null counts as an empty text, without passages; rows that repeat an id are one document, whose spans
 hold for each row; rows without an id are left alone; empty tables give empty results. Extra columns stay.
 """
@@ -28,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm import flat
-from tesserae.llm.common import connected_components, partitions, stored, unused
+from tesserae.llm import bands, flat
+from tesserae.llm.common import connected_components, stored, unused
 from tesserae.llm.minhash import coefficients
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 10
 MIN_PARAGRAPH, MIN_SENTENCE, MIN_RUN, LONG = 20, 4, 20, 40
-WHOLE, PIVOTS = 48, 8
 
 
 def breaks(data: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,55 +116,11 @@ def repeated_sentences(sentences: DataFrame) -> DataFrame:
     return sentences.join(stored(seen, "passages"), "unit").where("doc_id > keeper").select("doc_id", "keeper", "first", "words")
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """(a, b) of distinct paragraphs that share a band; entries has unit and keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry_key, carry = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            key, unit = np.r_[carry_key, batch.column(0).to_numpy()], np.r_[carry, batch.column(1).to_numpy()]
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield out(key[:cut], unit[:cut])
-            carry_key, carry = key[cut:], unit[cut:]
-        yield out(carry_key, carry)
-
-    def out(key: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(key) > 1:
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[begin, len(key)])
-            start, small = np.repeat(begin, size), np.repeat(size <= WHOLE, size)
-            place = np.arange(len(key))
-            for step in range(1, WHOLE):
-                i = np.flatnonzero(small[step:] & (start[step:] <= place[:-step]))
-                if not len(i):
-                    break
-                a.append(unit[i])
-                b.append(unit[i + step])
-            rest = np.flatnonzero(~small)
-            for p in range(PIVOTS):
-                a.append(unit[start[rest] + p])
-                b.append(unit[rest])
-                near = np.maximum(rest - p - 1, start[rest])
-                a.append(unit[near])
-                b.append(unit[rest])
-        a, b = np.concatenate(a), np.concatenate(b)
-        ok = a != b
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
-
-    rows = entries.select(F.explode("keys").alias("key"), "unit").repartition(partitions(entries.sparkSession), "key").sortWithinPartitions("key", "unit")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
 def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, keeper, first, words) of paragraphs like one of a document with a smaller id, without being equal to it."""
     entries = stored(paragraphs.groupBy("unit").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "passages")
-    pairs = stored(candidates(entries), "passages")
-    used = pairs.select(F.col("a").alias("unit")).union(pairs.select(F.col("b").alias("unit"))).distinct()
-    sets = stored(paragraphs.join(used, "unit", "left_semi").select("unit", "shingles").dropDuplicates(["unit"]), "passages")
-    both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = stored(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "passages")
+    sets_of = lambda used: paragraphs.join(used, "unit", "left_semi").select("unit", "shingles").dropDuplicates(["unit"])
+    links = bands.links(entries.select(F.explode("keys").alias("key"), "unit"), sets_of, similarity)
     comp = connected_components(links, "a", "b")
     keepers = stored(comp.join(entries, comp.node == entries.unit).groupBy("component").agg(F.min("least").alias("keeper")), "passages")
     of = stored(comp.join(keepers, "component").select(F.col("node").alias("unit"), "keeper"), "passages")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, common, flat, katz, minhash, packing, passages, quality_model, quality_rules, secrets, simhash, warc
+from tesserae.llm import bands, bpe, common, flat, katz, minhash, packing, passages, quality_model, quality_rules, secrets, simhash, warc
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,6 +114,40 @@ def test_minhash_near_pairs_against_brute_force(spark):
     assert classes[40] == 0 and classes[30] == 0 and classes[20] == 20
 
 
+def test_large_buckets_lose_no_link(spark):
+    r = np.random.default_rng(5)
+    sets = []
+    for c in range(3):  # dense groups, stragglers, and a bridge between two groups
+        core = np.arange(40) + 1000 * c
+        sets += [np.unique(np.r_[np.delete(core, r.choice(40, 2, False)), r.integers(10**6, 10**7, 1)]) for _ in range(60)]
+    sets += [np.unique(r.integers(0, 10**6, 30)) for _ in range(15)]
+    sets += [np.arange(40) + 5000, np.arange(4, 44) + 5000, np.arange(8, 48) + 5000, np.arange(12, 52) + 5000]
+    r.shuffle(near := list(range(len(sets))))
+    sets = [sets[i] for i in near]
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    groups = lambda edges: sorted(Counter(component(len(sets), edges)).values())
+    assert groups([(i, j) for i, j, _ in bands.forest(sets, 0.8)]) == groups(links)
+    keyed = spark.createDataFrame([(1, i) for i in range(len(sets))] + [(2, 3), (2, 4)], "key long, unit long")
+    table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "unit long, shingles array<long>")
+    for whole in (48, 1000):
+        got = bands.links(keyed, lambda used: table.join(used, "unit", "left_semi"), 0.8, whole).collect()
+        assert groups([(x["a"], x["b"]) for x in got]) == groups(links) and {(x["a"], x["b"]) for x in got} <= links
+
+
+def component(n, edges):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 # 2 ------------------------------------------------------------------------------
 
 
