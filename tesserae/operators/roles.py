@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.schema import KEY
-from tesserae.storage import stored
+from tesserae.storage import fresh_path, stored
 
 # Precedence among roles, strongest first, and annotation names.
 PRECEDENCE = ("EXTERNAL", "PERSISTENCE", "INFRASTRUCTURE", "APPLICATION", "DOMAIN", "PRESENTATION")
@@ -90,29 +90,32 @@ def refined(nodes: DataFrame, edges: DataFrame, rules: Sequence[SeedRule] = SEED
     what the last one made known, so each pass costs one join with the inheritance edges that lead into the frontier.
     The loop ends with the first pass that changes nothing; its bound is the number of nodes.
     """
+    spark = nodes.sparkSession
     base = stored(seeded(nodes, rules).select(*KEY, "id", "role", "signals"), "roles")
-    up = stored(edges.where(F.col("relation").isin("EXTENDS", "IMPLEMENTS") & F.col("src_resolved") & F.col("dst_resolved")).select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation"), "roles")
-    unknown = stored(base.where("role = 'UNKNOWN'").select(*KEY, "id").join(up.select(*KEY, F.col("src_id").alias("id")).distinct(), [*KEY, "id"], "left_semi"), "roles")
-    fresh, passes, found = base.select(*KEY, "id", "role"), 0, []
-    bound = max_passes if max_passes is not None else unknown.count() + 1
+    inherits = edges.where(F.col("relation").isin("EXTENDS", "IMPLEMENTS") & F.col("src_resolved") & F.col("dst_resolved")).select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation")
+    # only edges that lead out of unknown nodes can matter
+    unknown = base.where("role = 'UNKNOWN'").select(*KEY, F.col("id").alias("src_id"))
+    up = stored(inherits.join(unknown, [*KEY, "src_id"], "left_semi"), "roles")
+    bound = max_passes if max_passes is not None else nodes.count()
+    # each pass is a folder of one table, which tells the next ones what is known by now
+    path, schema = fresh_path(spark, "passes"), f"subject_id string, scan_id string, id string, added array<{SIGNAL}>, role string"
+    fresh, passes, gained = base.select(*KEY, "id", "role"), 0, spark.createDataFrame([], schema + ", pass int")
     while True:
-        signals = refine(base, up, fresh).join(unknown, [*KEY, "id"], "left_semi")
+        signals = refine(base, up, fresh)
+        if passes:
+            signals = signals.join(gained.select(*KEY, "id"), [*KEY, "id"], "left_anti")
         each = F.array_sort(F.collect_list(F.struct("rule", "edge_seq", "role", "rationale")))
         won = signals.groupBy(*KEY, "id").agg(F.transform(each, lambda s: F.struct(s["rule"].alias("rule"), s["role"].alias("role"), s["rationale"].alias("rationale"))).alias("added"))
-        won = stored(won.withColumn("role", winner(F.col("added"))).where("role <> 'UNKNOWN'").withColumn("pass", F.lit(passes + 1)), "roles")
+        won.withColumn("role", winner(F.col("added"))).where("role <> 'UNKNOWN'").write.parquet(f"{path}/pass={passes + 1}")
+        won = spark.read.schema(schema).parquet(f"{path}/pass={passes + 1}")
         if won.isEmpty():
             break
         passes += 1
         if passes > bound:
             raise RuntimeError(f"role refinement did not settle within {bound} passes")
-        found.append(won)
         fresh = won.select(*KEY, "id", "role")
-        unknown = stored(unknown.join(won, [*KEY, "id"], "left_anti"), "roles")
-    none = nodes.sparkSession.createDataFrame([], f"subject_id string, scan_id string, id string, added array<{SIGNAL}>, role string, pass int")
-    gained = none
-    for won in found:
-        gained = gained.unionByName(won)
-    gained = stored(gained, "roles").select(*KEY, "id", "added", F.col("role").alias("gained"), "pass")
+        gained = spark.read.schema(schema + ", pass int").parquet(path)
+    gained = gained.select(*KEY, "id", "added", F.col("role").alias("gained"), "pass")
     out = nodes.drop("role").join(base, [*KEY, "id"]).join(gained, [*KEY, "id"], "left")
     out = out.withColumn("signals", F.concat("signals", F.coalesce("added", F.array().cast(f"array<{SIGNAL}>")))).withColumn("role", F.coalesce("gained", "role"))
     counts = nodes.select(*KEY).distinct().join(gained.groupBy(*KEY).agg(F.max("pass").cast("long").alias("passes")), KEY, "left").select(*KEY, F.coalesce("passes", F.lit(0)).alias("passes"))
