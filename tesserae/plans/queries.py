@@ -408,7 +408,7 @@ def view_unanswered(spark, sf_dir):
     return analysis.unanswered(_analysis(spark, sf_dir)).select("question")
 
 
-@query(None)
+@query(f"SELECT sha256('{presets.layered().canonical()}') AS fingerprint, '{presets.layered().canonical()}' AS canonical")
 def fingerprint(spark, sf_dir):
     p = presets.layered()
     return spark.createDataFrame([(p.fingerprint(), p.canonical())], "fingerprint string, canonical string")

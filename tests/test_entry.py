@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tesserae.plans import queries as graph
 
 DATA = "/root/testdata/sf0.001"
-FEW = ("graph_nodes", "assemble_merge", "seed_roles", "role_signals", "layer_by_subsystem", "cycle_scc", "security_findings", "confidence_by_dimension", "maturity_level", "invariant_graph_scope", "exceptions_unmatched", "drift", "risk", "risk_reasons", "scans_latest")
+FEW = ("graph_nodes", "assemble_merge", "seed_roles", "role_signals", "layer_by_subsystem", "cycle_scc", "security_findings", "confidence_by_dimension", "maturity_level", "invariant_graph_scope", "exceptions_unmatched", "drift", "risk", "risk_reasons", "scans_latest", "fingerprint")
 
 
 def plain(row):
