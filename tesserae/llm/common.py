@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         mins = stored(e.groupBy("a").agg(F.min("b").alias("m")), "cc")
         star = e.join(mins, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         e = stored(star.union(mins.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        # done when every node has one edge and no root has an edge of its own
+        # done when a round changes nothing: every node has one edge then, to the least of its component
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFFFF))).first())
         if now == known:
             break
