@@ -373,12 +373,15 @@ def risk_reasons(spark, sf_dir):
     return _risk(spark, sf_dir).select("subject_id", F.array_join("undefined_because", ";").alias("reasons"))
 
 
-def _analysis(spark, sf_dir) -> analysis.Analysis:
-    """The whole analysis, without the calls that plant cycles: their closure is beyond what SQL could check."""
-    edges = bridge.edges(spark, sf_dir).where("not (relation = 'CALL' and src_id like 'store.%')")
+def _analysed(spark, sf_dir, edges: DataFrame) -> analysis.Analysis:
     return analysis.analyse(bridge.nodes(spark, sf_dir), edges, presets.layered(strict_prefix="app.", strict_name="orders", exceptions=EXCEPTIONS))
 
 
+def _analysis(spark, sf_dir) -> analysis.Analysis:
+    """The analysis of a part, without the calls that plant cycles: their closure is beyond what SQL could check. whole_... queries take all edges."""
+    return _analysed(spark, sf_dir, bridge.edges(spark, sf_dir).where("not (relation = 'CALL' and src_id like 'store.%')"))
+
+
 ACYCLIC = f"{BASE.replace(EDGES, EDGES.replace('edges AS (', 'alledges AS (') + ', edges AS (SELECT * FROM alledges WHERE NOT (relation = ' + chr(39) + 'CALL' + chr(39) + ' AND src LIKE ' + chr(39) + 'store.%' + chr(39) + '))')}, {LAYER}, {PERS}, {SECU}"
 OBSERVED = """ob AS (SELECT 'layer' AS dimension, count(*) FILTER (violating) AS findings, count(*) AS relevant, count(*) FILTER (violating) / count(*) AS value FROM lv
 UNION ALL SELECT 'cycle', 0, (SELECT count(*) FROM nodes), 0.0 UNION ALL SELECT 'persistence', count(*) FILTER (n > 0), count(*), count(*) FILTER (n > 0) / count(*) FROM pe
@@ -431,6 +434,39 @@ def scan_summary_row(spark, sf_dir):
     return rows.select("node_count", "edge_count", "passes", F.round("total_entropy", 12).alias("total_entropy"), F.round("maturity", 12).alias("maturity"), "invariant_violation_count")
 
 
+# The whole graph, with the calls that plant cycles. SQL can't compute the closure: tests hold these against brute force.
+
+
+def _whole(spark, sf_dir) -> analysis.Analysis:
+    return _analysed(spark, sf_dir, bridge.edges(spark, sf_dir))
+
+
+@query()
+def whole_view_observations(spark, sf_dir):
+    return analysis.observations(_whole(spark, sf_dir)).select("dimension", "value", "relevant", "findings")
+
+
+@query()
+def whole_view_findings(spark, sf_dir):
+    return analysis.findings(_whole(spark, sf_dir)).groupBy("dimension", "governed_by", "excused_by").agg(F.count("*").alias("n"))
+
+
+@query()
+def whole_view_constraints(spark, sf_dir):
+    return analysis.constraints(_whole(spark, sf_dir)).select("name", "holds", "violations", "weight")
+
+
+@query()
+def whole_view_unanswered(spark, sf_dir):
+    return analysis.unanswered(_whole(spark, sf_dir)).select("question")
+
+
+@query()
+def whole_scan_summary_row(spark, sf_dir):
+    rows = analysis.scan_rows(_whole(spark, sf_dir))
+    return rows.select("node_count", "edge_count", "passes", F.round("total_entropy", 12).alias("total_entropy"), F.round("maturity", 12).alias("maturity"), "invariant_violation_count")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -35,6 +35,61 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(map(plain, df.select(*cols).collect()), key=str) == sorted(map(plain, rows), key=str)
 
 
+def cycles_of(pairs):
+    """Members of each component of more than one node: what reaches a node and is reached from it."""
+    ahead, back = {}, {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+
+    def reach(start, step):
+        seen, todo = {start}, [start]
+        while todo:
+            for y in step.get(todo.pop(), set()) - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    left, out = set(ahead) & set(back), []
+    while left:
+        x = min(left)
+        both = reach(x, ahead) & reach(x, back)
+        left -= both
+        out += [both] if len(both) > 1 else []
+    return out
+
+
+@pytest.fixture(scope="module")
+def whole(duck):
+    """(ids of all nodes, number of edges, components of the calls and dependencies) of the whole graph, by SQL rows and plain Python."""
+    ids = [r[0] for r in duck.sql(f"WITH {graph.NODES} SELECT id FROM nodes").fetchall()]
+    rows = duck.sql(f"WITH {graph.EDGES} SELECT src, dst, relation FROM edges").fetchall()
+    return ids, len(rows), cycles_of([(a, b) for a, b, r in rows if r in ("CALL", "DEPENDS") and b is not None])
+
+
+def test_whole_analysis_against_brute_force(spark, duck, whole):
+    ids, edges, comps = whole
+    on = sum(map(len, comps))
+    assert comps and on > 100
+    run = lambda name: entry.queries()[name](spark, DATA).collect()
+    seen = {r["dimension"]: r for r in run("whole_view_observations")}
+    assert (seen["cycle"]["relevant"], seen["cycle"]["findings"]) == (len(ids), len(comps)) and seen["cycle"]["value"] == on / len(ids)
+    for name in ("layer", "persistence", "security"):  # these need no closure: SQL over all edges gives them
+        table, flag = {"layer": ("lv", "violating"), "persistence": ("pe", "n > 0"), "security": ("se", "weak")}[name]
+        n, k = duck.sql(f"{graph.BASE}, {graph.LAYER}, {graph.PERS}, {graph.SECU} SELECT count(*), count(*) FILTER ({flag}) FROM {table}").fetchall()[0]
+        assert (seen[name]["relevant"], seen[name]["findings"]) == (n, k)
+    total = sum(seen[d]["value"] for d in ("layer", "cycle", "persistence")) / 3
+    row = run("whole_scan_summary_row")[0]
+    assert (row["node_count"], row["edge_count"]) == (len(ids), edges) and abs(row["total_entropy"] - total) < 1e-9 and abs(row["maturity"] - 1 + total) < 1e-9
+    held = {r["name"]: r["holds"] for r in run("whole_view_constraints")}
+    assert held["entropy_budget"] == (total <= 0.35) and row["invariant_violation_count"] == sum(not h for h in held.values())
+    found = {}
+    for r in run("whole_view_findings"):
+        found[r["dimension"]] = found.get(r["dimension"], 0) + r["n"]
+    assert found == {d: r["findings"] for d, r in seen.items() if r["findings"]}
+    assert {r["question"] for r in run("whole_view_unanswered")} == {f"unaddressable:{len(comps)}"} | {f"dimension:{d}" for d, r in seen.items() if r["value"] is None}
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 1
     assert set(graph.oracle_sql()) <= set(graph.queries()) <= set(entry.queries())
