@@ -38,7 +38,7 @@ lv AS (SELECT *, NOT (concat(src_role, '>', dst_role) IN ('PRESENTATION>PRESENTA
   OR (src_role = 'APPLICATION' AND dst_role = 'PERSISTENCE' AND governed_by IS NULL)) AS violating FROM le)"""
 PERS = "pe AS (SELECT e.src, e.dst, e.relation, CASE WHEN e.ctx = 'ITERATED' THEN 1 ELSE 0 END AS n FROM edges e JOIN roles t ON t.id = e.dst WHERE e.relation = 'CALL' AND t.role = 'PERSISTENCE')"
 SECU = "se AS (SELECT id, descr LIKE '%unescaped output%' AS weak FROM nodes WHERE type = 'VIEW' AND descr IS NOT NULL)"
-# The SCC queries use each nation's commonest destination of shipments as a graph of 25 nodes.
+# The SCC queries with SQL use each nation's commonest destination of shipments as a graph of 25 nodes; whole_cycle_... take the whole graph.
 TOP = """top AS (SELECT a, b FROM (SELECT c.c_nationkey AS a, s.s_nationkey AS b, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY count(*) DESC, s.s_nationkey) AS rn
   FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} c ON c.c_custkey = o_custkey JOIN {supplier} s ON s.s_suppkey = l_suppkey
   WHERE c.c_nationkey <> s.s_nationkey GROUP BY c.c_nationkey, s.s_nationkey) WHERE rn = 1)"""
@@ -467,6 +467,26 @@ def whole_scan_summary_row(spark, sf_dir):
     return rows.select("node_count", "edge_count", "passes", F.round("total_entropy", 12).alias("total_entropy"), F.round("maturity", 12).alias("maturity"), "invariant_violation_count")
 
 
+def _whole_components(spark, sf_dir) -> DataFrame:
+    return cycles.components(bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir))
+
+
+@query()
+def whole_cycle_scc(spark, sf_dir):
+    return _whole_components(spark, sf_dir).select("id", "scc", F.col("size").alias("scc_size"))
+
+
+@query()
+def whole_cycle_entropy(spark, sf_dir):
+    return cycles.cycle_entropy(_whole_components(spark, sf_dir)).select("nodes", "participating", "cycles", "value")
+
+
+@query()
+def whole_cycle_by_subsystem(spark, sf_dir):
+    subs = Subsystems(tuple(Subsystem(x, f"{x}.") for x in ("geo", "web", "app", "domain", "store", "view")))
+    return cycles.cycle_by_subsystem(_whole_components(spark, sf_dir), subs).select("subsystem", "claimed", "participating", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tesserae.operators import cycles
 from tesserae.plans import queries as graph
+from tesserae.sources import bridge
 
 DATA = "/root/testdata/sf0.001"
 FEW = ("graph_nodes", "assemble_merge", "seed_roles", "role_signals", "layer_by_subsystem", "cycle_scc", "security_findings", "confidence_by_dimension", "maturity_level", "invariant_graph_scope", "exceptions_unmatched", "drift", "risk", "risk_reasons", "scans_latest", "fingerprint")
@@ -90,6 +92,28 @@ def test_whole_analysis_against_brute_force(spark, duck, whole):
     assert {r["question"] for r in run("whole_view_unanswered")} == {f"unaddressable:{len(comps)}"} | {f"dimension:{d}" for d, r in seen.items() if r["value"] is None}
 
 
+def test_whole_cycles_against_brute_force(spark, whole):
+    ids, _, comps = whole
+    least, size = {}, {}
+    for c in comps:
+        least.update(dict.fromkeys(c, min(c)))
+        size.update(dict.fromkeys(c, len(c)))
+    got = {r["id"]: (r["scc"], r["scc_size"]) for r in entry.queries()["whole_cycle_scc"](spark, DATA).collect()}
+    assert got == {x: (least.get(x, x), size.get(x, 1)) for x in ids}
+    row = entry.queries()["whole_cycle_entropy"](spark, DATA).first()
+    assert (row["nodes"], row["participating"], row["cycles"], row["value"]) == (len(ids), len(least), len(comps), len(least) / len(ids))
+    for r in entry.queries()["whole_cycle_by_subsystem"](spark, DATA).collect():
+        mine = [x for x in ids if x.startswith(r["subsystem"] + ".")]
+        assert (r["claimed"], r["participating"]) == (len(mine), sum(x in least for x in mine))
+
+
+def test_distributed_components_of_the_whole_graph(spark, whole):
+    ids, _, comps = whole
+    least = {x: min(c) for c in comps for x in c}
+    found = cycles.components(bridge.nodes(spark, DATA), bridge.edges(spark, DATA), grouped_edges=0)
+    assert {r["id"]: r["scc"] for r in found.collect()} == {x: least.get(x, x) for x in ids}
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 1
     assert set(graph.oracle_sql()) <= set(graph.queries()) <= set(entry.queries())
