@@ -117,13 +117,16 @@ def repeated_sentences(sentences: DataFrame) -> DataFrame:
 
 
 def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, keeper, first, words) of paragraphs like one of a document with a smaller id, without being equal to it."""
-    entries = stored(paragraphs.groupBy("unit").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "passages")
+    """(doc_id, keeper, first, words) of paragraphs equal to or like one of a document with a smaller id."""
+    entries = stored(paragraphs.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("keys").alias("keys")), "passages")
     sets_of = lambda used: paragraphs.join(used, "unit", "left_semi").select("unit", "shingles").dropDuplicates(["unit"])
     links = bands.links(entries.select(F.explode("keys").alias("key"), "unit"), sets_of, similarity)
     comp = connected_components(links, "a", "b")
     keepers = stored(comp.join(entries, comp.node == entries.unit).groupBy("component").agg(F.min("least").alias("keeper")), "passages")
-    of = stored(comp.join(keepers, "component").select(F.col("node").alias("unit"), "keeper"), "passages")
+    of = comp.join(keepers, "component").select(F.col("node").alias("unit"), "keeper")
+    # a paragraph whose copies are all exact has no links and so no component
+    alone = entries.where("least < most").join(of, "unit", "left_anti").select("unit", F.col("least").alias("keeper"))
+    of = stored(of.unionByName(alone), "passages")
     return paragraphs.select("unit", "doc_id", "first", "words").join(of, "unit").where("doc_id > keeper").select("doc_id", "keeper", "first", "words")
 
 

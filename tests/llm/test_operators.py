@@ -368,6 +368,15 @@ def test_passages_in_lines_and_near_copies(spark):
     assert left[10] == texts[10] and passage[100:300] in left[10] and passage[100:300] not in left[20] and "other" not in left[50].split("\n")[0].split()[:60]
 
 
+def test_equal_paragraphs_of_short_sentences_go(spark):
+    line = " ".join(f"Red{i}. Blue{i}. Green{i}." for i in range(10))
+    texts = [prose(700 + i, 60) + "\n" + line + "\n" + prose(800 + i, 60) for i in range(3)]
+    got = {r["doc_id"]: (r["removed_words"], r["class_id"]) for r in passages.report(docs_of(spark, texts)).collect()}
+    assert got == {0: (0, 0), 1: (30, 0), 2: (30, 0)}
+    left = {r["doc_id"]: r["text"] for r in passages.removed(docs_of(spark, texts)).collect()}
+    assert line in left[0] and "Red3." not in left[1] and "Red3." not in left[2]
+
+
 def test_candidate_paragraphs_have_high_recall(spark):
     texts = []
     for i in range(150):
