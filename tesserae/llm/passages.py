@@ -1,16 +1,18 @@
-"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding and exact sentences.
+"""Substring dedup: passages that repeat across documents, by paragraph MinHash banding and exact word windows.
 
 Near copies. A paragraph is a line of MIN_PARAGRAPH words or more. Equal paragraphs are one entry; entries that share a
 MinHash band (ROWS slots, BANDS bands: similarity 0.8 meets with probability 0.999) become candidates, the exact
 Jaccard similarity of their 5-word shingle sets is verified, and links join into components. The occurrence
 in the document with the smallest id stays, in all others the paragraph is marked.
 
-Exact passages inside longer lines. A sentence (up to a line end, or a stop before white space; long ones are cut where
-a word's hash says so) of MIN_SENTENCE words or more that another document with a smaller id also has is marked.
+Exact passages anywhere. Every window of MIN_RUN words that a document with a smaller id also has is marked, word by word, so
+a repeated run is marked to its true ends whatever stands around it. Each window is named by the least of its hashes of
+ANCHOR words; only windows whose anchor several documents have are shuffled. A sentence (up to a line end, or a stop before
+white space; long ones are cut where a word's hash says so) of MIN_SENTENCE words or more that a document with a smaller id
+also has is marked, too.
 
 Marked spans that touch, or that fewer than MIN_SENTENCE words separate, form a run; runs of MIN_RUN words or more are
-removed. So a passage is removed wherever it stands in a line, and short phrases that happen to repeat stay.
-Repeats within one document stay.
+removed. Repeats within one document stay.
 
 Defined cases: null counts as an empty text, without passages; rows that repeat an id are one document, whose spans
 hold for each row; rows without an id are left alone; empty tables give empty results. Extra columns stay.
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import bands, flat
-from tesserae.llm.common import connected_components, stored, unused
+from tesserae.llm.common import connected_components, partitions, stored, unused
 from tesserae.llm.minhash import coefficients
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 10
 MIN_PARAGRAPH, MIN_SENTENCE, MIN_RUN, LONG = 20, 4, 20, 40
+#: Words of an anchor; bits of the filter over keys that several documents have: more keys than fit only let more rows pass.
+ANCHOR, FILTER_BITS, BLOCK = 8, 28, 4096
 
 
 def breaks(data: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +70,7 @@ UNITS = "doc_id long, unit long, first int, words int, keys array<long>, shingle
 
 
 def units(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Sentences (keys null) and paragraphs (with band keys and distinct shingle hashes), by word places."""
+    """Paragraphs with band keys and distinct shingle hashes, by word places."""
     a, b = coefficients(ROWS * BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,19 +79,16 @@ def units(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
             for i, _, data, _, s, e, rows, h in _words(batch.column(1)):
                 if not len(s):
                     continue
-                line, stop = breaks(data, s, e, rows, h)
-                first_of_row = np.searchsorted(rows, rows)
-                yield out(ids[i + rows], h, first_of_row, stop, MIN_SENTENCE, False)
-                yield out(ids[i + rows], h, first_of_row, line, MIN_PARAGRAPH, True)
+                yield out(ids[i + rows], h, np.searchsorted(rows, rows), breaks(data, s, e, rows, h)[0], MIN_PARAGRAPH)
 
-    def out(ids: np.ndarray, h: np.ndarray, origin: np.ndarray, ends: np.ndarray, least: int, banded: bool) -> pa.RecordBatch:
+    def out(ids: np.ndarray, h: np.ndarray, origin: np.ndarray, ends: np.ndarray, least: int) -> pa.RecordBatch:
         to = np.flatnonzero(ends) + 1
         at = np.r_[0, to[:-1]]
         keep = to - at >= least
         at, to = at[keep], to[keep]
         n = len(at)
         cols = [pa.array(ids[at], pa.int64()), pa.array(sequence_hashes(h, at, to).view(np.int64)), pa.array((at - origin[at]).astype(np.int32)), pa.array((to - at).astype(np.int32))]
-        if not banded or not n:
+        if not n:
             return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names)
         count = to - at - SHINGLE + 1
         starts = np.arange(count.sum()) + np.repeat(at - (np.cumsum(count) - count), count)
@@ -110,10 +111,114 @@ def units(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return rows.mapInArrow(run, UNITS)
 
 
-def repeated_sentences(sentences: DataFrame) -> DataFrame:
-    """(doc_id, keeper, first, words) of sentences that a document with a smaller id has, too."""
-    seen = sentences.groupBy("unit").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most").select("unit", "keeper")
-    return sentences.join(stored(seen, "passages"), "unit").where("doc_id > keeper").select("doc_id", "keeper", "first", "words")
+def windows(h: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, place in the anchors, anchors) of every window of length words; equal windows have equal anchors."""
+    k = min(ANCHOR, length)
+    at = np.arange(max(0, len(h) - length + 1))
+    at = at[rows[at] == rows[at + length - 1]]
+    if not len(at):
+        return at, at, np.zeros(0, np.int64)
+    starts = np.arange(len(h) - k + 1)
+    x = sequence_hashes(h, starts, starts + k)
+    chosen = at.copy()
+    least = x[at]
+    for j in range(1, length - k + 1):
+        now = x[at + j]
+        less = np.flatnonzero(now < least)
+        least[less] = now[less]
+        chosen[less] = at[less] + j
+    new = np.r_[True, chosen[1:] != chosen[:-1]]  # the places ascend, as leftmost least values do
+    return at, np.cumsum(new) - 1, x[chosen[new]].view(np.int64)
+
+
+def _texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+
+
+def _sentences(data: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    to = np.flatnonzero(breaks(data, s, e, rows, h)[1]) + 1
+    at = np.r_[0, to[:-1]]
+    keep = to - at >= MIN_SENTENCE
+    at, to = at[keep], to[keep]
+    return at, to, sequence_hashes(h, at, to).view(np.int64)
+
+
+def shared_keys(docs: DataFrame, length: int, text: str = "text", id_col: str = "doc_id") -> np.ndarray:
+    """A bitmap of the sentences and anchors that several documents have; its size is bounded, it lets others pass, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, data, _, s, e, rows, h in _words(batch.column(1)):
+                if not len(s):
+                    continue
+                at, _, unit = _sentences(data, s, e, rows, h)
+                w, index, anchor = windows(h, rows, length)
+                owner = np.zeros(len(anchor), np.int64)
+                owner[index] = ids[i + rows[w]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[unit, anchor]), pa.array(np.r_[ids[i + rows[at]], owner])], ["unit", "doc_id"])
+
+    keys = _texts(docs, text, id_col).mapInArrow(run, "unit long, doc_id long")
+    seen = stored(keys.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("unit"), "passages")
+    bits = min(FILTER_BITS, max(15, (8 * seen.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)])
+        used, index = np.unique(found // (8 * BLOCK), return_inverse=True)
+        flags = np.zeros((len(used), 8 * BLOCK), bool)
+        flags[index, found % (8 * BLOCK)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], ["block", "bits"])
+
+    place = seen.select(F.col("unit").bitwiseAND((1 << bits) - 1).alias("bit"))
+    out = np.zeros(((1 << bits) // 8 // BLOCK, BLOCK), np.uint8)
+    for r in place.repartition(min(64, partitions(docs.sparkSession)), F.floor(F.col("bit") / (8 * BLOCK))).mapInArrow(mark, "block long, bits binary").toLocalIterator():
+        out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def repeated_words(docs: DataFrame, length: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, keeper, first, words) of sentences and of windows of length words that a document with a smaller id has, too."""
+    spark = docs.sparkSession
+    found = spark.sparkContext.broadcast(shared_keys(docs, length, text, id_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = found.value
+        last = np.int64(len(bitmap) * 8 - 1)
+
+        def has(keys: np.ndarray) -> np.ndarray:
+            bit = keys & last
+            return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, _, data, _, s, e, rows, h in _words(batch.column(1)):
+                if not len(s):
+                    continue
+                at, to, unit = _sentences(data, s, e, rows, h)
+                keep = has(unit)
+                at, to, unit = at[keep], to[keep], unit[keep]
+                w, index, anchor = windows(h, rows, length)
+                w = w[has(anchor)[index]]
+                at, to, unit = np.r_[at, w], np.r_[to, w + length], np.r_[unit, sequence_hashes(h, w, w + length).view(np.int64)]
+                first = at - np.searchsorted(rows, rows[at])
+                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(ids[i + rows[at]], pa.int64()), pa.array(first.astype(np.int32)), pa.array((to - at).astype(np.int32))], ["unit", "doc_id", "first", "words"])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = keeper = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            of = doc[begin]
+            if unit[0] == key:
+                of[0] = keeper
+            key, keeper = unit[-1], of[-1]
+            of = np.repeat(of, np.diff(np.r_[begin, len(unit)]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(of), batch.column(2), batch.column(3)], ["doc_id", "keeper", "first", "words"]).filter(pa.array(doc > of))
+
+    rows = _texts(docs, text, id_col).mapInArrow(run, "unit long, doc_id long, first int, words int")
+    return rows.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "doc_id").mapInArrow(least, "doc_id long, keeper long, first int, words int")
 
 
 def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -132,29 +237,40 @@ def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) ->
 
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, spans, keepers): runs to remove, as (first word, words), and the documents that keep them; only documents with any."""
-    found = stored(units(docs, text, id_col), "passages")
-    marked = repeated_sentences(found.where("keys is null").select("doc_id", "unit", "first", "words"))
-    marked = marked.unionByName(similar_paragraphs(found.where("keys is not null"), similarity))
-    each = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "words", "keeper"))).alias("marks"))
+    paragraphs = similar_paragraphs(stored(units(docs, text, id_col), "passages"), similarity)
+    marked = paragraphs.unionByName(stored(repeated_words(docs, min_run, text, id_col), "passages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans: list[list] = []
-                for m in marks:
-                    end = m["first"] + m["words"]
-                    if spans and m["first"] - spans[-1][1] < MIN_SENTENCE:
-                        spans[-1][1] = max(spans[-1][1], end)
-                        spans[-1][2].add(m["keeper"])
-                    else:
-                        spans.append([m["first"], end, {m["keeper"]}])
-                spans = [x for x in spans if x[1] - x[0] >= min_run]
-                if spans:
-                    rows.append((doc, [{"first": s, "words": e - s} for s, e, _ in spans], sorted(set().union(*(k for *_, k in spans)))))
-            cols = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.list_(pa.int64())))], ["doc_id", "spans", "keepers"])
-
+            if batch.num_rows:
+                now = [np.r_[c, batch.column(k).to_numpy().astype(np.int64)] for k, c in enumerate(carry)]
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                yield out(*[c[:cut] for c in now])
+                carry = [c[cut:] for c in now]
+        yield out(*carry)
+
+    def out(doc: np.ndarray, first: np.ndarray, words: np.ndarray, keeper: np.ndarray) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        if len(doc):
+            new = np.r_[True, doc[1:] != doc[:-1]]
+            base = np.cumsum(new) << 32  # keeps the running ends of documents apart
+            end = np.maximum.accumulate(base + first + words)
+            begin = np.flatnonzero(new | np.r_[True, base[1:] + first[1:] - end[:-1] >= MIN_SENTENCE])
+            last = np.r_[begin[1:], len(doc)]
+            start, size = first[begin], end[last - 1] - base[begin] - first[begin]
+            for k in np.flatnonzero(size >= min_run).tolist():
+                span = {"first": int(start[k]), "words": int(size[k])}
+                keepers = np.unique(keeper[begin[k] : last[k]]).tolist()
+                if rows and rows[-1][0] == doc[begin[k]]:
+                    rows[-1][1].append(span)
+                    rows[-1][2].update(keepers)
+                else:
+                    rows.append((int(doc[begin[k]]), [span], set(keepers)))
+        cols = zip(*[(d, s, sorted(k)) for d, s, k in rows]) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.list_(pa.int64())))], ["doc_id", "spans", "keepers"])
+
+    each = marked.select("doc_id", "first", "words", "keeper").repartition(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "first")
     return each.mapInArrow(run, "doc_id long, spans array<struct<first int, words int>>, keepers array<long>")
 
 

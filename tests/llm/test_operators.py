@@ -368,6 +368,43 @@ def test_passages_in_lines_and_near_copies(spark):
     assert left[10] == texts[10] and passage[100:300] in left[10] and passage[100:300] not in left[20] and "other" not in left[50].split("\n")[0].split()[:60]
 
 
+def test_passages_in_lines_go_to_their_true_ends(spark):
+    texts = [prose(1100 + i, 120).replace(".", "") for i in range(60)]
+    plain, short = prose(2998, 51).replace(".", ""), " ".join(f"One{i}. Two{i}." for i in range(12))
+    sizes, want = {"plain": 51, "short": 24}, {}
+    for name, passage, ids in (("plain", plain, (3, 17, 42)), ("short", short, (5, 23, 58))):
+        for n, i in enumerate(ids):
+            w = texts[i].split(" ")
+            at = 31 + 13 * n
+            w[at - 1], w[at] = f"before{i}", f"after{i}"  # so that no word around the passage is shared by chance
+            texts[i] = " ".join(w[:at] + [passage] + w[at:])
+            if n:
+                want[i] = f"{at}:{at + sizes[name]}"
+    got = {r["doc_id"]: r["spans"] for r in passages.report(docs_of(spark, texts)).collect() if r["removed_words"]}
+    assert got == want
+
+
+def test_windows_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    base = [[f"w{x}" for x in r.integers(0, 4000, 200)] for _ in range(30)]
+    for k in range(40):  # runs of 10 to 39 words move from one text into a later one, at any place
+        a, b = sorted(r.choice(30, 2, replace=False).tolist())
+        n, i, j = 10 + k % 30, int(r.integers(0, 150)), int(r.integers(0, 200))
+        base[b][j:j] = base[a][i : i + n]
+    seen, want = {}, {}
+    for d, w in enumerate(base):
+        for i in range(len(w) - 19):
+            seen.setdefault(tuple(w[i : i + 20]), set()).add(d)
+    for d, w in enumerate(base):
+        hit = {j for i in range(len(w) - 19) if min(seen[tuple(w[i : i + 20])]) < d for j in range(i, i + 20)}
+        if hit:
+            want[d] = hit
+    got = {}
+    for x in passages.repeated_words(docs_of(spark, [" ".join(w) for w in base]), 20).where("words = 20").collect():
+        got.setdefault(x["doc_id"], set()).update(range(x["first"], x["first"] + 20))
+    assert len(want) > 8 and got == want
+
+
 def test_equal_paragraphs_of_short_sentences_go(spark):
     line = " ".join(f"Red{i}. Blue{i}. Green{i}." for i in range(10))
     texts = [prose(700 + i, 60) + "\n" + line + "\n" + prose(800 + i, 60) for i in range(3)]
