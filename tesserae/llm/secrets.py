@@ -1,7 +1,7 @@
 """Secret scan in DataFrame functions alone: base patterns, and character Markov models of random strings.
 
-Base kinds assign, access and hex are patterns with least lengths. On top of them, any long token of letters and
-digits is scored by two first-order Markov models over characters: one of random strings, one of ordinary
+Base kinds assign, access and hex are patterns with least lengths. On top of them, any token of 12 characters or more, less
+what base spans cover of it, is scored if it has a letter and a digit by two first-order Markov models over characters: one of random strings, one of ordinary
 identifiers; the sum of log-likelihood ratios over THRESHOLD makes it a span of kind random. The models are
 trained from labelled samples: values that the base patterns found (random) and long lower-case words
 (ordinary); training() also takes samples from elsewhere. Added spans never overlap base ones.
@@ -28,7 +28,7 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # whole runs only, as a run of any length and a filter would give
 )
-CANDIDATE, ORDINARY, RANDOM_LENGTH = r"[A-Za-z0-9+/_-]{12,}=*", r"^[a-z]{12,}$", 16
+CANDIDATE, ORDINARY = r"[A-Za-z0-9+/_-]{12,}=*", r"^[a-z]{12,}$"
 #: Natural logarithm of the odds that an added span needs; pseudo-counts of a row, and characters in use.
 THRESHOLD, PRIOR, ALPHABET = 10.0, 8.0, 66
 SPAN = "struct<start:bigint,end:bigint>"
@@ -49,7 +49,7 @@ def located(rows: DataFrame, text: str, pattern: str, name: str, group: int = 0)
 
 
 def base(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, an array of spans for each base kind, candidates clear of them, and ordinary words."""
+    """doc_id, an array of spans for each base kind, what they leave of candidates, and ordinary words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     for kind, pattern, group, least in KINDS:
         rows = located(rows, "text", pattern, kind, group)
@@ -57,9 +57,15 @@ def base(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     rows = located(rows, "text", CANDIDATE, "tokens")
     rows = rows.withColumn("ordinary", F.filter(F.transform("tokens", lambda t: t["value"]), lambda v: v.rlike(ORDINARY)))
     rows = rows.withColumn("_base", F.concat(*[k for k, *_ in KINDS]))
-    mixed = lambda t: (F.length(t["value"]) >= RANDOM_LENGTH) & t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")
-    clear = lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    return rows.withColumn("tokens", F.filter("tokens", lambda t: mixed(t) & clear(t))).drop("text", "_base")
+    # what base spans leave uncovered of a token: the pieces between them
+    def uncovered(t: Column) -> Column:
+        over = F.array_sort(F.filter("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        begin = F.struct(t["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
+        piece = lambda at, end: F.struct(at.alias("start"), end.alias("end"), F.substring(t["value"], (at - t["start"]).cast("int") + 1, (end - at).cast("int")).alias("value"))
+        step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], s["start"])))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(over, begin, step, lambda acc: F.when(acc["at"] < t["end"], F.concat(acc["out"], F.array(piece(acc["at"], t["end"])))).otherwise(acc["out"]))
+
+    return rows.withColumn("tokens", F.filter(F.flatten(F.transform("tokens", uncovered)), lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]"))).drop("text", "_base")
 
 
 def samples(found: DataFrame) -> DataFrame:

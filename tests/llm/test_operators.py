@@ -288,6 +288,19 @@ def test_secrets_base_and_markov(spark):
 # 7 ------------------------------------------------------------------------------
 
 
+def test_secrets_of_few_characters_and_around_base_spans(spark):
+    r = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, of=chars: "".join(r.choice(of) for _ in range(n))
+    texts = [f"token={key(32)} " + " ".join("".join(r.choice(["re", "con", "ment", "tion", "er", "in", "al"]) for _ in range(6)) for _ in range(30)) for _ in range(60)]
+    few, head, tail = "7" + key(14), "3" + key(20, chars[:26]), key(20, chars[:26]) + "5"
+    texts += [f"see {few} here", f"see {head}{'0123456789abcdef' * 2}{tail} here"]
+    got = {x["doc_id"]: x["s"] for x in secrets.scanned(docs_of(spark, texts)).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
+    assert got[60] == "random:4:19"
+    assert got[61] == "random:4:25,hex:25:57,random:57:78"
+    assert all("random" not in got[i] for i in range(60))
+
+
 def test_simhash_links_against_brute_force(spark):
     r = np.random.default_rng(7)
     base = r.integers(0, 1 << 64, 300, np.uint64)
