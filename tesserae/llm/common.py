@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,25 +26,66 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only on one machine (tests) is a temporary folder made and set where it is unset; a cluster must name one.
     """
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesserae-"))
         at = sc.getCheckpointDir()
     return at
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new path in the shared folder; what lies there goes when the Python process ends, or by release() before."""
+    if not _made:
+        atexit.register(_release_all)
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _made.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes paths that nothing will read again."""
+    context = spark.sparkContext
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _made[:] = [m for m in _made if m[1] != path]
+
+
+def _release_all() -> None:
+    try:
+        while _made:
+            release(*_made[-1])
+    except Exception:  # the JVM may be gone; then its folder is the cluster's to clean
+        _made.clear()
+
+
+#: Spark's own setting: a finished query's shuffle files go at once. What it wrote is all that later steps read.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage is cut and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _kept(df, fresh_path(df.sparkSession, name))
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -56,30 +99,34 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge; isolated nodes don't appear.
 
     Alternating large-star and small-star rounds over long keys. Each half is one join of the edges with
-    the per-node minima; both sides are stored first, so that adaptive execution can split a hot centre.
+    the per-node minima; both sides are stored first, so that adaptive execution can split a hot centre, and deleted when the
+    next round has its own. The rounds end, whatever their number, when no node that has a smaller neighbour has another
+    neighbour, too: then each component is a star around its smallest node. That test is exact, and the star rounds
+    always come there.
     Null ends and self-loops are ignored; an empty edge table gives an empty result.
     """
-    e = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a > b").distinct()
-    e, known = stored(e, "cc"), None
-    for _ in range(max_rounds):
+    spark, used = edges.sparkSession, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        used.append(fresh_path(spark, "cc"))
+        return _kept(df, used[-1])
+
+    e = keep(edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a > b").distinct())
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        mins = stored(both.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        mins = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        if mins.where("m < u and n > 1").isEmpty():
+            break
         # large star: neighbours above u go to the least of u and its neighbours
-        e = both.where("v > u").join(mins, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
-        e = stored(e, "cc")
+        large = keep(both.where("v > u").join(mins.select("u", "m"), "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct())
         # small star: u and its smaller neighbours go to the least of them
-        mins = stored(e.groupBy("a").agg(F.min("b").alias("m")), "cc")
-        star = e.join(mins, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        e = stored(star.union(mins.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        # done when a round changes nothing: every node has one edge then, to the least of its component
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(0xFFFFFFFFFF))).first())
-        if now == known:
-            break
-        known = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        least = keep(large.groupBy("a").agg(F.min("b").alias("m")))
+        star = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+        e = keep(star.union(least.select("a", F.col("m").alias("b"))).distinct())
+        release(spark, *used[:-1])
+        del used[:-1]
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
