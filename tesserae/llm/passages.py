@@ -12,10 +12,11 @@ white space; long ones are cut where a word's hash says so) of MIN_SENTENCE word
 also has is marked, too.
 
 Marked spans that touch, or that fewer than MIN_SENTENCE words separate, form a run; runs of MIN_RUN words or more are
-removed. Repeats within one document stay.
+removed, and shorter ones where a whole paragraph is marked. Repeats within one document stay.
 
-Defined cases: null counts as an empty text, without passages; rows that repeat an id are one document, whose spans
-hold for each row; rows without an id are left alone; empty tables give empty results. Extra columns stay.
+Defined cases: null counts as an empty text, without passages; rows that repeat an id with one text are one document, whose
+spans hold for each row; rows that repeat an id with several texts are told apart by a hash of the text, each has its own
+spans, and none repeats another; rows without an id are left alone; empty tables give empty results. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -33,9 +34,14 @@ from tesserae.llm.minhash import coefficients
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 10
-MIN_PARAGRAPH, MIN_SENTENCE, MIN_RUN, LONG = 20, 4, 20, 40
+MIN_PARAGRAPH, MIN_SENTENCE, LONG = 20, 4, 40
+#: Words of an exact window, and of the least run of them that goes.
+WINDOW, MIN_RUN = 20, 36
 #: Words of an anchor; bits of the filter over keys that several documents have: more keys than fit only let more rows pass.
 ANCHOR, FILTER_BITS, BLOCK = 8, 28, 4096
+#: A key of more rows is joined to its least document instead of going to one task.
+HOT = 5000
+MARKED = "doc_id long, variant long, keeper long, first int, words int"
 
 
 def breaks(data: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,28 +72,28 @@ def _words(column: pa.Array) -> Iterator[tuple]:
         yield i, j, part, at, s, e, rows, flat.span_hashes(part, s, e) if len(s) else np.zeros(0, np.uint64)
 
 
-UNITS = "doc_id long, unit long, first int, words int, keys array<long>, shingles array<int>"
+UNITS = "doc_id long, variant long, unit long, first int, words int, keys array<long>, shingles array<int>"
 
 
-def units(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Paragraphs with band keys and distinct shingle hashes, by word places."""
+def units(rows: DataFrame) -> DataFrame:
+    """Paragraphs of _texts rows, with band keys and distinct shingle hashes, by word places."""
     a, b = coefficients(ROWS * BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, variants = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for i, _, data, _, s, e, rows, h in _words(batch.column(1)):
                 if not len(s):
                     continue
-                yield out(ids[i + rows], h, np.searchsorted(rows, rows), breaks(data, s, e, rows, h)[0], MIN_PARAGRAPH)
+                yield out(ids[i + rows], variants[i + rows], h, np.searchsorted(rows, rows), breaks(data, s, e, rows, h)[0], MIN_PARAGRAPH)
 
-    def out(ids: np.ndarray, h: np.ndarray, origin: np.ndarray, ends: np.ndarray, least: int) -> pa.RecordBatch:
+    def out(ids: np.ndarray, variants: np.ndarray, h: np.ndarray, origin: np.ndarray, ends: np.ndarray, least: int) -> pa.RecordBatch:
         to = np.flatnonzero(ends) + 1
         at = np.r_[0, to[:-1]]
         keep = to - at >= least
         at, to = at[keep], to[keep]
         n = len(at)
-        cols = [pa.array(ids[at], pa.int64()), pa.array(sequence_hashes(h, at, to).view(np.int64)), pa.array((at - origin[at]).astype(np.int32)), pa.array((to - at).astype(np.int32))]
+        cols = [pa.array(ids[at], pa.int64()), pa.array(variants[at], pa.int64()), pa.array(sequence_hashes(h, at, to).view(np.int64)), pa.array((at - origin[at]).astype(np.int32)), pa.array((to - at).astype(np.int32))]
         if not n:
             return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names)
         count = to - at - SHINGLE + 1
@@ -106,8 +112,7 @@ def units(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
         banks = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
         return pa.RecordBatch.from_arrays([*cols, banks, lists], names)
 
-    names = ["doc_id", "unit", "first", "words", "keys", "shingles"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    names = ["doc_id", "variant", "unit", "first", "words", "keys", "shingles"]
     return rows.mapInArrow(run, UNITS)
 
 
@@ -132,7 +137,13 @@ def windows(h: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 
 def _texts(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    """(doc_id, text, variant); variant is 0 but for ids with several texts, where it is a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    sizes = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = stored(sizes.where("a <> b").select("doc_id"), "passages")
+    if several.isEmpty():
+        return rows.withColumn("variant", F.lit(0).cast("long"))
+    return rows.join(several.withColumn("several", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).alias("variant"))
 
 
 def _sentences(data: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,8 +154,11 @@ def _sentences(data: np.ndarray, s: np.ndarray, e: np.ndarray, rows: np.ndarray,
     return at, to, sequence_hashes(h, at, to).view(np.int64)
 
 
-def shared_keys(docs: DataFrame, length: int, text: str = "text", id_col: str = "doc_id") -> np.ndarray:
-    """A bitmap of the sentences and anchors that several documents have; its size is bounded, it lets others pass, too."""
+def shared_keys(rows: DataFrame, length: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the sentences and anchors that several documents have, and of those that occur more than hot times, if any.
+
+    Their size is bounded; they let others pass, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +172,8 @@ def shared_keys(docs: DataFrame, length: int, text: str = "text", id_col: str =
                 owner[index] = ids[i + rows[w]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[unit, anchor]), pa.array(np.r_[ids[i + rows[at]], owner])], ["unit", "doc_id"])
 
-    keys = _texts(docs, text, id_col).mapInArrow(run, "unit long, doc_id long")
-    seen = stored(keys.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("unit"), "passages")
+    keys = rows.mapInArrow(run, "unit long, doc_id long").groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    seen = stored(keys.where("least < most").select("unit", (F.col("n") > hot).alias("hot")), "passages")
     bits = min(FILTER_BITS, max(15, (8 * seen.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,39 +183,59 @@ def shared_keys(docs: DataFrame, length: int, text: str = "text", id_col: str =
         flags[index, found % (8 * BLOCK)] = True
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], ["block", "bits"])
 
-    place = seen.select(F.col("unit").bitwiseAND((1 << bits) - 1).alias("bit"))
-    out = np.zeros(((1 << bits) // 8 // BLOCK, BLOCK), np.uint8)
-    for r in place.repartition(min(64, partitions(docs.sparkSession)), F.floor(F.col("bit") / (8 * BLOCK))).mapInArrow(mark, "block long, bits binary").toLocalIterator():
-        out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def repeated_words(docs: DataFrame, length: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, keeper, first, words) of sentences and of windows of length words that a document with a smaller id has, too."""
-    spark = docs.sparkSession
-    found = spark.sparkContext.broadcast(shared_keys(docs, length, text, id_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = found.value
-        last = np.int64(len(bitmap) * 8 - 1)
-
-        def has(keys: np.ndarray) -> np.ndarray:
-            bit = keys & last
-            return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, _, s, e, rows, h in _words(batch.column(1)):
-                if not len(s):
-                    continue
-                at, to, unit = _sentences(data, s, e, rows, h)
-                keep = has(unit)
-                at, to, unit = at[keep], to[keep], unit[keep]
-                w, index, anchor = windows(h, rows, length)
-                w = w[has(anchor)[index]]
-                at, to, unit = np.r_[at, w], np.r_[to, w + length], np.r_[unit, sequence_hashes(h, w, w + length).view(np.int64)]
-                first = at - np.searchsorted(rows, rows[at])
-                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(ids[i + rows[at]], pa.int64()), pa.array(first.astype(np.int32)), pa.array((to - at).astype(np.int32))], ["unit", "doc_id", "first", "words"])
+    out = []
+    often = seen.where("hot")
+    for part in (seen, often) if not often.isEmpty() else (seen,):
+        place = part.select(F.col("unit").bitwiseAND((1 << bits) - 1).alias("bit"))
+        flags = np.zeros(((1 << bits) // 8 // BLOCK, BLOCK), np.uint8)
+        for r in place.repartition(min(64, partitions(rows.sparkSession)), F.floor(F.col("bit") / (8 * BLOCK))).mapInArrow(mark, "block long, bits binary").toLocalIterator():
+            flags[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
+        out.append(flags.ravel())
+    return out[0], out[1] if len(out) > 1 else np.zeros(0, np.uint8)
+
+
+FOUND = "unit long, doc_id long, variant long, first int, words int"
+
+
+def repeated_words(rows: DataFrame, length: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """(doc_id, variant, keeper, first, words) of sentences and of windows of length words that a document with a smaller id has, too.
+
+    A key's rows go to one task, as a stream. Keys that may have more than hot rows don't: a second pass, where there are any,
+    joins theirs to their least document, which partial aggregation finds, so that adaptive execution can split them. A word
+    that repeats on and on gives one row, not one for each window.
+    """
+    spark = rows.sparkSession
+    bitmaps = spark.sparkContext.broadcast(shared_keys(rows, length, hot))
+    names = [x.split()[0] for x in FOUND.split(", ")]
+
+    def rows_of(wanted: bool):
+        """The rows of keys that are hot, or of those that aren't."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shared, common = bitmaps.value
+
+            def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+                bit = keys & np.int64(max(len(bitmap), 1) * 8 - 1)
+                return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0 if len(bitmap) else np.zeros(len(keys), bool)
+
+            for batch in batches:
+                ids, variants = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for i, _, data, _, s, e, owner, h in _words(batch.column(1)):
+                    if not len(s):
+                        continue
+                    at, to, unit = _sentences(data, s, e, owner, h)
+                    keep = has(shared, unit) & (has(common, unit) == wanted)
+                    at, to, unit = at[keep], to[keep], unit[keep]
+                    w, index, anchor = windows(h, owner, length)
+                    w = w[(has(shared, anchor) & (has(common, anchor) == wanted))[index]]
+                    named = sequence_hashes(h, w, w + length).view(np.int64)
+                    begin = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]) | (w[1:] != w[:-1] + 1)]) if len(w) else w
+                    ends = w[np.r_[begin[1:], len(w)] - 1] + length if len(w) else w
+                    at, to, unit = np.r_[at, w[begin]], np.r_[to, ends], np.r_[unit, named[begin]]
+                    first, row = at - np.searchsorted(owner, owner[at]), i + owner[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(ids[row], pa.int64()), pa.array(variants[row], pa.int64()), pa.array(first.astype(np.int32)), pa.array((to - at).astype(np.int32))], names)
+
+        return run
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = keeper = None
@@ -215,14 +249,18 @@ def repeated_words(docs: DataFrame, length: int, text: str = "text", id_col: str
                 of[0] = keeper
             key, keeper = unit[-1], of[-1]
             of = np.repeat(of, np.diff(np.r_[begin, len(unit)]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(of), batch.column(2), batch.column(3)], ["doc_id", "keeper", "first", "words"]).filter(pa.array(doc > of))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(of), batch.column(3), batch.column(4)], ["doc_id", "variant", "keeper", "first", "words"]).filter(pa.array(doc > of))
 
-    rows = _texts(docs, text, id_col).mapInArrow(run, "unit long, doc_id long, first int, words int")
-    return rows.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "doc_id").mapInArrow(least, "doc_id long, keeper long, first int, words int")
+    few = rows.mapInArrow(rows_of(False), FOUND).repartition(partitions(spark), "unit").sortWithinPartitions("unit", "doc_id").mapInArrow(least, MARKED)
+    if not len(bitmaps.value[1]):
+        return few
+    many = stored(rows.mapInArrow(rows_of(True), FOUND), "passages")
+    firsts = stored(many.groupBy("unit").agg(F.min("doc_id").alias("keeper")), "passages")
+    return few.unionByName(many.join(firsts, "unit").where("doc_id > keeper").select("doc_id", "variant", "keeper", "first", "words"))
 
 
 def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, keeper, first, words) of paragraphs equal to or like one of a document with a smaller id."""
+    """(doc_id, variant, keeper, first, words) of paragraphs equal to or like one of a document with a smaller id."""
     entries = stored(paragraphs.groupBy("unit").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("keys").alias("keys")), "passages")
     sets_of = lambda used: paragraphs.join(used, "unit", "left_semi").select("unit", "shingles").dropDuplicates(["unit"])
     links = bands.links(entries.select(F.explode("keys").alias("key"), "unit"), sets_of, similarity)
@@ -232,54 +270,63 @@ def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) ->
     # a paragraph whose copies are all exact has no links and so no component
     alone = entries.where("least < most").join(of, "unit", "left_anti").select("unit", F.col("least").alias("keeper"))
     of = stored(of.unionByName(alone), "passages")
-    return paragraphs.select("unit", "doc_id", "first", "words").join(of, "unit").where("doc_id > keeper").select("doc_id", "keeper", "first", "words")
+    return paragraphs.select("unit", "doc_id", "variant", "first", "words").join(of, "unit").where("doc_id > keeper").select("doc_id", "variant", "keeper", "first", "words")
+
+
+SPANS = "array<struct<first int, words int>>"
 
 
-def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, spans, keepers): runs to remove, as (first word, words), and the documents that keep them; only documents with any."""
-    paragraphs = similar_paragraphs(stored(units(docs, text, id_col), "passages"), similarity)
-    marked = paragraphs.unionByName(stored(repeated_words(docs, min_run, text, id_col), "passages"))
+def repeats(rows: DataFrame, similarity: float = SIMILARITY, min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, variant, spans, keepers) of _texts rows: runs to remove, as (first word, words), and the documents that keep them; only documents with any."""
+    paragraphs = similar_paragraphs(stored(units(rows), "passages"), similarity).withColumn("whole", F.lit(True))
+    marked = paragraphs.unionByName(stored(repeated_words(rows, min(WINDOW, min_run)), "passages").withColumn("whole", F.lit(False)))
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.zeros(0, np.int64)] * 4
+        carry = [np.zeros(0, np.int64)] * 6
         for batch in batches:
             if batch.num_rows:
-                now = [np.r_[c, batch.column(k).to_numpy().astype(np.int64)] for k, c in enumerate(carry)]
-                cut = int(np.searchsorted(now[0], now[0][-1]))
+                now = [np.r_[c, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)] for k, c in enumerate(carry)]
+                new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
+                cut = int(new[-1]) + 1 if len(new) else 0
                 yield out(*[c[:cut] for c in now])
                 carry = [c[cut:] for c in now]
         yield out(*carry)
 
-    def out(doc: np.ndarray, first: np.ndarray, words: np.ndarray, keeper: np.ndarray) -> pa.RecordBatch:
-        rows: list[tuple] = []
+    def out(doc: np.ndarray, variant: np.ndarray, first: np.ndarray, words: np.ndarray, keeper: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        made: list[tuple] = []
         if len(doc):
-            new = np.r_[True, doc[1:] != doc[:-1]]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])]
             base = np.cumsum(new) << 32  # keeps the running ends of documents apart
             end = np.maximum.accumulate(base + first + words)
             begin = np.flatnonzero(new | np.r_[True, base[1:] + first[1:] - end[:-1] >= MIN_SENTENCE])
             last = np.r_[begin[1:], len(doc)]
             start, size = first[begin], end[last - 1] - base[begin] - first[begin]
-            for k in np.flatnonzero(size >= min_run).tolist():
+            enough = (size >= min_run) | (np.maximum.reduceat(whole, begin) > 0)
+            for k in np.flatnonzero(enough).tolist():
                 span = {"first": int(start[k]), "words": int(size[k])}
                 keepers = np.unique(keeper[begin[k] : last[k]]).tolist()
-                if rows and rows[-1][0] == doc[begin[k]]:
-                    rows[-1][1].append(span)
-                    rows[-1][2].update(keepers)
+                of = (int(doc[begin[k]]), int(variant[begin[k]]))
+                if made and made[-1][:2] == of:
+                    made[-1][2].append(span)
+                    made[-1][3].update(keepers)
                 else:
-                    rows.append((int(doc[begin[k]]), [span], set(keepers)))
-        cols = zip(*[(d, s, sorted(k)) for d, s, k in rows]) if rows else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())])), pa.list_(pa.int64())))], ["doc_id", "spans", "keepers"])
+                    made.append((*of, [span], set(keepers)))
+        cols = zip(*[(d, v, s, sorted(k)) for d, v, s, k in made]) if made else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "variant", "spans", "keepers"])
 
-    each = marked.select("doc_id", "first", "words", "keeper").repartition(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "first")
-    return each.mapInArrow(run, "doc_id long, spans array<struct<first int, words int>>, keepers array<long>")
+    each = marked.select("doc_id", "variant", "first", "words", "keeper", "whole").repartition(partitions(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id", "variant", "first")
+    return each.mapInArrow(run, f"doc_id long, variant long, spans {SPANS}, keepers array<long>")
 
 
 def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, class_id, removed_words, n_spans, spans, keepers) of every row: class_id is the smallest doc_id that shared passages connect."""
-    found = stored(repeats(docs, text, id_col, **options), "passages")
+    texts = _texts(docs, text, id_col)
+    found = stored(repeats(texts, **options), "passages")
     comp = stored(connected_components(found.select("doc_id", F.explode("keepers").alias("keeper")), "doc_id", "keeper"), "passages")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(found, "doc_id", "left").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    none = F.array().cast("array<struct<first int, words int>>")
+    rows = texts.select("doc_id", "variant").unionByName(docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("variant")))
+    rows = rows.join(found, ["doc_id", "variant"], "left").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    none = F.array().cast(SPANS)
     spans = F.coalesce("spans", none)
     text_of = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["first"], s["first"] + s["words"])), ",")
     removed = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["words"])
@@ -288,10 +335,13 @@ def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **option
 
 def removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the repeated passages; a document of which no word is left goes."""
-    key, cut = unused(docs, "_id"), unused(docs, "_spans")
-    found = stored(repeats(docs, text, id_col, **options).select(F.col("doc_id").alias(key), F.col("spans").alias(cut)), "passages")
+    key, cut, kind, own = (unused(docs, n) for n in ("_id", "_spans", "_variant", "_own"))
+    texts = _texts(docs, text, id_col)
+    found = stored(repeats(texts, **options).select(F.col("doc_id").alias(key), F.col("variant").alias(kind), F.col("spans").alias(cut)), "passages")
     # texts are dealt by id at every size; the hint keeps them unsorted
-    rows = docs.join(found.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left").select(*docs.columns, cut)
+    same = F.col(kind).isin(0) | (F.col(kind) == F.col(own))
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    rows = hashed.join(found.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(key)) & same, "left").select(*docs.columns, cut)
     names = docs.columns
     at = names.index(text)
 

@@ -148,6 +148,17 @@ def component(n, edges):
     return [find(i) for i in range(n)]
 
 
+def test_components_of_chains_stars_and_far_ids(spark):
+    chain = [(i, i + 1) for i in range(700)]
+    star = [(10_000, 10_001 + i) for i in range(2000)]
+    far = [(-(1 << 62), 1 << 62), (1 << 62, 5_000_000), (None, 3), (8, None), (77_777, 77_777)]
+    edges = chain + star + far
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    want = {i: 0 for i in range(701)} | {i: 10_000 for i in range(10_000, 12_001)} | {i: -(1 << 62) for i in (-(1 << 62), 1 << 62, 5_000_000)}
+    assert got == want
+    assert common.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
 # 2 ------------------------------------------------------------------------------
 
 
@@ -393,11 +404,12 @@ def test_passages_in_lines_go_to_their_true_ends(spark):
             texts[i] = " ".join(w[:at] + [passage] + w[at:])
             if n:
                 want[i] = f"{at}:{at + sizes[name]}"
-    got = {r["doc_id"]: r["spans"] for r in passages.report(docs_of(spark, texts)).collect() if r["removed_words"]}
+    got = {r["doc_id"]: r["spans"] for r in passages.report(docs_of(spark, texts), min_run=20).collect() if r["removed_words"]}
     assert got == want
 
 
-def test_windows_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [passages.HOT, 0])
+def test_windows_against_brute_force(spark, hot):
     r = np.random.default_rng(5)
     base = [[f"w{x}" for x in r.integers(0, 4000, 200)] for _ in range(30)]
     for k in range(40):  # runs of 10 to 39 words move from one text into a later one, at any place
@@ -413,8 +425,8 @@ def test_windows_against_brute_force(spark):
         if hit:
             want[d] = hit
     got = {}
-    for x in passages.repeated_words(docs_of(spark, [" ".join(w) for w in base]), 20).where("words = 20").collect():
-        got.setdefault(x["doc_id"], set()).update(range(x["first"], x["first"] + 20))
+    for x in passages.repeated_words(passages._texts(docs_of(spark, [" ".join(w) for w in base]), "text", "doc_id"), 20, hot).where("words >= 20").collect():
+        got.setdefault(x["doc_id"], set()).update(range(x["first"], x["first"] + x["words"]))
     assert len(want) > 8 and got == want
 
 
@@ -440,6 +452,21 @@ def test_candidate_paragraphs_have_high_recall(spark):
     assert len(near) > 100 and len(near & got) >= 0.97 * len(near) and got <= near
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    line = prose(41, 80).replace(".", "")
+    rows = [(1, "start " + line), (2, None), (2, "two " + line + " end"), (2, "a b"), (2, "two " + line + " end"), (3, prose(42, 90)), (3, prose(42, 90)), (4, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["removed_words"]) for r in passages.report(docs).collect()) == [(1, 0), (2, 0), (2, 0), (2, 82), (2, 82), (3, 0), (3, 0), (4, 80)]
+    left = sorted(((r["doc_id"], r["text"]) for r in passages.removed(docs).collect()), key=str)
+    assert left == sorted([(1, "start " + line), (2, None), (2, "a b"), (3, rows[5][1]), (3, rows[5][1])], key=str)
+
+
+def test_short_shared_ends_stay(spark):
+    end = prose(51, 26).replace(".", "")
+    texts = [prose(60 + i, 200) + " " + end for i in range(5)]
+    assert {r["removed_words"] for r in passages.report(docs_of(spark, texts)).collect()} == {0}
+
+
 # 9 ------------------------------------------------------------------------------
 
 
