@@ -1,23 +1,26 @@
-"""Katz backoff bigram model: Good-Turing discounted counts, exactly normalised backoff weights, scores of whole texts.
-
-A text's tokens are its lower-cased (A-Z) words and one end; the end also stands before the first word. For a context h
-P(w | h) is d(c) * c(h, w) / c(h) where the pair was seen in training, else alpha(h) * P(w); a context that training
-doesn't have backs off wholly. P(w) is discounted in the same way, and what it leaves belongs to the unknown word. alpha(h) is
-what the seen pairs of h leave, over what the unigrams leave that the pairs haven't used, so that P(. | h) sums to 1. Counts
-up to CUT are discounted by Good-Turing from the counts of counts; where those don't give discounts between 0 and 1 (tiny
-corpora), absolute discounts n1 / (n1 + 2 * n2) stand in. A distribution without a count to discount leaves 1 / (c + 1).
-
-1. Texts are coded in chunks; each chunk's distinct words, as 64-bit hashes with training counts, are summed by word
-   into the unigram table, which also numbers the words.
-2. Numbers and counts join the chunks' words and return to their chunk. A chunk then knows all unigram terms, and makes
-   one block for each bucket of contexts: its distinct pairs, their training counts, and the texts they occur in.
-3. A bucket's blocks meet in one task, which sums the pairs' counts into the stored table of the bucket and gives,
-   for each block and text, the sums of logarithms as far as they don't depend on discounts, the number of pairs of each
-   low count, and the contexts from which it backs off, with what their weights need.
-4. With the discounts, from all buckets' counts of counts, the parts of a text are added up at its chunk.
-
-Blocks are compressed columns, so that what is shuffled per token is a few bytes. Buckets are as many as shuffle
-partitions; a context is in one bucket, where a chunk's repeats of a pair are one entry already.
+"""Katz backoff: Good-Turing discounted n-gram counts, exactly normalised backoff weights, scores of whole texts by recursion.
+
+A text's tokens are its lower-cased (A-Z) words and one end; ends also stand before the first word. For a history h of k - 1
+tokens, P_k(w | h) is d_k(c) * c(h, w) / c(h) where training has the n-gram, else alpha(h) * P_{k-1}(w | h'), h' being h without
+its first token; a history that training doesn't have backs off wholly. P_1 is discounted in the same way, and what it leaves
+belongs to the unknown word. alpha(h) is what the seen words of h leave, over what P_{k-1} leaves that they haven't used, so
+that P_k(. | h) sums to 1. Counts up to CUT are discounted by Good-Turing from the counts of counts of their order; where those
+don't give discounts between 0 and 1 (tiny corpora), absolute discounts n1 / (n1 + 2 * n2) stand in. A history without a
+count to discount leaves 1 / (c + 1).
+
+1. Texts are coded once, in chunks, and stored: every later step reads the same coded chunks, whatever is lost or run again.
+2. Order by order, a chunk sends its distinct n-grams with their training counts, as one block for each bucket of histories. A
+   bucket's blocks meet in one task, which sums them into that bucket's part of the table of the order and answers each
+   block: the number and count of each n-gram, and what the histories' weights need. An n-gram's number names it as a
+   history of the next order. N-grams of which training has no shorter form are not sent.
+3. With the discounts, from all buckets' counts of counts, and the answers of all orders a chunk evaluates its tokens
+   recursively, from the unigram up, and adds up its texts.
+
+tables() gives the stored tables of n-grams, with counts and probabilities, and of histories, with backoff weights.
+
+Blocks are compressed columns, so that what is shuffled for a token is a few bytes. There is a bucket for about TARGET tokens of
+the corpus, so tasks stay as large as they are when the corpus grows. A history of more than a quarter of TARGET tokens is split
+over several buckets by its next word; its sums (at most four for each bucket) are added up and sent to all.
 
 Defined cases: null counts as an empty text, whose only token is the end; a null id is held out; repeated rows count and are
 scored row by row; without training texts every score is log10 of the unknown word's probability, 1; an empty table
@@ -39,12 +42,12 @@ from pyspark.sql import functions as F
 from tesserae.llm import flat
 from tesserae.llm.common import partitions, stored
 
-CUT = 5
+ORDER, CUT = 3, 5
 FOLDS, FOLD = 7, 2
 END = np.int64(0x51A7E0F1E57)  # stands for the end among word hashes
-TEXTS = 1 << 30  # the place of a chunk's texts, after its words
 CHUNK_BYTES = 12 << 20
-UNKNOWN = np.int64(-1)
+#: Tokens of a bucket; the bits of a number that count rows in a bucket, above them is the bucket.
+TARGET, ROW_BITS = 2_000_000, 40
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -84,41 +87,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, n
 
 
-CHUNK = "chunk long, at int, word long, n long, texts binary"
-
-
-def chunks(docs: DataFrame, text: str, id_col: str, only_words: bool) -> DataFrame:
-    """Rows of CHUNK: each distinct word of a chunk with its training count, and then the chunk's coded texts."""
-    names = [x.split()[0] for x in CHUNK.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = 0
-        for batch in batches:
-            data, offsets = flat.flat(batch.column(2))
-            for lo, hi in flat.slabs(np.diff(offsets), CHUNK_BYTES):
-                chunk, seq = batch.column(1)[0].as_py() * (1 << 32) + seq, seq + 1
-                ids, parts, sizes = batch.column(0).slice(lo, hi - lo).to_pylist(), [], []
-                for i, j in flat.slabs(np.diff(offsets[lo : hi + 1])):
-                    at = offsets[lo + i : lo + j + 1]
-                    h, n = tokens(data[at[0] : at[-1]], at - at[0])
-                    parts.append(h)
-                    sizes.append(n)
-                n = np.concatenate(sizes)
-                train = ~held_out(ids)
-                d = pc.dictionary_encode(pa.array(np.concatenate(parts)))
-                codes, words = d.indices.to_numpy(), d.dictionary
-                counts = np.bincount(codes[np.repeat(train, n)], minlength=len(words))
-                k = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk, np.int64)), pa.array(np.arange(k, dtype=np.int32)), words, pa.array(counts.astype(np.int64)), pa.nulls(k, pa.binary())], names)
-                if not only_words:
-                    null = np.array([x is None for x in ids], np.uint8)
-                    blob = pack(np.array([0 if x is None else x for x in ids], np.int64), null, train.astype(np.uint8), n, codes)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([TEXTS], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, CHUNK)
-
-
 def discounts(n: dict[int, int], cut: int = CUT) -> np.ndarray:
     """d[r] for r up to cut (d[0] is unused): Good-Turing as Katz has it, else absolute discounts."""
     d = np.ones(cut + 1)
@@ -151,185 +119,417 @@ class Unigrams:
         return np.where(c > 0, d * c / self.scale, self.unknown)
 
 
-BLOCK = "bucket int, chunk long, kind int, blob binary"
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences."""
+    return np.diff(x, prepend=x[:0].dtype.type(0)) if len(x) else x
+
+
+def wide(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
+
+
+CODED = "chunk long, tokens long, blob binary, hashes binary"
 
 
-def blocks(rows: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
-    """From chunks' words (with number and count) and texts: one base row per chunk (kind 0) and a block for each bucket (kind 1)."""
+def coded(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """A row for each chunk of texts: its ids, training flags, lengths and word codes, and its ascending word hashes with training counts."""
+    names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        seq = 0
         for batch in batches:
-            at, begin = batch.column(1).to_numpy(), 0
-            for i in np.flatnonzero(at == TEXTS).tolist():
-                held.append(batch.slice(begin, i - begin))
-                begin = i + 1
-                t = pa.Table.from_batches(held)
-                held = []
-                yield from out(batch.column(0)[i].as_py(), t.column("number").to_numpy(), t.column("c").to_numpy(), batch.column(4)[i].as_py())
-            if begin < batch.num_rows:
-                held.append(batch.slice(begin))
-
-    def out(chunk: int, number: np.ndarray, c: np.ndarray, blob: bytes) -> Iterator[pa.RecordBatch]:
-        ids, null, train, n, codes = unpack(blob)
-        n, codes = n.astype(np.int64), codes.astype(np.int64)
-        doc = np.repeat(np.arange(len(n)), n)
-        ends = np.cumsum(n) - 1
-        end = codes[ends[0]]
-        before = np.empty_like(codes)
-        before[1:] = codes[:-1]
-        before[np.r_[0, ends[:-1] + 1]] = end
-        add = lambda w: np.bincount(doc, w, minlength=len(n))
-        base = add(np.log10((c + 1.0) / (uni.total + uni.kinds + 1.0))[codes])
-        known = add((c > 0)[codes].astype(float)).astype(np.int64)
-        # a context that training doesn't have: the unigram term is all
-        alone = np.bincount(doc[c[before] == 0], np.log10(uni.p(c))[codes[c[before] == 0]], minlength=len(n))
-        rows = [(int(chunk % buckets), chunk, 0, pack(ids, null, train, n, known, base, alone))]
-        use = np.flatnonzero(c[before] > 0)
-        if len(use):
-            # words that training doesn't have are all alike here
-            word = np.where(c > 0, np.arange(len(c)), len(c))[codes[use]]
-            pair = before[use] * (len(c) + 1) + word
-            order = np.argsort(pair, kind="stable")
-            pair, docs_of = pair[order], doc[use][order]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            times = np.diff(np.r_[first, len(pair)])
-            trained = np.add.reduceat(train[docs_of].astype(np.int64), first)
-            ctx, word = pair[first] // (len(c) + 1), pair[first] % (len(c) + 1)
-            numbers, counts = np.r_[number, UNKNOWN], np.r_[c, 0]
-            bucket = (flat.mix(number.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[ctx]
-            by = np.argsort(bucket, kind="stable")
-            starts = np.cumsum(times) - times
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                k = by[cut[b] : cut[b + 1]]
-                new = np.flatnonzero(np.r_[True, ctx[k][1:] != ctx[k][:-1]])
-                occurrences = docs_of[np.arange(times[k].sum()) + np.repeat(starts[k] - (np.cumsum(times[k]) - times[k]), times[k])]
-                rows.append((b, chunk, 1, pack(numbers[ctx[k][new]], counts[ctx[k][new]], np.diff(np.r_[new, len(k)]), numbers[word[k]] + 1, counts[word[k]], trained[k], times[k], occurrences)))
-        for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 64]), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "chunk", "kind", "blob"])
-
-    return rows.mapInArrow(run, BLOCK)
-
-
-PART = "kind int, chunk long, blob binary"
-
-
-def parts(dealt: DataFrame, uni: Unigrams) -> DataFrame:
-    """From blocks, a bucket per partition: base rows as they are (kind 0), each block's sums (1), each bucket's counts of counts (2)."""
+            data, offsets = flat.flat(batch.column(2))
+            for lo, hi in flat.slabs(np.diff(offsets), CHUNK_BYTES):
+                chunk, seq = batch.column(1)[0].as_py() * (1 << 32) + seq, seq + 1
+                ids, parts, sizes = batch.column(0).slice(lo, hi - lo).to_pylist(), [], []
+                for i, j in flat.slabs(np.diff(offsets[lo : hi + 1])):
+                    at = offsets[lo + i : lo + j + 1]
+                    h, n = tokens(data[at[0] : at[-1]], at - at[0])
+                    parts.append(h)
+                    sizes.append(n)
+                n, train = np.concatenate(sizes), ~held_out(ids)
+                d = pc.dictionary_encode(pa.array(np.concatenate(parts).view(np.uint64)))
+                words = d.dictionary.to_numpy()
+                order = np.argsort(words)
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                codes = rank[d.indices.to_numpy()]
+                counts = np.bincount(codes[np.repeat(train, n)], minlength=len(words))
+                null = np.array([x is None for x in ids], np.uint8)
+                end = rank[np.flatnonzero(words == np.uint64(END))]
+                blob = pack(np.array([0 if x is None else x for x in ids], np.int64), null, train.astype(np.uint8), n, codes, end, np.array([len(words)]))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([blob], pa.binary()), pa.array([pack(words[order].view(np.int64), counts)], pa.binary())], names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, CODED)
+
+
+class Chunk:
+    """A chunk's n-grams of each order: for every token's place the n-gram that ends there.
+
+    Of order k: at (n-gram of each token), ctx (history, an n-gram of order k - 1), word, low (the n-gram without its first
+    token), first (the n-gram of ends alone, history of first words), and from the answers number and count of each n-gram
+    and, by history, scale, lows and used.
+    """
+
+    def __init__(self, blob: bytes) -> None:
+        self.ids, self.null, train, n, codes, end, size = unpack(blob)
+        self.n = wide(n)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.train = train.astype(bool)[self.doc]
+        starts = np.cumsum(self.n) - self.n
+        self.starts, self.size, self.end = starts, int(size[0]), int(end[0])
+        self.orders = [{"at": wide(codes), "first": self.end}]
+
+    def unigrams(self, blobs: list[bytes]) -> None:
+        found = [unpack(b) for b in blobs]
+        self.orders[0] |= {"number": np.concatenate([np.cumsum(wide(x[0])) for x in found]), "count": np.concatenate([wide(x[1]) for x in found])}
+
+    def extend(self) -> None:
+        """The n-grams of the next order."""
+        last = self.orders[-1]
+        ctx = np.empty_like(last["at"])
+        ctx[1:] = last["at"][:-1]
+        ctx[self.starts] = last["first"]
+        key = np.append(ctx * self.size + self.orders[0]["at"], last["first"] * self.size + self.end)
+        grams, at = np.unique(key, return_inverse=True)
+        low = np.empty(len(grams), np.int64)
+        low[at[:-1]], low[at[-1]] = last["at"], last["first"]
+        ctx, word = grams // self.size, grams % self.size
+        begin = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
+        self.orders.append({"at": at[:-1], "first": int(at[-1]), "ctx": ctx, "word": word, "low": low, "begin": begin, "of": np.cumsum(np.r_[0, ctx[1:] != ctx[:-1]])})
+
+    def deal(self, buckets: int, hot: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, places of n-grams, places of histories, n-grams of each) of the last order, by number of the history and word."""
+        top, last = self.orders[-1], self.orders[-2]
+        histories = top["ctx"][top["begin"]]
+        times = last["count"][histories].copy()
+        times[histories == last["first"]] = self.orders[0]["count"][self.end]
+        top["known"] = times > 0
+        number = last["number"][histories]
+        send = top["known"][top["of"]] & (last["count"][top["low"]] > 0)
+        send[top["first"]] |= bool(self.orders[0]["count"][self.end])
+        top["sent"] = send
+        top["split"] = times > hot
+        parts = np.maximum(np.ceil(times / hot), 1).astype(np.int64)
+        # a history goes to its own bucket, or some after it by the next word
+        bucket = (number >> ROW_BITS)[top["of"]]
+        some = top["split"][top["of"]]
+        spread = flat.mix(self.orders[0]["number"][top["word"][some]].view(np.uint64)).view(np.int64) & np.int64((1 << 62) - 1)
+        bucket[some] += spread % parts[top["of"]][some]
+        bucket %= buckets
+        # histories without an n-gram to send, whose weight is needed, go to their own bucket
+        bare = np.setdiff1d(np.flatnonzero(top["known"]), top["of"][send])
+        rank = np.empty(len(histories), np.int64)
+        rank[np.argsort(number)] = np.arange(len(histories))
+        grams = np.flatnonzero(send)
+        rows = np.r_[grams, np.full(len(bare), -1)]
+        own = np.r_[top["of"][grams], bare]
+        to = np.r_[bucket[grams], (number[bare] >> ROW_BITS) % buckets]
+        key = np.sort((to * len(histories) + rank[own]) * len(rows) + np.arange(len(rows)))  # words ascend as their numbers do
+        rows, own, to = (x[key % max(len(rows), 1)] for x in (rows, own, to))
+        cut = np.searchsorted(to, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            r, o = rows[cut[b] : cut[b + 1]], own[cut[b] : cut[b + 1]]
+            begin = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+            yield b, r[r >= 0], o[begin], np.add.reduceat((r >= 0).astype(np.int64), begin)
+
+    def blocks(self, buckets: int, hot: float) -> Iterator[tuple[int, bytes]]:
+        """The blocks of the last order."""
+        top, last = self.orders[-1], self.orders[-2]
+        trained = np.bincount(top["at"], self.train, minlength=len(top["low"])).astype(np.int64)
+        lower = last["count"][top["low"]]
+        wanting = np.bincount(top["of"][lower == 0], minlength=len(top["begin"])) > 0
+        histories = top["ctx"][top["begin"]]
+        number, words = last["number"][histories], self.orders[0]["number"]
+        scale = last["scale"][last["low"][histories]] if "scale" in last else np.zeros(len(histories), np.int64)
+        for b, grams, own, n in self.deal(buckets, hot):
+            yield b, pack(gaps(number[own]), n, scale[own], wanting[own].astype(np.uint8), top["split"][own].astype(np.uint8), words[top["word"][grams]], trained[grams], lower[grams])
+
+    def answered(self, blobs: list[bytes], buckets: int, hot: float, sums: dict[int, tuple]) -> None:
+        """Takes the answers to blocks(), one for each bucket that had one."""
+        top, last = self.orders[-1], self.orders[-2]
+        size = len(top["low"])
+        top |= {"number": np.full(size, -1), "count": np.zeros(size, np.int64)}
+        k = len(last["number"])
+        top |= {"scale": np.zeros(k, np.int64), "lows": np.zeros((k, CUT)), "used": np.zeros(k)}
+        histories = top["ctx"][top["begin"]]
+        for blob, (_, grams, own, _) in zip(blobs, self.deal(buckets, hot), strict=True):
+            row, count, scale, weighted, lows, used = unpack(blob)
+            top["number"][grams], top["count"][grams] = np.cumsum(wide(row)), count
+            at = histories[own]
+            top["scale"][at] = scale
+            some = at[weighted.astype(bool)]
+            top["lows"][some], top["used"][some] = lows.reshape(-1, CUT), used
+        if sums:
+            for h in np.flatnonzero(top["split"]).tolist():
+                total, lows, used = sums[int(last["number"][histories[h]])]
+                top["scale"][histories[h]], top["lows"][histories[h]], top["used"][histories[h]] = scales(total, lows.sum()), lows, used
+
+    def scores(self, uni: Unigrams, ds: list[np.ndarray]) -> np.ndarray:
+        """log10 of each text's probability, from the unigrams up."""
+        logs = np.log10(uni.p(self.orders[0]["count"]))
+        for top, d in zip(self.orders[1:], ds):
+            logs = logs[top["low"]]
+            scale, seen = top["scale"][top["ctx"]], top["count"] > 0
+            logs[seen] = np.log10(discounted(top["count"][seen], d) / scale[seen])
+            off = np.flatnonzero(~seen & (scale > 0))
+            by = top["ctx"][off]
+            logs[off] += np.log10(weights(scale[off], top["lows"][by], top["used"][by], d))
+        return np.bincount(self.doc, logs[self.orders[-1]["at"]], minlength=len(self.n))
+
+
+def scales(total, low):
+    """What counts of a history are divided by: their sum, and one more where none of them is discounted."""
+    return total + ((low == 0) & (total > 0))
+
+
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(count <= CUT, d[np.minimum(count, CUT)], 1.0) * count
+
+
+def weights(scale: np.ndarray, lows: np.ndarray, used: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Backoff weights of histories that training has."""
+    left = lows @ (np.arange(1, CUT + 1) * (1 - d[1:]))
+    return np.where(left > 0, left, 1.0) / scale / (1 - used)
+
+
+ROW = "chunk long, place long, blob binary"
+#: Chunk numbers of what isn't a chunk's: counts of counts, sums of split histories, parts of the table.
+COUNTS, SPLIT, TABLE = -1, -2, -3
+
+
+def batch_of(rows: list[tuple], names: str = ROW) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], [x.split()[0] for x in names.split(", ")])
+
+
+def unigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, blob): buckets are ranges of word hashes, so that numbers ascend with hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list] = {}
         for batch in batches:
-            for b, chunk, kind, blob in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind == 0:
-                    yield rows([(0, chunk, blob)])
-                else:
-                    groups.setdefault(b, []).append((chunk, blob))
-        for found in groups.values():
-            yield from bucket(sorted(found))
-
-    def rows(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.binary()))], ["kind", "chunk", "blob"])
-
-    def bucket(found: list) -> Iterator[pa.RecordBatch]:
-        ctx, c1, word, c2, trained, size = [], [], [], [], [], []
-        for _, blob in found:
-            x = unpack(blob)
-            ctx.append(np.repeat(x[0], x[2].astype(np.int64)).astype(np.int64))
-            c1.append(np.repeat(x[1], x[2].astype(np.int64)).astype(np.int64))
-            word.append(x[3].astype(np.int64) - 1)
-            c2.append(x[4].astype(np.int64))
-            trained.append(x[5].astype(np.int64))
-            size.append(len(x[3]))
-        ctx, c1, word, c2, trained = (np.concatenate(v) for v in (ctx, c1, word, c2, trained))
-        # the bucket's table of pairs
-        order = np.lexsort((word, ctx))
-        new = np.r_[True, (ctx[order][1:] != ctx[order][:-1]) | (word[order][1:] != word[order][:-1])]
-        pair_of = np.empty(len(order), np.int64)
-        pair_of[order] = np.cumsum(new) - 1
-        pair = order[new]
-        count = np.bincount(pair_of, trained).astype(np.int64)
-        begins = np.r_[True, ctx[pair][1:] != ctx[pair][:-1]]
-        ctx_of = np.cumsum(begins) - 1
-        total = c1[pair][begins]
-        seen = count > 0
-        low = np.stack([np.bincount(ctx_of[count == r], minlength=len(total)) for r in range(1, CUT + 1)], 1)
-        used = np.bincount(ctx_of[seen], uni.p(c2[pair][seen]), minlength=len(total))
-        whole = low.sum(1) == 0  # nothing to discount: 1 / (c + 1) is left
-        value = np.where(seen, np.log10(np.maximum(count, 1) / (total + whole)[ctx_of]), np.log10(uni.p(c2[pair])))
-        yield rows([(2, 0, pack(np.array([np.count_nonzero(count == r) for r in range(1, CUT + 2)], np.int64), np.array([np.count_nonzero(seen), count.sum()], np.int64)))])
-        at = 0
-        for (chunk, blob), n in zip(found, size):
-            x = unpack(blob)
-            own = pair_of[at : at + n]
-            at += n
-            each, doc = np.repeat(own, x[6].astype(np.int64)), x[7].astype(np.int64)
-            some, place = np.unique(doc, return_inverse=True)
-            sums = np.bincount(place, value[each], minlength=len(some))
-            r = count[each]
-            lows = np.stack([np.bincount(place[r == k], minlength=len(some)) for k in range(1, CUT + 1)], 1).ravel()
-            off = r == 0
-            back, which = np.unique(ctx_of[each[off]], return_inverse=True)
-            yield rows([(1, chunk, pack(some, sums, lows, place[off], which, low[back].ravel(), total[back], used[back]))])
-
-    return dealt.mapInArrow(run, PART)
-
-
-def summed(found: DataFrame, d: np.ndarray, total: int) -> DataFrame:
-    """The scored texts, from the parts of each chunk in one place, its base row first."""
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    lost = np.arange(1, CUT + 1) * (1 - d[1:])
-    logs = np.log10(d[1:])
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, counts = unpack(blob)
+                to = bucket_of(words.view(np.uint64), buckets)
+                cut = np.searchsorted(to, np.arange(buckets + 1))
+                rows = [(b, chunk, pack(words[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+                yield batch_of(rows, "bucket, chunk, blob")
+
+    return texts.select("chunk", "hashes").mapInArrow(run, "bucket long, chunk long, blob binary")
+
+
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def unigram_table(dealt: DataFrame) -> DataFrame:
+    """From blocks, a bucket per partition: the answers, counts of counts and the bucket's part of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, chunk_now, score = None, None, None
+        found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
+        if not found:
+            return
+        bucket, blocks = found[0][0], [unpack(x[2]) for x in found]
+        words, at = np.unique(np.concatenate([x[0].view(np.uint64) for x in blocks]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([x[1] for x in blocks])).astype(np.int64)
+        begin = 0
+        for (_, chunk, _), block in zip(found, blocks):
+            own = at[begin : begin + len(block[0])]
+            begin += len(own)
+            yield batch_of([(chunk, (1 << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + own), count[own]))])
+        yield batch_of([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(words.view(np.int64), count))])
+
+    return dealt.mapInArrow(run, ROW)
+
+
+def counts_of(count: np.ndarray) -> bytes:
+    return pack(np.array([np.count_nonzero(count == r) for r in range(1, CUT + 2)] + [np.count_nonzero(count), count.sum()], np.int64))
+
+
+def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
+    """From blocks, a bucket per partition: the answers, counts of counts, sums of split histories and the bucket's part of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
+        if not found:
+            return
+        bucket, blocks = found[0][0], [[wide(x) for x in unpack(f[2])] for f in found]
+        of = [np.cumsum(x[0]) for x in blocks]
+        numbers, history = np.unique(np.concatenate(of), return_inverse=True)
+        take = lambda i: np.concatenate([x[i] for x in blocks])
+        scale, split = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), bool)
+        scale[history], split[history] = take(2), take(4) > 0
+        words, word = np.unique(take(5), return_inverse=True)
+        grams, at = np.unique(np.repeat(history, take(1)) * len(words) + word, return_inverse=True)
+        count = np.bincount(at, take(6), minlength=len(grams)).astype(np.int64)
+        short = np.zeros(len(grams), np.int64)
+        short[at] = take(7)
+        own = grams // max(len(words), 1)
+        seen, n = count > 0, len(numbers)
+        total = np.bincount(own, count, minlength=n).astype(np.int64)
+        lows = np.stack([np.bincount(own[count == r], minlength=n) for r in range(1, CUT + 1)], 1)
+        used = np.bincount(own[seen], lower(short[seen], scale[own[seen]]), minlength=n)
+        divide = scales(total, lows.sum(1))
+        yield batch_of([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(gaps(numbers), divide, lows.ravel(), used, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count))])
+        if split.any():
+            yield batch_of([(SPLIT, bucket, pack(numbers[split], total[split], lows[split].ravel(), used[split]))])
+        begin = first = 0
+        for (_, chunk, _), block in zip(found, blocks):
+            mine, rows = history[first : first + len(block[0])], at[begin : begin + len(block[5])]
+            first, begin = first + len(mine), begin + len(rows)
+            off = block[3] > 0
+            off |= np.bincount(np.repeat(np.arange(len(mine)), block[1])[count[rows] == 0], minlength=len(mine)) > 0
+            back = mine[off]
+            yield batch_of([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows), count[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
+
+    return dealt.mapInArrow(run, ROW)
+
+
+class Model:
+    """What the orders so far have given: discounts, sums of split histories, and stored answers and tables."""
+
+    def __init__(self, texts: DataFrame, n_chunks: int, buckets: int, hot: float) -> None:
+        self.texts, self.n_chunks, self.buckets, self.hot = texts, n_chunks, buckets, hot
+        self.uni, self.ds, self.sums, self.found = None, [], [], []
+
+    def take(self, found: DataFrame) -> dict[int, int]:
+        """Counts of counts (and, at 0, the n-grams and their tokens) of an order's stored rows."""
+        self.found.append(found)
+        counts = np.zeros(CUT + 3, np.int64)
+        for r in found.where(F.col("chunk") == COUNTS).select("blob").toLocalIterator():  # eight numbers for each bucket
+            counts += wide(unpack(r["blob"])[0])
+        sums: dict[int, tuple] = {}
+        for r in found.where(F.col("chunk") == SPLIT).select("blob").toLocalIterator():  # four histories for each bucket at most
+            number, total, lows, used = unpack(r["blob"])
+            for i, t, l, u in zip(number.tolist(), total.tolist(), wide(lows).reshape(-1, CUT), used.tolist()):
+                was = sums.get(i, (0, np.zeros(CUT, np.int64), 0.0))
+                sums[i] = (was[0] + t, was[1] + l, was[2] + u)
+        self.sums.append(sums)
+        return {r + 1: int(x) for r, x in enumerate(counts[: CUT + 1])} | {0: (int(counts[-2]), int(counts[-1]))}
+
+    def chunks(self, run, schema: str) -> DataFrame:
+        """run(chunk, Chunk with all answers so far) in a task for each chunk."""
+        buckets, hot, sums = self.buckets, self.hot, self.sums
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, blob, answers = None, b"", {}
+            for batch in batches:
+                for chunk, place, b in zip(*(c.to_pylist() for c in batch.columns)):
+                    if chunk != now:
+                        if now is not None:
+                            yield from whole(now, blob, answers)
+                        now, blob, answers = chunk, b, {}
+                    else:
+                        answers.setdefault(place >> ROW_BITS, []).append(b)
+            if now is not None:
+                yield from whole(now, blob, answers)
+
+        def whole(chunk: int, blob: bytes, answers: dict[int, list]) -> Iterator[pa.RecordBatch]:
+            c = Chunk(blob)
+            c.unigrams(answers[1])
+            for order in range(2, len(sums) + 1):
+                c.extend()
+                c.answered(answers.get(order, []), buckets, hot, sums[order - 1])
+            yield from run(chunk, c)
+
+        rows = self.texts.select("chunk", F.lit(0).cast("long").alias("place"), "blob")
+        for found in self.found:
+            rows = rows.unionByName(found.where("chunk >= 0"))
+        n = max(partitions(rows.sparkSession), self.n_chunks)
+        return rows.repartition(n, "chunk").sortWithinPartitions("chunk", "place").mapInArrow(each, schema)
+
+    def grow(self) -> None:
+        """The next order."""
+        buckets, hot = self.buckets, self.hot
+
+        def blocks(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+            c.extend()
+            rows = [(b, chunk, blob) for b, blob in c.blocks(buckets, hot)]
+            for lo in range(0, len(rows), 64):
+                yield batch_of(rows[lo : lo + 64], "bucket, chunk, blob")
+
+        uni, d, order = self.uni, self.ds[-1] if self.ds else None, len(self.sums) + 1
+        lower = (lambda count, scale: uni.p(count)) if d is None else (lambda count, scale: discounted(count, d) / scale)
+        dealt = self.chunks(blocks, "bucket long, chunk long, blob binary").repartitionById(buckets, F.col("bucket").cast("int"))
+        self.ds.append(discounts(self.take(stored(gram_table(dealt, order, lower), "grams"))))
+
+
+def trained(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET) -> Model:
+    """The model of the training texts among docs, with what their chunks need to be scored."""
+    spark = docs.sparkSession
+    texts = stored(coded(docs, text, id_col), "texts")
+    size = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("chunks")).first()
+    buckets = max(partitions(spark), -(-size["tokens"] // target))
+    model = Model(texts, size["chunks"], buckets, target / 4)
+    dealt = unigram_blocks(texts, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
+    low = model.take(stored(unigram_table(dealt), "grams"))
+    kinds, total = low.pop(0)
+    model.uni = Unigrams(total, kinds, low)
+    for _ in range(1, order):
+        model.grow()
+    return model
+
+
+def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    model = trained(docs, text, id_col, order, target)
+    uni, ds = model.uni, model.ds
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def out(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+        count, word, n = c.orders[0]["count"], c.orders[0]["at"], len(c.n)
+        base = np.bincount(c.doc, np.log10((count + 1.0) / (uni.total + uni.kinds + 1.0))[word], minlength=n)
+        known = np.bincount(c.doc, (count > 0)[word], minlength=n).astype(np.int64)
+        held = ~c.train[c.starts]
+        arrays = [pa.array(wide(c.ids), pa.int64(), mask=c.null.astype(bool)), pa.array(held), pa.array(c.n), pa.array(known), pa.array(np.full(n, uni.total, np.int64)), pa.array(base), pa.array(c.scores(uni, ds))]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return model.chunks(out, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+GRAMS = "history long, word long, count long, probability double"
+WEIGHTS = "history long, backoff double"
+
+
+def tables(model: Model, order: int) -> tuple[DataFrame, DataFrame]:
+    """The stored n-grams of an order, as (history, word, count, probability), and (history, backoff) of its histories.
+
+    An n-gram's number is its bucket (the place) in the upper bits and its row in order of history and word below; it names
+    it as a history of the next order. Of order 1 the words are their hashes and there is no history. Split histories'
+    weights are those of their whole sums.
+    """
+    uni, sums, ds = model.uni, model.sums, model.ds
+    split = np.array(sorted(sums[order - 1]), np.int64)
+
+    def parts(blob: bytes) -> tuple:
+        numbers, scale, lows, used, n, words, count = unpack(blob)
+        numbers, scale, lows, used = np.cumsum(wide(numbers)), wide(scale), lows.reshape(-1, CUT).astype(float), used.copy()
+        for i in np.flatnonzero(np.isin(numbers, split)).tolist():
+            total, low, u = sums[order - 1][int(numbers[i])]
+            scale[i], lows[i], used[i] = scales(total, low.sum()), low, u
+        return numbers, scale, lows, used, wide(n), wide(words), wide(count)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, chunk, blob in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind == 0:
-                    if base is not None:
-                        yield out(base, score)
-                    base, chunk_now = unpack(blob), chunk
-                    score = base[6].astype(float).copy()
+            for blob in batch.column(0).to_pylist():
+                if order == 1:
+                    word, count = unpack(blob)
+                    arrays = [pa.nulls(len(word), pa.int64()), pa.array(wide(word)), pa.array(wide(count)), pa.array(uni.p(wide(count)))]
                 else:
-                    if chunk != chunk_now:
-                        raise ValueError("parts of a chunk without its base row")
-                    some, sums, lows, place, which, low, totals, used = unpack(blob)
-                    sums = sums + lows.reshape(-1, CUT).astype(float) @ logs
-                    if len(place):
-                        left = low.reshape(-1, CUT).astype(float) @ lost
-                        left = np.where(left > 0, left / totals, 1 / (totals + 1.0))
-                        sums += np.bincount(place.astype(np.int64), np.log10(left / (1 - used))[which.astype(np.int64)], minlength=len(some))
-                    score[some.astype(np.int64)] += sums
-        if base is not None:
-            yield out(base, score)
-
-    def out(base: list, score: np.ndarray) -> pa.RecordBatch:
-        ids, null, train, n, known, first, _ = base
-        arrays = [pa.array(ids.astype(np.int64), pa.int64(), mask=null.astype(bool)), pa.array(train == 0), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(first.astype(float)), pa.array(score)]
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    return found.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    n = partitions(docs.sparkSession)
-    counted = chunks(docs, text, id_col, only_words=True).where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    table = stored(counted.withColumn("number", F.monotonically_increasing_id()), "unigrams")
-    low = [F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, CUT + 2)]
-    s = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("kinds"), *low).first()
-    uni = Unigrams(s["total"], s["kinds"], {r: s[f"n{r}"] for r in range(1, CUT + 2)})
-    coded = chunks(docs, text, id_col, only_words=False)
-    words = coded.where("word is not null").select("chunk", "at", "word").join(table, "word", "left")
-    words = words.select("chunk", "at", F.coalesce("number", F.lit(-1)).alias("number"), F.coalesce("c", F.lit(0)).alias("c"), F.lit(None).cast("binary").alias("texts"))
-    texts = coded.where("word is null").select("chunk", "at", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("c"), "texts")
-    rows = words.unionByName(texts).repartition(n, "chunk").sortWithinPartitions("chunk", "at")
-    dealt = blocks(rows, uni, n).repartitionById(n, F.col("bucket"))
-    found = stored(parts(dealt, uni), "bigrams")
-    counts = np.zeros(CUT + 1, np.int64)
-    for r in found.where("kind = 2").select("blob").toLocalIterator():  # eight numbers per bucket
-        counts += unpack(r["blob"])[0].astype(np.int64)
-    d = discounts({r + 1: int(x) for r, x in enumerate(counts)})
-    at_chunk = found.where("kind < 2").repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
-    return summed(at_chunk.select("kind", "chunk", "blob"), d, s["total"])
+                    numbers, scale, _, _, n, words, count = parts(blob)
+                    arrays = [pa.array(np.repeat(numbers, n)), pa.array(words), pa.array(count), pa.array(discounted(count, ds[order - 2]) / np.maximum(np.repeat(scale, n), 1))]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in GRAMS.split(", ")])
+
+    def backoffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                numbers, scale, lows, used, *_ = parts(blob)
+                have = scale > 0
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[have]), pa.array(weights(scale[have], lows[have], used[have], ds[order - 2]))], ["history", "backoff"])
+
+    stored_parts = model.found[order - 1].where(F.col("chunk") == TABLE).select("blob")
+    if order == 1:
+        return stored_parts.mapInArrow(grams, GRAMS).where("count > 0"), None
+    return stored_parts.mapInArrow(grams, GRAMS).where("count > 0"), stored_parts.mapInArrow(backoffs, WEIGHTS).dropDuplicates(["history"])

@@ -484,35 +484,63 @@ def test_classifier_separates_held_out_rows(spark):
 # 10 -----------------------------------------------------------------------------
 
 
-def test_katz_against_brute_force(spark):
+@pytest.mark.parametrize("order, target", [(1, katz.TARGET), (2, katz.TARGET), (3, katz.TARGET), (3, 150), (4, 400)])
+def test_katz_against_brute_force(spark, order, target):
     import math
 
-    rows = [(i, prose(i % 25, 40 + i) + (" New%d words" % i if i % 3 else "")) for i in range(60)] + [(60, None), (61, "ONE one")]
-    got = {r["doc_id"]: r for r in katz.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows = [(i, prose(i % 25, 40 + i) + (" New%d words" % i if i % 3 else "")) for i in range(60)] + [(60, None), (61, "ONE one"), (62, prose(3, 43))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in katz.scored(docs, order=order, target=target).collect()}
     tok = {i: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in rows}
     train = [i for i in tok if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, pairs = Counter(w for i in train for w in tok[i]), Counter(p for i in train for p in zip([None] + tok[i][:-1], tok[i]))
-    n, du, db = sum(uni.values()), katz.discounts(Counter(uni.values())), katz.discounts(Counter(pairs.values()))
-    left = sum(c * (1 - du[c]) for c in uni.values() if c <= 5) / n
-    pu = lambda w: (du[min(uni[w], 5)] if uni[w] <= 5 else 1) * uni[w] / n if w in uni else left
+    grams = [Counter() for _ in range(order)]  # by order: (history, word)
+    for i in train:
+        padded = [None] * (order - 1) + tok[i]
+        for j, w in enumerate(tok[i]):
+            for k in range(order):
+                grams[k][tuple(padded[j + order - 1 - k : j + order - 1]), w] += 1
+    uni, n = {w: c for (_, w), c in grams[0].items()}, sum(grams[0].values())
+    ds = [katz.discounts(Counter(g.values())) for g in grams]
+    successors = [{} for _ in grams]
+    for s, g in zip(successors, grams):
+        for (h, w), c in g.items():
+            s.setdefault(h, {})[w] = c
+    left = sum(c * (1 - ds[0][c]) for c in uni.values() if c <= 5) / n
 
     def p(h, w):
-        if h not in uni:
-            return pu(w)
-        seen = {b: c for (a, b), c in pairs.items() if a == h}
+        if not h:
+            return (ds[0][min(uni[w], 5)] if uni[w] <= 5 else 1) * uni[w] / n if w in uni else left
+        seen, d = successors[len(h)].get(h), ds[len(h)]
+        if seen is None:
+            return p(h[1:], w)
         low = [c for c in seen.values() if c <= 5]
-        scale = uni[h] if low else uni[h] + 1
+        scale = sum(seen.values()) + (not low)
         if w in seen:
-            return (db[seen[w]] if seen[w] <= 5 else 1) * seen[w] / scale
-        return (sum(c * (1 - db[c]) for c in low) / uni[h] if low else 1 / scale) / (1 - sum(map(pu, seen))) * pu(w)
+            return (d[seen[w]] if seen[w] <= 5 else 1) * seen[w] / scale
+        return weight(h, seen, low, scale, d) * p(h[1:], w)
+
+    def weight(h, seen, low, scale, d):
+        return (sum(c * (1 - d[c]) for c in low) if low else 1) / scale / (1 - sum(p(h[1:], x) for x in seen))
 
-    for h in [None, *list(uni)[1:4]]:
+    for h in list(successors[-1])[:4]:
         assert sum(p(h, w) for w in uni) + p(h, "unseen word") == pytest.approx(1)
     for i, ws in tok.items():
-        r = got[i]
+        r, padded = got[i], [None] * (order - 1) + ws
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in train, len(ws), sum(w in uni for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((uni.get(w, 0) + 1) / (n + len(uni) + 1)) for w in ws), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None] + ws[:-1], ws)), rel=1e-9)
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(padded[j : j + order - 1]), w)) for j, w in enumerate(ws)), rel=1e-9)
+    # the stored tables have every n-gram and history
+    model = katz.trained(docs, order=order, target=target)
+    for k in range(1, order + 1):
+        table, backoff = katz.tables(model, k)
+        rows_of = table.collect()
+        assert sorted(r["count"] for r in rows_of) == sorted(grams[k - 1].values())
+        want = sorted(p(h, w) for h, w in grams[k - 1])
+        assert sorted(r["probability"] for r in rows_of) == pytest.approx(want, rel=1e-9)
+        if k > 1:
+            of = sorted(r["backoff"] for r in backoff.collect())
+            low = {h: [c for c in s.values() if c <= 5] for h, s in successors[k - 1].items()}
+            assert of == pytest.approx(sorted(weight(h, s, low[h], sum(s.values()) + (not low[h]), ds[k - 1]) for h, s in successors[k - 1].items()), rel=1e-9)
 
 
 def test_discounts_fall_back():
