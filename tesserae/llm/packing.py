@@ -1,16 +1,20 @@
 """Best-fit packing by the sum-of-squares rule: documents, cut at the sequence length, into few sequences.
 
 Each piece goes into the open bin where the sum over gaps of (number of open bins with that gap) squared
-becomes smallest; ties go to the fuller bin, and a bin is opened only where no open one has room. Pieces are dealt to groups by a hash of their
-document, of about group_size pieces each, and every group is packed longest first on its own: the state is one
-count for each gap, so memory and the result's quality don't depend on the corpus.
+becomes smallest; ties go to the fuller bin, and a bin is opened only where no open one has room. Pieces are dealt to groups of
+about group_size, row by row, and every group is packed longest first on its own: the state is one count for each gap, so
+memory and the result's quality don't depend on the corpus, nor on how often an id repeats.
 
-Defined cases: null counts as an empty text, which is one piece with the end token alone; repeated rows are
-packed as often as they occur; an empty table gives an empty result; extra columns are ignored.
+Texts are encoded word by word, each distinct word once for a worker; a text that has a string of the tokenizer's added tokens is
+encoded whole by the library, which takes that string for the token (with special=False it is ordinary text).
+
+Defined cases: null counts as an empty text, which is one piece with the end token alone; repeated rows, and rows without an
+id, are packed as often as they occur; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -52,15 +56,35 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
-def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
+def added_tokens(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or []]
+
+
+def encode_whole(text: str, path: str) -> np.ndarray:
+    """The ids of a text by the library alone, added tokens included."""
+    t, _ = _encoder(path)
+    t.encode_special_tokens = False
+    try:
+        return np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
+    finally:
+        t.encode_special_tokens = True
+
+
+def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end: int = END, special: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): only the first piece of a document may be shorter than the others."""
+    added = added_tokens(path) if special else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
-            codes, offsets, words = pretokens.coded(batch.column(1), batch.column(2))
+            odd = batch.column(2)
+            whole = {k: x for k, x in enumerate(odd.to_pylist()) if x is not None and any(a in x for a in added)} if added and odd.null_count < len(odd) else {}
+            if whole:
+                odd = pa.array([None if k in whole else x for k, x in enumerate(odd.to_pylist())], pa.string())
+            codes, offsets, words = pretokens.coded(batch.column(1), odd)
             ids, counts = encode_words(words.to_pylist(), path)
             starts, rows = np.cumsum(counts) - counts, []
             doc = batch.column(0).to_pylist()
@@ -69,15 +93,16 @@ def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
                 part = codes[offsets[lo] : offsets[hi]]
                 flat = pretokens.gather(ids, starts[part], counts[part]).astype("<u4")
                 cut = np.r_[0, np.cumsum(counts[part])][offsets[lo : hi + 1] - offsets[lo]]
-                for i, a, b in zip(doc[lo:hi], cut[:-1].tolist(), cut[1:].tolist()):
-                    whole, at, p = np.append(flat[a:b], np.uint32(end)).astype("<u4"), 0, 0
-                    n = (len(whole) - 1) % length + 1
-                    while at < len(whole):
-                        rows.append((i, p, at, n, zlib.crc32(whole[at : at + n].tobytes())))
+                for k, i, a, b in zip(range(lo, hi), doc[lo:hi], cut[:-1].tolist(), cut[1:].tolist()):
+                    own = encode_whole(whole[k], path) if k in whole else flat[a:b]
+                    own, at, p = np.append(own, np.uint32(end)).astype("<u4"), 0, 0
+                    n = (len(own) - 1) % length + 1
+                    while at < len(own):
+                        rows.append((i, p, at, n, zlib.crc32(own[at : at + n].tobytes())))
                         at, p, n = at + n, p + 1, length
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    split = pretokens.split(docs, F.col(text), F.col(id_col).cast("long").alias("doc_id"))
+    split = pretokens.split(docs, F.col(text), F.col(id_col).cast("long").alias("doc_id"), apart=added)
     return split.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -110,7 +135,7 @@ def pack(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 
 def packed(cut: DataFrame, capacity: int = LENGTH, group_size: int = GROUP) -> DataFrame:
-    """cut with sequence_id and offset; cut has doc_id, piece and length."""
+    """cut with sequence_id and offset; cut is a stored table with doc_id, piece and length."""
     groups = max(1, round(cut.count() / group_size))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -118,11 +143,11 @@ def packed(cut: DataFrame, capacity: int = LENGTH, group_size: int = GROUP) -> D
         bins, offsets, _ = pack(group["length"].to_numpy(), capacity)
         return group.assign(sequence_id=group.pop("grp").astype("int64") * (1 << 40) + bins, offset=offsets)
 
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     fields = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes)
     return dealt.groupBy("grp").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end: int = END, group_size: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end: int = END, group_size: int = GROUP, special: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    return packed(stored(pieces(docs, path, text, id_col, length, end), "pieces"), length, group_size)
+    return packed(stored(pieces(docs, path, text, id_col, length, end, special), "pieces"), length, group_size)

@@ -6,6 +6,7 @@ Java's Unicode tables don't know is split by the regex module instead, whose tab
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +20,13 @@ SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 JAVA = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def split(docs: DataFrame, text: Column, *keep: Column) -> DataFrame:
-    """keep, pieces, odd: odd is the text where Java's tables don't do, and pieces is empty then."""
+def split(docs: DataFrame, text: Column, *keep: Column, apart: Iterable[str] = ()) -> DataFrame:
+    """keep, pieces, odd: odd is the text where Java's tables don't do, or that has a string of apart, and pieces is empty then."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     rows = docs.select(*keep, text.alias("_text"))
     odd = F.col("_text").rlike(r"\p{Cn}")
+    for word in apart:
+        odd = odd | F.contains("_text", F.lit(word))
     pieces = F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("_text", F.lit(JAVA), F.lit(0)))
     return rows.select(*[c for c in rows.columns if c != "_text"], pieces.alias("pieces"), F.when(odd, F.col("_text")).alias("odd"))
 

@@ -255,13 +255,14 @@ def test_pack_is_valid_and_tight():
         packing.pack(np.array([1025]))
 
 
-def test_pieces_are_the_tokenizers_ids(spark):
+@pytest.mark.parametrize("special", [True, False])
+def test_pieces_are_the_tokenizers_ids(spark, special):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path(JSON))
-    t.encode_special_tokens = True
-    texts = [prose(i, n) for i, n in enumerate((5, 700, 3000))] + ["", " x  日本 \n"]
-    got = packing.pack_documents(docs_of(spark, texts), P.path(JSON)).collect()
+    t.encode_special_tokens = not special
+    texts = [prose(i, n) for i, n in enumerate((5, 700, 3000))] + ["", " x  日本 \n", "a <|endoftext|> b", "<|endoftext|>" * 3, "\U00031350 <|endoftext|>x", "<|endoftext| >"]
+    got = packing.pack_documents(docs_of(spark, texts), P.path(JSON), special=special).collect()
     for i, x in enumerate(texts):
         ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4")
         rows = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i)
@@ -269,6 +270,29 @@ def test_pieces_are_the_tokenizers_ids(spark):
         assert all(n == 1024 for _, _, n, _ in rows[1:]) and all(c == zlib.crc32(ids[s : s + n].tobytes()) for _, s, n, c in rows)
 
 
+def test_packed_groups_have_no_gaps_and_rows_of_one_id_are_dealt(spark, odd):
+    from tokenizers import Tokenizer
+
+    rows = [(None if i % 3 else 7, "same text") for i in range(400)] + [(1000 + i, prose(i, 30 + 13 * i)) for i in range(120)] + [(5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack_documents(docs, P.path(JSON), group_size=100).collect()
+    assert len({r["sequence_id"] >> 40 for r in got}) > 4 and len({r["sequence_id"] >> 40 for r in got if r["doc_id"] == 7}) > 2
+    by: dict[int, list] = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    t = Tokenizer.from_file(P.path(JSON))
+    size = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
+    assert sum(r["length"] for r in got) == size and len(by) <= 1.15 * -(-size // 1024) + 10
+    back = packing.pack_documents(odd, P.path(JSON)).collect()
+    assert sorted(str(r["doc_id"]) for r in back if r["piece"] == 0) == sorted(str(i) for i, _ in ODD)
+
+
 # 6 ------------------------------------------------------------------------------
 
 
