@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,15 +79,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return _kept(df, fresh_path(df.sparkSession, name))
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    spark = df.sparkSession
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries run within leave no shuffle files; for writes, whose results are read from what they wrote."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:

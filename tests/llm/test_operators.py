@@ -218,8 +218,47 @@ def test_arc_versions_and_lengths():
     assert [c for _, c in rows[1:]] == [b"ab\nc\n", b"zz"]
     assert [warc.converted(f, c, "x", i)[1] for i, (f, c) in enumerate(rows)] == ["warcinfo", "response", "metadata"]
     assert warc.timestamp("19990102") == "1999-01-02T00:00:00Z"
-    with pytest.raises(ValueError):
-        list(warc.arc_records(io.BytesIO(v1[:-2])))
+    *whole, cut = warc.arc_records(io.BytesIO(v1[:-2]))
+    assert len(whole) == 2 and isinstance(cut, warc.Rejected)
+
+
+def test_malformed_archives_give_rejects(spark, tmp_path):
+    import io
+
+    about = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n"
+    arc = b"filedesc://x 0.0.0.0 20260101000000 text/plain %d\n%s\n" % (len(about), about)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: x\r\n\r\n"  # without a length
+    same = http + b"z" * 150
+    arc += b"http://a/with a blank 1.2.3.4 19990102030405 text/html %d\n%s\n" % (len(same), same)
+    arc += b"http://b/\xff\xfe 1.2.3.4 19990102030405 text/html %d\n%s\n" % (len(same), same)
+    arc += b"junk that is no header\nmore junk\n"
+    arc += b"http://c/ 1.2.3.4 19990102030405 text/html xyz\nbody\n"
+    arc += b"http://d/ 1.2.3.4 19990102030405 text/html 4\nabcd\n"
+    arc += b"http://e/ 1.2.3.4 19990102030405 text/html 400\nshort"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc").write_bytes(arc)
+    gone = warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc")).collect()
+    assert sorted(r["reason"][:12] for r in gone) == ["400 bytes we", "no header li"]
+    rows = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted((r["type"], r["payload_bytes"]) for r in rows if r["type"] != "warcinfo") == [("response", 4), ("response", 150), ("revisit", 150)]
+    assert all(r["reason"] is None for r in rows)
+    record = lambda head, block: head + b"Content-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    bad = record(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Block-Digest: sha256:00\r\n", b"x") + b"noise\r\n" + b"WARC/1.1\r\nWARC-Type: resource\r\n\r\n"
+    bad += record(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <b>\r\nX: \xff\r\n", b"payload") + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort"
+    assert sum(isinstance(x, warc.Rejected) for x in warc.warc_records(io.BytesIO(bad))) == 3
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.warc").write_bytes(bad)
+    rows = warc.read_warc(spark, str(tmp_path / "bad")).collect()
+    assert sorted(r["type"] for r in rows) == ["rejected"] * 4 + ["resource"] and all(r["reason"] for r in rows if r["type"] == "rejected")
+
+
+def test_warc_of_long_pages_and_clashing_names(spark):
+    long = "<p>" + "x" * 3_000_000
+    pages = [(1, "u", long), (2, "u", long), (2, "u", long), (3, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df = df.withColumns({c: F.lit("x") for c in ("record_id", "type", "head", "payload", "block", "reason", "refers_to", "value", "target", "date")})
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect())
+    assert got == [(1, 3_000_003, "response", None), (2, 3_000_003, "revisit", 1), (2, 3_000_003, "revisit", 1), (3, 0, "response", None)]
 
 
 # 4 ------------------------------------------------------------------------------
