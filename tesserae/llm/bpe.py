@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
-1. Each text is split into pre-tokens, and each Arrow batch of texts (a chunk) is coded: its distinct words, and
-   for every text the sequence of their places, which keeps the pre-tokens' positions.
-2. The chunks' words are shuffled by word: all chunks' copies of a word meet in one place, which encodes it once, by its
-   bytes' ranks, and sends the ids back to each chunk that has it.
-3. There each text's ids are put together by position; decoding looks each id up in the token-byte table. decode()
-   does so for any ids, as a join.
+1. Each text is split into pre-tokens once, and chunks of texts are coded and stored: a chunk's distinct words, and for every text
+   the sequence of their places, which keeps the pre-tokens' positions.
+2. The chunks' distinct words are shuffled by word, as one block for each bucket of words: all chunks' copies of a word meet in
+   one task, which encodes it once, by its bytes' ranks, and answers every chunk that has it with the ids.
+3. Codes and answers meet at the chunk, where each text's ids are put together by position. Decoding joins the ids with the
+   token-byte table, which has as many rows as the vocabulary and is sent to every task; decode() joins any ids with it.
 
-A word that is in many chunks is one row in each, so no key holds more rows than there are chunks.
+A word is one entry in each chunk, so no word's entries are more than there are chunks. There is a bucket for about WORDS entries, and a
+task for each chunk, so tasks stay as large as they are when the corpus grows.
 
 Defined cases: null counts as an empty text, which has no ids; repeated rows are encoded row by row; special tokens'
 strings are ordinary text; an empty table gives an empty result. Extra columns are ignored.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import flat, pretokens
-from tesserae.llm.common import partitions
+from tesserae.llm.blobs import blob_rows, bucket_of, pack, unpack
+from tesserae.llm.common import partitions, stored
 
-#: Texts in one coded group; places from here on are groups, not words.
-TEXTS, GROUPS = 256, 1 << 30
+#: Pre-tokens of a chunk, and distinct words of chunks in a bucket.
+PIECES, WORDS = 2_000_000, 250_000
 
 
 @lru_cache(2)
@@ -53,25 +54,22 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(ranks(path).values()), pa.int32()), "bytes": pa.array(list(ranks(path)), pa.binary())}))
 
 
-def packed_codes(codes: np.ndarray) -> bytes:
-    """Codes as byte planes, compressed: the commonest words have the smallest codes, so the upper planes are nearly empty."""
-    return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-
+def id_type(path: str) -> np.dtype:
+    return np.dtype("<u2" if max(ranks(path).values()) < 1 << 16 else "<u4")
 
-def unpacked_codes(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
+CODED = "chunk long, words long, blob binary, bytes binary"
 
-CHUNK = "chunk long, at int, word string, blob binary"
 
+def strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The strings of these lengths, one after the other in data."""
+    offsets = np.r_[0, np.cumsum(lengths.astype(np.int64))].astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
-def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Coded texts, in CHUNK rows: a chunk's distinct words by place, then (after GROUPS) groups of its texts as blobs.
 
-    A chunk is an Arrow batch of a scan's partition, so its number and words are the same in every pass.
-    """
-    names = [x.split()[0] for x in CHUNK.split(", ")]
+def coded(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row for each chunk of texts: ids, lengths and word codes; and its distinct words, by ascending hash."""
+    names = [x.split()[0] for x in CODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
@@ -79,40 +77,65 @@ def chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
             if not batch.num_rows:
                 continue
             codes, offsets, words = pretokens.coded(batch.column(2), batch.column(3))
-            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable") if len(words) else np.zeros(0, np.int64)
-            chunk, n = batch.column(1)[0].as_py() * (1 << 32) + seq, len(words)
-            seq += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), pa.array(np.arange(n, dtype=np.int32)), words.take(pa.array(order)), pa.nulls(n, pa.binary())], names)
-            rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n)
+            data, at = flat.flat(words)
+            hashes = flat.span_hashes(data, at[:-1], at[1:]) if len(words) else np.zeros(0, np.uint64)
             ids = batch.column(0).to_pylist()
-            for g, lo in enumerate(range(0, len(ids), TEXTS)):
-                hi = min(lo + TEXTS, len(ids))
-                blob = pickle.dumps((ids[lo:hi], np.diff(offsets[lo : hi + 1]), packed_codes(rank[codes[offsets[lo] : offsets[hi]]])))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([GROUPS + g], pa.int32()), pa.nulls(1, pa.string()), pa.array([blob], pa.binary())], names)
+            for lo, hi in flat.slabs(np.diff(offsets), PIECES):
+                own, place = np.unique(codes[offsets[lo] : offsets[hi]], return_inverse=True)
+                order = np.argsort(hashes[own], kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                own = own[order]
+                chunk, seq = batch.column(1)[0].as_py() * (1 << 32) + seq, seq + 1
+                null = np.array([x is None for x in ids[lo:hi]], np.uint8)
+                blob = pack(np.array([0 if x is None else x for x in ids[lo:hi]], np.int64), null, np.diff(offsets[lo : hi + 1]), rank[place])
+                sizes = (at[1:] - at[:-1])[own]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([blob], pa.binary()), pa.array([pack(sizes, pretokens.gather(data, at[:-1][own], sizes))], pa.binary())], names)
 
     split = pretokens.split(docs, F.col(text), F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"))
-    return split.mapInArrow(run, CHUNK)
+    return split.mapInArrow(run, CODED)
 
 
-def id_type(path: str) -> np.dtype:
-    return np.dtype("<u2" if max(ranks(path).values()) < 1 << 16 else "<u4")
+def blocks(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, blob): each chunk's words by ranges of their hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sizes, data = unpack(blob)
+                ends = np.cumsum(sizes.astype(np.int64))
+                starts = ends - sizes
+                to = bucket_of(flat.span_hashes(data, starts, ends), buckets) if len(sizes) else ends
+                cut = np.searchsorted(to, np.arange(buckets + 1))
+                rows = []
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    i, j = cut[b], cut[b + 1]
+                    rows.append((b, chunk, pack(sizes[i:j], data[starts[i] : ends[j - 1]])))
+                yield blob_rows(rows, "bucket, chunk, blob")
+
+    return texts.select("chunk", "bytes").mapInArrow(run, "bucket long, chunk long, blob binary")
 
-def encoded(words: DataFrame, path: str) -> DataFrame:
-    """(chunk, at, blob) from (word, chunk, at): one shuffle by word, which meets each distinct word in one place and encodes it once."""
+
+def answers(dealt: DataFrame, path: str) -> DataFrame:
+    """(chunk, place, blob) from blocks, a bucket per partition: each distinct word of the bucket is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
+        if not found:
+            return
         encode, kind = _encoding(path).encode_ordinary, id_type(path)
-        last: tuple[str | None, bytes] = (None, b"")
-        for batch in batches:
-            d = pc.dictionary_encode(batch.column(0))
-            found = [last[1] if w == last[0] else np.array(encode(w), kind).tobytes() for w in d.dictionary.to_pylist()]
-            last = (d.dictionary[-1].as_py(), found[-1]) if found else last
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary()).take(d.indices)], ["chunk", "at", "blob"])
+        parts = [strings(*unpack(blob)) for _, _, blob in found]
+        d = pc.dictionary_encode(pa.concat_arrays(parts))
+        lists = [encode(w) for w in d.dictionary.to_pylist()]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter((i for x in lists for i in x), kind, int(counts.sum()))
+        starts, at, begin = np.cumsum(counts) - counts, d.indices.to_numpy(), 0
+        for (bucket, chunk, _), words in zip(found, parts):
+            own = at[begin : begin + len(words)]
+            begin += len(words)
+            yield blob_rows([(chunk, bucket + 1, pack(counts[own], pretokens.gather(ids, starts[own], counts[own])))], "chunk, place, blob")
 
-    dealt = words.select("word", "chunk", "at").repartition(partitions(words.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "chunk long, at int, blob binary")
+    return dealt.mapInArrow(run, "chunk long, place long, blob binary")
 
 
 def decoded_words(sequences: DataFrame, path: str) -> DataFrame:
@@ -125,52 +148,56 @@ def decoded_words(sequences: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with full also ids and the decoded bytes."""
-    coded = chunks(docs, text, id_col)
-    rows = encoded(coded.where("word is not null"), path).unionByName(coded.where("word is null").select("chunk", "at", "blob"))
-    rows = rows.repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "at")
+    spark = docs.sparkSession
+    texts = stored(coded(docs, text, id_col), "texts")
+    size = texts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("chunks")).first()
+    buckets = max(partitions(spark), -(-size["words"] // WORDS))
+    found = answers(blocks(texts, buckets).repartitionById(buckets, F.col("bucket").cast("int")), path)
+    rows = texts.select("chunk", F.lit(0).cast("long").alias("place"), "blob").unionByName(found)
+    rows = rows.repartition(max(partitions(spark), size["chunks"]), "chunk").sortWithinPartitions("chunk", "place")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if full else 4]
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
+    # as many rows as the vocabulary has, whatever the corpus
+    table = spark.sparkContext.broadcast([(r["id"], bytes(r["bytes"])) for r in token_table(spark, path).orderBy("id").collect()])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sorted(ranks(path).items(), key=lambda x: x[1])
-        size = np.zeros(vocabulary[-1][1] + 1, np.int64)
-        size[[r for _, r in vocabulary]] = [len(b) for b, _ in vocabulary]
-        data, start = np.frombuffer(b"".join(b for b, _ in vocabulary), np.uint8), np.cumsum(size) - size
-        held: list[pa.Array] = []
-        known = None
+        size = np.zeros(table.value[-1][0] + 1, np.int64)
+        size[[i for i, _ in table.value]] = [len(b) for _, b in table.value]
+        tokens = (np.frombuffer(b"".join(b for _, b in table.value), np.uint8), np.cumsum(size) - size, size)
+        now, blob, parts = None, b"", []
         for batch in batches:
-            at, begin = batch.column(1).to_numpy(), 0
-            for i in np.flatnonzero(at >= GROUPS).tolist():
-                if i > begin:
-                    held.append(batch.column(2).slice(begin, i - begin))
-                begin = i + 1
-                if held or at[i] == GROUPS:  # a chunk's words are complete
-                    known, held = words_of(held), []
-                yield out(known, *pickle.loads(batch.column(2)[i].as_py()), data, start, size)
-            if begin < batch.num_rows:
-                held.append(batch.column(2).slice(begin))
-
-    def words_of(blobs: list[pa.Array]) -> tuple:
-        """(ids, ids per word, first place, ids as text) of a chunk's words."""
+            for chunk, place, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if place:
+                    parts.append(b)
+                    continue
+                if now is not None:
+                    yield from out(blob, parts, *tokens)
+                now, blob, parts = chunk, b, []
+        if now is not None:
+            yield from out(blob, parts, *tokens)
+
+    def out(blob: bytes, parts: list[bytes], data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc_ids, null, n, codes = unpack(blob)
+        found = [unpack(p) for p in parts]
         kind = id_type(path)
-        parts = [flat.flat(b) for b in blobs]
-        ids = np.concatenate([d for d, _ in parts] or [np.zeros(0, np.uint8)]).view(kind)
-        counts = np.concatenate([np.diff(o) for _, o in parts] or [np.zeros(0, np.int64)]) // kind.itemsize
-        starts = np.cumsum(counts) - counts
-        return ids, counts, starts, [",".join(map(str, ids[a : a + c].tolist())) for a, c in zip(starts.tolist(), counts.tolist())]
-
-    def out(known: tuple, doc_ids: list, n: np.ndarray, blob: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        ids, per_word, starts, texts = known
-        codes, ends = unpacked_codes(blob, int(n.sum())), np.cumsum(n)
+        ids = np.concatenate([np.zeros(0, kind), *(x[1].astype(kind) for x in found)])
+        per_word = np.concatenate([np.zeros(0, np.int64), *(x[0].astype(np.int64) for x in found)])
+        starts, codes, ends = np.cumsum(per_word) - per_word, codes.astype(np.int64), np.cumsum(n.astype(np.int64))
+        texts = [",".join(map(str, ids[a : a + c].tolist())) for a, c in zip(starts.tolist(), per_word.tolist())]
         cols: list[list] = [[] for _ in names]
-        for doc, a, b in zip(doc_ids, (ends - n).tolist(), ends.tolist()):
+        held = 0
+        for doc, no, a, b in zip(doc_ids.tolist(), null.tolist(), (ends - n).tolist(), ends.tolist()):
             own = codes[a:b]
             tokens = pretokens.gather(ids, starts[own], per_word[own]).astype(np.int32)
-            decoded = pretokens.gather(data, start[tokens], size[tokens]).tobytes()  # the join with the token-byte table
-            row = (doc, len(tokens), hashlib.sha256(",".join([texts[c] for c in own.tolist()]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), tokens, decoded)
+            decoded = pretokens.gather(data, start[tokens], size[tokens]).tobytes()  # each id joins its row of the token table
+            row = (None if no else doc, len(tokens), hashlib.sha256(",".join([texts[c] for c in own.tolist()]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), tokens, decoded)
             for c, v in zip(cols, row):
                 c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+            held += len(decoded) * full
+            if held > 32 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                cols, held = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return rows.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 

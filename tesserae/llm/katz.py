@@ -29,7 +29,6 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import flat
+from tesserae.llm.blobs import blob_rows, bucket_of, pack, unpack
 from tesserae.llm.common import partitions, stored
 
 ORDER, CUT = 3, 5
@@ -50,28 +50,6 @@ CHUNK_BYTES = 12 << 20
 TARGET, ROW_BITS = 2_000_000, 40
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed together; integers in their least width."""
-    about, parts = [], []
-    for x in arrays:
-        if x.dtype.kind in "iu" and len(x) and x.min() >= 0:
-            x = x.astype(np.min_scalar_type(int(x.max())))
-        about.append((x.dtype.str, len(x)))
-        parts.append(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() if len(x) else b"")
-    raw = pickle.dumps((about, b"".join(parts)))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    about, raw = pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
-    out, at = [], 0
-    for kind, n in about:
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n) if n else np.zeros(0, kind))
-        at += n * width
-    return out
-
-
 def held_out(ids: list[int | None], folds: int = FOLDS, fold: int = FOLD) -> np.ndarray:
     return np.array([i is None or zlib.crc32(str(i).encode()) % folds == fold for i in ids], bool)
 
@@ -300,11 +278,6 @@ ROW = "chunk long, place long, blob binary"
 COUNTS, SPLIT, TABLE = -1, -2, -3
 
 
-def batch_of(rows: list[tuple], names: str = ROW) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], [x.split()[0] for x in names.split(", ")])
-
-
 def unigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, blob): buckets are ranges of word hashes, so that numbers ascend with hashes."""
 
@@ -315,15 +288,11 @@ def unigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
                 to = bucket_of(words.view(np.uint64), buckets)
                 cut = np.searchsorted(to, np.arange(buckets + 1))
                 rows = [(b, chunk, pack(words[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
-                yield batch_of(rows, "bucket, chunk, blob")
+                yield blob_rows(rows, "bucket, chunk, blob")
 
     return texts.select("chunk", "hashes").mapInArrow(run, "bucket long, chunk long, blob binary")
 
 
-def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
-    return ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def unigram_table(dealt: DataFrame) -> DataFrame:
     """From blocks, a bucket per partition: the answers, counts of counts and the bucket's part of the table."""
 
@@ -338,8 +307,8 @@ def unigram_table(dealt: DataFrame) -> DataFrame:
         for (_, chunk, _), block in zip(found, blocks):
             own = at[begin : begin + len(block[0])]
             begin += len(own)
-            yield batch_of([(chunk, (1 << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + own), count[own]))])
-        yield batch_of([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(words.view(np.int64), count))])
+            yield blob_rows([(chunk, (1 << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + own), count[own]))])
+        yield blob_rows([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(words.view(np.int64), count))])
 
     return dealt.mapInArrow(run, ROW)
 
@@ -372,9 +341,9 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
         lows = np.stack([np.bincount(own[count == r], minlength=n) for r in range(1, CUT + 1)], 1)
         used = np.bincount(own[seen], lower(short[seen], scale[own[seen]]), minlength=n)
         divide = scales(total, lows.sum(1))
-        yield batch_of([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(gaps(numbers), divide, lows.ravel(), used, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count))])
+        yield blob_rows([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(gaps(numbers), divide, lows.ravel(), used, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count))])
         if split.any():
-            yield batch_of([(SPLIT, bucket, pack(numbers[split], total[split], lows[split].ravel(), used[split]))])
+            yield blob_rows([(SPLIT, bucket, pack(numbers[split], total[split], lows[split].ravel(), used[split]))])
         begin = first = 0
         for (_, chunk, _), block in zip(found, blocks):
             mine, rows = history[first : first + len(block[0])], at[begin : begin + len(block[5])]
@@ -382,7 +351,7 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
             off = block[3] > 0
             off |= np.bincount(np.repeat(np.arange(len(mine)), block[1])[count[rows] == 0], minlength=len(mine)) > 0
             back = mine[off]
-            yield batch_of([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows), count[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
+            yield blob_rows([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows), count[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
 
     return dealt.mapInArrow(run, ROW)
 
@@ -448,7 +417,7 @@ class Model:
             c.extend()
             rows = [(b, chunk, blob) for b, blob in c.blocks(buckets, hot)]
             for lo in range(0, len(rows), 64):
-                yield batch_of(rows[lo : lo + 64], "bucket, chunk, blob")
+                yield blob_rows(rows[lo : lo + 64], "bucket, chunk, blob")
 
         uni, d, order = self.uni, self.ds[-1] if self.ds else None, len(self.sums) + 1
         lower = (lambda count, scale: uni.p(count)) if d is None else (lambda count, scale: discounted(count, d) / scale)

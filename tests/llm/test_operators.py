@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import bands, bpe, common, flat, katz, minhash, packing, passages, quality_model, quality_rules, secrets, simhash, warc
+from tesserae.llm import bands, blobs, bpe, common, flat, katz, minhash, packing, passages, quality_model, quality_rules, secrets, simhash, warc
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,6 +279,18 @@ def test_bpe_like_the_library(spark):
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_of_many_chunks_and_a_shuffled_input(spark, monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "PIECES", 200)
+    monkeypatch.setattr(bpe, "WORDS", 40)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(P.path(RANKS)), special_tokens={})
+    texts = [prose(i % 40, 20 + i) for i in range(120)]
+    df = docs_of(spark, texts).orderBy(F.rand())  # no two passes see the same order
+    got = bpe.round_trip(df, P.path(RANKS), full=True).collect()
+    assert len(got) == 120 and all(list(r["ids"]) == e.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode() for r in got)
+
+
 # 5 ------------------------------------------------------------------------------
 
 
@@ -613,7 +625,7 @@ def test_discounts_fall_back():
 
 def test_packed_arrays_come_back():
     for xs in ([np.arange(5)], [np.zeros(0, np.int64), np.array([-1, 1 << 40])], [np.array([0.5, -2.0])]):
-        assert all((a == b).all() and len(a) == len(b) for a, b in zip(katz.unpack(katz.pack(*xs)), xs))
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(blobs.unpack(blobs.pack(*xs)), xs))
 
 
 def test_words_of_a_slab_never_cross_texts():
