@@ -3,11 +3,13 @@
 Each of n_perm universal hash functions (a * x + b over 64 bits, the upper 32 kept) runs over all shingle
 hashes of a text; a fingerprint is the list of the minima's low 16 bits. All of it is numpy over Arrow buffers.
 Two fingerprints' likeness is the share of equal slots, which estimates the Jaccard similarity of the
-shingle sets. near_pairs joins signature bands in Spark and verifies the exact Jaccard similarity.
+shingle sets. Classes of equal fingerprints are the entries of a search: links() joins their signature bands in Spark and verifies the
+exact Jaccard similarity, and classed() names for every row the smallest doc_id that equal fingerprints and links connect.
 
 Defined cases: null counts as an empty text; a text without words has no shingles, every slot at its largest
 value, and is like other such texts only; fewer words than a shingle form one shingle; equal texts have equal
-fingerprints; repeated rows and ids are kept row by row; an empty table gives an empty result.
+fingerprints; repeated rows and ids are kept row by row, and an id with several texts is in the class of each; rows without an
+id take no part in links; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,19 +78,25 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS, n_bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, jaccard): verified links between classes of equal fingerprints, each named by its smallest doc_id.
+def entries(member: DataFrame) -> DataFrame:
+    """(unit, first, n, fingerprint): classes of equal fingerprints, with their smallest doc_id and size. member has doc_id and fingerprint."""
+    rows = member.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    return stored(rows.select(F.xxhash64("fingerprint").alias("unit"), "first", "n", "fingerprint"), "minhash")
+
+
+def links(docs: DataFrame, classes: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS, n_bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, jaccard): verified links between classes, by unit.
 
     Buckets of a few classes give all their links, larger ones enough to connect what links connect (bands.links).
-    Texts of one class need no link; membership(...) has them.
     """
-    member = stored(fingerprints(docs, text, id_col, k, n_perm), "minhash")
-    firsts = member.groupBy("fingerprint").agg(F.min("doc_id").alias("unit")).where("unit is not null")
     width = 4 * (n_perm // n_bands)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + i * width, width)) for i in range(n_bands)])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # of an id's texts only those of the class count
+            own = hexed(all_signatures(batch.column(1), k=k, n_perm=n_perm))
+            batch = batch.filter(pa.array([x == y for x, y in zip(own, batch.column(2).to_pylist())], pa.bool_()))
             data, offsets = flat.flat(batch.column(1))
             s, e, rows = flat.word_spans(data, offsets)
             values, at = flat.shingles(flat.span_hashes(data, s, e) if len(s) else np.zeros(0, np.uint64), rows, k)
@@ -96,17 +104,39 @@ def near_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: i
             lists = [np.unique(values[i:j].view(np.int64)) for i, j in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["unit", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("unit"), F.col(text).cast("string").alias("text"))
-    sets_of = lambda used: texts.join(used, "unit", "left_semi").dropDuplicates(["unit"]).mapInArrow(sets, "unit long, shingles array<long>")
-    return bands.links(firsts.select(F.explode(keys).alias("key"), "unit"), sets_of, similarity)
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text).cast("string").alias("text"))
+
+    def sets_of(used: DataFrame) -> DataFrame:
+        named = stored(used.join(classes, "unit").select("unit", "first", "fingerprint"), "minhash")
+        found = texts.join(named, "first").select("unit", "text", "fingerprint").mapInArrow(sets, "unit long, shingles array<long>")
+        return found.groupBy("unit").agg(F.min("shingles").alias("shingles"))
+
+    return bands.links(classes.select(F.explode(keys).alias("key"), "unit"), sets_of, similarity)
+
+
+def near_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """(a, b, jaccard): verified links between classes of equal fingerprints, each named by its smallest doc_id."""
+    classes = entries(fingerprints(docs, text, id_col))
+    found, names = links(docs, classes, text, id_col, **options), classes.select("unit", "first")
+    named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def classed(member: DataFrame, docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """member, a stored table with doc_id and fingerprint, with class_id: the smallest doc_id that equal fingerprints and links connect."""
+    classes = entries(member)
+    comp = stored(connected_components(links(docs, classes, text, id_col, **options), "a", "b"), "minhash")
+    least = stored(comp.join(classes, comp.node == classes.unit).groupBy("component").agg(F.min("first").alias("class_id")), "minhash")
+    linked = comp.join(least, "component").select(F.col("node").alias("unit"), "class_id")
+    # of a class of one row without links the row's own id is the name
+    several = classes.join(linked, "unit", "left").where("n > 1 or class_id is not null").select("unit", F.coalesce("class_id", "first").alias("class_id"))
+    rows = member.withColumn("unit", F.xxhash64("fingerprint")).join(stored(several, "minhash"), "unit", "left").drop("unit")
+    return rows.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
 
 
-def membership(docs: DataFrame, pairs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, class_id): the smallest doc_id of the group that equal fingerprints and near_pairs connect."""
-    member = fingerprints(docs, text, id_col, k, n_perm)
-    first = stored(member.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "minhash")
-    comp = connected_components(pairs, "a", "b")
-    return member.join(first, "fingerprint").join(comp, F.col("first") == comp.node, "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
+def membership(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, class_id) of every row."""
+    return classed(stored(fingerprints(docs, text, id_col), "minhash"), docs, text, id_col, **options).select("doc_id", "class_id")
 
 
 def longs(values: list[int | None]) -> Column:

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import documents, labels
+from tesserae.llm.common import documents, labels, stored
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import minhash
 
-    return minhash.edited_fingerprints(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return minhash.classed(stored(minhash.edited_fingerprints(docs), "minhash"), docs)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

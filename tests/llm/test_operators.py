@@ -86,6 +86,29 @@ def shingle_set(t, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
 
+def minhash_of(t, k=5):
+    """The fingerprint's slots by plain integers."""
+    cut = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & cut
+        return x ^ x >> 32
+
+    word = lambda w: mix(sum((b + 1) * pow(flat.BASE, i, 1 << 64) for i, b in enumerate(w.encode())) & cut)
+    hashes = [word(w) for w in WORD.findall(t)]
+    few = 0 < len(hashes) < k
+    runs = [hashes] if few else [hashes[i : i + k] for i in range(len(hashes) - k + 1)]
+    values = []
+    for run in runs:
+        x = 0
+        for h in run:
+            x = mix((x * 0x9FB21C651E98DF25 + h) & cut)
+        values.append((x + len(run) * few) & cut)
+    a, b = (v.tolist() for v in minhash.coefficients(128))
+    return [f"{min(((v >> 32) * p + q & cut) >> 32 for v in values) & 0xFFFF:04x}" if values else "ffff" for p, q in zip(a, b)]
+
+
 def test_minhash_estimates_and_edits(spark):
     texts = [prose(i, 200 + i) for i in range(20)] + ["", "x"]
     out = {r["doc_id"]: r for r in minhash.edited_fingerprints(docs_of(spark, texts)).collect()}
@@ -95,6 +118,11 @@ def test_minhash_estimates_and_edits(spark):
         assert out[i]["n_chars"] == len(t) and out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         a, b = shingle_set(t), shingle_set(edited)
         assert abs((len(a & b) / len(a | b) if a | b else 1.0) - out[i]["near_edited"]) < 0.2
+    slots = lambda x: [x[i : i + 4] for i in range(0, len(x), 4)]
+    like = lambda a, b: sum(x == y for x, y in zip(slots(a), slots(b))) / 128
+    for i, t in enumerate(texts):
+        assert slots(out[i]["fingerprint"]) == minhash_of(t)
+        assert out[i]["near_edited"] == like(out[i]["fingerprint"], out[i]["edited_fingerprint"]) and out[i]["near_next"] == like(out[i]["fingerprint"], out[(i + 1) % len(texts)]["fingerprint"])
     assert [out[i]["fingerprint"] for i in range(22)] == [r["fingerprint"] for r in minhash.fingerprints(docs_of(spark, texts)).orderBy("doc_id").collect()]
 
 
@@ -110,10 +138,26 @@ def test_minhash_near_pairs_against_brute_force(spark):
     sets = [shingle_set(t) for t in texts]
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert want and got == want
-    classes = {r["doc_id"]: r["class_id"] for r in minhash.membership(docs_of(spark, texts), found).collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in minhash.membership(docs_of(spark, texts)).collect()}
     assert classes[40] == 0 and classes[30] == 0 and classes[20] == 20
 
 
+def test_minhash_classes_of_odd_rows(odd, none):
+    got = sorted((str(r["doc_id"]), r["class_id"]) for r in minhash.membership(odd).collect())
+    first = {1: 1, 2: 1, 3: 1, 8: 7}
+    assert got == sorted((str(i), first.get(i, i)) for i, _ in ODD)
+    assert minhash.membership(none).collect() == [] and minhash.near_pairs(none).collect() == []
+
+
+def test_minhash_classes_of_an_id_with_several_texts(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    near = a.split()
+    near[-1] = "changed"
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, " ".join(near)), (3, b + " more")], "doc_id long, text string").repartition(3)
+    assert {(r["a"], r["b"]) for r in minhash.near_pairs(docs).collect()} == {(1, 2), (1, 3)}
+    assert {(r["doc_id"], r["class_id"]) for r in minhash.membership(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_large_buckets_lose_no_link(spark):
     r = np.random.default_rng(5)
     sets = []
