@@ -39,8 +39,8 @@ MIN_PARAGRAPH, MIN_SENTENCE, LONG = 20, 4, 40
 WINDOW, MIN_RUN = 20, 36
 #: Words of an anchor; bits of the filter over keys that several documents have: more keys than fit only let more rows pass.
 ANCHOR, FILTER_BITS, BLOCK = 8, 28, 4096
-#: A key of more rows is joined to its least document instead of going to one task.
-HOT = 5000
+#: A key of more rows is dealt by so many salts.
+HOT, SALTS = 5000, 32
 MARKED = "doc_id long, variant long, keeper long, first int, words int"
 
 
@@ -194,22 +194,21 @@ def shared_keys(rows: DataFrame, length: int, hot: int = HOT) -> tuple[np.ndarra
     return out[0], out[1] if len(out) > 1 else np.zeros(0, np.uint8)
 
 
-FOUND = "unit long, doc_id long, variant long, first int, words int"
+FOUND = "unit long, salt int, doc_id long, variant long, first int, words int"
 
 
 def repeated_words(rows: DataFrame, length: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc_id, variant, keeper, first, words) of sentences and of windows of length words that a document with a smaller id has, too.
 
-    A key's rows go to one task, as a stream. Keys that may have more than hot rows don't: a second pass, where there are any,
-    joins theirs to their least document, which partial aggregation finds, so that adaptive execution can split them. A word
-    that repeats on and on gives one row, not one for each window.
+    A key's rows go to one task, as a stream. Those of keys that may have more than hot rows are salted by their document; a pass before,
+    where there are such keys, finds their least documents by partial aggregation, which go to each salt as rows of no
+    words. A word that repeats on and on gives one row, not one for each window.
     """
     spark = rows.sparkSession
     bitmaps = spark.sparkContext.broadcast(shared_keys(rows, length, hot))
     names = [x.split()[0] for x in FOUND.split(", ")]
 
-    def rows_of(wanted: bool):
-        """The rows of keys that are hot, or of those that aren't."""
+    def rows_of(only_hot: bool):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared, common = bitmaps.value
@@ -224,16 +223,20 @@ def repeated_words(rows: DataFrame, length: int = WINDOW, hot: int = HOT) -> Dat
                     if not len(s):
                         continue
                     at, to, unit = _sentences(data, s, e, owner, h)
-                    keep = has(shared, unit) & (has(common, unit) == wanted)
-                    at, to, unit = at[keep], to[keep], unit[keep]
+                    often = has(common, unit)
+                    keep = has(shared, unit) & (often | (not only_hot))
+                    at, to, unit, often = at[keep], to[keep], unit[keep], often[keep]
                     w, index, anchor = windows(h, owner, length)
-                    w = w[(has(shared, anchor) & (has(common, anchor) == wanted))[index]]
+                    many = has(common, anchor)
+                    keep = (has(shared, anchor) & (many | (not only_hot)))[index]
+                    w, many = w[keep], many[index][keep]
                     named = sequence_hashes(h, w, w + length).view(np.int64)
                     begin = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]) | (w[1:] != w[:-1] + 1)]) if len(w) else w
                     ends = w[np.r_[begin[1:], len(w)] - 1] + length if len(w) else w
-                    at, to, unit = np.r_[at, w[begin]], np.r_[to, ends], np.r_[unit, named[begin]]
+                    at, to, unit, often = np.r_[at, w[begin]], np.r_[to, ends], np.r_[unit, named[begin]], np.r_[often, many[begin]]
                     first, row = at - np.searchsorted(owner, owner[at]), i + owner[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(ids[row], pa.int64()), pa.array(variants[row], pa.int64()), pa.array(first.astype(np.int32)), pa.array((to - at).astype(np.int32))], names)
+                    salt = np.where(often, 1 + np.abs(ids[row] % SALTS), 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(salt), pa.array(ids[row], pa.int64()), pa.array(variants[row], pa.int64()), pa.array(first.astype(np.int32)), pa.array((to - at).astype(np.int32))], names)
 
         return run
 
@@ -242,21 +245,23 @@ def repeated_words(rows: DataFrame, length: int = WINDOW, hot: int = HOT) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            unit, salt, doc = (batch.column(i).to_numpy() for i in range(3))
+            begin = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (salt[1:] != salt[:-1])])
             of = doc[begin]
-            if unit[0] == key:
+            if (unit[0], salt[0]) == key:
                 of[0] = keeper
-            key, keeper = unit[-1], of[-1]
+            key, keeper = (unit[-1], salt[-1]), of[-1]
             of = np.repeat(of, np.diff(np.r_[begin, len(unit)]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(of), batch.column(3), batch.column(4)], ["doc_id", "variant", "keeper", "first", "words"]).filter(pa.array(doc > of))
-
-    few = rows.mapInArrow(rows_of(False), FOUND).repartition(partitions(spark), "unit").sortWithinPartitions("unit", "doc_id").mapInArrow(least, MARKED)
-    if not len(bitmaps.value[1]):
-        return few
-    many = stored(rows.mapInArrow(rows_of(True), FOUND), "passages")
-    firsts = stored(many.groupBy("unit").agg(F.min("doc_id").alias("keeper")), "passages")
-    return few.unionByName(many.join(firsts, "unit").where("doc_id > keeper").select("doc_id", "variant", "keeper", "first", "words"))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(of), batch.column(4), batch.column(5)], ["doc_id", "variant", "keeper", "first", "words"]).filter(pa.array(doc > of))
+
+    found = rows.mapInArrow(rows_of(False), FOUND)
+    if len(bitmaps.value[1]):
+        firsts = stored(rows.mapInArrow(rows_of(True), FOUND).groupBy("unit").agg(F.min("doc_id").alias("doc_id")), "passages")
+        salts = F.explode(F.sequence(F.lit(1), F.lit(SALTS)))
+        zero = F.lit(0)
+        found = found.unionByName(firsts.select("unit", salts.alias("salt"), "doc_id", zero.cast("long").alias("variant"), zero.alias("first"), zero.alias("words")))
+    dealt = found.repartition(partitions(spark), "unit", "salt").sortWithinPartitions("unit", "salt", "doc_id")
+    return dealt.mapInArrow(least, MARKED)
 
 
 def similar_paragraphs(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
