@@ -221,21 +221,50 @@ def test_rule_statistics_against_brute_force(spark):
 
 
 def test_binomial_tail_is_exact(spark):
+    from fractions import Fraction
     from math import comb
 
-    cases = [(10, 0), (200, 3), (1000, 8), (5000, 40), (50, 30)]
+    cases = [(10, 0), (200, 3), (1000, 8), (5000, 40), (50, 30), (16, 0), (21, 0), (3, 0), (0, 0)]
     d = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.0125).alias("p"))
     for r in d.collect():
-        want = sum(comb(r["n"], i) * 0.0125**i * 0.9875 ** (r["n"] - i) for i in range(r["k"] + 1))
+        risk = Fraction(0.0125)
+        want = float(sum(comb(r["n"], i) * risk**i * (1 - risk) ** (r["n"] - i) for i in range(r["k"] + 1)))
         assert r["p"] == pytest.approx(want if r["k"] <= r["n"] * 0.0125 else 1.0, rel=1e-9)
 
 
-def test_cutoffs_hold_the_risk(spark):
-    rows = [(i, "en", 0.0 if i % 5 else 0.01, 0.0, 0.0, 0.0) for i in range(3000)] + [(3000 + i, "en", 0.25, 0.0, 0.0, 0.0) for i in range(300)] + [(4000 + i, "de", 0.25, 0.0, 0.0, 0.0) for i in range(20)]
-    stats = spark.createDataFrame(rows, "doc_id long, stratum string, symbol_share double, upper_share double, dup_line_share double, repeat_share double")
-    marks = spark.createDataFrame([(i, 1 if i < 3000 else 0) for i, *_ in rows], "doc_id long, quality int")
-    got = quality_rules.cutoffs(stats, marks).collect()
-    assert [(r["stratum"], r["rule"], r["cutoff"], r["false_rejections"], r["bad_rejections"]) for r in got] == [("en", "symbol_share", 0.2, 0, 300)]
+RULE_COLUMNS = "doc_id long, stratum string, symbol_share double, upper_share double, dup_line_share double, repeat_share double"
+
+
+def test_cutoffs_of_useful_rules_are_certified(spark):
+    rows = [(i, "en", 0.0 if i % 5 else 0.01, 0.0, 0.0, 0.0) for i in range(600)] + [(3000 + i, "en", 0.25 if i < 250 else 0.0, 0.0, 0.0, 0.0 if i < 250 else 0.6) for i in range(300)]
+    rows += [(4000 + i, "de", 0.25 if i < 20 else 0.0, 0.0, 0.0, 0.0) for i in range(60)]  # too few good rows
+    rows += [(5000 + i, "es", 0.25, 0.0, 0.0, 0.0) for i in range(500)]  # where a rule would reject good rows
+    stats = spark.createDataFrame(rows, RULE_COLUMNS)
+    marks = spark.createDataFrame([(i, 0 if 3000 <= i < 4020 or 5000 <= i < 5300 else 1) for i, *_ in rows], "doc_id long, quality int")
+    found = quality_rules.cutoffs(stats, marks)
+    got = sorted((r["stratum"], r["step"], r["rule"], r["cutoff"], r["false_rejections"]) for r in found.collect())
+    assert got == [("en", 1, "symbol_share", 0.2, 0), ("en", 2, "repeat_share", 0.5, 0)]
+    judged = quality_rules.verdicts(stats.withColumn("base_failed", F.col("doc_id") == 7), found)
+    kept = {r["doc_id"]: r["kept"] for r in judged.collect()}
+    assert all(kept[i] == (i != 7 and not 3000 <= i < 3300) for i in kept)
+    assert {r["stratum"]: (r["n_good"], r["false_rejections"], r["bad_rejections"]) for r in quality_rules.achieved(judged, marks).collect()}["en"] == (600, 0, 300)
+
+
+def test_cutoffs_hold_the_risk_over_many_strata(spark):
+    r = np.random.default_rng(3)
+    rows, marks = [], []
+    for s in range(120):  # a good text's statistic is uniform, so the true rate of a cutoff is known
+        for i in range(200):
+            rows.append((1000 * s + i, f"s{s}", float(r.uniform()), 0.0, 0.0, 0.0))
+            marks.append((1000 * s + i, 1))
+        for i in range(200, 300):
+            rows.append((1000 * s + i, f"s{s}", float(r.uniform(0.7, 1.0)), 0.0, 0.0, 0.0))
+            marks.append((1000 * s + i, 0))
+    stats, marks = spark.createDataFrame(rows, RULE_COLUMNS), spark.createDataFrame(marks, "doc_id long, quality int")
+    grid = [x / 50 for x in range(25, 50)]
+    cuts = {r["stratum"]: r["cutoff"] for r in quality_rules.cutoffs(stats, marks, grid=grid, risk=0.32, error=0.1 * 120).collect()}  # 10 % for each stratum
+    wrong = sum(1 - c > 0.32 for c in cuts.values())
+    assert len(cuts) > 20 and wrong <= 21  # 12 are to be expected at most, 21 is three deviations more
 
 
 # 3 ------------------------------------------------------------------------------
