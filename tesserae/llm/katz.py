@@ -13,10 +13,12 @@ count to discount leaves 1 / (c + 1).
    bucket's blocks meet in one task, which sums them into that bucket's part of the table of the order and answers each
    block: the number and count of each n-gram, and what the histories' weights need. An n-gram's number names it as a
    history of the next order. N-grams of which training has no shorter form are not sent.
-3. With the discounts, from all buckets' counts of counts, and the answers of all orders a chunk evaluates its tokens
-   recursively, from the unigram up, and adds up its texts.
+   An n-gram that only one chunk has is answered as such: all that follows it is the chunk's own affair, and is not sent.
+3. With the discounts, from all counts of counts, and the answers of all orders a chunk evaluates its tokens recursively, from
+   the unigram up, and adds up its texts.
 
-tables() gives the stored tables of n-grams, with counts and probabilities, and of histories, with backoff weights.
+tables() gives the tables of n-grams, with counts and probabilities, and of histories, with backoff weights: the buckets' parts
+are stored, those of histories that one chunk has alone come from the stored chunks.
 
 Blocks are compressed columns, so that what is shuffled for a token is a few bytes. There is a bucket for about TARGET tokens of
 the corpus, so tasks stay as large as they are when the corpus grows. A history of more than a quarter of TARGET tokens is split
@@ -45,9 +47,9 @@ from tesserae.llm.common import partitions, stored
 ORDER, CUT = 3, 5
 FOLDS, FOLD = 7, 2
 END = np.int64(0x51A7E0F1E57)  # stands for the end among word hashes
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Tokens of a bucket; the bits of a number that count rows in a bucket, above them is the bucket.
-TARGET, ROW_BITS = 2_000_000, 40
+TARGET, ROW_BITS = 1_500_000, 40
 
 
 def held_out(ids: list[int | None], folds: int = FOLDS, fold: int = FOLD) -> np.ndarray:
@@ -147,8 +149,9 @@ class Chunk:
     """A chunk's n-grams of each order: for every token's place the n-gram that ends there.
 
     Of order k: at (n-gram of each token), ctx (history, an n-gram of order k - 1), word, low (the n-gram without its first
-    token), first (the n-gram of ends alone, history of first words), and from the answers number and count of each n-gram
-    and, by history, scale, lows and used.
+    token), first (the n-gram of ends alone, history of first words), trained (its count in the chunk), and from the answers
+    number, count and alone (whether no other chunk has it) of each n-gram and, by history, scale, lows and used. Words are in
+    the order of their numbers.
     """
 
     def __init__(self, blob: bytes) -> None:
@@ -158,11 +161,17 @@ class Chunk:
         self.train = train.astype(bool)[self.doc]
         starts = np.cumsum(self.n) - self.n
         self.starts, self.size, self.end = starts, int(size[0]), int(end[0])
-        self.orders = [{"at": wide(codes), "first": self.end}]
+        self.codes = wide(codes)
+        self.orders = []
 
     def unigrams(self, blobs: list[bytes]) -> None:
         found = [unpack(b) for b in blobs]
-        self.orders[0] |= {"number": np.concatenate([np.cumsum(wide(x[0])) for x in found]), "count": np.concatenate([wide(x[1]) for x in found])}
+        number, count, alone = (np.concatenate([x[i] for x in found]) for i in range(3))
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.end = int(rank[self.end])
+        self.orders = [{"at": rank[self.codes], "first": self.end, "number": wide(number)[order], "count": wide(count)[order], "alone": alone[order] > 0}]
 
     def extend(self) -> None:
         """The n-grams of the next order."""
@@ -176,35 +185,38 @@ class Chunk:
         low[at[:-1]], low[at[-1]] = last["at"], last["first"]
         ctx, word = grams // self.size, grams % self.size
         begin = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-        self.orders.append({"at": at[:-1], "first": int(at[-1]), "ctx": ctx, "word": word, "low": low, "begin": begin, "of": np.cumsum(np.r_[0, ctx[1:] != ctx[:-1]])})
+        self.orders.append({"at": at[:-1], "first": int(at[-1]), "ctx": ctx, "word": word, "low": low, "begin": begin, "of": np.cumsum(np.r_[0, ctx[1:] != ctx[:-1]]), "trained": np.bincount(at[:-1], self.train, minlength=len(grams)).astype(np.int64)})
+        top, histories = self.orders[-1], ctx[begin]
+        times = last["count"][histories].copy()
+        times[histories == last["first"]] = self.orders[0]["count"][self.end]
+        top["times"], top["own"] = times, (times > 0) & last["alone"][histories]
 
     def deal(self, buckets: int, hot: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, places of n-grams, places of histories, n-grams of each) of the last order, by number of the history and word."""
         top, last = self.orders[-1], self.orders[-2]
-        histories = top["ctx"][top["begin"]]
-        times = last["count"][histories].copy()
-        times[histories == last["first"]] = self.orders[0]["count"][self.end]
-        top["known"] = times > 0
+        histories, times = top["ctx"][top["begin"]], top["times"]
+        shared = (times > 0) & ~top["own"]
         number = last["number"][histories]
-        send = top["known"][top["of"]] & (last["count"][top["low"]] > 0)
-        send[top["first"]] |= bool(self.orders[0]["count"][self.end])
-        top["sent"] = send
-        top["split"] = times > hot
+        send = last["count"][top["low"]] > 0
+        send[top["first"]] = True
+        send &= shared[top["of"]]
+        top["split"] = (times > hot) & shared
         parts = np.maximum(np.ceil(times / hot), 1).astype(np.int64)
         # a history goes to its own bucket, or some after it by the next word
-        bucket = (number >> ROW_BITS)[top["of"]]
+        home = number >> ROW_BITS if len(self.orders) > 2 else number
+        bucket = home[top["of"]]
         some = top["split"][top["of"]]
         spread = flat.mix(self.orders[0]["number"][top["word"][some]].view(np.uint64)).view(np.int64) & np.int64((1 << 62) - 1)
         bucket[some] += spread % parts[top["of"]][some]
         bucket %= buckets
         # histories without an n-gram to send, whose weight is needed, go to their own bucket
-        bare = np.setdiff1d(np.flatnonzero(top["known"]), top["of"][send])
+        bare = np.setdiff1d(np.flatnonzero(shared), top["of"][send])
         rank = np.empty(len(histories), np.int64)
         rank[np.argsort(number)] = np.arange(len(histories))
         grams = np.flatnonzero(send)
         rows = np.r_[grams, np.full(len(bare), -1)]
         own = np.r_[top["of"][grams], bare]
-        to = np.r_[bucket[grams], (number[bare] >> ROW_BITS) % buckets]
+        to = np.r_[bucket[grams], home[bare] % buckets]
         key = np.sort((to * len(histories) + rank[own]) * len(rows) + np.arange(len(rows)))  # words ascend as their numbers do
         rows, own, to = (x[key % max(len(rows), 1)] for x in (rows, own, to))
         cut = np.searchsorted(to, np.arange(buckets + 1))
@@ -215,8 +227,7 @@ class Chunk:
 
     def blocks(self, buckets: int, hot: float) -> Iterator[tuple[int, bytes]]:
         """The blocks of the last order."""
-        top, last = self.orders[-1], self.orders[-2]
-        trained = np.bincount(top["at"], self.train, minlength=len(top["low"])).astype(np.int64)
+        top, last, trained = self.orders[-1], self.orders[-2], self.orders[-1]["trained"]
         lower = last["count"][top["low"]]
         wanting = np.bincount(top["of"][lower == 0], minlength=len(top["begin"])) > 0
         histories = top["ctx"][top["begin"]]
@@ -230,12 +241,14 @@ class Chunk:
         top, last = self.orders[-1], self.orders[-2]
         size = len(top["low"])
         top |= {"number": np.full(size, -1), "count": np.zeros(size, np.int64)}
+        top["alone"] = top["own"][top["of"]]
+        top["count"][top["alone"]] = top["trained"][top["alone"]]
         k = len(last["number"])
         top |= {"scale": np.zeros(k, np.int64), "lows": np.zeros((k, CUT)), "used": np.zeros(k)}
         histories = top["ctx"][top["begin"]]
         for blob, (_, grams, own, _) in zip(blobs, self.deal(buckets, hot), strict=True):
-            row, count, scale, weighted, lows, used = unpack(blob)
-            top["number"][grams], top["count"][grams] = np.cumsum(wide(row)), count
+            row, count, alone, scale, weighted, lows, used = unpack(blob)
+            top["number"][grams], top["count"][grams], top["alone"][grams] = np.cumsum(wide(row)), count, alone > 0
             at = histories[own]
             top["scale"][at] = scale
             some = at[weighted.astype(bool)]
@@ -244,11 +257,27 @@ class Chunk:
             for h in np.flatnonzero(top["split"]).tolist():
                 total, lows, used = sums[int(last["number"][histories[h]])]
                 top["scale"][histories[h]], top["lows"][histories[h]], top["used"][histories[h]] = scales(total, lows.sum()), lows, used
+        mine, own = np.flatnonzero(top["own"][top["of"]]), histories[top["own"]]
+        of, count = top["ctx"][mine], top["count"][mine]
+        lows = np.stack([np.bincount(of[count == r], minlength=k) for r in range(1, CUT + 1)], 1)
+        total = np.bincount(of, count, minlength=k).astype(np.int64)
+        top["scale"][own], top["lows"][own] = scales(total, lows.sum(1))[own], lows[own]
+
+    def use(self, order: int, uni: Unigrams, ds: list[np.ndarray]) -> dict:
+        """The n-grams of an order, with the sums that the chunk's own histories use."""
+        top, last = self.orders[order - 1], self.orders[order - 2]
+        mine = np.flatnonzero(top["own"][top["of"]] & (top["count"] > 0))
+        short = last["count"][top["low"][mine]]
+        p = uni.p(short) if order == 2 else discounted(short, ds[order - 3]) / last["scale"][last["low"][top["ctx"][mine]]]
+        own = top["ctx"][top["begin"]][top["own"]]
+        top["used"][own] = np.bincount(top["ctx"][mine], p, minlength=len(last["number"]))[own]
+        return top
 
     def scores(self, uni: Unigrams, ds: list[np.ndarray]) -> np.ndarray:
         """log10 of each text's probability, from the unigrams up."""
         logs = np.log10(uni.p(self.orders[0]["count"]))
-        for top, d in zip(self.orders[1:], ds):
+        for order, d in enumerate(ds, 2):
+            top = self.use(order, uni, ds)
             logs = logs[top["low"]]
             scale, seen = top["scale"][top["ctx"]], top["count"] > 0
             logs[seen] = np.log10(discounted(top["count"][seen], d) / scale[seen])
@@ -279,7 +308,7 @@ COUNTS, SPLIT, TABLE = -1, -2, -3
 
 
 def unigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, blob): buckets are ranges of word hashes, so that numbers ascend with hashes."""
+    """(bucket, chunk, blob): buckets are ranges of word hashes, which ascend."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +322,7 @@ def unigram_blocks(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.select("chunk", "hashes").mapInArrow(run, "bucket long, chunk long, blob binary")
 
 
-def unigram_table(dealt: DataFrame) -> DataFrame:
+def unigram_table(dealt: DataFrame, buckets: int) -> DataFrame:
     """From blocks, a bucket per partition: the answers, counts of counts and the bucket's part of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,13 +331,16 @@ def unigram_table(dealt: DataFrame) -> DataFrame:
             return
         bucket, blocks = found[0][0], [unpack(x[2]) for x in found]
         words, at = np.unique(np.concatenate([x[0].view(np.uint64) for x in blocks]), return_inverse=True)
-        count = np.bincount(at, np.concatenate([x[1] for x in blocks])).astype(np.int64)
+        count, alone = np.bincount(at, np.concatenate([x[1] for x in blocks])).astype(np.int64), (np.bincount(at) == 1).astype(np.uint8)
+        # frequent words have small numbers, whatever their bucket
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-count, kind="stable")] = np.arange(len(words)) * buckets + bucket
         begin = 0
         for (_, chunk, _), block in zip(found, blocks):
             own = at[begin : begin + len(block[0])]
             begin += len(own)
-            yield blob_rows([(chunk, (1 << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + own), count[own]))])
-        yield blob_rows([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(words.view(np.int64), count))])
+            yield blob_rows([(chunk, (1 << ROW_BITS) + bucket, pack(number[own], count[own], alone[own]))])
+        yield blob_rows([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(words.view(np.int64), number, count))])
 
     return dealt.mapInArrow(run, ROW)
 
@@ -324,7 +356,12 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
         found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
         if not found:
             return
-        bucket, blocks = found[0][0], [[wide(x) for x in unpack(f[2])] for f in found]
+        bucket, counts = found[0][0], sum((wide(unpack(f[2])[0]) for f in found if f[1] == COUNTS), np.zeros(CUT + 3, np.int64))
+        found = [f for f in found if f[1] != COUNTS]
+        blocks = [[wide(x) for x in unpack(f[2])] for f in found]
+        if not found:
+            yield blob_rows([(COUNTS, bucket, pack(counts))])
+            return
         of = [np.cumsum(x[0]) for x in blocks]
         numbers, history = np.unique(np.concatenate(of), return_inverse=True)
         take = lambda i: np.concatenate([x[i] for x in blocks])
@@ -340,8 +377,8 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
         total = np.bincount(own, count, minlength=n).astype(np.int64)
         lows = np.stack([np.bincount(own[count == r], minlength=n) for r in range(1, CUT + 1)], 1)
         used = np.bincount(own[seen], lower(short[seen], scale[own[seen]]), minlength=n)
-        divide = scales(total, lows.sum(1))
-        yield blob_rows([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(gaps(numbers), divide, lows.ravel(), used, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count))])
+        divide, alone = scales(total, lows.sum(1)), (np.bincount(at, minlength=len(grams)) == 1).astype(np.uint8)
+        yield blob_rows([(COUNTS, bucket, pack(wide(unpack(counts_of(count))[0]) + counts)), (TABLE, bucket, pack(gaps(numbers), scale, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count, short))])
         if split.any():
             yield blob_rows([(SPLIT, bucket, pack(numbers[split], total[split], lows[split].ravel(), used[split]))])
         begin = first = 0
@@ -351,7 +388,7 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
             off = block[3] > 0
             off |= np.bincount(np.repeat(np.arange(len(mine)), block[1])[count[rows] == 0], minlength=len(mine)) > 0
             back = mine[off]
-            yield blob_rows([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows), count[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
+            yield blob_rows([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows), count[rows], alone[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
 
     return dealt.mapInArrow(run, ROW)
 
@@ -415,7 +452,9 @@ class Model:
 
         def blocks(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
             c.extend()
+            top = c.orders[-1]
             rows = [(b, chunk, blob) for b, blob in c.blocks(buckets, hot)]
+            rows.append((chunk % buckets, COUNTS, counts_of(top["trained"][top["own"][top["of"]]])))
             for lo in range(0, len(rows), 64):
                 yield blob_rows(rows[lo : lo + 64], "bucket, chunk, blob")
 
@@ -428,12 +467,13 @@ class Model:
 def trained(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET) -> Model:
     """The model of the training texts among docs, with what their chunks need to be scored."""
     spark = docs.sparkSession
-    texts = stored(coded(docs, text, id_col), "texts")
+    whole = stored(coded(docs, text, id_col), "texts")
+    texts, words = stored(whole.drop("hashes"), "texts"), whole.select("chunk", "hashes")
     size = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("chunks")).first()
     buckets = max(partitions(spark), -(-size["tokens"] // target))
     model = Model(texts, size["chunks"], buckets, target / 4)
-    dealt = unigram_blocks(texts, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
-    low = model.take(stored(unigram_table(dealt), "grams"))
+    dealt = unigram_blocks(words, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
+    low = model.take(stored(unigram_table(dealt, buckets), "grams"))
     kinds, total = low.pop(0)
     model.uni = Unigrams(total, kinds, low)
     for _ in range(1, order):
@@ -462,43 +502,66 @@ GRAMS = "history long, word long, count long, probability double"
 WEIGHTS = "history long, backoff double"
 
 
-def tables(model: Model, order: int) -> tuple[DataFrame, DataFrame]:
-    """The stored n-grams of an order, as (history, word, count, probability), and (history, backoff) of its histories.
+def tables(model: Model, order: int) -> tuple[DataFrame, DataFrame | None]:
+    """The n-grams of an order, as (history, word, count, probability), and (history, backoff) of its histories.
 
-    An n-gram's number is its bucket (the place) in the upper bits and its row in order of history and word below; it names
-    it as a history of the next order. Of order 1 the words are their hashes and there is no history. Split histories'
-    weights are those of their whole sums.
+    Numbers of order 1, which also name the words of all orders, are in the first table's column word, whose history is the hash of the word.
+    A history's number is that of an n-gram of the order below: its bucket (the place) in the upper bits and its row in order of
+    history and word below them, or below zero a hash for what one chunk has alone.
     """
     uni, sums, ds = model.uni, model.sums, model.ds
     split = np.array(sorted(sums[order - 1]), np.int64)
+    stored_parts = model.found[order - 1].where(F.col("chunk") == TABLE).select("blob")
+    gram_names, weight_names = ([x.split()[0] for x in t.split(", ")] for t in (GRAMS, WEIGHTS))
 
-    def parts(blob: bytes) -> tuple:
-        numbers, scale, lows, used, n, words, count = unpack(blob)
-        numbers, scale, lows, used = np.cumsum(wide(numbers)), wide(scale), lows.reshape(-1, CUT).astype(float), used.copy()
-        for i in np.flatnonzero(np.isin(numbers, split)).tolist():
-            total, low, u = sums[order - 1][int(numbers[i])]
-            scale[i], lows[i], used[i] = scales(total, low.sum()), low, u
-        return numbers, scale, lows, used, wide(n), wide(words), wide(count)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                if order == 1:
-                    word, count = unpack(blob)
-                    arrays = [pa.nulls(len(word), pa.int64()), pa.array(wide(word)), pa.array(wide(count)), pa.array(uni.p(wide(count)))]
-                else:
-                    numbers, scale, _, _, n, words, count = parts(blob)
-                    arrays = [pa.array(np.repeat(numbers, n)), pa.array(words), pa.array(count), pa.array(discounted(count, ds[order - 2]) / np.maximum(np.repeat(scale, n), 1))]
-                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in GRAMS.split(", ")])
-
-    def backoffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                numbers, scale, lows, used, *_ = parts(blob)
-                have = scale > 0
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[have]), pa.array(weights(scale[have], lows[have], used[have], ds[order - 2]))], ["history", "backoff"])
+                word, number, count = unpack(blob)
+                have = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(wide(word)[have]), pa.array(wide(number)[have]), pa.array(wide(count)[have]), pa.array(uni.p(wide(count)[have]))], gram_names)
 
-    stored_parts = model.found[order - 1].where(F.col("chunk") == TABLE).select("blob")
     if order == 1:
-        return stored_parts.mapInArrow(grams, GRAMS).where("count > 0"), None
-    return stored_parts.mapInArrow(grams, GRAMS).where("count > 0"), stored_parts.mapInArrow(backoffs, WEIGHTS).dropDuplicates(["history"])
+        return stored_parts.mapInArrow(words, GRAMS), None
+    d, below = ds[order - 2], ds[order - 3] if order > 2 else None
+
+    def parts(blob: bytes) -> tuple:
+        numbers, under, n, words, count, short = (wide(x) for x in unpack(blob))
+        numbers, own, seen = np.cumsum(numbers), np.repeat(np.arange(len(n)), n), count > 0
+        lows = np.stack([np.bincount(own[count == r], minlength=len(n)) for r in range(1, CUT + 1)], 1)
+        total = np.bincount(own, count, minlength=len(n)).astype(np.int64)
+        p = uni.p(short[seen]) if below is None else discounted(short[seen], below) / under[own[seen]]
+        used = np.bincount(own[seen], p, minlength=len(n))
+        for i in np.flatnonzero(np.isin(numbers, split)).tolist():
+            total[i], lows[i], used[i] = sums[order - 1][int(numbers[i])]
+        return numbers, scales(total, lows.sum(1)), lows, used, own[seen], words[seen], count[seen]
+
+    def grams(numbers, scale, lows, used, own, words, count) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers[own]), pa.array(words), pa.array(count), pa.array(discounted(count, d) / scale[own])], gram_names)
+
+    def backoffs(numbers, scale, lows, used, *_) -> pa.RecordBatch:
+        have = scale > 0
+        return pa.RecordBatch.from_arrays([pa.array(numbers[have]), pa.array(weights(scale[have], lows[have], used[have], d))], weight_names)
+
+    def of_buckets(rows_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(0).to_pylist():
+                    yield rows_of(*parts(blob))
+
+        return run
+
+    def of_chunks(rows_of):
+        def run(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+            top, last = c.use(order, uni, ds), c.orders[order - 2]
+            own = top["ctx"][top["begin"]][top["own"]]
+            hashes = -1 - (flat.mix(np.uint64(chunk) * np.uint64(1 << 20 | 1) + own.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            numbers = np.where(last["number"][own] >= 0, last["number"][own], hashes)
+            mine = np.flatnonzero(top["own"][top["of"]] & (top["count"] > 0))
+            yield rows_of(numbers, top["scale"][own], top["lows"][own], top["used"][own], np.searchsorted(own, top["ctx"][mine]), c.orders[0]["number"][top["word"][mine]], top["count"][mine])
+
+        return run
+
+    table = stored_parts.mapInArrow(of_buckets(grams), GRAMS).unionByName(model.chunks(of_chunks(grams), GRAMS))
+    backoff = stored_parts.mapInArrow(of_buckets(backoffs), WEIGHTS).dropDuplicates(["history"])  # a split history is in several parts
+    return table, backoff.unionByName(model.chunks(of_chunks(backoffs), WEIGHTS))
