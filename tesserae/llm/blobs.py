@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -39,3 +41,13 @@ def blob_rows(rows: list[tuple], names: str = "chunk, place, blob") -> pa.Record
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of 64-bit hashes: buckets ascend as hashes do."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def per_chunk(texts: DataFrame, answers: DataFrame, run: Callable[[int, bytes, list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run(chunk, blob, answers as (place, blob) in order) for each chunk of texts, which is bucketed by chunk: only the answers are shuffled."""
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = sorted(zip(right.column("place").to_pylist(), right.column("blob").to_pylist()), key=lambda x: x[0])
+        return pa.Table.from_batches(run(left.column("chunk")[0].as_py(), left.column("blob")[0].as_py(), found))
+
+    return texts.select("chunk", "blob").groupBy("chunk").cogroup(answers.select("chunk", "place", "blob").groupBy("chunk")).applyInArrow(each, schema)

@@ -7,8 +7,9 @@
 3. Codes and answers meet at the chunk, where each text's ids are put together by position. Decoding joins the ids with the
    token-byte table, which has as many rows as the vocabulary and is sent to every task; decode() joins any ids with it.
 
-A word is one entry in each chunk, so no word's entries are more than there are chunks. There is a bucket for about WORDS entries, and a
-task for each chunk, so tasks stay as large as they are when the corpus grows.
+A word is one entry in each chunk, so no word's entries are more than there are chunks. There is a bucket for about WORDS entries, so
+tasks stay as large as they are when the corpus grows. The stored chunks are bucketed and never shuffled; chunks of one bucket
+are put together one after the other.
 
 Defined cases: null counts as an empty text, which has no ids; repeated rows are encoded row by row; special tokens'
 strings are ordinary text; an empty table gives an empty result. Extra columns are ignored.
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import flat, pretokens
-from tesserae.llm.blobs import blob_rows, bucket_of, pack, unpack
-from tesserae.llm.common import partitions, stored
+from tesserae.llm.blobs import blob_rows, bucket_of, pack, per_chunk, unpack
+from tesserae.llm.common import bucketed, partitions
 
 #: Pre-tokens of a chunk, and distinct words of chunks in a bucket.
 PIECES, WORDS = 2_000_000, 250_000
@@ -149,32 +150,19 @@ def decoded_words(sequences: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with full also ids and the decoded bytes."""
     spark = docs.sparkSession
-    texts = stored(coded(docs, text, id_col), "texts")
-    size = texts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("chunks")).first()
-    buckets = max(partitions(spark), -(-size["words"] // WORDS))
+    texts = bucketed(coded(docs, text, id_col), "texts", "chunk")
+    buckets = max(partitions(spark), -(-texts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] // WORDS))
     found = answers(blocks(texts, buckets).repartitionById(buckets, F.col("bucket").cast("int")), path)
-    rows = texts.select("chunk", F.lit(0).cast("long").alias("place"), "blob").unionByName(found)
-    rows = rows.repartition(max(partitions(spark), size["chunks"]), "chunk").sortWithinPartitions("chunk", "place")
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if full else 4]
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
     # as many rows as the vocabulary has, whatever the corpus
     table = spark.sparkContext.broadcast([(r["id"], bytes(r["bytes"])) for r in token_table(spark, path).orderBy("id").collect()])
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assemble(_: int, blob: bytes, parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         size = np.zeros(table.value[-1][0] + 1, np.int64)
         size[[i for i, _ in table.value]] = [len(b) for _, b in table.value]
-        tokens = (np.frombuffer(b"".join(b for _, b in table.value), np.uint8), np.cumsum(size) - size, size)
-        now, blob, parts = None, b"", []
-        for batch in batches:
-            for chunk, place, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if place:
-                    parts.append(b)
-                    continue
-                if now is not None:
-                    yield from out(blob, parts, *tokens)
-                now, blob, parts = chunk, b, []
-        if now is not None:
-            yield from out(blob, parts, *tokens)
+        data = np.frombuffer(b"".join(b for _, b in table.value), np.uint8)
+        yield from out(blob, [b for _, b in parts], data, np.cumsum(size) - size, size)
 
     def out(blob: bytes, parts: list[bytes], data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         doc_ids, null, n, codes = unpack(blob)
@@ -199,7 +187,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", id_col: str = "do
                 cols, held = [[] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return rows.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
+    return per_chunk(texts, found, assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * full)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

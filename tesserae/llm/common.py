@@ -42,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -58,6 +59,8 @@ def release(spark: SparkSession, *paths: str) -> None:
     context = spark.sparkContext
     for path in paths:
         at = context._jvm.org.apache.hadoop.fs.Path(path)
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
         _made[:] = [m for m in _made if m[1] != path]
 
@@ -96,6 +99,18 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df stored like stored() in as many buckets of key as there are shuffle partitions, so that meeting others by key doesn't shuffle it."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    with cleaned(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
+    found = spark.table(table)
+    _tables[path] = table
+    return found
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or with underscores what df has no column of."""
     while name.lower() in {c.lower() for c in df.columns}:

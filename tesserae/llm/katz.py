@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import flat
-from tesserae.llm.blobs import blob_rows, bucket_of, pack, unpack
-from tesserae.llm.common import partitions, stored
+from tesserae.llm.blobs import blob_rows, bucket_of, pack, per_chunk, unpack
+from tesserae.llm.common import bucketed, partitions, stored
 
 ORDER, CUT = 3, 5
 FOLDS, FOLD = 7, 2
@@ -396,8 +396,8 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
 class Model:
     """What the orders so far have given: discounts, sums of split histories, and stored answers and tables."""
 
-    def __init__(self, texts: DataFrame, n_chunks: int, buckets: int, hot: float) -> None:
-        self.texts, self.n_chunks, self.buckets, self.hot = texts, n_chunks, buckets, hot
+    def __init__(self, texts: DataFrame, buckets: int, hot: float) -> None:
+        self.texts, self.buckets, self.hot = texts, buckets, hot
         self.uni, self.ds, self.sums, self.found = None, [], [], []
 
     def take(self, found: DataFrame) -> dict[int, int]:
@@ -419,20 +419,10 @@ class Model:
         """run(chunk, Chunk with all answers so far) in a task for each chunk."""
         buckets, hot, sums = self.buckets, self.hot, self.sums
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, blob, answers = None, b"", {}
-            for batch in batches:
-                for chunk, place, b in zip(*(c.to_pylist() for c in batch.columns)):
-                    if chunk != now:
-                        if now is not None:
-                            yield from whole(now, blob, answers)
-                        now, blob, answers = chunk, b, {}
-                    else:
-                        answers.setdefault(place >> ROW_BITS, []).append(b)
-            if now is not None:
-                yield from whole(now, blob, answers)
-
-        def whole(chunk: int, blob: bytes, answers: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        def each(chunk: int, blob: bytes, found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            answers: dict[int, list] = {}
+            for place, b in found:
+                answers.setdefault(place >> ROW_BITS, []).append(b)
             c = Chunk(blob)
             c.unigrams(answers[1])
             for order in range(2, len(sums) + 1):
@@ -440,11 +430,10 @@ class Model:
                 c.answered(answers.get(order, []), buckets, hot, sums[order - 1])
             yield from run(chunk, c)
 
-        rows = self.texts.select("chunk", F.lit(0).cast("long").alias("place"), "blob")
-        for found in self.found:
-            rows = rows.unionByName(found.where("chunk >= 0"))
-        n = max(partitions(rows.sparkSession), self.n_chunks)
-        return rows.repartition(n, "chunk").sortWithinPartitions("chunk", "place").mapInArrow(each, schema)
+        rows = self.found[0]
+        for found in self.found[1:]:
+            rows = rows.unionByName(found)
+        return per_chunk(self.texts, rows.where("chunk >= 0"), each, schema)
 
     def grow(self) -> None:
         """The next order."""
@@ -467,12 +456,10 @@ class Model:
 def trained(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET) -> Model:
     """The model of the training texts among docs, with what their chunks need to be scored."""
     spark = docs.sparkSession
-    whole = stored(coded(docs, text, id_col), "texts")
-    texts, words = stored(whole.drop("hashes"), "texts"), whole.select("chunk", "hashes")
-    size = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("chunks")).first()
-    buckets = max(partitions(spark), -(-size["tokens"] // target))
-    model = Model(texts, size["chunks"], buckets, target / 4)
-    dealt = unigram_blocks(words, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
+    texts = bucketed(coded(docs, text, id_col), "texts", "chunk")
+    buckets = max(partitions(spark), -(-texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // target))
+    model = Model(texts, buckets, target / 4)
+    dealt = unigram_blocks(texts, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
     low = model.take(stored(unigram_table(dealt, buckets), "grams"))
     kinds, total = low.pop(0)
     model.uni = Unigrams(total, kinds, low)
