@@ -1,23 +1,28 @@
 """Secret scan in DataFrame functions alone: base patterns, and character Markov models of random strings.
 
 Base kinds assign, access and hex are patterns with least lengths. On top of them, any token of 12 characters or more, less
-what base spans cover of it, is scored if it has a letter and a digit by two first-order Markov models over characters: one of random strings, one of ordinary
-identifiers; the sum of log-likelihood ratios over THRESHOLD makes it a span of kind random. The models are
-trained from labelled samples: values that the base patterns found (random) and long lower-case words
-(ordinary); training() also takes samples from elsewhere. Added spans never overlap base ones.
+what base spans cover of it, is scored by two first-order Markov models over characters: one of random strings, one of ordinary
+identifiers; a sum of log-likelihood ratios over THRESHOLD makes it a span of kind random. No other rule decides, so strings of
+letters alone, or of digits, are scored like all others. The models are trained from labelled samples of several sources, which weigh
+alike whatever their size: of random strings, values that the base patterns found and strings made by digests; of ordinary ones,
+the corpus's long lower-case words and numbers, and common names of programs (WORDS), numbers and runs of one character.
+Words also come in the forms that identifiers have: capitals, upper case, camel case, parts joined by _, - or /, and with
+digits. training() also takes samples from elsewhere. Added spans never overlap base ones.
 
-Positions are in code points, ends exclusive: a pattern's matches and the pieces between them give them by sums.
+Positions are in code points, ends exclusive: a pattern's matches and the pieces between them give them by running sums, which are
+made in blocks, so that a text's cost doesn't grow with the square of its matches.
 
 Defined cases: null counts as an empty text, without spans; repeated rows are scanned row by row; an empty table
-gives an empty result; without samples of either kind no span is added. Extra columns are ignored.
+gives an empty result; given samples of which either kind is missing, no span is added. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import stored, unused
@@ -28,10 +33,27 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # whole runs only, as a run of any length and a filter would give
 )
-CANDIDATE, ORDINARY = r"[A-Za-z0-9+/_-]{12,}=*", r"^[a-z]{12,}$"
+CANDIDATE, ORDINARY = r"[A-Za-z0-9+/_-]{12,}=*", r"^([a-z]{12,}|[0-9]{12,})$"
+#: Elements of a running sum that one step copies.
+STEP = 512
 #: Natural logarithm of the odds that an added span needs; pseudo-counts of a row, and characters in use.
 THRESHOLD, PRIOR, ALPHABET = 10.0, 8.0, 66
 SPAN = "struct<start:bigint,end:bigint>"
+#: Strings made by digests, and pairs of characters that a source of samples counts for.
+MADE, MASS = 4000, 100_000.0
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Common names in programs.
+WORDS = (
+    "account", "action", "address", "array", "attribute", "backup", "balance", "batch", "block", "body", "buffer", "build", "button", "byte", "cache", "callback", "category",
+    "channel", "character", "checksum", "class", "client", "cluster", "collection", "color", "column", "command", "comment", "config", "connection", "content", "context",
+    "controller", "count", "customer", "database", "date", "default", "description", "device", "dictionary", "directory", "document", "element", "email", "encoding", "entry",
+    "environment", "error", "event", "exception", "factory", "field", "file", "filter", "format", "function", "get", "group", "handler", "header", "height", "history", "identifier",
+    "image", "index", "input", "instance", "interface", "item", "iterator", "key", "label", "length", "library", "list", "location", "manager", "message", "method", "model",
+    "module", "name", "network", "number", "object", "of", "offset", "on", "only", "option", "order", "output", "owner", "package", "parameter", "parser", "path", "pattern", "percent",
+    "position", "process", "product", "property", "provider", "queue", "read", "record", "reference", "region", "request", "resource", "response", "result", "schedule", "schema",
+    "select", "server", "service", "session", "set", "sha", "size", "source", "state", "status", "storage", "string", "summary", "table", "target", "template", "thread", "time", "to",
+    "total", "transaction", "type", "update", "user", "utility", "validate", "value", "variable", "version", "view", "width", "window", "with", "worker", "workflow", "write",
+)
 
 
 def located(rows: DataFrame, text: str, pattern: str, name: str, group: int = 0) -> DataFrame:
@@ -40,12 +62,26 @@ def located(rows: DataFrame, text: str, pattern: str, name: str, group: int = 0)
     rows = rows.withColumn("_v", F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.col("_m"))
     rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
     size = lambda a, i: F.length(F.get(a, i)).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    step = lambda acc, i: F.struct((acc["at"] + size("_p", i) + size("_m", i)).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + size("_p", i))).alias("starts"))
-    places = F.when(F.size("_m") > 0, F.sequence(F.lit(0), F.size("_m") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_s", F.aggregate(places, start, step, lambda acc: acc["starts"]))
-    spans = F.transform("_s", lambda s, i: F.struct(s.alias("start"), (s + size("_m", i)).alias("end"), F.get("_v", i).alias("value")))
-    return rows.withColumn(name, spans).drop("_m", "_v", "_p", "_s")
+    rows = rows.withColumn("_n", F.transform("_m", lambda m, i: size("_p", i) + F.length(m)))
+    rows = running(rows, "_n", "_e", lambda a, b: a + b, 0)
+    spans = F.transform("_e", lambda e, i: F.struct((e - size("_m", i)).alias("start"), e.alias("end"), F.get("_v", i).alias("value")))
+    return rows.withColumn(name, spans).drop("_m", "_v", "_p", "_n", "_e")
+
+
+def running(rows: DataFrame, values: str, name: str, fold: Callable[[Column, Column], Column], zero: int) -> DataFrame:
+    """rows with name: fold over the first, the first two, ... of an array of longs. Blocks of STEP are folded first, then their ends."""
+    none, first = F.array().cast("array<bigint>"), F.lit(zero).cast("long")
+    begin = F.struct(first.alias("at"), none.alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = fold(acc["at"], x)
+        return F.struct(now.alias("at"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+    blocks = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")), lambda b: F.slice(values, b * STEP + 1, STEP)))
+    rows = rows.withColumn("_blocks", F.coalesce(blocks, F.array().cast("array<array<bigint>>")))
+    rows = rows.withColumn("_own", F.transform("_blocks", lambda b: F.aggregate(b, begin, step, lambda acc: acc["all"])))
+    rows = rows.withColumn("_before", F.aggregate(F.transform("_own", lambda o: F.element_at(o, -1)), F.struct(first.alias("at"), none.alias("all")), lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"]))
+    return rows.withColumn(name, F.flatten(F.zip_with("_own", "_before", lambda o, b: F.transform(o, lambda x: fold(b, x))))).drop("_blocks", "_own", "_before")
 
 
 def base(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -65,22 +101,57 @@ def base(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
         step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], s["start"])))).otherwise(acc["out"]).alias("out"))
         return F.aggregate(over, begin, step, lambda acc: F.when(acc["at"] < t["end"], F.concat(acc["out"], F.array(piece(acc["at"], t["end"])))).otherwise(acc["out"]))
 
-    return rows.withColumn("tokens", F.filter(F.flatten(F.transform("tokens", uncovered)), lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]"))).drop("text", "_base")
+    return rows.withColumn("tokens", F.flatten(F.transform("tokens", uncovered))).drop("text", "_base")
+
+
+def forms(word: Column) -> Column:
+    """The forms that a word of letters has in identifiers."""
+    half = F.floor(F.length(word) / 2).cast("int")
+    a, b = F.substring(word, F.lit(1), half), F.substring(word, half + 1, F.length(word))
+    digits = F.pmod(F.crc32(word), F.lit(1000)).cast("string")
+    capital = F.initcap(b)
+    return F.array(word, F.initcap(word), F.upper(word), F.concat(a, capital), F.concat(F.initcap(a), capital), F.concat_ws("_", a, b), F.concat_ws("_", F.upper(a), F.upper(b)), F.concat_ws("-", a, b), F.concat_ws("/", a, b), F.concat(a, digits, capital), F.concat_ws("_", a, digits, b), F.concat(a, b, digits))
 
 
 def samples(found: DataFrame) -> DataFrame:
-    """(sample, secret): the labelled samples that the base scan itself gives."""
-    values = F.concat(*[F.transform(k, lambda s: s["value"]) for k, *_ in KINDS])
-    return found.select(F.explode(values).alias("sample"), F.lit(1).alias("secret")).union(found.select(F.explode("ordinary").alias("sample"), F.lit(0).alias("secret")))
+    """(sample, secret, source, n): labelled samples, those that the base scan gives (and how often) and those made by rule."""
+    spark = found.sparkSession
+    # the prefix of an access key is fixed, not random
+    values = F.concat(*[F.transform(k, lambda s: F.regexp_replace(s["value"], "^AKIA", "")) for k, *_ in KINDS])
+    rows = lambda d, sample, secret, source, n: d.select(sample.alias("sample"), F.lit(secret).alias("secret"), F.lit(source).alias("source"), n.cast("long").alias("n"))
+    secret = found.select(F.explode(values).alias("sample")).groupBy("sample").agg(F.count("*").alias("n"))
+    ordinary = found.select(F.explode("ordinary").alias("sample")).groupBy("sample").agg(F.count("*").alias("n"))
+    shaped = F.explode(F.when(F.col("sample").rlike("^[0-9]"), F.array("sample")).otherwise(forms(F.col("sample"))))
+    made = spark.range(MADE)
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    random = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
+    random = F.explode(F.array(random, F.lower(F.regexp_replace(random, "[^A-Za-z]", "")), F.substring(digest, 1, 32)))
+    # each name with another, as identifiers put them together
+    two = F.lit(" ".join(WORDS))
+    names = F.transform(F.split(two, " "), lambda w, i: F.concat(w, F.get(F.split(two, " "), F.pmod(i * 7 + F.col("id"), F.lit(len(WORDS))).cast("int"))))
+    pairs = spark.range(8).select(F.explode(names).alias("sample"))
+    plain = spark.range(MADE // 8).select(F.explode(F.array(F.abs(F.xxhash64("id")).cast("string"), F.repeat(F.substring(F.lit(CHARACTERS), F.pmod("id", F.lit(len(CHARACTERS))).cast("int") + 1, F.lit(1)), 16))).alias("sample"))
+    one = F.lit(1)
+    parts = [rows(secret, F.col("sample"), 1, "found", F.col("n")), rows(made, random, 1, "made", one), rows(ordinary, shaped, 0, "words", F.col("n")), rows(pairs, F.explode(forms(F.col("sample"))), 0, "names", one), rows(plain, F.col("sample"), 0, "names", one)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def training(labelled: DataFrame) -> DataFrame:
-    """(pair, n0, n1): how often each pair of ASCII codes, 128 * a + b, occurs in ordinary and in random samples."""
+    """(pair, n0, n1): how often each pair of ASCII codes, 128 * a + b, occurs in ordinary and in random samples.
+
+    Where labelled has n, a sample counts n times; where it has source, all sources of a kind weigh alike.
+    """
     codes = F.transform(F.split("sample", ""), lambda c: F.ascii(c))
-    rows = labelled.where("sample is not null and secret in (0, 1)").select("secret", codes.alias("codes"))
+    times = F.col("n").cast("double") if "n" in labelled.columns else F.lit(1.0)
+    source = F.col("source") if "source" in labelled.columns else F.lit("")
+    rows = labelled.where("sample is not null and secret in (0, 1)").select("secret", source.alias("source"), codes.alias("codes"), times.alias("n"))
     pairs = F.transform("codes", lambda a, i: F.when((a < 128) & (F.get("codes", i + 1) < 128), a * 128 + F.get("codes", i + 1)))
-    rows = rows.select("secret", F.explode(pairs).alias("pair")).where("pair is not null")
-    return rows.groupBy("pair").agg(*[F.sum(F.when(F.col("secret") == v, 1.0).otherwise(0.0)).alias(f"n{v}") for v in (0, 1)])
+    rows = rows.select("secret", "source", "n", F.explode(pairs).alias("pair")).where("pair is not null")
+    counts = rows.groupBy("secret", "source", "pair").agg(F.sum("n").alias("n"))  # 16,384 for each source at most
+    if "source" in labelled.columns:
+        whole = Window.partitionBy("secret", "source")
+        counts = counts.withColumn("n", F.col("n") * MASS / F.sum("n").over(whole))
+    return counts.groupBy("pair").agg(*[F.sum(F.when(F.col("secret") == v, F.col("n")).otherwise(0.0)).alias(f"n{v}") for v in (0, 1)])
 
 
 def ratios(counts: dict[int, tuple[float, float]]) -> list[float]:
@@ -131,12 +202,12 @@ def redacted(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mark:
     spans = scanned(docs, text, id_col, **options).where(F.size("spans") > 0)
     key, cut = unused(docs, "_id"), unused(docs, "_spans")
     spans = stored(spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(cut)), "secrets")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        until = F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], until).alias("out"))
-
-    new = F.aggregate(cut, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
     found = docs.join(spans, F.col(id_col).cast("long") == F.col(key), "left")
+    # what lies before each span is kept from the largest end so far on; a span that begins before that end has no mark of its own
+    ends, upto = unused(docs, "_ends"), unused(docs, "_upto")
+    found = running(found.withColumn(ends, F.transform(F.coalesce(cut, F.array().cast(found.schema[cut].dataType)), lambda s: s["end"])), ends, upto, F.greatest, 0)
+    before = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(0)
+    piece = lambda at, n: F.substring(F.col(text), at.cast("int") + 1, n.cast("int"))
+    kept = F.transform(cut, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"] - before(i)), F.lit(mark))).otherwise(""))
+    new = F.concat(F.array_join(kept, ""), piece(F.element_at(upto, -1), F.length(text)))
     return found.select(*[F.when(F.col(cut).isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in docs.columns])
