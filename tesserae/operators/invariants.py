@@ -172,14 +172,16 @@ def entropy_budget(limit: float) -> Invariant:
 VIOLATION = ["name", "kind", "node_id", "source_id", "target_id", "relation"]
 
 
-def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None, numbered: bool = False) -> DataFrame:
     """(key, name, kind, node_id, source_id, target_id, relation) of every violation; metrics has one row per graph.
 
+    With numbered also seq, the number of the node or edge, which tells equal edges apart.
+
     All invariants of a scope run over one scan of its rows. A graph whose metric is NULL has the invariant skipped.
     """
     spark = nodes.sparkSession
     null = lambda: F.lit(None).cast("string")
-    out = spark.createDataFrame([], "subject_id string, scan_id string, name string, kind string, node_id string, source_id string, target_id string, relation string")
+    out = spark.createDataFrame([], "subject_id string, scan_id string, name string, kind string, node_id string, source_id string, target_id string, relation string" + ", seq bigint" * numbered)
     joined = None
     for scope, rows in (("NODE", nodes), ("EDGE", edges), ("GRAPH", metrics)):
         mine = [i for i in invariants if i.scope == scope]
@@ -195,7 +197,8 @@ def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFra
                 bad = F.col(m).isNotNull() & bad
             broken.append(F.when(bad, F.lit(i.name)))
         ids = {"NODE": ("node", F.col("id"), null(), null(), null()), "EDGE": ("edge", null(), F.col("src_id"), F.col("dst_id"), F.col("relation")), "GRAPH": ("graph", null(), null(), null(), null())}[scope]
-        found = rows.select(*KEY, F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("name"), F.lit(ids[0]).alias("kind"), *[c.alias(n) for c, n in zip(ids[1:], VIOLATION[2:])])
+        seq = {"NODE": F.col("node_seq"), "EDGE": F.col("edge_seq")}.get(scope, F.lit(None).cast("bigint")) if numbered else None
+        found = rows.select(*KEY, F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("name"), F.lit(ids[0]).alias("kind"), *[c.alias(n) for c, n in zip(ids[1:], VIOLATION[2:])], *([seq.alias("seq")] if numbered else []))
         out = out.unionByName(found)
     return out
 

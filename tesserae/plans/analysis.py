@@ -58,7 +58,7 @@ def analyse(nodes: DataFrame, edges: DataFrame, policy: GovernancePolicy, seed_r
     values = calibration.total_entropy(values, policy.calibration)
     values = values.withColumn("maturity", calibration.maturity(F.col("total_entropy"))).withColumn("level", calibration.maturity_level(F.col("maturity")))
     values = stored(values, "values")
-    found = stored(invariants.violations(policy.invariants, final, edges, values.select(*KEY, "total_entropy")), "violations")
+    found = stored(invariants.violations(policy.invariants, final, edges, values.select(*KEY, "total_entropy"), numbered=True), "violations")
     results = invariants.indicators(policy.invariants, found, final, values.select(*KEY, "total_entropy"))
     aggregate = invariants.weighted(results, policy.invariant_weights, [i.name for i in policy.invariants])
     null = F.lit(None).cast("string")
