@@ -79,7 +79,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage is cut and survives lost executors."""
-    return _kept(df, fresh_path(df.sparkSession, name))
+    return stored_at(df, fresh_path(df.sparkSession, name))
 
 
 @contextmanager
@@ -93,7 +93,8 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """stored() at a path of fresh_path(), which release() may delete before the end."""
     with cleaned(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -136,7 +137,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     def keep(df: DataFrame) -> DataFrame:
         used.append(fresh_path(spark, "cc"))
-        return _kept(df, used[-1])
+        return stored_at(df, used[-1])
 
     e = keep(edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a > b").distinct())
     while True:

@@ -13,12 +13,11 @@ count to discount leaves 1 / (c + 1).
    bucket's blocks meet in one task, which sums them into that bucket's part of the table of the order and answers each
    block: the number and count of each n-gram, and what the histories' weights need. An n-gram's number names it as a
    history of the next order. N-grams of which training has no shorter form are not sent.
-   An n-gram that only one chunk has is answered as such: all that follows it is the chunk's own affair, and is not sent.
 3. With the discounts, from all counts of counts, and the answers of all orders a chunk evaluates its tokens recursively, from
    the unigram up, and adds up its texts.
 
-tables() gives the tables of n-grams, with counts and probabilities, and of histories, with backoff weights: the buckets' parts
-are stored, those of histories that one chunk has alone come from the stored chunks.
+With keep the buckets' tables are stored, and tables() gives the n-grams, with counts and probabilities, and the histories, with
+backoff weights. Without, a table lives as long as its bucket's task, whose answers hold all that the chunks need of it.
 
 Blocks are compressed columns, so that what is shuffled for a token is a few bytes. There is a bucket for about TARGET tokens of
 the corpus, so tasks stay as large as they are when the corpus grows. A history of more than a quarter of TARGET tokens is split
@@ -33,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import flat
 from tesserae.llm.blobs import blob_rows, bucket_of, pack, per_chunk, unpack
-from tesserae.llm.common import bucketed, partitions, stored
+from tesserae.llm.common import bucketed, fresh_path, partitions, release, stored, stored_at
 
 ORDER, CUT = 3, 5
 FOLDS, FOLD = 7, 2
@@ -150,28 +150,17 @@ class Chunk:
 
     Of order k: at (n-gram of each token), ctx (history, an n-gram of order k - 1), word, low (the n-gram without its first
     token), first (the n-gram of ends alone, history of first words), trained (its count in the chunk), and from the answers
-    number, count and alone (whether no other chunk has it) of each n-gram and, by history, scale, lows and used. Words are in
-    the order of their numbers.
+    number and count of each n-gram and, by history, scale, lows and used. Words are in the order of their numbers.
     """
 
     def __init__(self, blob: bytes) -> None:
-        self.ids, self.null, train, n, codes, end, size = unpack(blob)
+        self.ids, self.null, train, n, codes, end, number, count = unpack(blob)
         self.n = wide(n)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.train = train.astype(bool)[self.doc]
-        starts = np.cumsum(self.n) - self.n
-        self.starts, self.size, self.end = starts, int(size[0]), int(end[0])
-        self.codes = wide(codes)
-        self.orders = []
-
-    def unigrams(self, blobs: list[bytes]) -> None:
-        found = [unpack(b) for b in blobs]
-        number, count, alone = (np.concatenate([x[i] for x in found]) for i in range(3))
-        order = np.argsort(number)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.end = int(rank[self.end])
-        self.orders = [{"at": rank[self.codes], "first": self.end, "number": wide(number)[order], "count": wide(count)[order], "alone": alone[order] > 0}]
+        self.starts = np.cumsum(self.n) - self.n
+        self.end, self.size = int(end[0]), len(number)
+        self.orders = [{"at": wide(codes), "first": self.end, "number": np.cumsum(wide(number)), "count": wide(count)}]
 
     def extend(self) -> None:
         """The n-grams of the next order."""
@@ -189,18 +178,18 @@ class Chunk:
         top, histories = self.orders[-1], ctx[begin]
         times = last["count"][histories].copy()
         times[histories == last["first"]] = self.orders[0]["count"][self.end]
-        top["times"], top["own"] = times, (times > 0) & last["alone"][histories]
+        top["times"] = times
 
     def deal(self, buckets: int, hot: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, places of n-grams, places of histories, n-grams of each) of the last order, by number of the history and word."""
         top, last = self.orders[-1], self.orders[-2]
         histories, times = top["ctx"][top["begin"]], top["times"]
-        shared = (times > 0) & ~top["own"]
+        known = times > 0
         number = last["number"][histories]
         send = last["count"][top["low"]] > 0
         send[top["first"]] = True
-        send &= shared[top["of"]]
-        top["split"] = (times > hot) & shared
+        send &= known[top["of"]]
+        top["split"] = times > hot
         parts = np.maximum(np.ceil(times / hot), 1).astype(np.int64)
         # a history goes to its own bucket, or some after it by the next word
         home = number >> ROW_BITS if len(self.orders) > 2 else number
@@ -210,7 +199,7 @@ class Chunk:
         bucket[some] += spread % parts[top["of"]][some]
         bucket %= buckets
         # histories without an n-gram to send, whose weight is needed, go to their own bucket
-        bare = np.setdiff1d(np.flatnonzero(shared), top["of"][send])
+        bare = np.setdiff1d(np.flatnonzero(known), top["of"][send])
         rank = np.empty(len(histories), np.int64)
         rank[np.argsort(number)] = np.arange(len(histories))
         grams = np.flatnonzero(send)
@@ -241,14 +230,14 @@ class Chunk:
         top, last = self.orders[-1], self.orders[-2]
         size = len(top["low"])
         top |= {"number": np.full(size, -1), "count": np.zeros(size, np.int64)}
-        top["alone"] = top["own"][top["of"]]
-        top["count"][top["alone"]] = top["trained"][top["alone"]]
         k = len(last["number"])
         top |= {"scale": np.zeros(k, np.int64), "lows": np.zeros((k, CUT)), "used": np.zeros(k)}
         histories = top["ctx"][top["begin"]]
         for blob, (_, grams, own, _) in zip(blobs, self.deal(buckets, hot), strict=True):
-            row, count, alone, scale, weighted, lows, used = unpack(blob)
-            top["number"][grams], top["count"][grams], top["alone"][grams] = np.cumsum(wide(row)), count, alone > 0
+            row, count, scale, weighted, lows, used = unpack(blob)
+            top["count"][grams] = count
+            if len(row):  # the last order's n-grams are no histories
+                top["number"][grams] = np.cumsum(wide(row))
             at = histories[own]
             top["scale"][at] = scale
             some = at[weighted.astype(bool)]
@@ -257,27 +246,11 @@ class Chunk:
             for h in np.flatnonzero(top["split"]).tolist():
                 total, lows, used = sums[int(last["number"][histories[h]])]
                 top["scale"][histories[h]], top["lows"][histories[h]], top["used"][histories[h]] = scales(total, lows.sum()), lows, used
-        mine, own = np.flatnonzero(top["own"][top["of"]]), histories[top["own"]]
-        of, count = top["ctx"][mine], top["count"][mine]
-        lows = np.stack([np.bincount(of[count == r], minlength=k) for r in range(1, CUT + 1)], 1)
-        total = np.bincount(of, count, minlength=k).astype(np.int64)
-        top["scale"][own], top["lows"][own] = scales(total, lows.sum(1))[own], lows[own]
-
-    def use(self, order: int, uni: Unigrams, ds: list[np.ndarray]) -> dict:
-        """The n-grams of an order, with the sums that the chunk's own histories use."""
-        top, last = self.orders[order - 1], self.orders[order - 2]
-        mine = np.flatnonzero(top["own"][top["of"]] & (top["count"] > 0))
-        short = last["count"][top["low"][mine]]
-        p = uni.p(short) if order == 2 else discounted(short, ds[order - 3]) / last["scale"][last["low"][top["ctx"][mine]]]
-        own = top["ctx"][top["begin"]][top["own"]]
-        top["used"][own] = np.bincount(top["ctx"][mine], p, minlength=len(last["number"]))[own]
-        return top
 
     def scores(self, uni: Unigrams, ds: list[np.ndarray]) -> np.ndarray:
         """log10 of each text's probability, from the unigrams up."""
         logs = np.log10(uni.p(self.orders[0]["count"]))
-        for order, d in enumerate(ds, 2):
-            top = self.use(order, uni, ds)
+        for top, d in zip(self.orders[1:], ds):
             logs = logs[top["low"]]
             scale, seen = top["scale"][top["ctx"]], top["count"] > 0
             logs[seen] = np.log10(discounted(top["count"][seen], d) / scale[seen])
@@ -331,7 +304,7 @@ def unigram_table(dealt: DataFrame, buckets: int) -> DataFrame:
             return
         bucket, blocks = found[0][0], [unpack(x[2]) for x in found]
         words, at = np.unique(np.concatenate([x[0].view(np.uint64) for x in blocks]), return_inverse=True)
-        count, alone = np.bincount(at, np.concatenate([x[1] for x in blocks])).astype(np.int64), (np.bincount(at) == 1).astype(np.uint8)
+        count = np.bincount(at, np.concatenate([x[1] for x in blocks])).astype(np.int64)
         # frequent words have small numbers, whatever their bucket
         number = np.empty(len(words), np.int64)
         number[np.argsort(-count, kind="stable")] = np.arange(len(words)) * buckets + bucket
@@ -339,7 +312,7 @@ def unigram_table(dealt: DataFrame, buckets: int) -> DataFrame:
         for (_, chunk, _), block in zip(found, blocks):
             own = at[begin : begin + len(block[0])]
             begin += len(own)
-            yield blob_rows([(chunk, (1 << ROW_BITS) + bucket, pack(number[own], count[own], alone[own]))])
+            yield blob_rows([(chunk, (1 << ROW_BITS) + bucket, pack(number[own], count[own]))])
         yield blob_rows([(COUNTS, bucket, counts_of(count)), (TABLE, bucket, pack(words.view(np.int64), number, count))])
 
     return dealt.mapInArrow(run, ROW)
@@ -349,19 +322,14 @@ def counts_of(count: np.ndarray) -> bytes:
     return pack(np.array([np.count_nonzero(count == r) for r in range(1, CUT + 2)] + [np.count_nonzero(count), count.sum()], np.int64))
 
 
-def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
+def gram_table(dealt: DataFrame, order: int, lower, last: bool, keep: bool) -> DataFrame:
     """From blocks, a bucket per partition: the answers, counts of counts, sums of split histories and the bucket's part of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
         if not found:
             return
-        bucket, counts = found[0][0], sum((wide(unpack(f[2])[0]) for f in found if f[1] == COUNTS), np.zeros(CUT + 3, np.int64))
-        found = [f for f in found if f[1] != COUNTS]
-        blocks = [[wide(x) for x in unpack(f[2])] for f in found]
-        if not found:
-            yield blob_rows([(COUNTS, bucket, pack(counts))])
-            return
+        bucket, blocks = found[0][0], [[wide(x) for x in unpack(f[2])] for f in found]
         of = [np.cumsum(x[0]) for x in blocks]
         numbers, history = np.unique(np.concatenate(of), return_inverse=True)
         take = lambda i: np.concatenate([x[i] for x in blocks])
@@ -377,8 +345,10 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
         total = np.bincount(own, count, minlength=n).astype(np.int64)
         lows = np.stack([np.bincount(own[count == r], minlength=n) for r in range(1, CUT + 1)], 1)
         used = np.bincount(own[seen], lower(short[seen], scale[own[seen]]), minlength=n)
-        divide, alone = scales(total, lows.sum(1)), (np.bincount(at, minlength=len(grams)) == 1).astype(np.uint8)
-        yield blob_rows([(COUNTS, bucket, pack(wide(unpack(counts_of(count))[0]) + counts)), (TABLE, bucket, pack(gaps(numbers), scale, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count, short))])
+        divide = scales(total, lows.sum(1))
+        yield blob_rows([(COUNTS, bucket, counts_of(count))])
+        if keep:
+            yield blob_rows([(TABLE, bucket, pack(gaps(numbers), scale, np.bincount(own, minlength=n), words[grams % max(len(words), 1)], count, short))])
         if split.any():
             yield blob_rows([(SPLIT, bucket, pack(numbers[split], total[split], lows[split].ravel(), used[split]))])
         begin = first = 0
@@ -388,7 +358,7 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
             off = block[3] > 0
             off |= np.bincount(np.repeat(np.arange(len(mine)), block[1])[count[rows] == 0], minlength=len(mine)) > 0
             back = mine[off]
-            yield blob_rows([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows), count[rows], alone[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
+            yield blob_rows([(chunk, (order << ROW_BITS) + bucket, pack(gaps((bucket << ROW_BITS) + rows) if not last else rows[:0], count[rows], divide[mine], off.astype(np.uint8), lows[back].ravel(), used[back]))])
 
     return dealt.mapInArrow(run, ROW)
 
@@ -396,8 +366,8 @@ def gram_table(dealt: DataFrame, order: int, lower) -> DataFrame:
 class Model:
     """What the orders so far have given: discounts, sums of split histories, and stored answers and tables."""
 
-    def __init__(self, texts: DataFrame, buckets: int, hot: float) -> None:
-        self.texts, self.buckets, self.hot = texts, buckets, hot
+    def __init__(self, buckets: int, hot: float) -> None:
+        self.texts, self.buckets, self.hot = None, buckets, hot
         self.uni, self.ds, self.sums, self.found = None, [], [], []
 
     def take(self, found: DataFrame) -> dict[int, int]:
@@ -424,53 +394,65 @@ class Model:
             for place, b in found:
                 answers.setdefault(place >> ROW_BITS, []).append(b)
             c = Chunk(blob)
-            c.unigrams(answers[1])
             for order in range(2, len(sums) + 1):
                 c.extend()
                 c.answered(answers.get(order, []), buckets, hot, sums[order - 1])
             yield from run(chunk, c)
 
-        rows = self.found[0]
-        for found in self.found[1:]:
-            rows = rows.unionByName(found)
+        rows = self.found[0].limit(0) if len(self.found) == 1 else reduce(DataFrame.unionByName, self.found[1:])
         return per_chunk(self.texts, rows.where("chunk >= 0"), each, schema)
 
-    def grow(self) -> None:
+    def grow(self, last: bool, keep: bool) -> None:
         """The next order."""
         buckets, hot = self.buckets, self.hot
 
         def blocks(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
             c.extend()
-            top = c.orders[-1]
             rows = [(b, chunk, blob) for b, blob in c.blocks(buckets, hot)]
-            rows.append((chunk % buckets, COUNTS, counts_of(top["trained"][top["own"][top["of"]]])))
             for lo in range(0, len(rows), 64):
                 yield blob_rows(rows[lo : lo + 64], "bucket, chunk, blob")
 
         uni, d, order = self.uni, self.ds[-1] if self.ds else None, len(self.sums) + 1
         lower = (lambda count, scale: uni.p(count)) if d is None else (lambda count, scale: discounted(count, d) / scale)
         dealt = self.chunks(blocks, "bucket long, chunk long, blob binary").repartitionById(buckets, F.col("bucket").cast("int"))
-        self.ds.append(discounts(self.take(stored(gram_table(dealt, order, lower), "grams"))))
+        self.ds.append(discounts(self.take(stored(gram_table(dealt, order, lower, last, keep), "grams"))))
+
+
+def numbered(chunk: int, blob: bytes, found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """A coded chunk with its words in the order of their numbers, and with the answers to its words."""
+    ids, null, train, n, codes, end, _ = unpack(blob)
+    answers = [unpack(b) for _, b in found]
+    number, count = (np.concatenate([wide(x[i]) for x in answers]) for i in (0, 1))
+    order = np.argsort(number)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    yield blob_rows([(chunk, 0, pack(ids, null, train, n, rank[codes], rank[end], gaps(number[order]), count[order]))])
 
 
-def trained(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET) -> Model:
+def trained(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET, keep: bool = True) -> Model:
     """The model of the training texts among docs, with what their chunks need to be scored."""
     spark = docs.sparkSession
-    texts = bucketed(coded(docs, text, id_col), "texts", "chunk")
+    raw, first = fresh_path(spark, "texts"), fresh_path(spark, "grams")
+    texts = stored_at(coded(docs, text, id_col), raw)
     buckets = max(partitions(spark), -(-texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // target))
-    model = Model(texts, buckets, target / 4)
+    model = Model(buckets, target / 4)
     dealt = unigram_blocks(texts, buckets).repartitionById(buckets, F.col("bucket").cast("int"))
-    low = model.take(stored(unigram_table(dealt, buckets), "grams"))
+    found = stored_at(unigram_table(dealt, buckets), first)
+    low = model.take(found)
     kinds, total = low.pop(0)
     model.uni = Unigrams(total, kinds, low)
-    for _ in range(1, order):
-        model.grow()
+    model.texts = bucketed(per_chunk(texts, found.where("chunk >= 0"), numbered, ROW).drop("place"), "texts", "chunk")
+    if keep:
+        model.found[0] = stored(found.where(F.col("chunk") == TABLE), "grams")
+    release(spark, raw, first)
+    for k in range(2, order + 1):
+        model.grow(k == order, keep)
     return model
 
 
-def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET) -> DataFrame:
+def scored(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER, target: int = TARGET, keep: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    model = trained(docs, text, id_col, order, target)
+    model = trained(docs, text, id_col, order, target, keep)
     uni, ds = model.uni, model.ds
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -494,7 +476,7 @@ def tables(model: Model, order: int) -> tuple[DataFrame, DataFrame | None]:
 
     Numbers of order 1, which also name the words of all orders, are in the first table's column word, whose history is the hash of the word.
     A history's number is that of an n-gram of the order below: its bucket (the place) in the upper bits and its row in order of
-    history and word below them, or below zero a hash for what one chunk has alone.
+    history and word below them. The model must be one that keeps its tables.
     """
     uni, sums, ds = model.uni, model.sums, model.ds
     split = np.array(sorted(sums[order - 1]), np.int64)
@@ -538,17 +520,5 @@ def tables(model: Model, order: int) -> tuple[DataFrame, DataFrame | None]:
 
         return run
 
-    def of_chunks(rows_of):
-        def run(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
-            top, last = c.use(order, uni, ds), c.orders[order - 2]
-            own = top["ctx"][top["begin"]][top["own"]]
-            hashes = -1 - (flat.mix(np.uint64(chunk) * np.uint64(1 << 20 | 1) + own.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-            numbers = np.where(last["number"][own] >= 0, last["number"][own], hashes)
-            mine = np.flatnonzero(top["own"][top["of"]] & (top["count"] > 0))
-            yield rows_of(numbers, top["scale"][own], top["lows"][own], top["used"][own], np.searchsorted(own, top["ctx"][mine]), c.orders[0]["number"][top["word"][mine]], top["count"][mine])
-
-        return run
-
-    table = stored_parts.mapInArrow(of_buckets(grams), GRAMS).unionByName(model.chunks(of_chunks(grams), GRAMS))
     backoff = stored_parts.mapInArrow(of_buckets(backoffs), WEIGHTS).dropDuplicates(["history"])  # a split history is in several parts
-    return table, backoff.unionByName(model.chunks(of_chunks(backoffs), WEIGHTS))
+    return stored_parts.mapInArrow(of_buckets(grams), GRAMS), backoff
