@@ -101,14 +101,15 @@ def links(docs: DataFrame, classes: DataFrame, text: str = "text", id_col: str =
             s, e, rows = flat.word_spans(data, offsets)
             values, at = flat.shingles(flat.span_hashes(data, s, e) if len(s) else np.zeros(0, np.uint64), rows, k)
             cut = np.searchsorted(at, np.arange(len(offsets)))
-            lists = [np.unique(values[i:j].view(np.int64)) for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["unit", "shingles"])
+            short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            lists = [np.unique(short[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["unit", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text).cast("string").alias("text"))
 
     def sets_of(used: DataFrame) -> DataFrame:
         named = stored(used.join(classes, "unit").select("unit", "first", "fingerprint"), "minhash")
-        found = texts.join(named, "first").select("unit", "text", "fingerprint").mapInArrow(sets, "unit long, shingles array<long>")
+        found = texts.join(named, "first").select("unit", "text", "fingerprint").mapInArrow(sets, "unit long, shingles array<int>")
         return found.groupBy("unit").agg(F.min("shingles").alias("shingles"))
 
     return bands.links(classes.select(F.explode(keys).alias("key"), "unit"), sets_of, similarity)

@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import documents, labels, stored
+from tesserae.llm.common import documents, labels
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import minhash
 
-    docs = documents(spark, sf_dir)
-    return minhash.classed(stored(minhash.edited_fingerprints(docs), "minhash"), docs)
+    return minhash.edited_fingerprints(documents(spark, sf_dir))
+
+
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 1: signature bands joined, Jaccard verified, every document with its class."""
+    from tesserae.llm import minhash
+
+    return minhash.membership(documents(spark, sf_dir))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +103,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_quality_classifier": op9_quality_classifier, "op10_katz": op10_katz, "pipeline": pipeline}
+    return {"op1_fingerprints": op1_fingerprints, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_packing": op5_packing, "op6_secrets": op6_secrets, "op7_simhash": op7_simhash, "op8_passages": op8_passages, "op9_quality_classifier": op9_quality_classifier, "op10_katz": op10_katz, "pipeline": pipeline, "minhash_classes": minhash_classes}
 
 
 def oracle_sql() -> dict[str, str]:
