@@ -47,9 +47,9 @@ from tesserae.llm.common import bucketed, fresh_path, partitions, release, store
 ORDER, CUT = 3, 5
 FOLDS, FOLD = 7, 2
 END = np.int64(0x51A7E0F1E57)  # stands for the end among word hashes
-CHUNK_BYTES = 8 << 20
+CHUNK_TOKENS = 1_000_000
 #: Tokens of a bucket; the bits of a number that count rows in a bucket, above them is the bucket.
-TARGET, ROW_BITS = 1_500_000, 40
+TARGET, ROW_BITS = 1_000_000, 40
 
 
 def held_out(ids: list[int | None], folds: int = FOLDS, fold: int = FOLD) -> np.ndarray:
@@ -120,26 +120,30 @@ def coded(docs: DataFrame, text: str, id_col: str) -> DataFrame:
         seq = 0
         for batch in batches:
             data, offsets = flat.flat(batch.column(2))
-            for lo, hi in flat.slabs(np.diff(offsets), CHUNK_BYTES):
-                chunk, seq = batch.column(1)[0].as_py() * (1 << 32) + seq, seq + 1
-                ids, parts, sizes = batch.column(0).slice(lo, hi - lo).to_pylist(), [], []
-                for i, j in flat.slabs(np.diff(offsets[lo : hi + 1])):
-                    at = offsets[lo + i : lo + j + 1]
-                    h, n = tokens(data[at[0] : at[-1]], at - at[0])
-                    parts.append(h)
-                    sizes.append(n)
-                n, train = np.concatenate(sizes), ~held_out(ids)
-                d = pc.dictionary_encode(pa.array(np.concatenate(parts).view(np.uint64)))
-                words = d.dictionary.to_numpy()
-                order = np.argsort(words)
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                codes = rank[d.indices.to_numpy()]
-                counts = np.bincount(codes[np.repeat(train, n)], minlength=len(words))
-                null = np.array([x is None for x in ids], np.uint8)
-                end = rank[np.flatnonzero(words == np.uint64(END))]
-                blob = pack(np.array([0 if x is None else x for x in ids], np.int64), null, train.astype(np.uint8), n, codes, end, np.array([len(words)]))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([blob], pa.binary()), pa.array([pack(words[order].view(np.int64), counts)], pa.binary())], names)
+            ids, parts, sizes, lo = batch.column(0).to_pylist(), [], [], 0
+            for i, j in flat.slabs(np.diff(offsets)):
+                at = offsets[i : j + 1]
+                h, n = tokens(data[at[0] : at[-1]], at - at[0])
+                parts.append(h)
+                sizes.append(n)
+                if j == len(ids) or sum(map(len, parts)) >= CHUNK_TOKENS:
+                    chunk, seq = batch.column(1)[0].as_py() * (1 << 32) + seq, seq + 1
+                    yield out(chunk, ids[lo:j], np.concatenate(sizes), np.concatenate(parts))
+                    parts, sizes, lo = [], [], j
+
+    def out(chunk: int, ids: list, n: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        train = ~held_out(ids)
+        d = pc.dictionary_encode(pa.array(hashes.view(np.uint64)))
+        words = d.dictionary.to_numpy()
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        codes = rank[d.indices.to_numpy()]
+        counts = np.bincount(codes[np.repeat(train, n)], minlength=len(words))
+        null = np.array([x is None for x in ids], np.uint8)
+        end = rank[np.flatnonzero(words == np.uint64(END))]
+        blob = pack(np.array([0 if x is None else x for x in ids], np.int64), null, train.astype(np.uint8), n, codes, end, np.array([len(words)]))
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([blob], pa.binary()), pa.array([pack(words[order].view(np.int64), counts)], pa.binary())], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, CODED)
@@ -156,20 +160,23 @@ class Chunk:
     def __init__(self, blob: bytes) -> None:
         self.ids, self.null, train, n, codes, end, number, count = unpack(blob)
         self.n = wide(n)
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         self.train = train.astype(bool)[self.doc]
         self.starts = np.cumsum(self.n) - self.n
         self.end, self.size = int(end[0]), len(number)
-        self.orders = [{"at": wide(codes), "first": self.end, "number": np.cumsum(wide(number)), "count": wide(count)}]
+        self.orders = [{"at": codes.astype(np.int32), "first": self.end, "number": np.cumsum(wide(number)), "count": wide(count)}]
 
     def extend(self) -> None:
         """The n-grams of the next order."""
         last = self.orders[-1]
-        ctx = np.empty_like(last["at"])
+        ctx = np.empty(len(last["at"]), np.int64)
         ctx[1:] = last["at"][:-1]
         ctx[self.starts] = last["first"]
         key = np.append(ctx * self.size + self.orders[0]["at"], last["first"] * self.size + self.end)
+        del ctx
         grams, at = np.unique(key, return_inverse=True)
+        del key
+        at = at.astype(np.int32)
         low = np.empty(len(grams), np.int64)
         low[at[:-1]], low[at[-1]] = last["at"], last["first"]
         ctx, word = grams // self.size, grams % self.size
