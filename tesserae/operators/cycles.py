@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +30,17 @@ def adjacency(edges: DataFrame, relations: Sequence[str] = CYCLE_RELATIONS) -> D
     return rows.select(*KEY, F.col("src_id").alias("a"), F.col("dst_id").alias("b")).distinct()
 
 
-def tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
+def tarjan(pairs: list[tuple]) -> dict:
     """The least id of each node's component. Recursion is a stack of its own, so chains may be of any length."""
-    out: dict[str, list[str]] = {}
+    out: dict = {}
     for a, b in pairs:
         out.setdefault(a, []).append(b)
         out.setdefault(b, [])
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    stack: list[str] = []
-    on: set[str] = set()
-    label: dict[str, str] = {}
+    index: dict = {}
+    low: dict = {}
+    stack: list = []
+    on: set = set()
+    label: dict = {}
     for root in out:
         if root in index:
             continue
@@ -74,12 +75,60 @@ def tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return label
 
 
+def _reached(step: np.ndarray, at: np.ndarray, start: int, n: int) -> np.ndarray:
+    """Which of n nodes a walk from start comes to; step holds the successors of node i at at[i] to at[i + 1]."""
+    seen = np.zeros(n, bool)
+    seen[start] = True
+    front = np.array([start])
+    while len(front):
+        count = at[front + 1] - at[front]
+        place = np.arange(count.sum()) + np.repeat(at[front] - (np.cumsum(count) - count), count)
+        front = np.unique(step[place])
+        front = front[~seen[front]]
+        seen[front] = True
+    return seen
+
+
+def labels(a: np.ndarray, b: np.ndarray, n: int, pivots: int = 4) -> np.ndarray:
+    """The least node of each node's component, of edges between nodes 0 to n - 1.
+
+    Nodes without an edge in or out are trimmed and the components of the busiest nodes found by walks, all in arrays;
+    what is left goes through tarjan().
+    """
+    out = np.arange(n)
+    for _ in range(pivots):
+        for _ in range(64):
+            live = np.zeros(n, bool)
+            live[a] = True
+            into = np.zeros(n, bool)
+            into[b] = True
+            live &= into
+            keep = live[a] & live[b]
+            if keep.all():
+                break
+            a, b = a[keep], b[keep]
+        if not len(a):
+            return out
+        start = int(np.argmax(np.bincount(a, minlength=n) * np.bincount(b, minlength=n)))
+        both = np.ones(n, bool)
+        for x, y in ((a, b), (b, a)):
+            order = np.argsort(x, kind="stable")
+            both &= _reached(y[order], np.searchsorted(x[order], np.arange(n + 1)), start, n)
+        out[both] = np.flatnonzero(both)[0]
+        keep = ~both[a] & ~both[b]
+        a, b = a[keep], b[keep]
+    for node, least in tarjan(list(zip(a.tolist(), b.tolist()))).items():
+        out[node] = least
+    return out
+
+
 def grouped_components(pairs: DataFrame) -> DataFrame:
     """(key, id, scc) of graphs that fit one task each."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        label = tarjan(list(zip(g["a"], g["b"])))
-        return pd.DataFrame({"subject_id": g["subject_id"].iloc[0], "scan_id": g["scan_id"].iloc[0], "id": list(label), "scc": list(label.values())})
+        codes, names = pd.factorize(pd.concat([g["a"], g["b"]], ignore_index=True), sort=True)
+        least = labels(codes[: len(g)], codes[len(g) :], len(names))
+        return pd.DataFrame({"subject_id": g["subject_id"].iloc[0], "scan_id": g["scan_id"].iloc[0], "id": names, "scc": names[least]})
 
     return pairs.groupBy(*KEY).applyInPandas(run, "subject_id string, scan_id string, id string, scc string")
 

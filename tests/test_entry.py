@@ -74,22 +74,22 @@ def test_whole_analysis_against_brute_force(spark, duck, whole):
     on = sum(map(len, comps))
     assert comps and on > 100
     run = lambda name: entry.queries()[name](spark, DATA).collect()
-    seen = {r["dimension"]: r for r in run("whole_view_observations")}
+    seen = {r["dimension"]: r for r in run("view_observations")}
     assert (seen["cycle"]["relevant"], seen["cycle"]["findings"]) == (len(ids), len(comps)) and seen["cycle"]["value"] == on / len(ids)
     for name in ("layer", "persistence", "security"):  # these need no closure: SQL over all edges gives them
         table, flag = {"layer": ("lv", "violating"), "persistence": ("pe", "n > 0"), "security": ("se", "weak")}[name]
         n, k = duck.sql(f"{graph.BASE}, {graph.LAYER}, {graph.PERS}, {graph.SECU} SELECT count(*), count(*) FILTER ({flag}) FROM {table}").fetchall()[0]
         assert (seen[name]["relevant"], seen[name]["findings"]) == (n, k)
     total = sum(seen[d]["value"] for d in ("layer", "cycle", "persistence")) / 3
-    row = run("whole_scan_summary_row")[0]
+    row = run("scan_summary_row")[0]
     assert (row["node_count"], row["edge_count"]) == (len(ids), edges) and abs(row["total_entropy"] - total) < 1e-9 and abs(row["maturity"] - 1 + total) < 1e-9
-    held = {r["name"]: r["holds"] for r in run("whole_view_constraints")}
+    held = {r["name"]: r["holds"] for r in run("view_constraints")}
     assert held["entropy_budget"] == (total <= 0.35) and row["invariant_violation_count"] == sum(not h for h in held.values())
     found = {}
-    for r in run("whole_view_findings"):
+    for r in run("view_findings"):
         found[r["dimension"]] = found.get(r["dimension"], 0) + r["n"]
     assert found == {d: r["findings"] for d, r in seen.items() if r["findings"]}
-    assert {r["question"] for r in run("whole_view_unanswered")} == {f"unaddressable:{len(comps)}"} | {f"dimension:{d}" for d, r in seen.items() if r["value"] is None}
+    assert {r["question"] for r in run("view_unanswered")} == {f"unaddressable:{len(comps)}"} | {f"dimension:{d}" for d, r in seen.items() if r["value"] is None}
 
 
 def test_whole_cycles_against_brute_force(spark, whole):
@@ -98,11 +98,11 @@ def test_whole_cycles_against_brute_force(spark, whole):
     for c in comps:
         least.update(dict.fromkeys(c, min(c)))
         size.update(dict.fromkeys(c, len(c)))
-    got = {r["id"]: (r["scc"], r["scc_size"]) for r in entry.queries()["whole_cycle_scc"](spark, DATA).collect()}
+    got = {r["id"]: (r["scc"], r["scc_size"]) for r in entry.queries()["cycle_scc"](spark, DATA).collect()}
     assert got == {x: (least.get(x, x), size.get(x, 1)) for x in ids}
-    row = entry.queries()["whole_cycle_entropy"](spark, DATA).first()
+    row = entry.queries()["cycle_entropy"](spark, DATA).first()
     assert (row["nodes"], row["participating"], row["cycles"], row["value"]) == (len(ids), len(least), len(comps), len(least) / len(ids))
-    for r in entry.queries()["whole_cycle_by_subsystem"](spark, DATA).collect():
+    for r in entry.queries()["cycle_by_subsystem"](spark, DATA).collect():
         mine = [x for x in ids if x.startswith(r["subsystem"] + ".")]
         assert (r["claimed"], r["participating"]) == (len(mine), sum(x in least for x in mine))
 
