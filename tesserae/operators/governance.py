@@ -111,6 +111,24 @@ class Calibration:
         return "linear"
 
 
+@dataclass(frozen=True)
+class CustomCalibration:
+    """A calibration function of one's own: a name, which the fingerprint and the reports show, and columns in, columns out."""
+
+    label: str
+    function: Callable[[Column], Column]
+
+    def __post_init__(self) -> None:
+        not_blank(self.label, "calibration name")
+        require(callable(self.function), "a calibration is a function of a column")
+
+    def apply(self, e: Column) -> Column:
+        return self.function(e)
+
+    def name(self) -> str:
+        return self.label
+
+
 def weight(value: float, what: str) -> float:
     require(isinstance(value, (int, float)) and not math.isnan(value) and value >= 0, f"{what} must be a number of 0 or more")
     return float(value)
@@ -120,11 +138,12 @@ def weight(value: float, what: str) -> float:
 class WeightedDimension:
     name: str
     weight: float
-    calibration: Calibration = Calibration()
+    calibration: Calibration | CustomCalibration = Calibration()
 
     def __post_init__(self) -> None:
         not_blank(self.name, "dimension")
         weight(self.weight, "weight")
+        require(callable(getattr(self.calibration, "apply", None)) and callable(getattr(self.calibration, "name", None)), "a calibration has apply() and name()")
 
 
 @dataclass(frozen=True)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,35 @@ from pyspark.sql import functions as F
 from tesserae.functions.javatext import json_text
 from tesserae.operators import calibration, cycles, governance, invariants, metrics, roles
 from tesserae.operators.governance import FINDING, GovernancePolicy
-from tesserae.schema import DIMENSIONS, KEY
+from tesserae.schema import DIMENSIONS, KEY, not_blank, require
 from tesserae.storage import stored
 
 
+@dataclass(frozen=True)
+class DetectionCatalog:
+    """The detection rules of a run: seed rules, refinement rules and security rules. Nothing is added by default; names may not repeat."""
+
+    seed_rules: tuple
+    refinement_rules: tuple
+    security_rules: tuple
+
+    def __post_init__(self) -> None:
+        for rules, what in ((self.seed_rules, "seed"), (self.security_rules, "security")):
+            names = [not_blank(getattr(r, "name", None), f"the name of a {what} rule") for r in rules]
+            require(len(set(names)) == len(names), f"a {what} rule is named twice")
+        require(all(map(callable, self.refinement_rules)), "a refinement rule is a function of roles, edges and what is new")
+
+    def refine(self, base: DataFrame, up: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The candidates of all refinement rules."""
+        if not self.refinement_rules:
+            return roles.inherit_from_supertypes(base, up, fresh).limit(0)
+        return reduce(DataFrame.unionByName, [rule(base, up, fresh) for rule in self.refinement_rules])
+
+
+#: The rules that the examples use.
+ILLUSTRATIVE = DetectionCatalog(tuple(roles.SEED_RULES), (roles.inherit_from_supertypes,), tuple(metrics.SECURITY_RULES))
+
+
 @dataclass(frozen=True)
 class Analysis:
     """Tables of one run, all keyed by (subject_id, scan_id)."""
@@ -41,15 +66,15 @@ class Analysis:
         return calibration.snapshots(self.values, self.policy.fingerprint())
 
 
-def analyse(nodes: DataFrame, edges: DataFrame, policy: GovernancePolicy, seed_rules: Sequence = roles.SEED_RULES, security_rules: Sequence = metrics.SECURITY_RULES) -> Analysis:
+def analyse(nodes: DataFrame, edges: DataFrame, policy: GovernancePolicy, catalog: DetectionCatalog = ILLUSTRATIVE) -> Analysis:
     """Roles, the four dimensions, total, invariants and the exception ledger. Exceptions never move a number."""
-    final, passes = roles.refined(nodes, edges, seed_rules)
+    final, passes = roles.refined(nodes, edges, catalog.seed_rules, catalog.refine)
     final = stored(final, "nodes")
     edges = stored(edges, "edges")
     layer = stored(metrics.layer_edges(final, edges, policy.layer_policy, policy.subsystems), "layer")
     comps = stored(cycles.components(final, edges), "cycle")
     persistence = stored(metrics.persistence_edges(final, edges), "persistence")
-    security = metrics.security_findings(final, security_rules)
+    security = metrics.security_findings(final, catalog.security_rules)
     cycle = cycles.cycle_entropy(comps, policy.include_self_cycles)
     graphs = metrics.graphs(final)
     value = lambda df, name: df.select(*KEY, F.col("value").alias(name))

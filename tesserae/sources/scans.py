@@ -6,11 +6,52 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The tables of projects and their scans. A scan's project must exist; scans are partitioned by project and read newest first.
+PROJECTS = "id string not null, name string not null, repo_url string, created_at timestamp not null"
+SCANS = (
+    "id string not null, project_id string not null, scanned_at timestamp not null, node_count int not null, edge_count int not null, role_refinement_passes int not null, layer_entropy double, cycle_entropy double, "
+    "persistence_entropy double, security_entropy double, total_entropy double, maturity double, maturity_level string, confidence double, invariant_violation_count int not null, skipped_invariants array<string> not null, report string not null"
+)
+_VALUE = "struct<value:double>"
+_REPORT = (
+    f"graph struct<nodes:array<struct<id:string>>,edges:array<struct<relation:string>>>, roleRefinementPasses double, layerEntropy {_VALUE}, cycleEntropy {_VALUE}, persistenceEntropy {_VALUE}, securityEntropy {_VALUE}, "
+    "totalEntropy double, maturity double, maturityLevel string, confidence double, invariants map<string,struct<holds:boolean>>, skippedInvariants array<string>"
+)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """JSON reports, one document per file: (path, report)."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("report"))
 
 
+def summarised(reports: DataFrame) -> DataFrame:
+    """reports (with a column report) with the flat columns of SCANS, as the report itself states them, and readable.
+
+    readable is false where the text isn't a report: such a row has no counts, and its columns are null.
+    """
+    r = F.from_json("report", _REPORT)
+    rows = reports.withColumn("_r", r)
+    of = lambda name: F.col(f"_r.{name}")
+    broken = F.size(F.filter(F.map_values(F.coalesce(of("invariants"), F.create_map().cast("map<string,struct<holds:boolean>>"))), lambda i: ~i["holds"]))
+    readable = F.coalesce(of("graph.nodes").isNotNull() & of("graph.edges").isNotNull() & of("roleRefinementPasses").isNotNull(), F.lit(False))
+    when = lambda c: F.when(F.col("readable"), c)
+    rows = rows.withColumn("readable", readable)
+    return rows.select(
+        *reports.columns, "readable", when(F.size(of("graph.nodes"))).alias("node_count"), when(F.size(of("graph.edges"))).alias("edge_count"), of("roleRefinementPasses").cast("int").alias("role_refinement_passes"),
+        *[of(f"{d}Entropy.value").alias(f"{d}_entropy") for d in ("layer", "cycle", "persistence", "security")], of("totalEntropy").alias("total_entropy"), of("maturity").alias("maturity"), of("maturityLevel").alias("maturity_level"),
+        of("confidence").alias("confidence"), when(broken).alias("invariant_violation_count"), when(F.coalesce(of("skippedInvariants"), F.array().cast("array<string>"))).alias("skipped_invariants"),
+    )
+
+
+def push(reports: DataFrame, project_id: str, path: str) -> DataFrame:
+    """The readable reports as new rows of SCANS, appended to the table at path; returns the reports that aren't readable."""
+    rows = summarised(reports)
+    columns = [c.split()[0] for c in SCANS.split(", ")]
+    scans = rows.where("readable").withColumns({"id": F.expr("uuid()"), "project_id": F.lit(project_id), "scanned_at": F.current_timestamp()})
+    append(scans.select(*columns), path)
+    return rows.where("not readable").select(*reports.columns)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Rows of scans, partitioned by project so that reading one project reads nothing else."""
     rows.write.mode("append").partitionBy("project_id").parquet(path)
