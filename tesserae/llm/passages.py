@@ -40,7 +40,7 @@ WINDOW, MIN_RUN = 20, 36
 #: Words of an anchor; bits of the filter over keys that several documents have: more keys than fit only let more rows pass.
 ANCHOR, FILTER_BITS, BLOCK = 8, 28, 4096
 #: A key of more rows is dealt by so many salts.
-HOT, SALTS = 5000, 32
+HOT, SALTS = 20_000, 32
 MARKED = "doc_id long, variant long, keeper long, first int, words int"
 
 
@@ -201,8 +201,8 @@ def repeated_words(rows: DataFrame, length: int = WINDOW, hot: int = HOT) -> Dat
     """(doc_id, variant, keeper, first, words) of sentences and of windows of length words that a document with a smaller id has, too.
 
     A key's rows go to one task, as a stream. Those of keys that may have more than hot rows are salted by their document; a pass before,
-    where there are such keys, finds their least documents by partial aggregation, which go to each salt as rows of no
-    words. A word that repeats on and on gives one row, not one for each window.
+    where there are such keys, finds their least documents by partial aggregation, which go as rows of no words to the salts
+    that have any. A word that repeats on and on gives one row, not one for each window.
     """
     spark = rows.sparkSession
     bitmaps = spark.sparkContext.broadcast(shared_keys(rows, length, hot))
@@ -256,10 +256,10 @@ def repeated_words(rows: DataFrame, length: int = WINDOW, hot: int = HOT) -> Dat
 
     found = rows.mapInArrow(rows_of(False), FOUND)
     if len(bitmaps.value[1]):
-        firsts = stored(rows.mapInArrow(rows_of(True), FOUND).groupBy("unit").agg(F.min("doc_id").alias("doc_id")), "passages")
-        salts = F.explode(F.sequence(F.lit(1), F.lit(SALTS)))
+        each = rows.mapInArrow(rows_of(True), FOUND).groupBy("unit", "salt").agg(F.min("doc_id").alias("doc_id")).where("salt > 0")
+        firsts = stored(each.groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.collect_list("salt").alias("salts")).where(F.size("salts") > 1), "passages")
         zero = F.lit(0)
-        found = found.unionByName(firsts.select("unit", salts.alias("salt"), "doc_id", zero.cast("long").alias("variant"), zero.alias("first"), zero.alias("words")))
+        found = found.unionByName(firsts.select("unit", F.explode("salts").alias("salt"), "doc_id", zero.cast("long").alias("variant"), zero.alias("first"), zero.alias("words")))
     dealt = found.repartition(partitions(spark), "unit", "salt").sortWithinPartitions("unit", "salt", "doc_id")
     return dealt.mapInArrow(least, MARKED)
 
