@@ -6,8 +6,8 @@ identifiers; a sum of log-likelihood ratios over THRESHOLD makes it a span of ki
 letters alone, or of digits, are scored like all others. The models are trained from labelled samples of several sources, which weigh
 alike whatever their size: of random strings, values that the base patterns found and strings made by digests; of ordinary ones,
 the corpus's long lower-case words and numbers, and common names of programs (WORDS), numbers and runs of one character.
-Words also come in the forms that identifiers have: capitals, upper case, camel case, parts joined by _, - or /, and with
-digits. training() also takes samples from elsewhere. Added spans never overlap base ones.
+Names also come in the forms that identifiers have: capitals, upper case, camel case, parts joined by _, - or /, and with
+digits; of the corpus's words, whose number grows with it, the counted pairs get their capital forms instead. training() also takes samples from elsewhere. Added spans never overlap base ones.
 
 Positions are in code points, ends exclusive: a pattern's matches and the pieces between them give them by running sums, which are
 made in blocks, so that a text's cost doesn't grow with the square of its matches.
@@ -40,7 +40,7 @@ STEP = 512
 THRESHOLD, PRIOR, ALPHABET = 10.0, 8.0, 66
 SPAN = "struct<start:bigint,end:bigint>"
 #: Strings made by digests, and pairs of characters that a source of samples counts for.
-MADE, MASS = 4000, 100_000.0
+MADE, MASS, WORDS_SOURCE = 4000, 100_000.0, "words"
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Common names in programs.
 WORDS = (
@@ -121,7 +121,6 @@ def samples(found: DataFrame) -> DataFrame:
     rows = lambda d, sample, secret, source, n: d.select(sample.alias("sample"), F.lit(secret).alias("secret"), F.lit(source).alias("source"), n.cast("long").alias("n"))
     secret = found.select(F.explode(values).alias("sample")).groupBy("sample").agg(F.count("*").alias("n"))
     ordinary = found.select(F.explode("ordinary").alias("sample")).groupBy("sample").agg(F.count("*").alias("n"))
-    shaped = F.explode(F.when(F.col("sample").rlike("^[0-9]"), F.array("sample")).otherwise(forms(F.col("sample"))))
     made = spark.range(MADE)
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
@@ -132,10 +131,17 @@ def samples(found: DataFrame) -> DataFrame:
     pairs = spark.range(8).select(F.explode(names).alias("sample"))
     plain = spark.range(MADE // 8).select(F.explode(F.array(F.abs(F.xxhash64("id")).cast("string"), F.repeat(F.substring(F.lit(CHARACTERS), F.pmod("id", F.lit(len(CHARACTERS))).cast("int") + 1, F.lit(1)), 16))).alias("sample"))
     one = F.lit(1)
-    parts = [rows(secret, F.col("sample"), 1, "found", F.col("n")), rows(made, random, 1, "made", one), rows(ordinary, shaped, 0, "words", F.col("n")), rows(pairs, F.explode(forms(F.col("sample"))), 0, "names", one), rows(plain, F.col("sample"), 0, "names", one)]
+    parts = [rows(secret, F.col("sample"), 1, "found", F.col("n")), rows(made, random, 1, "made", one), rows(ordinary, F.col("sample"), 0, WORDS_SOURCE, F.col("n")), rows(pairs, F.explode(forms(F.col("sample"))), 0, "names", one), rows(plain, F.col("sample"), 0, "names", one)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def cased(pair: Column, n: Column) -> Column:
+    """(pair, n) and, for pairs of small letters in the corpus's words, shares of n for both as capitals and either."""
+    small = (F.col("source") == WORDS_SOURCE) & F.floor(pair / 128).between(97, 122) & (pair % 128).between(97, 122)
+    one = lambda p, share: F.struct(p.cast("int").alias("pair"), (n * share).alias("n"))
+    return F.when(small, F.array(one(pair, 1.0), one(pair - 32 * 128 - 32, 0.2), one(pair - 32 * 128, 0.1), one(pair - 32, 0.1))).otherwise(F.array(one(pair, 1.0)))
+
+
 def training(labelled: DataFrame) -> DataFrame:
     """(pair, n0, n1): how often each pair of ASCII codes, 128 * a + b, occurs in ordinary and in random samples.
 
@@ -149,6 +155,7 @@ def training(labelled: DataFrame) -> DataFrame:
     rows = rows.select("secret", "source", "n", F.explode(pairs).alias("pair")).where("pair is not null")
     counts = rows.groupBy("secret", "source", "pair").agg(F.sum("n").alias("n"))  # 16,384 for each source at most
     if "source" in labelled.columns:
+        counts = counts.select("secret", "source", F.explode(cased(F.col("pair"), F.col("n"))).alias("p")).groupBy("secret", "source", F.col("p.pair").alias("pair")).agg(F.sum("p.n").alias("n"))
         whole = Window.partitionBy("secret", "source")
         counts = counts.withColumn("n", F.col("n") * MASS / F.sum("n").over(whole))
     return counts.groupBy("pair").agg(*[F.sum(F.when(F.col("secret") == v, F.col("n")).otherwise(0.0)).alias(f"n{v}") for v in (0, 1)])
