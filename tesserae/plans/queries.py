@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import calibration, cycles, governance, invariants, metrics, roles
-from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, GovernancePolicy, LayerPolicy, Subsystem, Subsystems, WeightedDimension
-from tesserae.plans import analysis, presets
+from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, Subsystem, Subsystems, WeightedDimension
+from tesserae.plans import analysis, presets, samples
 from tesserae.schema import KEY
-from tesserae.sources import bridge, facts, scans
+from tesserae.sources import bridge, facts, java, scans
 from tesserae.storage import stored
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -439,6 +439,43 @@ def scan_summary_row(spark, sf_dir):
     return rows.select("node_count", "edge_count", "passes", F.round("total_entropy", 12).alias("total_entropy"), F.round("maturity", 12).alias("maturity"), "invariant_violation_count")
 
 
+# The sample project's facts, read off its sources.
+JAVA_NODES = """VALUES
+('lib.service.Pricing', 'COMPONENT', 'APPLICATION', 0), ('lib.service.Pricing#next(int)', 'FUNCTION', 'APPLICATION', 0), ('lib.service.Pricing#round(int)', 'FUNCTION', 'APPLICATION', 0),
+('lib.service.Rounding', 'COMPONENT', 'UNKNOWN', 0), ('lib.service.Rounding#round(int)', 'FUNCTION', 'UNKNOWN', 0),
+('lib.store.CachedStore', 'COMPONENT', 'PERSISTENCE', 2), ('lib.store.FileStore', 'COMPONENT', 'PERSISTENCE', 1), ('lib.store.FileStore#load(String)', 'FUNCTION', 'UNKNOWN', 0),
+('lib.store.FileStore#open(String)', 'FUNCTION', 'UNKNOWN', 0), ('lib.store.OrderStore', 'COMPONENT', 'PERSISTENCE', 0), ('lib.store.OrderStore#load(String)', 'FUNCTION', 'PERSISTENCE', 0),
+('lib.web.OrderController', 'COMPONENT', 'PRESENTATION', 0), ('lib.web.OrderController#total(java.util.List)', 'FUNCTION', 'PRESENTATION', 0), ('lib.web.OrderController.Page', 'COMPONENT', 'UNKNOWN', 0)"""
+JAVA_EDGES = """VALUES
+('lib.service.Pricing', 'IMPLEMENTS', 'lib.service.Rounding', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.service.Pricing#next(int)', 'MEMBER_OF', 'lib.service.Pricing', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.service.Pricing#round(int)', 'CALL', 'lib.service.Pricing#next(int)', true, 'L2_SYMBOL_RESOLVED', 'ITERATED'), ('lib.service.Pricing#round(int)', 'MEMBER_OF', 'lib.service.Pricing', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.service.Rounding#round(int)', 'MEMBER_OF', 'lib.service.Rounding', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.store.CachedStore', 'EXTENDS', 'lib.store.FileStore', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.store.FileStore', 'IMPLEMENTS', 'lib.store.OrderStore', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.store.FileStore#load(String)', 'CALL', 'length', false, 'L1_SYNTAX', 'UNKNOWN'),
+('lib.store.FileStore#load(String)', 'CALL', 'lib.store.FileStore#open(String)', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.store.FileStore#load(String)', 'MEMBER_OF', 'lib.store.FileStore', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.store.FileStore#open(String)', 'MEMBER_OF', 'lib.store.FileStore', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.store.OrderStore', 'IMPLEMENTS', 'org.springframework.data.repository.CrudRepository', false, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.store.OrderStore#load(String)', 'MEMBER_OF', 'lib.store.OrderStore', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.web.OrderController', 'DEPENDS', 'lib.service.Pricing', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.web.OrderController', 'DEPENDS', 'lib.store.OrderStore', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.web.OrderController#total(java.util.List)', 'CALL', 'lib.service.Pricing#round(int)', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'),
+('lib.web.OrderController#total(java.util.List)', 'CALL', 'lib.store.OrderStore#load(String)', true, 'L2_SYMBOL_RESOLVED', 'ITERATED'),
+('lib.web.OrderController#total(java.util.List)', 'MEMBER_OF', 'lib.web.OrderController', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN'), ('lib.web.OrderController.Page', 'DEPENDS', 'lib.web.OrderController', true, 'L2_SYMBOL_RESOLVED', 'UNKNOWN')"""
+
+
+def _java(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    found = java.extract(spark, facts.ExtractionRequest((samples.project(spark),)))
+    return facts.assemble(found.nodes, found.edges)
+
+
+@query(f"SELECT id, type, role, CAST(pass AS INTEGER) AS pass FROM ({JAVA_NODES}) t(id, type, role, pass)")
+def java_nodes(spark, sf_dir):
+    return roles.refined(*_java(spark))[0].select("id", "type", "role", F.col("pass").cast("int").alias("pass"))
+
+
+@query(f"SELECT src, relation, dst, resolved, fidelity, context FROM ({JAVA_EDGES}) t(src, relation, dst, resolved, fidelity, context)")
+def java_edges(spark, sf_dir):
+    first = F.get("provenance", F.lit(0))
+    return _java(spark)[1].select(F.col("src_id").alias("src"), "relation", F.coalesce("dst_id", "dst_desc").alias("dst"), F.col("dst_resolved").alias("resolved"), first["fidelity"].alias("fidelity"), first["execution_context"].alias("context"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
