@@ -57,14 +57,18 @@ WORDS = (
 
 
 def located(rows: DataFrame, text: str, pattern: str, name: str, group: int = 0) -> DataFrame:
-    """rows with name: array of (start, end, value) of the pattern's leftmost non-overlapping matches."""
+    """rows with name: array of (start, end, value) of the pattern's leftmost non-overlapping matches.
+
+    Arrays meet by zip_with: a column that a lambda names may be computed again for every element.
+    """
     rows = rows.withColumn("_m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     rows = rows.withColumn("_v", F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.col("_m"))
-    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
-    size = lambda a, i: F.length(F.get(a, i)).cast("long")
-    rows = rows.withColumn("_n", F.transform("_m", lambda m, i: size("_p", i) + F.length(m)))
+    rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
+    # between the matches there is one piece more than there are matches
+    rows = rows.withColumn("_n", F.slice(F.zip_with("_p", "_m", lambda p, m: (F.length(p) + F.length(m)).cast("long")), F.lit(1), F.size("_m")))
     rows = running(rows, "_n", "_e", lambda a, b: a + b, 0)
-    spans = F.transform("_e", lambda e, i: F.struct((e - size("_m", i)).alias("start"), e.alias("end"), F.get("_v", i).alias("value")))
+    places = F.zip_with("_e", "_m", lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end")))
+    spans = F.zip_with(places, "_v", lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")))
     return rows.withColumn(name, spans).drop("_m", "_v", "_p", "_n", "_e")
 
 
@@ -101,7 +105,8 @@ def base(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
         step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], s["start"])))).otherwise(acc["out"]).alias("out"))
         return F.aggregate(over, begin, step, lambda acc: F.when(acc["at"] < t["end"], F.concat(acc["out"], F.array(piece(acc["at"], t["end"])))).otherwise(acc["out"]))
 
-    return rows.withColumn("tokens", F.flatten(F.transform("tokens", uncovered))).drop("text", "_base")
+    left = F.when(F.size("_base") == 0, F.col("tokens")).otherwise(F.flatten(F.transform("tokens", uncovered)))
+    return rows.withColumn("tokens", left).drop("text", "_base")
 
 
 def forms(word: Column) -> Column:
@@ -196,7 +201,7 @@ def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", labelle
     found = found.withColumn("codes", F.transform("tokens", lambda t: F.transform(F.split(t["value"], ""), lambda c: F.ascii(c))))
     ratio = lambda a: F.aggregate(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a)), lambda x, y: F.get(llr, x * 128 + y)), F.lit(0.0), lambda acc, x: acc + x)
     found = found.withColumn("ratios", F.transform("codes", ratio))
-    added = F.filter(F.transform("tokens", lambda t, i: F.when(F.get("ratios", i) > threshold, spanned(len(KINDS), "random")(t))), lambda x: x.isNotNull())
+    added = F.filter(F.zip_with("tokens", "ratios", lambda t, r: F.when(r > threshold, spanned(len(KINDS), "random")(t))), lambda x: x.isNotNull())
     return found.select("doc_id", F.array_sort(F.concat(*kinds, added)).alias("spans"))
 
 
