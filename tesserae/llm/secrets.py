@@ -88,25 +88,46 @@ def running(rows: DataFrame, values: str, name: str, fold: Callable[[Column, Col
     return rows.withColumn(name, F.flatten(F.zip_with("_own", "_before", lambda o, b: F.transform(o, lambda x: fold(b, x))))).drop("_blocks", "_own", "_before")
 
 
-def base(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, an array of spans for each base kind, what they leave of candidates, and ordinary words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def base(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with an array of spans for each base kind, tokens, ordinary words, and pieces: what base spans leave of the tokens.
+
+    A piece is (token, start, end), token a place in tokens from 1 on; texts without base spans have none, as their tokens are whole.
+    """
+    kept = rows.columns
+    rows = rows.withColumn("_text", F.coalesce(text.cast("string"), F.lit("")))
     for kind, pattern, group, least in KINDS:
-        rows = located(rows, "text", pattern, kind, group)
+        rows = located(rows, "_text", pattern, kind, group)
         rows = rows.withColumn(kind, F.filter(kind, lambda s: F.length(s["value"]) >= least))
-    rows = located(rows, "text", CANDIDATE, "tokens")
+    rows = located(rows, "_text", CANDIDATE, "tokens")
     rows = rows.withColumn("ordinary", F.filter(F.transform("tokens", lambda t: t["value"]), lambda v: v.rlike(ORDINARY)))
-    rows = rows.withColumn("_base", F.concat(*[k for k, *_ in KINDS]))
-    # what base spans leave uncovered of a token: the pieces between them
-    def uncovered(t: Column) -> Column:
-        over = F.array_sort(F.filter("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        begin = F.struct(t["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
-        piece = lambda at, end: F.struct(at.alias("start"), end.alias("end"), F.substring(t["value"], (at - t["start"]).cast("int") + 1, (end - at).cast("int")).alias("value"))
-        step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], s["start"])))).otherwise(acc["out"]).alias("out"))
-        return F.aggregate(over, begin, step, lambda acc: F.when(acc["at"] < t["end"], F.concat(acc["out"], F.array(piece(acc["at"], t["end"])))).otherwise(acc["out"]))
+    return pieces(rows.withColumn("_base", F.concat(*[k for k, *_ in KINDS]))).select(*kept, *[k for k, *_ in KINDS], "tokens", "ordinary", "pieces")
 
-    left = F.when(F.size("_base") == 0, F.col("tokens")).otherwise(F.flatten(F.transform("tokens", uncovered)))
-    return rows.withColumn("tokens", left).drop("text", "_base")
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """rows with pieces, from tokens and _base: both lists are put in order of their starts once.
+
+    From one start to the next nothing begins, so what is free there lies between the largest end of a base span so far and the end of
+    the last token. Both, and the token's place, are running maxima, so a text's cost follows the number of its spans.
+    """
+    event = lambda start, covered, token, end: F.struct(start.alias("start"), covered.cast("long").alias("covered"), token.cast("long").alias("token"), end.cast("long").alias("end"))
+    zero = F.lit(0)
+    events = F.array_sort(F.concat(F.transform("_base", lambda b: event(b["start"], b["end"], zero, zero)), F.transform("tokens", lambda t, i: event(t["start"], zero, i + 1, t["end"]))))
+    rows = rows.withColumn("_events", F.when(F.size("_base") > 0, events).otherwise(F.array().cast("array<struct<start:bigint,covered:bigint,token:bigint,end:bigint>>")))
+    field = lambda name: F.transform("_events", lambda e: e[name])
+    for name in ("start", "covered", "token", "end"):
+        rows = rows.withColumn(f"_{name}", field(name))
+        if name != "start":
+            rows = running(rows, f"_{name}", f"_{name}", F.greatest, 0)
+    rows = rows.withColumn("_next", F.concat(F.slice("_start", F.lit(2), F.greatest(F.size("_start") - 1, zero)), F.array(F.lit(None).cast("long"))))
+    free = F.transform(F.arrays_zip("_token", "_start", "_covered", "_next", "_end"), lambda e: F.struct(e["_token"].alias("token"), F.greatest(e["_start"], e["_covered"]).alias("start"), F.least(e["_next"], e["_end"]).alias("end")))
+    return rows.withColumn("pieces", F.filter(free, lambda p: p["start"] < p["end"]))
+
+
+def uncovered(found: DataFrame) -> DataFrame:
+    """found, as it was stored, with tokens less what base spans cover of them."""
+    piece = lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.substring(t["value"], (p["start"] - t["start"]).cast("int") + 1, (p["end"] - p["start"]).cast("int")).alias("value"))
+    left = F.transform("pieces", lambda p: piece(p, F.get("tokens", (p["token"] - 1).cast("int"))))
+    return found.withColumn("tokens", F.when(reduce(lambda a, b: a + b, [F.size(k) for k, *_ in KINDS]) == 0, F.col("tokens")).otherwise(left))
 
 
 def forms(word: Column) -> Column:
@@ -191,35 +212,52 @@ def spanned(order: int, kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
 
-def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and spans, an array of (start, order, kind, end) sorted by start, then kind, for every row; base ones and added ones."""
-    found = stored(base(docs, text, id_col), "secrets")
+def _spanned(rows: DataFrame, text: Column, labelled: DataFrame | None, threshold: float) -> DataFrame:
+    """rows with spans. What the base scan gives is stored with the rows, so no row has to be found again by an id."""
+    kept = rows.columns
+    found = uncovered(stored(base(rows, text), "secrets"))
     llr = table(training(samples(found) if labelled is None else labelled))
     kinds = [F.transform(k, spanned(i, k)) for i, (k, *_) in enumerate(KINDS)]
     if llr is None:
-        return found.select("doc_id", F.array_sort(F.concat(*kinds)).alias("spans"))
+        return found.select(*kept, F.array_sort(F.concat(*kinds)).alias("spans"))
     found = found.withColumn("codes", F.transform("tokens", lambda t: F.transform(F.split(t["value"], ""), lambda c: F.ascii(c))))
     ratio = lambda a: F.aggregate(F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a)), lambda x, y: F.get(llr, x * 128 + y)), F.lit(0.0), lambda acc, x: acc + x)
     found = found.withColumn("ratios", F.transform("codes", ratio))
     added = F.filter(F.zip_with("tokens", "ratios", lambda t, r: F.when(r > threshold, spanned(len(KINDS), "random")(t))), lambda x: x.isNotNull())
-    return found.select("doc_id", F.array_sort(F.concat(*kinds, added)).alias("spans"))
+    return found.select(*kept, F.array_sort(F.concat(*kinds, added)).alias("spans"))
+
+
+def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and spans, an array of (start, order, kind, end) sorted by start, then kind, for every row; base ones and added ones."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("_raw"))
+    return _spanned(rows, F.col("_raw"), labelled, threshold).select("doc_id", "spans")
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
-    """docs with every span of the text replaced by mark; texts without spans, and rows without an id, stay as they are."""
-    spans = scanned(docs, text, id_col, **options).where(F.size("spans") > 0)
-    key, cut = unused(docs, "_id"), unused(docs, "_spans")
-    spans = stored(spans.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(key), F.col("spans").alias(cut)), "secrets")
-    found = docs.join(spans, F.col(id_col).cast("long") == F.col(key), "left")
-    # what lies before each span is kept from the largest end so far on; a span that begins before that end has no mark of its own
-    ends, upto = unused(docs, "_ends"), unused(docs, "_upto")
-    found = running(found.withColumn(ends, F.transform(F.coalesce(cut, F.array().cast(found.schema[cut].dataType)), lambda s: s["end"])), ends, upto, F.greatest, 0)
-    before = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(0)
-    piece = lambda at, n: F.substring(F.col(text), at.cast("int") + 1, n.cast("int"))
-    kept = F.transform(cut, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"] - before(i)), F.lit(mark))).otherwise(""))
-    new = F.concat(F.array_join(kept, ""), piece(F.element_at(upto, -1), F.length(text)))
-    return found.select(*[F.when(F.col(cut).isNull(), F.col(c)).otherwise(new).alias(c) if c == text else F.col(c) for c in docs.columns])
+def without(text: Column, spans: Column, last: Column, mark: str) -> Column:
+    """text with mark for each of spans, an array of (before, start): what lies between is kept, as is what follows last.
+
+    Substrings are found from a text's beginning; so stretches of STEP spans are cut out first, and spans out of these.
+    """
+    numbered = F.filter(F.transform(spans, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["i"] % STEP == 0)
+    blocks = F.transform(numbered, lambda x: F.slice(spans, x["i"] + 1, STEP))
+    part = lambda b, at: F.struct(b.alias("spans"), at.alias("at"), F.substring(text, at.cast("int") + 1, (F.element_at(b, -1)["start"] - at).cast("int")).alias("text"))
+    piece = lambda x, s: F.concat(F.substring(x["text"], (s["before"] - x["at"]).cast("int") + 1, (s["start"] - s["before"]).cast("int")), F.lit(mark))
+    kept = F.transform(F.transform(blocks, lambda b: part(b, F.element_at(b, 1)["before"])), lambda x: F.array_join(F.transform(x["spans"], lambda s: piece(x, s)), ""))
+    return F.concat(F.array_join(kept, ""), F.substring(text, last.cast("int") + 1, F.length(text)))
+
+
+def redacted(docs: DataFrame, text: str = "text", id_col: str = "doc_id", mark: str = "[secret]", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with every stretch of spans that overlap replaced by mark. Each row is cut by its own text's spans, whatever its id, and a row without one, too."""
+    rows = _spanned(docs.select(F.struct(*docs.columns).alias("_row")), F.col("_row").getField(text), labelled, threshold)
+    # what lies before each span begins at the largest end so far; a span that begins before that end has no mark of its own
+    rows = running(rows.withColumn("_ends", F.transform("spans", lambda s: s["end"])), "_ends", "_upto", F.greatest, 0)
+    rows = rows.withColumn("_before", F.slice(F.concat(F.array(F.lit(0).cast("long")), "_upto"), F.lit(1), F.size("_upto")))
+    apart = F.filter(F.arrays_zip("spans", "_before", "_upto"), lambda z: z["spans"]["start"] >= z["_before"])
+    rows = rows.withColumn("_cuts", F.transform(apart, lambda z: F.struct(z["_before"].alias("before"), z["spans"]["start"].alias("start"))))
+    whole = F.col("_row").getField(text)
+    new = F.when(F.size("spans") > 0, without(whole, F.col("_cuts"), F.element_at("_upto", -1), mark)).otherwise(whole)
+    return rows.select(*[new.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])

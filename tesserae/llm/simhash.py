@@ -8,8 +8,10 @@ Links. The 64 bits are cut into segments. By the pigeonhole rule two fingerprint
 agree in some segment up to a small radius; each distinct fingerprint goes to the table under its own
 segments and enumerates the Hamming ball around each segment as probes. A probe and a table entry that
 meet are verified by their complete distance. Only one of two neighbours need enumerate: the one with a
-0 at the differing bit sets it. A bucket emits a spanning forest of its links, never all its pairs: an
-entry that has been reached is taken out of the search, so that dense groups cost little.
+0 at the lowest differing bit. How many segments there are, how wide, and with which radii follows from the distance and
+from the number of fingerprints: few wide ones have large balls, many narrow ones full buckets. A bucket
+emits a spanning forest of its links, never all its pairs: an entry that has been reached is taken out of the search, so that
+dense groups cost little.
 
 Defined cases: repeated rows and equal texts share a fingerprint, of which the search sees one; an empty
 table gives an empty result; null ids take no part in components; extra columns are ignored.
@@ -18,6 +20,8 @@ table gives an empty result; null ids take no part in components; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import flat
-from tesserae.llm.common import connected_components, partitions, stored
+from tesserae.llm.common import connected_components, partitions, stored, unused
 
 SHINGLE, DISTANCE = 4, 4
-#: (first bit, bits, radius): 4 = 1 + 1 + 0 + 2 means that one of the segments is met within its radius.
-SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
+#: Flips of a segment that a fingerprint may enumerate, and probes that one task sorts.
+BALL, PROBES = 10_000, 4_000_000
 #: Bucket entries that one comparison step holds at once.
 BLOCK = 4096
 
@@ -70,28 +74,57 @@ def fingerprint_rows(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) ->
     return out
 
 
+def _column(k: int):
+    """The Arrow function from texts to fingerprints, as signed longs."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        data, offsets = flat.flat(texts)
+        fps = [fingerprint_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k) for i, j in flat.slabs(np.diff(offsets))]
+        return pa.array(np.concatenate(fps or [np.zeros(0, np.uint64)]).view(np.int64))
+
+    return F.arrow_udf(run, "long")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _column(k)(F.col(text).cast("string")).alias("fp"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat.flat(batch.column(1))
-            fps = [fingerprint_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k) for i, j in flat.slabs(np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fps or [np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def segments(distance: int, n: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of each segment, for links up to distance among n fingerprints.
 
-
-def probes(fps: DataFrame, segments=SEGMENTS) -> DataFrame:
+    Two fingerprints whose segments all differ by more than their radii differ by the sum of (radius + 1) at least, which is
+    distance + 1: so none is lost. Of all numbers of segments the one is taken whose probes and comparisons with evenly filled buckets are fewest.
+    """
+    if not 0 <= distance < 64:
+        raise ValueError("a distance between 0 and 63 is needed")
+    best = None
+    for m in range(1, distance + 2):
+        radii = [(distance + 1 - m) // m + (i < (distance + 1 - m) % m) for i in range(m)]
+        widths = [64 // m + (i < 64 % m) for i in range(m)]
+        balls = [sum(comb(w, r) for r in range(1, radius + 1)) for w, radius in zip(widths, radii)]
+        cost = sum((1 + ball / 2) * (1 + n / 2**w) for ball, w in zip(balls, widths))
+        if max(balls) <= BALL and (best is None or cost < best[0]):
+            first = [sum(widths[:i]) for i in range(m)]
+            best = cost, list(zip(first, widths, radii))
+    if best is None:
+        raise ValueError(f"balls for distance {distance} are too large")
+    return best[1]
+
+
+def probes(fps: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
     """(seg, key, fp, probe): each fp under its segments, and as probes under the balls around them."""
     rows = []
-    for i, (low, width, radius) in enumerate(segments):
-        key = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)
+    for i, (low, width, radius) in enumerate(parts):
+        key = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1) if width < 64 else F.col("fp")
         item = lambda k, probe: F.struct(F.lit(i).alias("seg"), k.alias("key"), F.lit(probe).alias("probe"))
         rows.append(F.array(item(key, False)))
-        if radius:
-            flips = [F.when(F.shiftrightunsigned("fp", low + b).bitwiseAND(1) == 0, item(key.bitwiseOR(1 << b), True)) for b in range(width)]
-            rows.append(F.filter(F.array(*flips), lambda x: x.isNotNull()))
+        for r in range(1, radius + 1):
+            for low_bit in range(width - r + 1):
+                masks = [(1 << low_bit) | sum(1 << b for b in rest) for rest in combinations(range(low_bit + 1, width), r - 1)]
+                signed = [x - (1 << 64) if x >> 63 else x for x in masks]
+                ball = F.transform(F.array(*map(F.lit, signed)).cast("array<bigint>"), lambda x: item(key.bitwiseXOR(x), True))
+                rows.append(F.when(F.shiftrightunsigned("fp", low + low_bit).bitwiseAND(1) == 0, ball).otherwise(F.array().cast("array<struct<seg:int,key:bigint,probe:boolean>>")))
     return fps.select("fp", F.explode(F.concat(*rows)).alias("p")).select("p.seg", "p.key", "fp", "p.probe")
 
 
@@ -148,7 +181,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: i
     return np.concatenate(a or [np.zeros(0, np.uint64)]), np.concatenate(b or [np.zeros(0, np.uint64)])
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(src, dst) over distinct fingerprints (column fp): enough verified links to connect whatever links connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,33 +200,45 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFr
         a, b = bucket_links(t.column("k").to_numpy(), t.column("fp").to_numpy().view(np.uint64), t.column("probe").to_numpy(), distance)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["src", "dst"])
 
-    p = probes(fps, segments).select((F.col("seg") * (1 << 40) + F.col("key")).alias("k"), "fp", "probe")
-    p = p.repartition(partitions(fps.sparkSession), "k").sortWithinPartitions("k", "probe")
+    n = fps.count()
+    parts = segments(distance, n)
+    each = sum(1 + sum(comb(w, r) for r in range(1, radius + 1)) / 2 for _, w, radius in parts)
+    p = probes(fps, parts).select(F.xxhash64("seg", "key").alias("k"), "fp", "probe")  # buckets that share a hash only cost time
+    p = p.repartition(max(partitions(fps.sparkSession), int(n * each) // PROBES), "k").sortWithinPartitions("k", "probe")
     return p.mapInArrow(run, "src long, dst long")
 
 
+def grouped(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root, component_id) of distinct fingerprints: root tells components apart, component_id is the smallest doc_id in one."""
+    firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
+    comp = connected_components(stored(links(firsts.select("fp"), distance), "simhash"))
+    least = stored(comp.join(firsts, comp.node == firsts.fp).groupBy("component").agg(F.min("first").alias("least")), "simhash")
+    of = comp.join(least, "component").select(F.col("node").alias("fp"), "component", "least")
+    own = F.col("component").isNull()
+    return stored(firsts.join(of, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(own, F.col("first")).otherwise(F.col("least")).alias("component_id")), "simhash")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: component_id is the smallest doc_id linked, directly or not."""
     fps = stored(fingerprints(docs, text, id_col, k), "simhash")
-    firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
-    found = stored(links(firsts.select("fp"), distance), "simhash")
-    comp = connected_components(found)
-    least = stored(comp.join(firsts, comp.node == firsts.fp).groupBy("component").agg(F.min("first").alias("least")), "simhash")
-    of = comp.join(least, "component").select(F.col("node").alias("fp"), "least")
-    whole = stored(firsts.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(whole, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return fps.join(grouped(fps, distance), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: the one with the smallest id.
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component: one with the smallest id, and of these one with the smallest fingerprint.
 
-    A row without an id can't be named by another and stays; rows that repeat an id stay once.
+    Rows are told apart by id and fingerprint, so other texts of a repeated id stay, each in its own component. A row without an id can't be named by another
+    and stays.
     """
-    found = stored(near_duplicates(docs, text, id_col, **options), "simhash")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    if not kept.where("n > 1").isEmpty():
-        docs = docs.where(F.col(id_col).isNull()).unionByName(docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    fps = stored(fingerprints(docs, text, id_col, k), "simhash")
+    mine = fps.join(grouped(fps, distance), "fp").where("doc_id = component_id").groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
+    id_, fp, n = unused(docs, "_id"), unused(docs, "_fp"), unused(docs, "_n")
+    kept = mine.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "n")).alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.fp").alias(fp), F.col("k.n").alias(n))
+    kept = stored(kept, "simhash")
+    columns, own = docs.columns, unused(docs, "_own")
+    rows = docs.withColumn(own, _column(k)(F.col(text).cast("string")))
     # texts are dealt by id at every size; the hint keeps them unsorted
-    return docs.join(stored(gone, "simhash").hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+    named = rows.join(kept.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(id_)) & (F.col(own) == F.col(fp)))
+    out = named.where(F.col(n) == 1) if kept.where(F.col(n) > 1).isEmpty() else named.dropDuplicates([id_, fp])
+    return out.select(columns).unionByName(docs.where(F.col(id_col).isNull()))
