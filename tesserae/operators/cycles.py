@@ -1,8 +1,12 @@
 """Strongly connected components and cycle entropy.
 
-Components are found by trimming and colouring, all in joins: nodes that no cycle can hold (without an edge in or out
-among what is left) are trimmed; then the least id that reaches a node colours it, and what reaches the colour's own
-node backwards within its colour is a component. Small graphs, many at once, go through one task each instead.
+Large graphs are searched forwards and backwards from all nodes at once, in joins. Each phase gives the nodes random names; a node learns
+the least name among those that reach it and among those it reaches. Besides the edges, what is learnt so far is a path, too: from the
+least name found to the node, and from the node to the other. These shortcuts double the paths that a round covers, so a phase
+takes some rounds for each doubling of a component's depth, where a walk takes as many rounds as it is deep. Where both names are the same
+the node and its namesake reach each other: that is a component. All other components have their edges between nodes
+with the same two names; edges between others are dropped, which parts a long chain of components at random places, and the next
+phase takes what is left. Small graphs, many at once, go through one task each instead.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from pyspark.sql import functions as F
 from tesserae.operators.governance import Subsystems
 from tesserae.operators.metrics import CYCLE_RELATIONS, graphs, ratio
 from tesserae.schema import KEY
-from tesserae.storage import stored
+from tesserae.storage import Steps, stored
 
 #: A graph of more edges than this is never collected into one task.
-GROUPED_EDGES = 2_000_000
+GROUPED_EDGES = 100_000
+#: Rounds of trimming before a phase, which only save it work.
+TRIMMED = 3
 _PAIR = [*KEY, "a", "b"]
 
 
@@ -133,56 +139,73 @@ def grouped_components(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*KEY).applyInPandas(run, "subject_id string, scan_id string, id string, scc string")
 
 
-def trimmed(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """pairs without the nodes that lack an edge in or out; it stops early on long chains, which costs time only."""
+def _trimmed(steps: Steps, pairs: DataFrame, rounds: list[str]) -> DataFrame:
+    """pairs without most of the nodes that lack an edge in or out."""
     n = pairs.count()
-    for _ in range(max_rounds):
-        into = pairs.select(*KEY, F.col("b").alias("a")).distinct()
-        out = pairs.select(*KEY, F.col("a").alias("b")).distinct()
-        pairs = stored(pairs.join(into, [*KEY, "a"], "left_semi").join(out, [*KEY, "b"], "left_semi"), "scc")
-        m = pairs.count()
-        if m == n:
+    for _ in range(TRIMMED):
+        both = pairs.select(F.col("b").alias("v")).intersect(pairs.select(F.col("a").alias("v")))
+        pairs = steps.keep("pairs", pairs.join(both.withColumnRenamed("v", "a"), "a", "left_semi").join(both.withColumnRenamed("v", "b"), "b", "left_semi").select("a", "b"))
+        rounds.append("trim")
+        n, before = pairs.count(), n
+        if n == before:
             break
-        n = m
     return pairs
 
 
-def distributed_components(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(key, id, scc) of the nodes that lie on cycles, for graphs of any size; others are left out."""
-    spark, done = pairs.sparkSession, []
-    left = stored(pairs.where("a <> b"), "scc")
-    for _ in range(max_rounds):
-        left = trimmed(left)
-        if left.isEmpty():
+def _least_names(steps: Steps, named: DataFrame, rounds: list[str]) -> DataFrame:
+    """(n, up, down): the least name that reaches each node, and the least that it reaches, itself included."""
+    ends = named.select(F.col("a").alias("n")).union(named.select(F.col("b").alias("n"))).distinct()
+    state = steps.keep("state", ends.select("n", F.col("n").alias("up"), F.col("n").alias("down"), F.lit(True).alias("moved")))
+    while True:
+        shortcuts = state.where("up < n").select(F.col("up").alias("a"), F.col("n").alias("b")).union(state.where("down < n").select(F.col("n").alias("a"), F.col("down").alias("b")))
+        links = named.select("a", "b").union(shortcuts)
+        none = F.lit(None).cast("long")
+        ahead = links.join(state.select(F.col("n").alias("a"), "up"), "a").select(F.col("b").alias("n"), "up", none.alias("down"), none.alias("was_up"), none.alias("was_down"))
+        back = links.join(state.select(F.col("n").alias("b"), "down"), "b").select(F.col("a").alias("n"), none.alias("up"), "down", none.alias("was_up"), none.alias("was_down"))
+        own = state.select("n", "up", "down", F.col("up").alias("was_up"), F.col("down").alias("was_down"))
+        met = ahead.union(back).union(own).groupBy("n").agg(*[F.min(c).alias(c) for c in ("up", "down", "was_up", "was_down")])
+        state = steps.keep("state", met.select("n", "up", "down", ((F.col("up") < F.col("was_up")) | (F.col("down") < F.col("was_down"))).alias("moved")))
+        rounds.append("names")
+        if state.where("moved").isEmpty():
+            return state.drop("moved")
+
+
+def distributed_components(pairs: DataFrame, grouped_edges: int = 0, rounds: list[str] | None = None, max_phases: int = 1000) -> DataFrame:
+    """(key, id, scc) of the nodes that lie on cycles, for graphs of any size; others are left out.
+
+    What is left at the end of a phase goes through one task when it has at most grouped_edges edges. rounds, if given, gets
+    an entry for each round.
+    """
+    spark, rounds = pairs.sparkSession, [] if rounds is None else rounds
+    steps, done = Steps(spark, "scc"), []
+    loose = pairs.where("a <> b")
+    ids = stored(loose.select(*KEY, F.col("a").alias("id")).union(loose.select(*KEY, F.col("b").alias("id"))).distinct().withColumn("v", F.monotonically_increasing_id()), "scc")
+    end = lambda x: ids.select(*KEY, F.col("id").alias(x), F.col("v").alias(f"v{x}"))
+    left = steps.keep("pairs", loose.join(end("a"), [*KEY, "a"]).join(end("b"), [*KEY, "b"]).select(F.col("va").alias("a"), F.col("vb").alias("b")))
+    for phase in range(max_phases):
+        left = _trimmed(steps, left, rounds)
+        if left.count() <= grouped_edges:
             break
-        # colour: the least id that reaches a node
-        colour = stored(left.select(*KEY, F.col("a").alias("id")).union(left.select(*KEY, F.col("b").alias("id"))).distinct().withColumn("colour", F.col("id")), "scc")
-        while True:
-            seen = left.join(colour.select(*KEY, F.col("id").alias("a"), "colour"), [*KEY, "a"]).groupBy(*KEY, "b").agg(F.min("colour").alias("better"))
-            new = colour.join(seen.withColumnRenamed("b", "id"), [*KEY, "id"], "left").select(*KEY, "id", F.least("colour", F.coalesce("better", "colour")).alias("colour"), (F.col("better") < F.col("colour")).alias("moved"))
-            new = stored(new, "scc")
-            colour = new.drop("moved")
-            if new.where("moved").isEmpty():
-                break
-        # what reaches the colour's node backwards inside the colour is its component
-        inside = left.join(colour.select(*KEY, F.col("id").alias("a"), F.col("colour").alias("ca")), [*KEY, "a"]).join(colour.select(*KEY, F.col("id").alias("b"), F.col("colour").alias("cb")), [*KEY, "b"]).where("ca = cb")
-        inside = stored(inside.select(*_PAIR), "scc")
-        reached = stored(colour.where("id = colour"), "scc")
-        fresh = reached
-        while True:
-            back = inside.join(fresh.select(*KEY, F.col("id").alias("b"), "colour"), [*KEY, "b"]).select(*KEY, F.col("a").alias("id"), "colour").distinct()
-            fresh = stored(back.join(reached, [*KEY, "id"], "left_anti"), "scc")
-            if fresh.isEmpty():
-                break
-            reached = stored(reached.unionByName(fresh), "scc")
-        done.append(reached.select(*KEY, "id", F.col("colour").alias("scc")))
-        gone = reached.select(*KEY, "id")
-        left = stored(left.join(gone.withColumnRenamed("id", "a"), [*KEY, "a"], "left_anti").join(gone.withColumnRenamed("id", "b"), [*KEY, "b"], "left_anti"), "scc")
+        # names are a hash that takes no two longs to one, another for each phase
+        name = lambda c: F.xxhash64(F.lit(phase), c)  # noqa: B023, E731
+        state = _least_names(steps, left.select(name("a").alias("a"), name("b").alias("b")), rounds)
+        done.append(stored(state.where("up = down").join(ids.withColumn("n", name("v")), "n").select(*KEY, "id", "up"), "scc"))
+        open_ = state.where("up <> down")
+        side = lambda x: open_.select(F.col("n").alias(f"n{x}"), F.col("up").alias(f"up{x}"), F.col("down").alias(f"down{x}"))  # noqa: B023, E731
+        inner = left.withColumns({"na": name("a"), "nb": name("b")}).join(side("a"), "na").join(side("b"), "nb").where("upa = upb and downa = downb")
+        left = steps.keep("pairs", inner.select("a", "b"))
+        rounds.append("cut")
     else:
         raise RuntimeError("components did not settle")
     out = spark.createDataFrame([], "subject_id string, scan_id string, id string, scc string")
     for d in done:
-        out = out.unionByName(d)
+        least = d.groupBy("up").agg(F.min("id").alias("scc"))
+        out = out.unionByName(d.join(least, "up").select(*KEY, "id", "scc"))
+    if grouped_edges and not left.isEmpty():
+        back = lambda x: ids.select(*KEY, F.col("id").alias(f"id{x}"), F.col("v").alias(x))
+        rest = left.join(back("a"), "a").join(back("b").drop(*KEY), "b").select(*KEY, F.col("ida").alias("a"), F.col("idb").alias("b"))
+        out = out.unionByName(stored(grouped_components(rest), "scc"))
+    steps.drop("pairs", "state")
     return out
 
 
@@ -196,7 +219,7 @@ def components(nodes: DataFrame, edges: DataFrame, relations: Sequence[str] = CY
     large = sizes.where(F.col("n") > grouped_edges).select(*KEY)
     found = grouped_components(pairs.join(large, KEY, "left_anti"))
     if not large.isEmpty():
-        found = found.unionByName(distributed_components(pairs.join(large, KEY, "left_semi")))
+        found = found.unionByName(distributed_components(pairs.join(large, KEY, "left_semi"), grouped_edges))
     loops = pairs.where("a = b").select(*KEY, F.col("a").alias("id"), F.lit(True).alias("loop"))
     all_ = nodes.select(*KEY, "id").join(found, [*KEY, "id"], "left").join(loops, [*KEY, "id"], "left")
     all_ = all_.select(*KEY, "id", F.coalesce("scc", "id").alias("scc"), F.coalesce("loop", F.lit(False)).alias("self_loop"))

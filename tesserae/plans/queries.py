@@ -161,6 +161,13 @@ def cycle_scc(spark, sf_dir):
     return _components(spark, sf_dir).select("id", "scc", F.col("size").alias("scc_size"))
 
 
+@query(f"{CYCLE} SELECT id, scc, size AS scc_size FROM sized")
+def cycle_scc_distributed(spark, sf_dir):
+    """The same by names and shortcuts alone, at every size."""
+    found = cycles.components(bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir), grouped_edges=0)
+    return found.select("id", "scc", F.col("size").alias("scc_size"))
+
+
 @query(f"{CYCLE} SELECT count(*) AS nodes, count(*) FILTER (size > 1) AS participating, count(DISTINCT CASE WHEN size > 1 THEN scc END) AS cycles, count(*) FILTER (size > 1) / count(*) AS value FROM sized")
 def cycle_entropy(spark, sf_dir):
     return cycles.cycle_entropy(_components(spark, sf_dir)).select("nodes", "participating", "cycles", "value")
@@ -180,12 +187,12 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who ships to whom: an edge from the supplier's nation to the customer's, many of which lead back to where they begin."""
     t = bridge.tables(spark, sf_dir)
     rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.where("l_quantity > 49").select(F.col("s_nationkey").cast("string").alias("src_id"), F.col("c_nationkey").cast("string").alias("dst_id"))
+    rows = rows.select(F.col("s_nationkey").cast("string").alias("src_id"), F.col("c_nationkey").cast("string").alias("dst_id"))
     return rows.select(F.lit("world").alias("subject_id"), F.lit("s").alias("scan_id"), F.lit(True).alias("src_resolved"), "src_id", F.lit(True).alias("dst_resolved"), "dst_id", F.lit("CALL").alias("relation"))
 
 
 @query("""SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-WHERE l_quantity > 49 AND s_nationkey = c_nationkey""")
+WHERE s_nationkey = c_nationkey""")
 def self_loops(spark, sf_dir):
     return cycles.self_loops(_routes(spark, sf_dir)).select("id")
 

@@ -34,14 +34,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes paths of fresh_path() that nothing will read again."""
+    context = spark.sparkContext
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _made[:] = [m for m in _made if m[1] != path]
+
+
 def _release() -> None:
     try:
-        for spark, path in _made:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        while _made:
+            release(_made[-1][0], _made[-1][1])
     except Exception:  # the JVM may be gone; then the folder is the cluster's to clean
-        pass
-    _made.clear()
+        _made.clear()
 
 
 #: Spark's own setting: a finished query's shuffle files go at once. What it wrote is all that later steps read.
@@ -50,7 +57,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again, so that loops don't grow a lineage and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, name)
+    return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """stored() at a path of fresh_path(), which release() may delete before the end."""
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
@@ -59,3 +70,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Tables of a loop's steps; what a step has replaced is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.held = spark, name, {}
+
+    def keep(self, slot: str, df: DataFrame) -> DataFrame:
+        """df stored in place of what the slot held, which df may still read while it is written."""
+        path = fresh_path(self.spark, self.name)
+        out = stored_at(df, path)
+        if slot in self.held:
+            release(self.spark, self.held[slot])
+        self.held[slot] = path
+        return out
+
+    def drop(self, *slots: str) -> None:
+        release(self.spark, *[self.held.pop(s) for s in slots if s in self.held])

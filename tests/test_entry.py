@@ -2,9 +2,13 @@
 
 import glob
 import os
+import random
+from functools import reduce
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tesserae.operators import cycles
@@ -114,6 +118,64 @@ def test_distributed_components_of_the_whole_graph(spark, whole):
     assert {r["id"]: r["scc"] for r in found.collect()} == {x: least.get(x, x) for x in ids}
 
 
+def by_two_walks(pairs):
+    """The least id of each node's component: of what a node reaches, what reaches it."""
+    ahead, back = {}, {}
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    label = {}
+    for x in sorted(set(ahead) | set(back)):
+        if x in label:
+            continue
+        seen = []
+        for step in (ahead, back):
+            found, todo = {x}, [x]
+            while todo:
+                for y in step.get(todo.pop(), ()):
+                    if y not in found and y not in label:
+                        found.add(y)
+                        todo.append(y)
+            seen.append(found)
+        label.update(dict.fromkeys(seen[0] & seen[1], x))
+    return label
+
+
+def pairs_of(spark, pairs, key="s"):
+    return spark.createDataFrame([(key, "x", a, b) for a, b in pairs], "subject_id string, scan_id string, a string, b string")
+
+
+def test_rounds_do_not_follow_the_depth_of_a_ring(spark):
+    n = 100_000
+    of = lambda c: c.cast("string")
+    ring = spark.range(n).select(F.lit("s").alias("subject_id"), F.lit("x").alias("scan_id"), of(F.col("id")).alias("a"), of((F.col("id") + 1) % n).alias("b"))
+    rounds = []
+    found = cycles.distributed_components(ring, rounds=rounds)
+    assert [tuple(r) for r in found.groupBy("scc").count().collect()] == [("0", n)]
+    assert len(rounds) <= 60
+
+
+def test_components_of_odd_graphs(spark):
+    r = random.Random(8)
+    name = lambda i: f"n{i:04d}"
+    graphs = {
+        "random": [(name(r.randrange(300)), name(r.randrange(300))) for _ in range(420)],
+        "chain of rings": [(name(i), name(i + 1)) for i in range(60)] + [(name(5 * i + 4), name(5 * i)) for i in range(12)],
+        "ladder": [(name(i), name(i + k)) for i in range(50) for k in (1, 2)] + [(name(9), name(0)), (name(51), name(40))],
+        "tree": [(name(i), name(i // 2)) for i in range(1, 200)],
+        "loops": [(name(1), name(1)), (name(1), name(2)), (name(2), name(1)), (name(1), name(2))],
+    }
+    df = reduce(DataFrame.union, [pairs_of(spark, p, k) for k, p in graphs.items()])
+    for limit in (0, 400):
+        rounds = []
+        got = {(x["subject_id"], x["id"]): x["scc"] for x in cycles.distributed_components(df, limit, rounds).collect()}
+        for k, p in graphs.items():
+            want = by_two_walks(p)
+            assert {x: got.get((k, x), x) for x in want} == want
+        assert len(rounds) < 150
+    assert cycles.distributed_components(df.limit(0)).collect() == []
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 1
     assert set(graph.oracle_sql()) <= set(graph.queries()) <= set(entry.queries())
