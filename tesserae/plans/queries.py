@@ -11,7 +11,7 @@ from tesserae.operators import calibration, cycles, governance, invariants, metr
 from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, Subsystem, Subsystems, WeightedDimension
 from tesserae.plans import analysis, presets, samples
 from tesserae.schema import KEY
-from tesserae.sources import bridge, facts, java, scans
+from tesserae.sources import bridge, datasource, facts, java, scans
 from tesserae.storage import stored
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,30 @@ def graph_edges(spark, sf_dir):
     return bridge.edges(spark, sf_dir).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "dst_desc", "relation", F.get("provenance", F.lit(0))["execution_context"].alias("ctx"))
 
 
+@query(f"WITH {NODES} SELECT id, type, adapter, descr, annotation FROM nodes")
+def source_nodes(spark, sf_dir):
+    """Facts by the data source, without Spark's own reader."""
+    first = F.get("evidence", F.lit(0))
+    rows = datasource.read(spark, sf_dir, "nodes")
+    return rows.select("id", "type", first["source_adapter"].alias("adapter"), first["description"].alias("descr"), F.try_element_at(first["attributes"], F.lit("annotation")).alias("annotation"))
+
+
+def _source_edges(spark, sf_dir) -> DataFrame:
+    first = F.get("provenance", F.lit(0))
+    return datasource.read(spark, sf_dir).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "dst_desc", "relation", first["execution_context"].alias("ctx"))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, dst_desc, relation, ctx FROM edges")
+def source_edges(spark, sf_dir):
+    return _source_edges(spark, sf_dir)
+
+
+@query(f"WITH {EDGES} SELECT src, dst, dst_desc, relation, ctx FROM edges WHERE relation IN ('EXTENDS', 'CONFIGURES', 'COMMUNICATES')")
+def source_edges_pushed(spark, sf_dir):
+    """The relations go to the source: what only gives calls isn't opened."""
+    return _source_edges(spark, sf_dir).where(F.col("relation").isin("EXTENDS", "CONFIGURES", "COMMUNICATES"))
+
+
 @query("SELECT concat('web.customer.', c_custkey) AS id, 'COMPONENT' AS type, 1 + count(o_orderkey) AS n_evidence FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def assemble_merge(spark, sf_dir):
     t = bridge.tables(spark, sf_dir)
