@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tesserae.operators import calibration, cycles, governance, invariants, metrics, roles
 from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, Subsystem, Subsystems, WeightedDimension
 from tesserae.plans import analysis, presets, samples
-from tesserae.schema import KEY
+from tesserae.schema import DIMENSIONS, KEY
 from tesserae.sources import bridge, datasource, facts, java, scans
-from tesserae.storage import stored
+from tesserae.storage import fresh_path, stored
+from tesserae.streaming import drift as stream
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -390,9 +391,28 @@ def drift(spark, sf_dir):
     return calibration.drift(before, now).select("subject_id", "dimension", F.round("delta", 12).alias("delta"))
 
 
+def _followed(spark, sf_dir) -> DataFrame:
+    """The nations' years as scans that arrive in three lots, every third year first, through the stream; the last result of each."""
+    v = calibration.total_entropy(_years(spark, sf_dir), QUARTERS)
+    rows = v.select(F.concat(F.lit("nation-"), "nation").alias("project_id"), F.make_timestamp(F.col("yr").cast("int"), *[F.lit(1)] * 2, *[F.lit(0)] * 3).alias("scanned_at"), F.lit(presets.drifting().fingerprint()).alias("fingerprint"), "total_entropy", *DIMENSIONS, "yr")
+    rows, folder, results = stored(rows, "years"), fresh_path(spark, "arriving"), fresh_path(spark, "results")
+    for lot in (1, 2, 0):
+        rows.where(F.col("yr") % 3 == lot).drop("yr").coalesce(1).write.mode("append").parquet(folder)
+    stream.follow(spark, folder, results, fresh_path(spark, "checkpoint"), presets.drifting(), "4000 days", files=1).awaitTermination()
+    schema = "project_id string, number long, scanned_at timestamp, baseline_at timestamp, late boolean, deltas map<string,double>, risk double, drift_term double, undefined_because array<string>"
+    done = stream.settled(spark.read.schema(schema).parquet(results))
+    return done.withColumn("subject_id", F.concat("project_id", F.lit("/"), F.year("scanned_at")))
+
+
 RISK = "2.0 * (1.0 * greatest(0.0, layer - bl) + 0.5 * greatest(0.0, cycle - bc) + 1.0 * greatest(0.0, persistence - bp))"
 
 
+@query(SQL["drift"])
+def stream_drift(spark, sf_dir):
+    """drift, scan by scan."""
+    return _followed(spark, sf_dir).where("year(baseline_at) = year(scanned_at) - 1").select("subject_id", F.explode("deltas").alias("dimension", "delta")).select("subject_id", "dimension", F.round("delta", 12).alias("delta"))
+
+
 def _risk(spark, sf_dir) -> DataFrame:
     v, before, now = _base_now(spark, sf_dir)
     return calibration.risk(calibration.total_entropy(v, QUARTERS), before, now, presets.drifting())
@@ -403,6 +423,12 @@ def risk(spark, sf_dir):
     return _risk(spark, sf_dir).where("value is not null").select("subject_id", F.round("value", 10).alias("value"), F.round("drift_term", 10).alias("drift_term"))
 
 
+@query(SQL["risk"])
+def stream_risk(spark, sf_dir):
+    """risk, scan by scan."""
+    return _followed(spark, sf_dir).where("risk is not null and year(baseline_at) = year(scanned_at) - 1").select("subject_id", F.round("risk", 10).alias("value"), F.round("drift_term", 10).alias("drift_term"))
+
+
 @query(f"""WITH {_bridge(YEARS)} SELECT concat('nation-', c.nation, '/', c.yr) AS subject_id, concat_ws(';', CASE WHEN b.nation IS NULL THEN 'policy_unrecorded' END, CASE WHEN ({TOTAL.replace('layer', 'c.layer').replace('cycle', 'c.cycle').replace('persistence', 'c.persistence').replace('security', 'c.security')}) IS NULL THEN 'total_entropy_undefined' END,
 CASE WHEN b.nation IS NULL THEN 'not_comparable:layer;not_comparable:cycle;not_comparable:persistence' END) AS reasons FROM v c LEFT JOIN v b ON b.nation = c.nation AND b.yr = c.yr - 1""")
 def risk_reasons(spark, sf_dir):
