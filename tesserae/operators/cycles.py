@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.governance import Subsystems
+from tesserae.operators.governance import PrefixIndex, Subsystems, constants
 from tesserae.operators.metrics import CYCLE_RELATIONS, graphs, ratio
 from tesserae.schema import KEY
 from tesserae.storage import Steps, stored
@@ -250,9 +250,10 @@ def cycle_findings(comps: DataFrame, include_self: bool = False) -> DataFrame:
 
 def cycle_by_subsystem(comps: DataFrame, subsystems: Subsystems, include_self: bool = False) -> DataFrame:
     """(key, ord, subsystem, claimed, participating, value): both counts within the subsystem, NULL where it claims nothing."""
-    rows = [F.struct(F.lit(i).alias("ord"), F.lit(s.name).alias("subsystem"), F.col("id").startswith(s.id_prefix).alias("mine")) for i, s in enumerate(subsystems.declared)]
-    if not rows:
-        return comps.select(*KEY, F.lit(0).alias("ord"), F.lit("").alias("subsystem"), F.lit(0).cast("long").alias("claimed"), F.lit(0).cast("long").alias("participating"), F.lit(0.0).alias("value")).limit(0)
-    each = comps.select(*KEY, participates(include_self).alias("on"), F.explode(F.array(*rows)).alias("s"))
-    out = each.groupBy(*KEY, F.col("s.ord").alias("ord"), F.col("s.subsystem").alias("subsystem")).agg(F.count_if("s.mine").alias("claimed"), F.count_if(F.col("s.mine") & F.col("on")).alias("participating"))
+    index = PrefixIndex([(s.id_prefix, str(i)) for i, s in enumerate(subsystems.declared)])
+    mine = comps.select(*KEY, index.name(F.col("id")).cast("int").alias("ord"), participates(include_self).alias("on")).where("ord is not null")
+    counts = mine.groupBy(*KEY, "ord").agg(F.count("*").alias("claimed"), F.count_if("on").alias("participating"))
+    # a row for each subsystem of each graph, whether it claims something or not
+    every = graphs(comps).select(*KEY, F.posexplode(constants([s.name for s in subsystems.declared])).alias("ord", "subsystem"))
+    out = every.join(counts, [*KEY, "ord"], "left").na.fill(0, ["claimed", "participating"]).select(*KEY, "ord", "subsystem", "claimed", "participating")
     return out.withColumn("value", ratio(F.col("participating"), F.col("claimed")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,77 @@ class Subsystem:
         not_blank(self.id_prefix, "id prefix")
 
 
+#: Characters of prefixes and names that an index may hold as constants; larger tables of prefixes are joined.
+INDEXED = 4 << 20
+_APART = "\x00"
+
+
+def overlapping(prefixes: Sequence[str]) -> tuple[str, str] | None:
+    """Two prefixes of which one begins with the other, if there are any: in their order such two lie next to each other."""
+    ordered = sorted(prefixes, key=str.encode)
+    return next(((a, b) for a, b in zip(ordered, ordered[1:]) if b.startswith(a)), None)
+
+
+def constants(texts: Sequence[str]) -> Column:
+    """Texts as one constant: an expression of the same size for any number of them."""
+    require(not any(_APART in t for t in texts), "a prefix or name holds the character 0")
+    return F.split(F.lit(_APART.join(texts)), _APART) if texts else F.array().cast("array<string>")
+
+
+class PrefixIndex:
+    """Which of many exclusive prefixes an id begins with: binary search among the sorted prefixes, inside one expression.
+
+    The greatest prefix that isn't above an id is the only one that it can begin with. The plan has the same size for any number of prefixes.
+    """
+
+    def __init__(self, entries: Sequence[tuple[str, str]]) -> None:
+        """entries are (prefix, name)."""
+        self.entries = sorted(entries, key=lambda e: e[0].encode())
+        clash = overlapping([e[0] for e in self.entries])
+        require(clash is None, f"the prefixes {clash} overlap")
+        require(sum(len(a) + len(b) for a, b in self.entries) <= INDEXED, "too many prefixes for an index: join them as a table")
+
+    def place(self, id_: Column) -> Column:
+        """The place in entries of the prefix that an id has, NULL without one."""
+        if not self.entries:
+            return F.lit(None).cast("int")
+        bounds = constants([e[0] for e in self.entries])
+        n = len(self.entries)
+
+        def halve(acc: Column, _: Column) -> Column:
+            middle = F.shiftright(acc["low"] + acc["high"], 1)
+            below = F.get(bounds, middle) <= id_
+            go = acc["low"] < acc["high"]
+            return F.struct(F.when(go & below, middle + 1).otherwise(acc["low"]).alias("low"), F.when(go & ~below, middle).otherwise(acc["high"]).alias("high"))
+
+        begin = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), begin, halve, lambda acc: acc["low"] - 1)
+        return F.transform(F.array(at), lambda i: F.when((i >= 0) & F.startswith(id_, F.get(bounds, i)), i))[0]
+
+    def name(self, id_: Column) -> Column:
+        return F.get(constants([e[1] for e in self.entries]), self.place(id_)) if self.entries else F.lit(None).cast("string")
+
+
+def claimed_by(nodes: DataFrame, prefixes: DataFrame, id_col: str = "id", name: str = "claimed_by", indexed: int = INDEXED) -> DataFrame:
+    """nodes with the name of the prefix that the id begins with; prefixes is a table (prefix, name) of any size, without overlaps.
+
+    Up to indexed characters in all, which is checked, the table becomes an index; beyond it ids meet prefixes by equality, once for each length that
+    prefixes have, and ids that none claims are added again.
+    """
+    size = prefixes.agg(F.coalesce(F.sum(F.length("prefix") + F.length("name")), F.lit(0))).first()[0]
+    if size <= indexed:
+        return nodes.withColumn(name, PrefixIndex([(r["prefix"], r["name"]) for r in prefixes.select("prefix", "name").collect()]).name(F.col(id_col)))
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).collect()]  # at most as many as the longest has characters
+    table = prefixes.select(F.col("prefix").alias("_head"), F.col("name").alias(name))
+    own = prefixes.select(F.explode(F.array(*[F.when(F.length("prefix") > k, F.substring("prefix", 1, k)) for k in lengths])).alias("_head"))
+    clash = own.join(table, "_head", "left_semi").limit(1).collect()
+    require(not clash and prefixes.count() == prefixes.select("prefix").distinct().count(), f"the prefixes overlap: {clash}")
+    ids = nodes.select(F.col(id_col).alias("_id")).distinct()
+    probes = ids.select("_id", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda k: F.substring(F.col("_id"), F.lit(1), k)))).alias("_head"))
+    found = probes.join(table, "_head").select("_id", name)
+    return nodes.join(found, nodes[id_col] == found["_id"], "left").drop("_id")
+
+
 @dataclass(frozen=True)
 class Subsystems:
     """Declared subsystems; prefixes are plain and exclusive, so that at most one claims a node."""
@@ -65,16 +136,12 @@ class Subsystems:
     def __post_init__(self) -> None:
         names = [s.name for s in self.declared]
         require(len(set(names)) == len(names), "a subsystem is declared twice")
-        for i, a in enumerate(self.declared):
-            for b in self.declared[i + 1 :]:
-                require(not a.id_prefix.startswith(b.id_prefix) and not b.id_prefix.startswith(a.id_prefix), f"the prefixes of {a.name} and {b.name} overlap")
+        clash = overlapping([s.id_prefix for s in self.declared])
+        require(clash is None, f"the prefixes {clash} overlap")
 
     def claiming(self, id_col: str = "id") -> Column:
         """The name of the subsystem whose prefix an id has, NULL without one."""
-        out = F.lit(None).cast("string")
-        for s in reversed(self.declared):
-            out = F.when(F.col(id_col).startswith(s.id_prefix), F.lit(s.name)).otherwise(out)
-        return out
+        return PrefixIndex([(s.id_prefix, s.name) for s in self.declared]).name(F.col(id_col))
 
     def claimed(self, nodes: DataFrame) -> DataFrame:
         return nodes.withColumn("subsystem", self.claiming())

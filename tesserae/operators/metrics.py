@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.governance import LayerPolicy, Subsystems
+from tesserae.operators.governance import LayerPolicy, PrefixIndex, Subsystems
 from tesserae.schema import KEY
 
 LAYER_RELATIONS = ("CALL", "DEPENDS")
@@ -53,14 +53,17 @@ def layer_edges(nodes: DataFrame, edges: DataFrame, policy: LayerPolicy, subsyst
     pruned = edges.where(F.col("relation").isin(*relations)).select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation")
     found = with_roles(pruned, nodes)
     known, allowed = policy.knows("src_role", "dst_role"), policy.allows("src_role", "dst_role")
-    judge = F.lit(None).cast("string")
-    for s in reversed(subsystems.declared if subsystems else ()):
-        if s.policy is not None:
-            mine = F.col("src_id").startswith(s.id_prefix)
-            judge = F.when(mine, F.lit(s.name)).otherwise(judge)
-            known = F.when(mine, s.policy.knows("src_role", "dst_role")).otherwise(known)
-            allowed = F.when(mine, s.policy.allows("src_role", "dst_role")).otherwise(allowed)
-    return found.where(known).withColumn("governed_by", judge).withColumn("violating", ~allowed)
+    judges = [s for s in (subsystems.declared if subsystems else ()) if s.policy is not None]
+    # one lookup finds the subsystem, and there are as many branches as differing matrices, not as subsystems
+    matrices = list({s.policy.text(): s.policy for s in judges}.items())
+    number = {text: str(i) for i, (text, _) in enumerate(matrices)}
+    found = found.withColumn("_judge", PrefixIndex([(s.id_prefix, f"{number[s.policy.text()]}:{s.name}") for s in judges]).name(F.col("src_id")))
+    matrix, judge = F.substring_index("_judge", ":", 1), F.regexp_replace("_judge", "^[0-9]+:", "")
+    for i, (_, p) in enumerate(matrices):
+        mine = F.coalesce(matrix == str(i), F.lit(False))
+        known = F.when(mine, p.knows("src_role", "dst_role")).otherwise(known)
+        allowed = F.when(mine, p.allows("src_role", "dst_role")).otherwise(allowed)
+    return found.where(known).withColumn("governed_by", judge).withColumn("violating", ~allowed).drop("_judge")
 
 
 def layer_entropy(nodes: DataFrame, edges: DataFrame, policy: LayerPolicy, subsystems: Subsystems | None = None, relations: Sequence[str] = LAYER_RELATIONS) -> DataFrame:

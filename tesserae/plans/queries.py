@@ -208,6 +208,20 @@ def cycle_by_subsystem(spark, sf_dir):
     return cycles.cycle_by_subsystem(_components(spark, sf_dir), subs).select("subsystem", "claimed", "participating", "value")
 
 
+#: Prefixes of one length for each kind of id, as many as the ids have.
+_HEADS = "CASE WHEN id LIKE 'app.order.%' THEN substring(id, 1, 15) WHEN id LIKE 'web.%' THEN substring(id, 1, 14) WHEN id LIKE 'store.%' THEN substring(id, 1, 16) WHEN id LIKE 'geo.%' THEN 'geo.' END"
+
+
+@query(f"""WITH {NODES}, h AS (SELECT *, {_HEADS} AS prefix FROM nodes), p AS (SELECT DISTINCT prefix FROM h WHERE prefix IS NOT NULL AND length(prefix) >= 4 AND (prefix = 'geo.' OR length(prefix) = CASE WHEN prefix LIKE 'app.%' THEN 15 WHEN prefix LIKE 'web.%' THEN 14 ELSE 16 END))
+SELECT n.id, p.prefix AS claimed_by FROM h n LEFT JOIN p ON p.prefix = n.prefix""")
+def prefix_claims(spark, sf_dir):
+    """Every node with the one of many prefixes, which its ids give, that it begins with."""
+    nodes = bridge.nodes(spark, sf_dir).select("id")
+    size = F.expr("CASE WHEN prefix LIKE 'app.%' THEN 15 WHEN prefix LIKE 'web.%' THEN 14 WHEN prefix LIKE 'store.%' THEN 16 ELSE 4 END")
+    heads = nodes.select(F.expr(_HEADS).alias("prefix")).where(F.length("prefix") == size).distinct()
+    return governance.claimed_by(nodes, heads.select("prefix", F.col("prefix").alias("name"))).select("id", "claimed_by")
+
+
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who ships to whom: an edge from the supplier's nation to the customer's, many of which lead back to where they begin."""
     t = bridge.tables(spark, sf_dir)
