@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.schema import KEY
-from tesserae.storage import fresh_path, stored
+from tesserae.storage import Steps, fresh_path, stored
 
 # Precedence among roles, strongest first, and annotation names.
 PRECEDENCE = ("EXTERNAL", "PERSISTENCE", "INFRASTRUCTURE", "APPLICATION", "DOMAIN", "PRESENTATION")
@@ -83,12 +83,44 @@ def inherit_from_supertypes(roles: DataFrame, edges: DataFrame, fresh: DataFrame
     return found.select(*KEY, "id", F.lit(INHERIT).alias("rule"), "role", F.concat(F.lit("inherits role from "), "relation", F.lit(" target "), "dst_id").alias("rationale"), "edge_seq")
 
 
+def _chains(up: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What chains of one supertype each give, and the edges of the nodes that hang on more than one.
+
+    (key, id, added, role, pass) for nodes that reach a known node through nodes with one supertype each, and up less what is settled here.
+    A node's pointer goes to its supertype first, and then, round by round, to where its target's pointer goes, so a chain of any depth
+    takes as many rounds as its length has binary digits. Chains that end without a role, and circles, settle without one.
+    """
+    steps = Steps(up.sparkSession, "roles")
+    node = [*KEY, "id"]
+    single = up.groupBy(*KEY, "src_id").agg(F.count("*").alias("n"), F.first("dst_id").alias("dst_id"), F.first("relation").alias("relation")).where("n = 1")
+    single = stored(single.select(*KEY, F.col("src_id").alias("id"), F.col("dst_id").alias("above"), "relation"), "roles")
+    moving = steps.keep("moving", single.select(*node, F.col("above").alias("at"), F.lit(1).alias("hops")))
+    longest = moving.count().bit_length()
+    for _ in range(longest + 1):  # what still moves after so many rounds goes in circles
+        further = moving.select(*KEY, F.col("id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"))
+        moved = moving.join(further, [*KEY, "at"], "left")
+        moving = steps.keep("moving", moved.select(*node, F.coalesce("next", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("jumped")))
+        if moving.where("jumped").isEmpty():
+            break
+    known = base.where("role <> 'UNKNOWN'").select(*KEY, F.col("id").alias("at"), "role")
+    settled = moving.where("not jumped").join(known, [*KEY, "at"]).join(single, node)
+    signal = F.struct(F.lit(INHERIT).alias("rule"), "role", F.concat(F.lit("inherits role from "), "relation", F.lit(" target "), "above").alias("rationale"))
+    settled = stored(settled.select(*node, F.array(signal).alias("added"), "role", F.col("hops").cast("int").alias("pass")), "roles")
+    several = up.groupBy(*KEY, "src_id").agg(F.count("*").alias("n")).where("n > 1").select(*KEY, F.col("src_id").alias("id"))
+    hanging = moving.where("not jumped").join(several.withColumnRenamed("id", "at"), [*KEY, "at"], "left_semi").select(*node).union(several)
+    rest = stored(up.join(hanging.select(*KEY, F.col("id").alias("src_id")).distinct(), [*KEY, "src_id"], "left_semi"), "roles")
+    steps.drop("moving")
+    return settled, rest
+
+
 def refined(nodes: DataFrame, edges: DataFrame, rules: Sequence[SeedRule] = SEED_RULES, refine: Callable = inherit_from_supertypes, max_passes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes with final role, signals and pass, passes per graph).
 
-    Roles flow from known to UNKNOWN nodes only, all of a pass reading the roles before it. The frontier of a pass is
+    Roles flow from known to UNKNOWN nodes only, all of a pass reading the roles before it. Chains of one supertype each are
+    settled first, by doubling; only nodes that hang on several supertypes go pass by pass. The frontier of a pass is
     what the last one made known, so each pass costs one join with the inheritance edges that lead into the frontier.
-    The loop ends with the first pass that changes nothing; its bound is the number of nodes.
+    The loop ends with the first pass after which nothing is known that wasn't before it, doubled chains included; max_passes
+    bounds the passes, the number of nodes in any case. Rules of one's own always go pass by pass.
     """
     spark = nodes.sparkSession
     base = stored(seeded(nodes, rules).select(*KEY, "id", "role", "signals"), "roles")
@@ -96,26 +128,39 @@ def refined(nodes: DataFrame, edges: DataFrame, rules: Sequence[SeedRule] = SEED
     # only edges that lead out of unknown nodes can matter
     unknown = base.where("role = 'UNKNOWN'").select(*KEY, F.col("id").alias("src_id"))
     up = stored(inherits.join(unknown, [*KEY, "src_id"], "left_semi"), "roles")
-    bound = max_passes if max_passes is not None else nodes.count()
+    schema = f"subject_id string, scan_id string, id string, added array<{SIGNAL}>, role string"
+    chained = spark.createDataFrame([], schema + ", pass int")
+    if refine is inherit_from_supertypes:
+        chained, up = _chains(up, base)
+    deepest = chained.agg(F.coalesce(F.max("pass"), F.lit(0))).first()[0]
+    too_many = lambda n: max_passes is not None and n > max_passes
     # each pass is a folder of one table, which tells the next ones what is known by now
-    path, schema = fresh_path(spark, "passes"), f"subject_id string, scan_id string, id string, added array<{SIGNAL}>, role string"
+    path, written = fresh_path(spark, "passes"), False
     fresh, passes, gained = base.select(*KEY, "id", "role"), 0, spark.createDataFrame([], schema + ", pass int")
-    while True:
+    while not up.isEmpty():
         signals = refine(base, up, fresh)
         if passes:
             signals = signals.join(gained.select(*KEY, "id"), [*KEY, "id"], "left_anti")
         each = F.array_sort(F.collect_list(F.struct("rule", "edge_seq", "role", "rationale")))
         won = signals.groupBy(*KEY, "id").agg(F.transform(each, lambda s: F.struct(s["rule"].alias("rule"), s["role"].alias("role"), s["rationale"].alias("rationale"))).alias("added"))
+        # a chain that ends in a node with several supertypes has its own pass in the loop; a settled one has it already
+        won = won.join(chained.select(*KEY, "id"), [*KEY, "id"], "left_anti")
         won.withColumn("role", winner(F.col("added"))).where("role <> 'UNKNOWN'").write.parquet(f"{path}/pass={passes + 1}")
+        written = True
         won = spark.read.schema(schema).parquet(f"{path}/pass={passes + 1}")
-        if won.isEmpty():
+        if won.isEmpty() and passes >= deepest:
             break
         passes += 1
-        if passes > bound:
-            raise RuntimeError(f"role refinement did not settle within {bound} passes")
-        fresh = won.select(*KEY, "id", "role")
+        if too_many(passes):
+            break
+        if max_passes is None and passes > deepest + 1 and passes > nodes.count():
+            raise RuntimeError(f"role refinement did not settle within {passes} passes")
+        fresh = won.select(*KEY, "id", "role").union(chained.where(F.col("pass") == passes).select(*KEY, "id", "role"))
         gained = spark.read.schema(schema + ", pass int").parquet(path)
-    gained = gained.select(*KEY, "id", "added", F.col("role").alias("gained"), "pass")
+    if too_many(max(passes, deepest)):
+        raise RuntimeError(f"role refinement did not settle within {max_passes} passes")
+    columns = [*KEY, "id", "added", F.col("role").alias("gained"), "pass"]
+    gained = chained.select(*columns).unionByName((spark.read.schema(schema + ", pass int").parquet(path) if written else gained).select(*columns))
     out = nodes.drop("role").join(base, [*KEY, "id"]).join(gained, [*KEY, "id"], "left")
     out = out.withColumn("signals", F.concat("signals", F.coalesce("added", F.array().cast(f"array<{SIGNAL}>")))).withColumn("role", F.coalesce("gained", "role"))
     counts = nodes.select(*KEY).distinct().join(gained.groupBy(*KEY).agg(F.max("pass").cast("long").alias("passes")), KEY, "left").select(*KEY, F.coalesce("passes", F.lit(0)).alias("passes"))

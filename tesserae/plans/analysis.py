@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,6 +30,10 @@ class DetectionCatalog:
             require(len(set(names)) == len(names), f"a {what} rule is named twice")
         require(all(map(callable, self.refinement_rules)), "a refinement rule is a function of roles, edges and what is new")
 
+    def refinement(self) -> Callable:
+        """The refinement rule of the run; a single one stays itself, so that what is known of it can be used."""
+        return self.refinement_rules[0] if len(self.refinement_rules) == 1 else self.refine
+
     def refine(self, base: DataFrame, up: DataFrame, fresh: DataFrame) -> DataFrame:
         """The candidates of all refinement rules."""
         if not self.refinement_rules:
@@ -68,9 +73,9 @@ class Analysis:
 
 def analyse(nodes: DataFrame, edges: DataFrame, policy: GovernancePolicy, catalog: DetectionCatalog = ILLUSTRATIVE) -> Analysis:
     """Roles, the four dimensions, total, invariants and the exception ledger. Exceptions never move a number."""
-    final, passes = roles.refined(nodes, edges, catalog.seed_rules, catalog.refine)
-    final = stored(final, "nodes")
     edges = stored(edges, "edges")
+    final, passes = roles.refined(nodes, edges, catalog.seed_rules, catalog.refinement())
+    final = stored(final, "nodes")
     layer = stored(metrics.layer_edges(final, edges, policy.layer_policy, policy.subsystems), "layer")
     comps = stored(cycles.components(final, edges), "cycle")
     persistence = stored(metrics.persistence_edges(final, edges), "persistence")

@@ -62,7 +62,7 @@ def query(sql: str | None = None):
 
 
 def _refined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = bridge.edges(spark, sf_dir)
+    edges = stored(bridge.edges(spark, sf_dir), "edges")
     nodes, passes = roles.refined(bridge.nodes(spark, sf_dir), edges)
     return nodes, edges, passes
 
