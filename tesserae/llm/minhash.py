@@ -3,8 +3,8 @@
 Each of n_perm universal hash functions (a * x + b over 64 bits, the upper 32 kept) runs over all shingle
 hashes of a text; a fingerprint is the list of the minima's low 16 bits. All of it is numpy over Arrow buffers.
 Two fingerprints' likeness is the share of equal slots, which estimates the Jaccard similarity of the
-shingle sets. Classes of equal fingerprints are the entries of a search: links() joins their signature bands in Spark and verifies the
-exact Jaccard similarity, and classed() names for every row the smallest doc_id that equal fingerprints and links connect.
+shingle sets. Classes of equal shingle sets are the entries of a search: links() joins their signature bands in Spark and verifies the
+exact Jaccard similarity, of sets with equal fingerprints, too; classed() names for every row the smallest doc_id that equal sets and links connect.
 
 Defined cases: null counts as an empty text; a text without words has no shingles, every slot at its largest
 value, and is like other such texts only; fewer words than a shingle form one shingle; equal texts have equal
@@ -14,6 +14,7 @@ id take no part in links; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -78,10 +79,38 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    out: list[np.ndarray] = []
+    data, offsets = flat.flat(column)
+    for i, j in flat.slabs(np.diff(offsets)):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        s, e, rows = flat.word_spans(part, at)
+        values, owner = flat.shingles(flat.span_hashes(part, s, e) if len(s) else np.zeros(0, np.uint64), rows, k)
+        cut = np.searchsorted(owner, np.arange(len(at)))
+        out += [np.unique(values[x:y]) for x, y in zip(cut[:-1], cut[1:])]
+    return out
+
+
+def set_ids(sets: list[np.ndarray]) -> list[str]:
+    return [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in sets]
+
+
+def members(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS) -> DataFrame:
+    """(doc_id, fingerprint, set_id): set_id is a digest of the text's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = hexed(all_signatures(batch.column(1), k=k, n_perm=n_perm))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string()), pa.array(set_ids(shingle_sets(batch.column(1), k)), pa.string())], ["doc_id", "fingerprint", "set_id"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, set_id string")
+
+
 def entries(member: DataFrame) -> DataFrame:
-    """(unit, first, n, fingerprint): classes of equal fingerprints, with their smallest doc_id and size. member has doc_id and fingerprint."""
-    rows = member.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    return stored(rows.select(F.xxhash64("fingerprint").alias("unit"), "first", "n", "fingerprint"), "minhash")
+    """(unit, first, n, fingerprint, set_id): classes of equal shingle sets, with their smallest doc_id and size, from members()."""
+    rows = member.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("fingerprint").alias("fingerprint"))
+    return stored(rows.select(F.xxhash64("set_id").alias("unit"), "first", "n", "fingerprint", "set_id"), "minhash")
 
 
 def links(docs: DataFrame, classes: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, n_perm: int = PERMUTATIONS, n_bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -94,50 +123,48 @@ def links(docs: DataFrame, classes: DataFrame, text: str = "text", id_col: str =
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = shingle_sets(batch.column(1), k)
             # of an id's texts only those of the class count
-            own = hexed(all_signatures(batch.column(1), k=k, n_perm=n_perm))
-            batch = batch.filter(pa.array([x == y for x, y in zip(own, batch.column(2).to_pylist())], pa.bool_()))
-            data, offsets = flat.flat(batch.column(1))
-            s, e, rows = flat.word_spans(data, offsets)
-            values, at = flat.shingles(flat.span_hashes(data, s, e) if len(s) else np.zeros(0, np.uint64), rows, k)
-            cut = np.searchsorted(at, np.arange(len(offsets)))
-            short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = [np.unique(short[i:j]) for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["unit", "shingles"])
+            own = [i for i, (x, y) in enumerate(zip(set_ids(found), batch.column(2).to_pylist())) if x == y]
+            short = [np.unique((found[i] >> np.uint64(32)).astype(np.uint32).view(np.int32)) for i in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(short, pa.list_(pa.int32()))], ["unit", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text).cast("string").alias("text"))
 
     def sets_of(used: DataFrame) -> DataFrame:
-        named = stored(used.join(classes, "unit").select("unit", "first", "fingerprint"), "minhash")
-        found = texts.join(named, "first").select("unit", "text", "fingerprint").mapInArrow(sets, "unit long, shingles array<int>")
+        named = stored(used.join(classes, "unit").select("unit", "first", "set_id"), "minhash")
+        found = texts.join(named, "first").select("unit", "text", "set_id").mapInArrow(sets, "unit long, shingles array<int>")
         return found.groupBy("unit").agg(F.min("shingles").alias("shingles"))
 
     return bands.links(classes.select(F.explode(keys).alias("key"), "unit"), sets_of, similarity)
 
 
 def near_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """(a, b, jaccard): verified links between classes of equal fingerprints, each named by its smallest doc_id."""
-    classes = entries(fingerprints(docs, text, id_col))
+    """(a, b, jaccard): verified links between classes of equal shingle sets, each named by its smallest doc_id.
+
+    Classes that share a band's key with more than bands.WHOLE others may be linked through some of them instead of each with each.
+    """
+    classes = entries(members(docs, text, id_col))
     found, names = links(docs, classes, text, id_col, **options), classes.select("unit", "first")
     named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def classed(member: DataFrame, docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """member, a stored table with doc_id and fingerprint, with class_id: the smallest doc_id that equal fingerprints and links connect."""
+    """member, members() as a stored table, with class_id: the smallest doc_id that equal shingle sets and links connect."""
     classes = entries(member)
     comp = stored(connected_components(links(docs, classes, text, id_col, **options), "a", "b"), "minhash")
     least = stored(comp.join(classes, comp.node == classes.unit).groupBy("component").agg(F.min("first").alias("class_id")), "minhash")
     linked = comp.join(least, "component").select(F.col("node").alias("unit"), "class_id")
     # of a class of one row without links the row's own id is the name
     several = classes.join(linked, "unit", "left").where("n > 1 or class_id is not null").select("unit", F.coalesce("class_id", "first").alias("class_id"))
-    rows = member.withColumn("unit", F.xxhash64("fingerprint")).join(stored(several, "minhash"), "unit", "left").drop("unit")
+    rows = member.withColumn("unit", F.xxhash64("set_id")).join(stored(several, "minhash"), "unit", "left").drop("unit")
     return rows.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
 
 
 def membership(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, class_id) of every row."""
-    return classed(stored(fingerprints(docs, text, id_col), "minhash"), docs, text, id_col, **options).select("doc_id", "class_id")
+    return classed(stored(members(docs, text, id_col), "minhash"), docs, text, id_col, **options).select("doc_id", "class_id")
 
 
 def longs(values: list[int | None]) -> Column:
