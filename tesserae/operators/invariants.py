@@ -169,6 +169,90 @@ def entropy_budget(limit: float) -> Invariant:
     return Invariant("entropy_budget", "GRAPH", always(True), lte(metric("total_entropy"), value(float(limit))))
 
 
+# --- rules as rows -----------------------------------------------------------
+
+#: A row for each part of a rule's two predicates. path numbers the parts from the root on, "" being the root, "0" its first operand, "0.1" that one's second.
+RULES = "name string, scope string, severity string, side string, path string, op string, kind string, prop string, metric string, constant string"
+_OPERANDS = {"always": (0, 0), "not": (1, 1), "and": (1, None), "or": (1, None), "in": (1, None)} | {op: (2, 2) for op in ("eq", "ne", "lt", "le", "gt", "ge")}
+_READ = {"int": int, "double": float, "boolean": lambda t: {"true": True, "false": False}[t]}
+
+
+def _rows(p: Predicate, path: str) -> list[tuple]:
+    """(path, op, kind, prop, metric, constant) of a predicate and what is in it."""
+    if p.op == "always":
+        return [(path, "always", "boolean", None, None, str(bool(p.args[0])).lower())]
+    out: list[tuple] = [(path, p.op, None, None, None, None)]
+    for i, a in enumerate(p.args):
+        at = f"{path}.{i}".lstrip(".")
+        if isinstance(a, Predicate):
+            out += _rows(a, at)
+        else:
+            text = None if a.prop else str(a.constant).lower() if a.kind == "boolean" else repr(a.constant) if a.kind == "double" else str(a.constant)
+            out.append((at, "value", a.kind, a.prop, a.metric, text))
+    return out
+
+
+def rules_table(spark: SparkSession, rules: Sequence[Invariant]) -> DataFrame:
+    """Declared invariants as rows of RULES; from_rules() gives them back."""
+    rows = [(r.name, r.scope, r.severity, side, *x) for r in rules for side, p in (("when", r.when), ("then", r.then)) for x in _rows(p, "")]
+    return spark.createDataFrame(rows, RULES)
+
+
+def _built(parts: dict[tuple[int, ...], Any], at: tuple[int, ...], where: str) -> Predicate | Value:
+    r = parts.pop(at, None)
+    require(r is not None, f"{where} lacks the part {'.'.join(map(str, at)) or 'at its root'}")
+    below = sorted(k for k in parts if len(k) == len(at) + 1 and k[: len(at)] == at)
+    require([k[-1] for k in below] == list(range(len(below))), f"the operands of {r['op']} in {where} aren't numbered from 0 on")
+    if r["op"] == "value":
+        require(not below, f"a value in {where} has operands")
+        if r["prop"] == "metric":
+            return metric(r["metric"])
+        if r["prop"] is not None:
+            v = prop(r["prop"])
+            require(r["kind"] in (None, v.kind), f"{r['prop']} in {where} is a {v.kind}")
+            return v
+        require(r["constant"] is not None and r["kind"] in ("role", "type", "relation", "string", *_READ), f"a constant in {where} needs a kind and a text")
+        try:
+            return value(_READ.get(r["kind"], str)(r["constant"]), r["kind"])
+        except (KeyError, ValueError):
+            raise ValueError(f"{r['constant']!r} in {where} is no {r['kind']}") from None
+    require(r["op"] in _OPERANDS, f"unknown operator {r['op']} in {where}")
+    low, high = _OPERANDS[r["op"]]
+    require(len(below) >= low and (high is None or len(below) <= high), f"{r['op']} in {where} has {len(below)} operands")
+    if r["op"] == "always":
+        require(r["constant"] in ("true", "false"), f"always in {where} is true or false")
+        return always(r["constant"] == "true")
+    args = tuple(_built(parts, k, where) for k in below)
+    wanted = Predicate if r["op"] in ("and", "or", "not") else Value
+    require(all(isinstance(a, wanted) for a in args), f"{r['op']} in {where} takes {'predicates' if wanted is Predicate else 'values'}")
+    return Predicate(r["op"], args)
+
+
+def from_rules(table: DataFrame) -> tuple[Invariant, ...]:
+    """The invariants that rows of RULES declare, by name; what doesn't make a rule, by its form, its types or its scope, is refused.
+
+    The rows of declared rules are few; they become columns, and the rules run like all others.
+    """
+    rules: dict[str, dict] = {}
+    for r in table.select(*[c.split()[0] for c in RULES.split(", ")]).orderBy("name", "side", "path").collect():
+        rule = rules.setdefault(not_blank(r["name"], "rule name"), {"scope": r["scope"], "severity": r["severity"], "when": {}, "then": {}})
+        require((rule["scope"], rule["severity"]) == (r["scope"], r["severity"]), f"{r['name']} has two scopes or severities")
+        require(r["side"] in ("when", "then"), f"unknown side {r['side']} of {r['name']}")
+        require(r["path"] is not None and all(x.isdigit() for x in r["path"].split(".") if r["path"]), f"no path of {r['name']}: {r['path']}")
+        at = tuple(int(x) for x in r["path"].split(".")) if r["path"] else ()
+        require(at not in rule[r["side"]], f"{r['name']} has the part {r['path']} twice")
+        rule[r["side"]][at] = r
+    out = []
+    for name, rule in rules.items():
+        sides = {}
+        for side in ("when", "then"):
+            parts = rule[side]
+            sides[side] = _built(parts, (), f"{name}.{side}")
+            require(isinstance(sides[side], Predicate) and not parts, f"{name}.{side} isn't one predicate")
+        out.append(Invariant(name, rule["scope"], sides["when"], sides["then"], rule["severity"] or "ERROR"))
+    return tuple(out)
+
+
 VIOLATION = ["name", "kind", "node_id", "source_id", "target_id", "relation"]
 
 

@@ -11,7 +11,7 @@ from tesserae.operators import calibration, cycles, governance, invariants, metr
 from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, Subsystem, Subsystems, WeightedDimension
 from tesserae.plans import analysis, presets, samples
 from tesserae.schema import DIMENSIONS, KEY
-from tesserae.sources import bridge, datasource, facts, java, scans
+from tesserae.sources import bridge, datasource, facts, java, keyed, layout, scans
 from tesserae.storage import fresh_path, stored
 from tesserae.streaming import drift as stream
 
@@ -88,6 +88,21 @@ def source_nodes(spark, sf_dir):
     return rows.select("id", "type", first["source_adapter"].alias("adapter"), first["description"].alias("descr"), F.try_element_at(first["attributes"], F.lit("annotation")).alias("annotation"))
 
 
+@query(f"""WITH {EDGES} SELECT 'out' AS side, src AS id, count(*) AS edges FROM edges GROUP BY src UNION ALL SELECT 'in', dst, count(*) FROM edges WHERE dst IS NOT NULL GROUP BY dst""")
+def adjacency_degrees(spark, sf_dir):
+    """Edges of every node, from either side's stored table."""
+    at = layout.stored_adjacency(bridge.edges(spark, sf_dir), fresh_path(spark, "adjacency"), 16)
+    return at.degrees("out").select(F.lit("out").alias("side"), "id", "edges").union(at.degrees("in").select(F.lit("in"), "id", "edges"))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, relation FROM edges WHERE src IN (SELECT concat('store.supplier.', s_suppkey) FROM supplier WHERE s_nationkey = 7)")
+def adjacency_lookup(spark, sf_dir):
+    """The edges that leave one nation's suppliers, by bucket and id."""
+    at = layout.stored_adjacency(bridge.edges(spark, sf_dir), fresh_path(spark, "adjacency"), 16)
+    ids = bridge.tables(spark, sf_dir)["supplier"].where("s_nationkey = 7").select(F.lit(bridge.SUBJECT).alias("subject_id"), F.lit(bridge.SCAN).alias("scan_id"), F.concat(F.lit("store.supplier."), "s_suppkey").alias("id"))
+    return at.edges_of(ids).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "relation")
+
+
 def _source_edges(spark, sf_dir) -> DataFrame:
     first = F.get("provenance", F.lit(0))
     return datasource.read(spark, sf_dir).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "dst_desc", "relation", first["execution_context"].alias("ctx"))
@@ -358,6 +373,16 @@ def invariant_indicators(spark, sf_dir):
     return _indicators(spark, sf_dir).select("name", "evaluated", "violations", "indicator", "holds")
 
 
+@query(SQL["invariant_indicators"])
+def invariant_rules_as_rows(spark, sf_dir):
+    """The same rules, written to a table and read from it."""
+    rules = invariants.from_rules(stored(invariants.rules_table(spark, RULES), "rules"))
+    a = _analysis(spark, sf_dir)
+    m = a.values.select(*KEY, "total_entropy")
+    found = invariants.indicators(rules, invariants.violations(rules, a.nodes, a.edges, m), a.nodes, m)
+    return found.select("name", "evaluated", "violations", "indicator", "holds")
+
+
 @query(f"{WHOLE}, {EDGE_SQL}, {ENTROPY}, {COUNTS} SELECT CAST(1.5 * least(a, 1) + 4.0 * least(b, 1) + 0.25 * g AS DOUBLE) AS value, CAST(0 AS BIGINT) AS unevaluated FROM c")
 def invariant_aggregate(spark, sf_dir):
     weights = (("components_have_a_role", 1.5), ("no_presentation_to_persistence", 4.0), ("entropy_budget", 0.25))
@@ -499,6 +524,42 @@ def scans_latest(spark, sf_dir):
     return scans.latest(rows).select(F.col("nation").cast("long").alias("nation"), "yr", F.round("layer", 12).alias("layer"))
 
 
+def _projects(spark, sf_dir) -> tuple[keyed.KeyedTable, keyed.KeyedTable]:
+    """Tables of nations of regions 0 to 3 as projects, and of their years as scans."""
+    at = fresh_path(spark, "relational")
+    projects = keyed.KeyedTable(f"{at}/projects", "id string not null, name string not null", "id", "pmod(crc32(id), 4)")
+    return projects, keyed.KeyedTable(f"{at}/scans", "id string not null, project_id string not null, layer double, cycle double", "id", "project_id", (("project_id", projects),))
+
+
+def _pushed(spark, sf_dir) -> DataFrame:
+    return _years(spark, sf_dir).select("nation", "yr", F.concat(F.lit("nation-"), "nation").alias("project_id"), F.concat_ws("/", "nation", "yr").alias("id"), "layer", "cycle")
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    return bridge.tables(spark, sf_dir)["nation"].where("n_regionkey < 4").select(F.concat(F.lit("nation-"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+
+
+@query(f"""WITH {_bridge(YEARS)} SELECT concat(nation, '/', yr) AS id, concat('nation-', nation) AS project_id, round(CASE WHEN yr % 2 = 0 THEN cycle ELSE layer END, 12) AS layer
+FROM v JOIN nation ON n_nationkey = nation WHERE n_regionkey < 4""")
+def scans_merged(spark, sf_dir):
+    """Scans pushed in three batches: all; the same batch again; and the even years once more, with another value."""
+    projects, scans_ = _projects(spark, sf_dir)
+    projects.merge(_nations(spark, sf_dir), "nations")
+    rows = stored(_pushed(spark, sf_dir).join(_nations(spark, sf_dir).select(F.col("id").alias("project_id")), "project_id", "left_semi"), "years")
+    scans_.merge(rows, "all")
+    scans_.merge(rows.withColumn("layer", F.lit(9.0)), "all")
+    scans_.merge(rows.where("yr % 2 = 0").withColumn("layer", F.col("cycle")), "even")
+    return scans_.read(spark).select("id", "project_id", F.round("layer", 12).alias("layer"))
+
+
+@query(f"WITH {_bridge(YEARS)} SELECT concat(nation, '/', yr) AS id, 'project_id' AS broken FROM v JOIN nation ON n_nationkey = nation WHERE n_regionkey = 4")
+def scans_refused(spark, sf_dir):
+    """Scans whose project isn't known: a batch with one of them would be refused."""
+    projects, scans_ = _projects(spark, sf_dir)
+    projects.merge(_nations(spark, sf_dir), "nations")
+    return scans_.orphans(_pushed(spark, sf_dir)).select("id", "broken")
+
+
 SQL["scans_latest"] = f"WITH {_bridge(YEARS)} {SQL['scans_latest']}"
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.keyed import KeyedTable
 
-#: The tables of projects and their scans. A scan's project must exist; scans are partitioned by project and read newest first.
+# The tables of projects and their scans. A scan's project must exist; scans are partitioned by project and read newest first.
 PROJECTS = "id string not null, name string not null, repo_url string, created_at timestamp not null"
 SCANS = (
     "id string not null, project_id string not null, scanned_at timestamp not null, node_count int not null, edge_count int not null, role_refinement_passes int not null, layer_entropy double, cycle_entropy double, "
@@ -43,12 +46,36 @@ def summarised(reports: DataFrame) -> DataFrame:
     )
 
 
-def push(reports: DataFrame, project_id: str, path: str) -> DataFrame:
-    """The readable reports as new rows of SCANS, appended to the table at path; returns the reports that aren't readable."""
+def project_table(path: str) -> KeyedTable:
+    return KeyedTable(f"{path}/projects", PROJECTS, "id", "pmod(crc32(id), 8)")
+
+
+def scan_table(path: str) -> KeyedTable:
+    """Scans by project; a project's scans are a partition, so reading one project reads nothing else."""
+    return KeyedTable(f"{path}/scans", SCANS, "id", "project_id", (("project_id", project_table(path)),))
+
+
+def put_project(spark: SparkSession, path: str, id_: str, name: str, repo_url: str | None = None) -> None:
+    """A project by its id: a new name and address replace the old ones, the time of its creation stays."""
+    table = project_table(path)
+    old = table.read(spark).where(F.col("id") == id_).select("id", F.col("created_at").alias("since"))
+    row = spark.createDataFrame([(id_, name, repo_url)], "id string, name string, repo_url string").join(old, "id", "left")
+    row = row.select("id", "name", "repo_url", F.coalesce("since", F.current_timestamp()).alias("created_at"))
+    table.merge(row, f"put-{uuid.uuid4().hex}")
+
+
+def push(reports: DataFrame, project_id: str, path: str, scanned_at: str | None = None) -> DataFrame:
+    """The readable reports as new rows of SCANS in the table at path, whose project must be there; returns the reports that aren't readable.
+
+    A scan's id follows from its project, its time if one is given, and its report: pushing again what was pushed leaves one row, the first.
+    """
     rows = summarised(reports)
     columns = [c.split()[0] for c in SCANS.split(", ")]
-    scans = rows.where("readable").withColumns({"id": F.expr("uuid()"), "project_id": F.lit(project_id), "scanned_at": F.current_timestamp()})
-    append(scans.select(*columns), path)
+    digest = F.sha2(F.concat_ws("/", F.lit(project_id), F.lit(scanned_at), "report"), 256)
+    id_ = F.regexp_replace(F.substring(digest, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    at = F.lit(scanned_at).cast("timestamp") if scanned_at else F.current_timestamp()
+    scans = rows.where("readable").withColumns({"id": id_, "project_id": F.lit(project_id), "scanned_at": at}).dropDuplicates(["id"])
+    scan_table(path).merge(scans.select(*columns), f"push-{uuid.uuid4().hex}", replace=False)
     return rows.where("not readable").select(*reports.columns)
 
 

@@ -74,9 +74,14 @@ def test_reports_become_scans(spark, tmp_path):
     (tmp_path / "in" / "bad.json").write_text("{ not a report")
     (tmp_path / "in" / "other.json").write_text(json.dumps({"graph": {"nodes": []}}))
     reports = scans.read_reports(spark, str(tmp_path / "in"))
-    gone = scans.push(reports, "clinic", str(tmp_path / "scans"))
+    at = str(tmp_path / "db")
+    with pytest.raises(ValueError):
+        scans.push(reports, "clinic", at)  # the project isn't known
+    scans.put_project(spark, at, "clinic", "Clinic")
+    gone = scans.push(reports, "clinic", at)
+    scans.push(reports, "clinic", at)  # once more, which changes nothing
     assert sorted(r["path"].rsplit("/", 1)[1] for r in gone.collect()) == ["bad.json", "other.json"]
-    table = spark.read.parquet(str(tmp_path / "scans"))
+    table = scans.scan_table(at).read(spark)
     assert sorted(table.columns) == sorted(c.split()[0] for c in scans.SCANS.split(", "))
     row = one(table)
     assert (row["project_id"], row["node_count"], row["edge_count"], row["role_refinement_passes"], row["invariant_violation_count"], row["skipped_invariants"]) == ("clinic", 29, 21, 0, 1, [])
