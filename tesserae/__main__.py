@@ -1,6 +1,6 @@
 """python -m tesserae ROOT [CLASSPATH...]: scans Java sources and prints the whole JSON report under the illustrative policy; without a root, exit 2.
 
-With --write FOLDER the report is written there as text files instead, by many tasks.
+With --write FOLDER the report is written there by many tasks, in parts with a manifest that lists them in order.
 """
 
 from __future__ import annotations

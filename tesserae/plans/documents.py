@@ -18,6 +18,7 @@ from tesserae.operators import calibration, cycles
 from tesserae.operators.governance import FINDING, ApprovedException, ExceptionTarget, GovernancePolicy, LayerPolicy
 from tesserae.plans.analysis import Analysis, constraints, findings, observations
 from tesserae.schema import DIMENSIONS, KEY, ROLES
+from tesserae.sources import reports
 
 # What the reports say where something is undefined or can't be answered.
 REASONS = {
@@ -147,9 +148,9 @@ class Document:
             for n, r in enumerate(p.rows.orderBy(*p.order).select("json").toLocalIterator()):
                 yield ("," if n and not p.joined else "") + r["json"]
 
-    def write(self, spark: SparkSession, path: str) -> None:
-        """The document as text files that, read in the order of their names, make it."""
-        self.rows(spark).orderBy("piece", "place").select("text").write.text(path)
+    def write(self, spark: SparkSession, path: str, separator: str = "") -> None:
+        """The document in parts with a manifest, written by many tasks; a job that fails leaves what was there."""
+        reports.write(self.rows(spark).orderBy("piece", "place").select("text"), path, separator)
 
 
 def constant(value: object) -> Document:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import calibration, cycles, governance, invariants, metrics, roles
 from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, Subsystem, Subsystems, WeightedDimension
-from tesserae.plans import analysis, presets, samples
+from tesserae.plans import analysis, documents, presets, samples
 from tesserae.schema import DIMENSIONS, KEY
-from tesserae.sources import bridge, datasource, facts, java, keyed, layout, scans
+from tesserae.sources import bridge, datasource, facts, java, keyed, layout, reports, scans
 from tesserae.storage import fresh_path, stored
 from tesserae.streaming import drift as stream
 
@@ -51,6 +51,10 @@ sized AS (SELECT id, scc, count(*) OVER (PARTITION BY scc) AS size FROM (SELECT
 CYCLE = f"WITH RECURSIVE {NODES}, {EDGES}, {CYC}"
 
 
+#: Queries of fixed small input, with their SQL: for tests alone.
+FIXED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
 def query(sql: str | None = None):
     def add(f):
         Q[f.__name__] = f
@@ -61,6 +65,14 @@ def query(sql: str | None = None):
     return add
 
 
+def fixed(sql: str):
+    def add(f):
+        FIXED[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def _refined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = stored(bridge.edges(spark, sf_dir), "edges")
     nodes, passes = roles.refined(bridge.nodes(spark, sf_dir), edges)
@@ -512,7 +524,7 @@ driftSensitivity=beta:OptionalDouble.empty[]
 approvedExceptions=[]"""
 
 
-@query(f"SELECT sha256(canonical) AS fingerprint, canonical FROM (SELECT '{DECLARED}' AS canonical)")
+@fixed(f"SELECT sha256(canonical) AS fingerprint, canonical FROM (SELECT '{DECLARED}' AS canonical)")
 def fingerprint(spark, sf_dir):
     p = presets.layered()
     return spark.createDataFrame([(p.fingerprint(), p.canonical())], "fingerprint string, canonical string")
@@ -571,6 +583,17 @@ def scan_summary_row(spark, sf_dir):
     return rows.select("node_count", "edge_count", "passes", F.round("total_entropy", 12).alias("total_entropy"), F.round("maturity", 12).alias("maturity"), "invariant_violation_count")
 
 
+@query(f"""WITH {NODES}, {EDGES} SELECT 'node' AS kind, id AS source, type AS about, CAST(NULL AS VARCHAR) AS target FROM nodes UNION ALL SELECT 'edge', src, relation, coalesce(dst, dst_desc) FROM edges""")
+def report_elements(spark, sf_dir):
+    """The whole graph as a report document, written by the sink, and its elements read back."""
+    path, key = fresh_path(spark, "report"), (bridge.SUBJECT, bridge.SCAN)
+    documents.graph(documents.mine(stored(bridge.nodes(spark, sf_dir), "nodes"), *key), documents.mine(stored(bridge.edges(spark, sf_dir), "edges"), *key)).write(spark, path, "\n")
+    end = "struct<id:string,description:string>"
+    r = F.from_json(F.regexp_replace("text", "^,", ""), f"id string, type string, source {end}, target {end}, relation string")
+    rows = reports.read(spark, path).where(F.col("text").rlike('^,?[{]"(id|source)"')).select(r.alias("r"))
+    return rows.select(F.when(F.col("r.id").isNotNull(), "node").otherwise("edge").alias("kind"), F.coalesce("r.id", "r.source.id").alias("source"), F.coalesce("r.type", "r.relation").alias("about"), F.coalesce("r.target.id", "r.target.description").alias("target"))
+
+
 # The sample project's facts, read off its sources.
 JAVA_NODES = """VALUES
 ('lib.service.Pricing', 'COMPONENT', 'APPLICATION', 0), ('lib.service.Pricing#next(int)', 'FUNCTION', 'APPLICATION', 0), ('lib.service.Pricing#round(int)', 'FUNCTION', 'APPLICATION', 0),
@@ -597,12 +620,12 @@ def _java(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return facts.assemble(found.nodes, found.edges)
 
 
-@query(f"SELECT id, type, role, CAST(pass AS INTEGER) AS pass FROM ({JAVA_NODES}) t(id, type, role, pass)")
+@fixed(f"SELECT id, type, role, CAST(pass AS INTEGER) AS pass FROM ({JAVA_NODES}) t(id, type, role, pass)")
 def java_nodes(spark, sf_dir):
     return roles.refined(*_java(spark))[0].select("id", "type", "role", F.col("pass").cast("int").alias("pass"))
 
 
-@query(f"SELECT src, relation, dst, resolved, fidelity, context FROM ({JAVA_EDGES}) t(src, relation, dst, resolved, fidelity, context)")
+@fixed(f"SELECT src, relation, dst, resolved, fidelity, context FROM ({JAVA_EDGES}) t(src, relation, dst, resolved, fidelity, context)")
 def java_edges(spark, sf_dir):
     first = F.get("provenance", F.lit(0))
     return _java(spark)[1].select(F.col("src_id").alias("src"), "relation", F.coalesce("dst_id", "dst_desc").alias("dst"), F.col("dst_resolved").alias("resolved"), first["fidelity"].alias("fidelity"), first["execution_context"].alias("context"))

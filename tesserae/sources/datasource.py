@@ -118,7 +118,7 @@ class Part(InputPartition):
     ids: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -177,7 +177,7 @@ class FactReader(DataSourceReader):
             ids = {name: tuple(v for v in self.ids[name] if key is not None and key.matching(v) is not None) for name, key in rule.ends().items() if name in self.ids}
             if self.labels is not None and rule.label not in self.labels or not all(ids.values()):
                 continue
-            fs, base = _file_system(f"{self.path}/{rule.table}.parquet")
+            fs, base = file_system(f"{self.path}/{rule.table}.parquet")
             about = fs.get_file_info(base)
             files = [base] if about.type == pafs.FileType.File else sorted(x.path for x in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if x.type == pafs.FileType.File and not posixpath.basename(x.path).startswith(("_", ".")))
             require(bool(files), f"no table {rule.table} in {self.path}")
@@ -197,7 +197,7 @@ class FactReader(DataSourceReader):
         if partition is None:  # nothing is left after pruning
             return
         rule = self.rules()[partition.rule]
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         fragment = ds.ParquetFileFormat().make_fragment(partition.file, fs, row_groups=list(partition.groups))
         where = None
         for w in [rule.where] if isinstance(rule, EdgeRule) and rule.where else []:
@@ -220,7 +220,7 @@ class FactReader(DataSourceReader):
                         yield self._edges(rule, t)
 
     def _looked_up(self, lookup: Lookup, t: pa.Table) -> pa.Table:
-        fs, base = _file_system(f"{self.path}/{lookup.table}.parquet")
+        fs, base = file_system(f"{self.path}/{lookup.table}.parquet")
         low, high = pc.min_max(t[lookup.by]).values()
         other = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=[lookup.key, lookup.column], filter=(ds.field(lookup.key) >= low) & (ds.field(lookup.key) <= high), use_threads=False)
         return t.join(other, lookup.by, lookup.key, "inner", use_threads=False)
