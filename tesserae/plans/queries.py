@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import calibration, cycles, governance, invariants, metrics, roles
+from tesserae.operators import calibration, cycles, governance, invariants, metrics, roles, rules
 from tesserae.operators.governance import ApprovedException, Calibration, CalibrationProfile, ExceptionTarget, Subsystem, Subsystems, WeightedDimension
 from tesserae.plans import analysis, documents, presets, samples
 from tesserae.schema import DIMENSIONS, KEY
@@ -174,6 +174,14 @@ def refined_roles(spark, sf_dir):
     return _refined(spark, sf_dir)[0].select("id", "role", F.col("pass").cast("long").alias("pass"))
 
 
+@query(SQL["refined_roles"])
+def refined_roles_by_function(spark, sf_dir):
+    """The same with the inherit rule as a table function."""
+    edges = stored(bridge.edges(spark, sf_dir), "edges")
+    nodes, _ = roles.refined(bridge.nodes(spark, sf_dir), edges, refine=rules.as_refinement(rules.Inherit))
+    return nodes.select("id", "role", F.col("pass").cast("long").alias("pass"))
+
+
 @query(f"{BASE} SELECT CAST(max(pass) AS BIGINT) AS passes FROM roles")
 def refinement_passes(spark, sf_dir):
     return _refined(spark, sf_dir)[2].select("passes")
@@ -388,10 +396,10 @@ def invariant_indicators(spark, sf_dir):
 @query(SQL["invariant_indicators"])
 def invariant_rules_as_rows(spark, sf_dir):
     """The same rules, written to a table and read from it."""
-    rules = invariants.from_rules(stored(invariants.rules_table(spark, RULES), "rules"))
+    declared = invariants.from_rules(stored(invariants.rules_table(spark, RULES), "rules"))
     a = _analysis(spark, sf_dir)
     m = a.values.select(*KEY, "total_entropy")
-    found = invariants.indicators(rules, invariants.violations(rules, a.nodes, a.edges, m), a.nodes, m)
+    found = invariants.indicators(declared, invariants.violations(declared, a.nodes, a.edges, m), a.nodes, m)
     return found.select("name", "evaluated", "violations", "indicator", "holds")
 
 

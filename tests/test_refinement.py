@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tesserae.operators import roles
+from tesserae.operators import roles, rules
 from tesserae.schema import KEY, evidence, graph
 
 SEEDS = {"P": [evidence("spring-data", "x")], "A": [evidence("spring", "annotated class", attributes={"annotation": roles.SERVICE})]}
@@ -37,7 +37,9 @@ def test_doubling_equals_passes(spark):
     nodes, edges = parts[0]
     for a, b in parts[1:]:
         nodes, edges = nodes.unionByName(a), edges.unionByName(b)
-    assert rows(roles.refined(nodes, edges)) == rows(roles.refined(nodes, edges, refine=pass_by_pass))
+    want = rows(roles.refined(nodes, edges))
+    assert want == rows(roles.refined(nodes, edges, refine=pass_by_pass))
+    assert want == rows(roles.refined(nodes, edges, refine=rules.as_refinement(rules.Inherit)))
 
 
 def test_a_deep_chain_takes_few_rounds(spark):
@@ -50,3 +52,13 @@ def test_a_deep_chain_takes_few_rounds(spark):
     out, passes = roles.refined(seed.unionByName(more), edges)
     assert passes.first()["passes"] == n - 1
     assert out.where("role = 'PERSISTENCE' and pass = cast(substring(id, 2) as int)").count() == n
+
+
+def test_a_rule_that_looks_at_all_supertypes(spark):
+    nodes = [("p", "COMPONENT", "UNKNOWN", SEEDS["P"]), ("q", "COMPONENT", "UNKNOWN", SEEDS["P"]), ("a", "COMPONENT", "UNKNOWN", SEEDS["A"]), *[(x, "COMPONENT") for x in ("both", "split", "below", "lone")]]
+    edges = [("both", "p", "EXTENDS"), ("both", "q", "IMPLEMENTS"), ("split", "p", "EXTENDS"), ("split", "a", "IMPLEMENTS"), ("below", "both", "EXTENDS"), ("below", "split", "IMPLEMENTS")]
+    n, e = graph(spark, nodes, edges)
+    out, passes = roles.refined(n, e, refine=rules.as_refinement(rules.Agreement))
+    got = {r["id"]: (r["role"], r["pass"], [s["rationale"] for s in r["signals"] if s["rule"] == rules.Agreement.name]) for r in out.collect()}
+    assert got["both"] == ("PERSISTENCE", 1, ["2 known supertypes agree"]) and got["split"] == ("UNKNOWN", 0, []) and got["lone"] == ("UNKNOWN", 0, [])
+    assert got["below"] == ("PERSISTENCE", 2, ["1 known supertypes agree"]) and passes.first()["passes"] == 2
