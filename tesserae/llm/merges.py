@@ -58,6 +58,15 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def plain(path: str) -> bool:
+    """Whether table() takes the file."""
+    try:
+        table(path)
+    except ValueError:
+        return False
+    return True
+
+
 @lru_cache(2)
 def table(path: str) -> Table:
     with open(path, encoding="utf-8") as f:
@@ -144,12 +153,12 @@ def merged(t: Table, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarra
     return pretokens.gather(ids, starts[order], sizes[order]), sizes[order]
 
 
-def word_ids(t: Table, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts) of distinct words; a word that is an added token's string is that token."""
+def word_ids(t: Table, words: pa.Array, added: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of distinct words; with added, a word that is an added token's string is that token."""
     data, offsets = flat.flat(words)
     sizes = np.diff(offsets)
     ids, counts = merged(t, t.of_byte[data], sizes) if len(sizes) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    whole = pc.index_in(words, pa.array(list(t.added), pa.string())) if t.added else None
+    whole = pc.index_in(words, pa.array(list(t.added), pa.string())) if t.added and added else None
     if whole is None or whole.null_count == len(words):
         return ids, counts
     which = np.flatnonzero(whole.is_valid().to_numpy(zero_copy_only=False))

@@ -5,7 +5,8 @@ becomes smallest; ties go to the fuller bin, and a bin is opened only where no o
 about group_size, row by row, and every group is packed longest first on its own: the state is one count for each gap, so
 memory and the result's quality don't depend on the corpus, nor on how often an id repeats.
 
-Texts are encoded word by word, each distinct word once for a worker; a text that has a string of the tokenizer's added tokens is
+Texts are encoded word by word, each distinct word of a batch once, by rounds of merges where the tokenizer is plain byte-level BPE, else by
+the library; a text that has a string of the tokenizer's added tokens is
 encoded whole by the library, which takes that string for the token (with special=False it is ordinary text).
 
 Defined cases: null counts as an empty text, which is one piece with the end token alone; repeated rows, and rows without an
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm import pretokens
+from tesserae.llm import merges, pretokens
 from tesserae.llm.common import stored
 
 LENGTH, END, GROUP, CACHE = 1024, 2, 20_000, 300_000
@@ -79,13 +80,14 @@ def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        rounds = merges.plain(path)
         for batch in batches:
             odd = batch.column(2)
             whole = {k: x for k, x in enumerate(odd.to_pylist()) if x is not None and any(a in x for a in added)} if added and odd.null_count < len(odd) else {}
             if whole:
                 odd = pa.array([None if k in whole else x for k, x in enumerate(odd.to_pylist())], pa.string())
             codes, offsets, words = pretokens.coded(batch.column(1), odd)
-            ids, counts = encode_words(words.to_pylist(), path)
+            ids, counts = merges.word_ids(merges.table(path), words, added=False) if rounds else encode_words(words.to_pylist(), path)
             starts, rows = np.cumsum(counts) - counts, []
             doc = batch.column(0).to_pylist()
             for lo in range(0, len(doc), 256):
