@@ -177,18 +177,20 @@ def shared_keys(rows: DataFrame, length: int, hot: int = HOT) -> tuple[np.ndarra
     bits = min(FILTER_BITS, max(15, (8 * seen.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)])
-        used, index = np.unique(found // (8 * BLOCK), return_inverse=True)
-        flags = np.zeros((len(used), 8 * BLOCK), bool)
-        flags[index, found % (8 * BLOCK)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], ["block", "bits"])
+        flags: dict[int, np.ndarray] = {}  # as many as the task has blocks, however many keys come
+        for batch in batches:
+            places = np.sort(batch.column(0).to_numpy())
+            used, begin = np.unique(places // (8 * BLOCK), return_index=True)
+            for u, own in zip(used.tolist(), np.split(places, begin[1:])):
+                flags.setdefault(u, np.zeros(8 * BLOCK, bool))[own % (8 * BLOCK)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int64()), pa.array([np.packbits(f).tobytes() for f in flags.values()], pa.binary())], ["block", "bits"])
 
     out = []
     often = seen.where("hot")
     for part in (seen, often) if not often.isEmpty() else (seen,):
         place = part.select(F.col("unit").bitwiseAND((1 << bits) - 1).alias("bit"))
         flags = np.zeros(((1 << bits) // 8 // BLOCK, BLOCK), np.uint8)
-        for r in place.repartition(min(64, partitions(rows.sparkSession)), F.floor(F.col("bit") / (8 * BLOCK))).mapInArrow(mark, "block long, bits binary").toLocalIterator():
+        for r in place.repartition(partitions(rows.sparkSession), F.floor(F.col("bit") / (8 * BLOCK))).mapInArrow(mark, "block long, bits binary").toLocalIterator():
             flags[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
         out.append(flags.ravel())
     return out[0], out[1] if len(out) > 1 else np.zeros(0, np.uint8)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tesserae.llm import common, secrets, simhash
+from tesserae.llm import common, quality_model, secrets, simhash
 
 SCHEMA = "doc_id long, text string, spans string, _row int, tokens string"
 
@@ -90,6 +90,17 @@ def test_one_row_of_a_component_and_no_other_text_goes(spark):
     assert out == sorted([(5, prose), (5, other), (None, prose), (None, other), (7, None)], key=str)
 
 
+def test_each_row_is_judged_by_its_own_text(spark):
+    good = [" ".join(f"plain{(i * k) % 41} words" for i in range(60)) + "." for k in range(1, 30)]
+    bad = ["| # $ % WIN WIN WIN " * k + "!!!" for k in range(5, 34)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(100 + i, t) for i, t in enumerate(bad)]
+    extra = [(3, bad[2]), (101, good[4]), (None, bad[5]), (None, None)]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows + extra], "doc_id long, text string, _features double").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i not in (3, 101)], "doc_id long, quality int")
+    out = quality_model.keep_good(docs, labels)
+    assert out.columns == docs.columns and texts(out) == sorted(rows[: len(good)] + extra[1:], key=str)
+
+
 @pytest.mark.parametrize("distance", range(1, 9))
 def test_links_at_every_distance(spark, distance):
     r = np.random.default_rng(distance)
