@@ -243,8 +243,13 @@ def cycle_entropy(comps: DataFrame, include_self: bool = False) -> DataFrame:
     return out.withColumn("value", ratio(F.col("participating"), F.col("nodes")))
 
 
+def cycle_groups(comps: DataFrame, include_self: bool = False) -> DataFrame:
+    """(key, scc, size): one row for each relevant component, without its members."""
+    return comps.where(participates(include_self)).groupBy(*KEY, "scc").agg(F.count("*").alias("size"))
+
+
 def cycle_findings(comps: DataFrame, include_self: bool = False) -> DataFrame:
-    """(key, scc, size, ids sorted): one row for each relevant component."""
+    """(key, scc, size, ids sorted): one row for each relevant component, whose members must fit a row; components() has them row by row."""
     return comps.where(participates(include_self)).groupBy(*KEY, "scc").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 

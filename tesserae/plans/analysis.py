@@ -115,7 +115,7 @@ def findings(a: Analysis) -> DataFrame:
     null = lambda n: F.lit(None).cast("string").alias(n)
     edge = lambda df, dim, by: df.select(*KEY, F.lit(DIMENSIONS.index(dim)).alias("dim_ord"), F.lit(dim).alias("dimension"), null("node_id"), F.col("src_id").alias("source_id"), F.col("dst_id").alias("target_id"), "relation", by)
     rows = edge(a.layer.where("violating"), "layer", F.col("governed_by")).unionByName(edge(a.persistence.where("flagged"), "persistence", null("governed_by")))
-    cycle = cycles.cycle_findings(a.components, a.policy.include_self_cycles)
+    cycle = cycles.cycle_groups(a.components, a.policy.include_self_cycles)
     rows = rows.unionByName(cycle.select(*KEY, F.lit(1).alias("dim_ord"), F.lit("cycle").alias("dimension"), null("node_id"), null("source_id"), null("target_id"), null("relation"), null("governed_by")))
     rows = rows.unionByName(a.security.where("weak").select(*KEY, F.lit(3).alias("dim_ord"), F.lit("security").alias("dimension"), F.col("id").alias("node_id"), null("source_id"), null("target_id"), null("relation"), null("governed_by")))
     ledger = a.excused.select(*FINDING, F.col("approved_by").alias("excused_by")).distinct()
@@ -147,7 +147,7 @@ def unanswered(a: Analysis) -> DataFrame:
     """(key, question): dimensions without a value, invariants that weren't evaluated, and findings that name nothing."""
     o = observations(a).where("value is null").select(*KEY, F.concat(F.lit("dimension:"), "dimension").alias("question"))
     i = a.results.where("not evaluated").select(*KEY, F.concat(F.lit("invariant:"), "name").alias("question"))
-    n = cycles.cycle_findings(a.components, a.policy.include_self_cycles).groupBy(*KEY).agg(F.count("*").alias("n"))
+    n = cycles.cycle_groups(a.components, a.policy.include_self_cycles).groupBy(*KEY).agg(F.count("*").alias("n"))
     return o.unionByName(i).unionByName(n.select(*KEY, F.concat(F.lit("unaddressable:"), F.col("n")).alias("question")))
 
 

@@ -271,6 +271,26 @@ def self_loops(spark, sf_dir):
     return cycles.self_loops(_routes(spark, sf_dir)).select("id")
 
 
+@query("""WITH r AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = c_nationkey)
+SELECT count(*) AS nodes, count(*) FILTER (n_nationkey IN (SELECT a FROM r)) AS participating, count(*) FILTER (n_nationkey IN (SELECT a FROM r)) / count(*) AS value FROM nation""")
+def cycle_self_switch(spark, sf_dir):
+    """Nations that ship to themselves, with all other routes left out: such a loop counts as a cycle only where the policy says so."""
+    routes = _routes(spark, sf_dir).where("src_id = dst_id")
+    nodes = bridge.tables(spark, sf_dir)["nation"].select(F.lit("world").alias("subject_id"), F.lit("s").alias("scan_id"), F.col("n_nationkey").cast("string").alias("id"))
+    comps = cycles.components(nodes, routes)
+    off = cycles.cycle_entropy(comps, include_self=False).where("participating = 0").select(*KEY)
+    return cycles.cycle_entropy(comps, include_self=True).join(off, KEY, "left_semi").select("nodes", "participating", "value")
+
+
+@query(f"""{BASE}, il AS (SELECT s.role AS a, t.role AS b FROM edges e JOIN roles s ON s.id = e.src JOIN roles t ON t.id = e.dst WHERE e.relation IN ('CALL', 'DEPENDS')
+  AND s.role IN ('PRESENTATION', 'APPLICATION', 'DOMAIN', 'PERSISTENCE', 'INFRASTRUCTURE') AND t.role IN ('PRESENTATION', 'APPLICATION', 'DOMAIN', 'PERSISTENCE', 'INFRASTRUCTURE')),
+ok AS (SELECT *, a = b OR concat(a, '>', b) IN ('PRESENTATION>APPLICATION', 'APPLICATION>DOMAIN', 'DOMAIN>PERSISTENCE', 'PERSISTENCE>INFRASTRUCTURE') AS fine FROM il) SELECT count(*) AS relevant, count(*) FILTER (NOT fine) AS violating FROM ok""")
+def layer_illustrative(spark, sf_dir):
+    """Layers under the illustrative policy, each of which may use itself and the next."""
+    nodes, edges, _ = _refined(spark, sf_dir)
+    return metrics.layer_entropy(nodes, edges, presets.illustrative().layer_policy).select("relevant", "violating")
+
+
 @query(f"{BASE}, {PERS} SELECT count(*) AS relevant, count(*) FILTER (n > 0) AS flagged, count(*) FILTER (n > 0) / count(*) AS value FROM pe")
 def persistence_entropy(spark, sf_dir):
     nodes, edges, _ = _refined(spark, sf_dir)
@@ -409,6 +429,41 @@ def invariant_aggregate(spark, sf_dir):
     return invariants.weighted(_indicators(spark, sf_dir), weights, [i.name for i in RULES]).select("value", F.size("unevaluated").cast("long").alias("unevaluated"))
 
 
+BUDGETS = (
+    invariants.Invariant("security_budget", "GRAPH", invariants.always(True), invariants.lte(invariants.metric("security"), invariants.value(0.03))),
+    invariants.Invariant("both_low_or_even", "GRAPH", invariants.not_(invariants.gt(invariants.metric("layer"), invariants.value(0.7))), invariants.or_(invariants.and_(invariants.lt(invariants.metric("cycle"), invariants.value(0.5)), invariants.lt(invariants.metric("persistence"), invariants.value(0.2))), invariants.gte(invariants.metric("layer"), invariants.metric("cycle")))),
+    invariants.Invariant("never_measured", "GRAPH", invariants.always(True), invariants.lte(invariants.metric("unknown_metric"), invariants.value(1.0))),
+)
+
+
+def _budgets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(the nations' years, results of BUDGETS for each): a graph's metric may be undefined."""
+    m = stored(_years(spark, sf_dir), "years")
+    nodes = m.select(*KEY, F.col("subject_id").alias("id"), F.lit("MODULE").alias("type"), F.lit("UNKNOWN").alias("role"))
+    edges = spark.createDataFrame([], "subject_id string, scan_id string, edge_seq bigint, src_resolved boolean, src_id string, dst_resolved boolean, dst_id string, relation string")
+    of = m.select(*KEY, *DIMENSIONS)
+    evaluated = [b for b in BUDGETS if b.metrics() <= set(DIMENSIONS)]
+    return m, invariants.indicators(BUDGETS, invariants.violations(evaluated, nodes, edges, of), nodes, of)
+
+
+_BUDGETS = """b AS (SELECT nation, yr, 'security_budget' AS name, security IS NOT NULL AS evaluated, security <= 0.03 AS holds FROM v
+UNION ALL SELECT nation, yr, 'both_low_or_even', true, layer > 0.7 OR (cycle < 0.5 AND persistence < 0.2) OR layer >= cycle FROM v UNION ALL SELECT nation, yr, 'never_measured', false, NULL FROM v)"""
+
+
+@query(f"WITH {_bridge(YEARS)}, {_BUDGETS} SELECT concat('nation-', nation, '/', yr) AS subject_id, name, evaluated, holds FROM b")
+def invariant_skipped(spark, sf_dir):
+    """Rules of and, or and not over metrics; one is undefined in some graphs and one in all, where the rule is skipped."""
+    return _budgets(spark, sf_dir)[1].select("subject_id", "name", "evaluated", "holds")
+
+
+@query(f"""WITH {_bridge(YEARS)}, {_BUDGETS} SELECT concat('nation-', nation, '/', yr) AS subject_id, CASE WHEN bool_and(evaluated) FILTER (name <> 'never_measured') THEN CAST(sum(CASE WHEN NOT holds THEN CASE name WHEN 'security_budget' THEN 2.0 ELSE 0.5 END ELSE 0 END) AS DOUBLE) END AS value,
+concat_ws(';', max(CASE WHEN name = 'security_budget' AND NOT evaluated THEN name END)) AS unevaluated FROM b GROUP BY nation, yr""")
+def invariant_coverage(spark, sf_dir):
+    """The weighted sum where every weighted rule was evaluated, and the rules that stand in its way; weight 0 exempts one."""
+    found = invariants.weighted(_budgets(spark, sf_dir)[1], (("security_budget", 2.0), ("both_low_or_even", 0.5), ("never_measured", 0.0)), [b.name for b in BUDGETS])
+    return found.select("subject_id", "value", F.array_join("unevaluated", ";").alias("unevaluated"))
+
+
 EXCEPTIONS = (
     ApprovedException(ExceptionTarget(node_id="view.page.3"), "static page", "security board"),
     ApprovedException(ExceptionTarget(node_id="view.page.1000000"), "page that is gone", "security board"),
@@ -580,6 +635,30 @@ def scans_refused(spark, sf_dir):
     return scans_.orphans(_pushed(spark, sf_dir)).select("id", "broken")
 
 
+@query(f"WITH {_bridge(YEARS)} SELECT CAST(nation AS BIGINT) AS nation, yr, lag(yr) OVER (PARTITION BY nation ORDER BY yr) AS previous FROM v")
+def scans_previous(spark, sf_dir):
+    """Each scan with the one before it: its natural baseline."""
+    rows = _years(spark, sf_dir).select("nation", "yr", F.col("nation").alias("project_id"), F.make_timestamp(F.col("yr").cast("int"), *[F.lit(1)] * 2, *[F.lit(0)] * 3).alias("scanned_at"))
+    return scans.with_previous(rows).select(F.col("nation").cast("long").alias("nation"), "yr", F.year("previous_scan").cast("long").alias("previous"))
+
+
+@query(f"""WITH {_bridge(YEARS)} SELECT concat('nation-', nation, '/', yr) AS project_id, CAST(nation AS INTEGER) + 1 AS node_count, 2 AS edge_count, round(layer, 12) AS layer, round(security, 12) AS security, layer > 0.5 AS readable_violation, true AS readable FROM v
+UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, false""")
+def scan_reports_read(spark, sf_dir):
+    """JSON reports, one of each nation's year and one that is none, written as files, read and summarised into scans."""
+    v = stored(_years(spark, sf_dir), "years")
+    value = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value")))
+    graph = F.struct(F.transform(F.sequence(F.lit(0), F.col("nation").cast("int")), lambda i: F.struct(i.cast("string").alias("id"))).alias("nodes"), F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.struct(F.lit("CALL").alias("relation"))).alias("edges"))
+    held = F.create_map(F.lit("rule"), F.struct((F.col("layer") <= 0.5).alias("holds")))
+    report = F.to_json(F.struct(graph.alias("graph"), F.lit(0.0).alias("roleRefinementPasses"), value("layer").alias("layerEntropy"), value("security").alias("securityEntropy"), held.alias("invariants"), F.array(F.col("subject_id")).alias("skippedInvariants")))
+    folder = fresh_path(spark, "reports")
+    texts = v.select(report.alias("value"), F.col("subject_id").alias("name")).union(spark.createDataFrame([("{ not a report", "broken")], "value string, name string"))
+    texts.write.partitionBy("name").text(folder)
+    rows = scans.summarised(scans.read_reports(spark, f"{folder}/*/*.txt"))
+    known = F.coalesce(F.get("skipped_invariants", F.lit(0)), F.lit("broken"))
+    return rows.select(known.alias("project_id"), "node_count", "edge_count", F.round("layer_entropy", 12).alias("layer"), F.round("security_entropy", 12).alias("security"), (F.col("invariant_violation_count") > 0).alias("readable_violation"), "readable")
+
+
 SQL["scans_latest"] = f"WITH {_bridge(YEARS)} {SQL['scans_latest']}"
 
 
