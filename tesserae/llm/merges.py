@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import flat, pretokens
 
-#: Pre-tokens that are put together at once, and bytes of a batch that is given back.
-PIECES, BYTES = 1_000_000, 16 << 20
+#: Pre-tokens that are put together at once, bytes of a batch that is given back, and symbols that go through rounds at once.
+PIECES, BYTES, SYMBOLS = 1_000_000, 16 << 20, 1 << 19
 NONE = np.iinfo(np.int32).max
 
 
@@ -157,7 +157,9 @@ def word_ids(t: Table, words: pa.Array, added: bool = True) -> tuple[np.ndarray,
     """(ids, counts) of distinct words; with added, a word that is an added token's string is that token."""
     data, offsets = flat.flat(words)
     sizes = np.diff(offsets)
-    ids, counts = merged(t, t.of_byte[data], sizes) if len(sizes) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    # some words at a time, so that the arrays of a round stay small whatever the batch
+    parts = [merged(t, t.of_byte[data[offsets[i] : offsets[j]]], sizes[i:j]) for i, j in flat.slabs(sizes, SYMBOLS)]
+    ids, counts = (np.concatenate([empty, *(p[k] for p in parts)]) for k, empty in ((0, np.zeros(0, np.int32)), (1, np.zeros(0, np.int64))))
     whole = pc.index_in(words, pa.array(list(t.added), pa.string())) if t.added and added else None
     if whole is None or whole.null_count == len(words):
         return ids, counts
