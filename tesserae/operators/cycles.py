@@ -1,6 +1,7 @@
 """Strongly connected components and cycle entropy.
 
-Large graphs are searched forwards and backwards from all nodes at once, in joins. Each phase gives the nodes random names; a node learns
+Large graphs are contracted first: the edges are dealt to parts, a task finds its part's components, and what is left are the edges between
+these. Edges that parts don't bring together are searched forwards and backwards from all nodes at once, in joins. Each phase gives the nodes random names; a node learns
 the least name among those that reach it and among those it reaches. Besides the edges, what is learnt so far is a path, too: from the
 least name found to the node, and from the node to the other. These shortcuts double the paths that a round covers, so a phase
 takes some rounds for each doubling of a component's depth, where a walk takes as many rounds as it is deep. Where both names are the same
@@ -11,10 +12,11 @@ phase takes what is left. Small graphs, many at once, go through one task each i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,22 @@ from tesserae.storage import Steps, stored
 
 #: A graph of more edges than this is never collected into one task.
 GROUPED_EDGES = 100_000
+#: Edges of a part that one task contracts.
+PART_EDGES = 1_000_000
 #: Rounds of trimming before a phase, which only save it work.
 TRIMMED = 3
 _PAIR = [*KEY, "a", "b"]
 
 
+def _pairs(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
+    """(key, a, b) of the relations with both ends resolved."""
+    rows = edges.where(F.col("relation").isin(*relations) & F.col("src_resolved") & F.col("dst_resolved"))
+    return rows.select(*KEY, F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
+
+
 def adjacency(edges: DataFrame, relations: Sequence[str] = CYCLE_RELATIONS) -> DataFrame:
     """Distinct (key, a, b) of the relations with both ends resolved."""
-    rows = edges.where(F.col("relation").isin(*relations) & F.col("src_resolved") & F.col("dst_resolved"))
-    return rows.select(*KEY, F.col("src_id").alias("a"), F.col("dst_id").alias("b")).distinct()
+    return _pairs(edges, relations).distinct()
 
 
 def tarjan(pairs: list[tuple]) -> dict:
@@ -209,22 +218,125 @@ def distributed_components(pairs: DataFrame, grouped_edges: int = 0, rounds: lis
     return out
 
 
+def _contracted(a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, least of its component) of nodes on cycles of these edges, and the other edges between leasts, each once.
+
+    whole says of an edge that all edges into its a are here: without one a lies on no cycle, and its edges go.
+    """
+    while whole.any():
+        dead = whole & ~np.isin(a, b)
+        if not dead.any():
+            break
+        a, b, whole = a[~dead], b[~dead], whole[~dead]
+    names, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ca, cb = codes[: len(a)], codes[len(a) :]
+    least = labels(ca, cb, len(names))
+    on = np.bincount(least, minlength=len(names))[least] > 1
+    x, y = least[ca], least[cb]
+    rest = np.unique(np.stack([x, y])[:, x != y], axis=1)
+    return names[on], names[least[on]], names[rest[0]], names[rest[1]]
+
+
+def _contraction(steps: Steps, pairs: DataFrame, degrees: DataFrame, n: int, least_parts: int) -> tuple[DataFrame, DataFrame]:
+    """((v, rep) of nodes that lie on a cycle of one part's edges, the edges between representatives).
+
+    An edge's home is its target, or its source where the target is busy, so that all edges of a quiet node meet in one part; those
+    between busy nodes go anywhere, so no part follows a busy node. A part's components are found by one task. A node's representative is the least of its names in all
+    parts, tied to its other names by edges both ways, so nothing that is connected comes apart.
+    """
+    busy = 4.0 * degrees.agg((F.sum("into") + F.sum("out_of")) / F.count("*")).first()[0]
+    quiet = F.col("into") + F.col("out_of") <= busy
+    ends = pairs.join(degrees.where("out_of > 0").select(F.col("v").alias("b"), quiet.alias("qb")), "b")
+    ends = ends.join(degrees.where("into > 0").select(F.col("v").alias("a"), quiet.alias("qa")), "a")
+    homed = ends.select("a", "b", F.when(F.col("qb"), F.col("b")).when(F.col("qa"), F.col("a")).otherwise(F.xxhash64("a", "b")).alias("home"), (~F.col("qb") & F.col("qa")).alias("whole"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = list(zip(*[[c.to_numpy(zero_copy_only=False) for c in x.columns] for x in batches]))
+        if columns:
+            node, least, x, y = _contracted(*[np.concatenate(c) for c in columns])
+            kind = np.repeat([True, False], [len(node), len(x)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([node, x])), pa.array(np.concatenate([least, y]))], ["named", "x", "y"])
+
+    parts = max(least_parts, -(-n // PART_EDGES))
+    found = steps.keep("found", homed.repartition(parts, "home").select("a", "b", "whole").mapInArrow(run, "named boolean, x long, y long"))
+    names = found.where("named").groupBy("x").agg(F.min("y").alias("rep"), F.collect_set("y").alias("all"))
+    names = steps.keep("names", names.select(F.col("x").alias("v"), "rep", F.filter("all", lambda y: y != F.col("rep")).alias("others")))
+    reps = stored(names.select("v", "rep"), "scc")
+    rep = lambda x: reps.select(F.col("v").alias(x), F.col("rep").alias(f"r{x}"))
+    tied = names.select("rep", F.explode("others").alias("b"))
+    rest = found.where("not named").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(tied.select(F.col("rep").alias("a"), "b")).unionByName(tied.select(F.col("b").alias("a"), F.col("rep").alias("b")))
+    moved = rest.join(rep("a"), "a", "left").join(rep("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    return reps, steps.keep("pairs", moved.where("a <> b").distinct())
+
+
+def _degrees(pairs: DataFrame) -> DataFrame:
+    """(v, out_of, into): edges that leave and enter each node."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("b").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    return ends.groupBy("e.v").agg(F.sum("e.o").alias("out_of"), F.sum("e.i").alias("into"))
+
+
+def contracted_components(pairs: DataFrame, grouped_edges: int = GROUPED_EDGES, rounds: list[str] | None = None) -> DataFrame:
+    """(key, id, scc) of the nodes that lie on cycles, by contracting what is connected within parts of the edges; repeated pairs do no harm.
+
+    Ids go by 64-bit hashes, so that no text is shuffled with the edges; a seed under which no two ids share a hash is sought.
+    Each round leaves the edges between parts' components. Rounds end when few edges are left, which go through one task,
+    or none, or when a round no longer halves them: distributed_components() takes those.
+    """
+    spark, rounds = pairs.sparkSession, [] if rounds is None else rounds
+    steps = Steps(spark, "scc")
+    loose = pairs.where("a <> b")
+    end = lambda x, o, i: F.struct(*KEY, F.col(x).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = loose.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("e")).select("e.*")
+    counted = steps.keep("ids", ends.groupBy(*KEY, "id").agg(F.sum("o").alias("out_of"), F.sum("i").alias("into")))
+    seed = next(k for k in range(1000) if counted.groupBy(F.xxhash64(F.lit(k), *KEY, "id")).count().where("count > 1").isEmpty())
+    v = lambda x: F.xxhash64(F.lit(seed), *KEY, F.col(x))
+    ids = counted.withColumn("v", v("id"))
+    left, degrees = loose.select(v("a").alias("a"), v("b").alias("b")), ids.select("v", "out_of", "into")
+    found, n = [], counted.agg(F.sum("out_of")).first()[0] or 0
+    while n > grouped_edges:
+        reps, left = _contraction(steps, left, degrees, n, 2 if not grouped_edges else 1)
+        rounds.append("contracted")
+        found.append(reps)
+        before, n = n, left.count()
+        if 2 * n > before:
+            break
+        degrees = steps.keep("degrees", _degrees(left)) if n > grouped_edges else None
+    if n:
+        plain = left.select(F.lit("").alias("subject_id"), F.lit("").alias("scan_id"), F.lpad(F.hex("a"), 16, "0").alias("a"), F.lpad(F.hex("b"), 16, "0").alias("b"))
+        rest = grouped_components(plain) if n <= grouped_edges else distributed_components(plain, grouped_edges, rounds)
+        number = lambda x: F.conv(F.col(x), 16, -10).cast("long")
+        found.append(stored(rest.select(number("id").alias("v"), number("scc").alias("rep")), "scc"))
+    # the last representative of each node, from the last round back to the first
+    out = None
+    for reps in reversed(found):
+        if out is not None:
+            later = out.select(F.col("v").alias("rep"), F.col("rep").alias("last"))
+            reps = reps.join(later, "rep", "left").select("v", F.coalesce("last", "rep").alias("rep")).unionByName(out.join(reps.select("v"), "v", "left_anti"))
+        out = reps
+    if out is None:
+        return spark.createDataFrame([], "subject_id string, scan_id string, id string, scc string")
+    named = stored(out.join(ids.select(*KEY, "id", "v"), "v").select(*KEY, "id", "rep"), "scc")
+    steps.drop(*list(steps.held))
+    least = named.groupBy("rep").agg(F.min("id").alias("scc"))
+    return named.join(least, "rep").select(*KEY, "id", "scc")
+
+
 def components(nodes: DataFrame, edges: DataFrame, relations: Sequence[str] = CYCLE_RELATIONS, grouped_edges: int = GROUPED_EDGES) -> DataFrame:
     """(key, id, scc, size, self_loop) of every node: scc is the least id of its component, singletons included.
 
-    Graphs of up to grouped_edges distinct edges take one task each; larger ones run distributed.
+    Graphs of up to grouped_edges edges take one task each; larger ones are contracted part by part.
     """
-    pairs = stored(adjacency(edges, relations), "scc")
+    pairs = stored(_pairs(edges, relations), "scc")
     sizes = stored(pairs.groupBy(*KEY).agg(F.count("*").alias("n")), "scc")
     large = sizes.where(F.col("n") > grouped_edges).select(*KEY)
-    found = grouped_components(pairs.join(large, KEY, "left_anti"))
+    found = grouped_components(pairs.join(large, KEY, "left_anti").distinct())
     if not large.isEmpty():
-        found = found.unionByName(distributed_components(pairs.join(large, KEY, "left_semi"), grouped_edges))
-    loops = pairs.where("a = b").select(*KEY, F.col("a").alias("id"), F.lit(True).alias("loop"))
+        found = found.unionByName(contracted_components(pairs.join(F.broadcast(large), KEY, "left_semi"), grouped_edges))
+    loops = pairs.where("a = b").select(*KEY, F.col("a").alias("id"), F.lit(True).alias("loop")).distinct()
     all_ = nodes.select(*KEY, "id").join(found, [*KEY, "id"], "left").join(loops, [*KEY, "id"], "left")
-    all_ = all_.select(*KEY, "id", F.coalesce("scc", "id").alias("scc"), F.coalesce("loop", F.lit(False)).alias("self_loop"))
+    all_ = stored(all_.select(*KEY, "id", F.coalesce("scc", "id").alias("scc"), F.coalesce("loop", F.lit(False)).alias("self_loop")), "scc")
     count = all_.groupBy(*KEY, "scc").agg(F.count("*").alias("size"))
-    return stored(all_, "scc").join(count, [*KEY, "scc"])
+    return all_.join(count, [*KEY, "scc"])
 
 
 def self_loops(edges: DataFrame, relations: Sequence[str] = CYCLE_RELATIONS) -> DataFrame:
