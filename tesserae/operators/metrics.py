@@ -37,8 +37,13 @@ def summary(found: DataFrame, of: DataFrame, flag: str, flagged: str, value: str
 
 def with_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends resolved, and the role and type of either end."""
-    side = lambda x: nodes.select(*KEY, F.col("id").alias(f"{x}_id"), F.col("role").alias(f"{x}_role"), F.col("type").alias(f"{x}_type"))
-    return edges.where("src_resolved and dst_resolved").join(side("src"), [*KEY, "src_id"]).join(side("dst"), [*KEY, "dst_id"])
+    # the joins' sorts compare the hash first, because ids begin alike; equal ids are still asked for
+    at = lambda x: F.xxhash64(*KEY, x).alias("_at")
+    side = lambda x: nodes.select(at("id"), *KEY, F.col("id").alias(f"{x}_id"), F.col("role").alias(f"{x}_role"), F.col("type").alias(f"{x}_type"))
+    out = edges.where("src_resolved and dst_resolved")
+    for x in ("src", "dst"):
+        out = out.select("*", at(f"{x}_id")).join(side(x), ["_at", *KEY, f"{x}_id"]).drop("_at")
+    return out
 
 
 # --- layer -----------------------------------------------------------------
@@ -51,7 +56,11 @@ def layer_edges(nodes: DataFrame, edges: DataFrame, policy: LayerPolicy, subsyst
     judges. The matrices are looked up as constants, so that no join is spent on them.
     """
     pruned = edges.where(F.col("relation").isin(*relations)).select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation")
-    found = with_roles(pruned, nodes)
+    return judged(with_roles(pruned, nodes), policy, subsystems)
+
+
+def judged(found: DataFrame, policy: LayerPolicy, subsystems: Subsystems | None = None) -> DataFrame:
+    """layer_edges() of edges of the relations that have roles already."""
     known, allowed = policy.knows("src_role", "dst_role"), policy.allows("src_role", "dst_role")
     judges = [s for s in (subsystems.declared if subsystems else ()) if s.policy is not None]
     # one lookup finds the subsystem, and there are as many branches as differing matrices, not as subsystems

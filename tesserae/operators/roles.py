@@ -161,7 +161,7 @@ def refined(nodes: DataFrame, edges: DataFrame, rules: Sequence[SeedRule] = SEED
         raise RuntimeError(f"role refinement did not settle within {max_passes} passes")
     columns = [*KEY, "id", "added", F.col("role").alias("gained"), "pass"]
     gained = chained.select(*columns).unionByName((spark.read.schema(schema + ", pass int").parquet(path) if written else gained).select(*columns))
-    out = nodes.drop("role").join(base, [*KEY, "id"]).join(gained, [*KEY, "id"], "left")
+    out = seeded(nodes, rules).join(gained, [*KEY, "id"], "left")
     out = out.withColumn("signals", F.concat("signals", F.coalesce("added", F.array().cast(f"array<{SIGNAL}>")))).withColumn("role", F.coalesce("gained", "role"))
     counts = nodes.select(*KEY).distinct().join(gained.groupBy(*KEY).agg(F.max("pass").cast("long").alias("passes")), KEY, "left").select(*KEY, F.coalesce("passes", F.lit(0)).alias("passes"))
     return out.drop("added", "gained").withColumn("pass", F.coalesce("pass", F.lit(0))), counts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +61,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_facts(spark, sf_dir).select("subject_id", "scan_id", F.monotonically_increasing_id().alias("node_seq"), "id", "type", F.lit("UNKNOWN").alias("role"), "attributes", "evidence")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, relations: Sequence[str] | None = None) -> DataFrame:
+    """All edges, or those of some relations, for which no table is read that has none."""
     rows = _sql(spark, EDGES_SQL, sf_dir)
+    if relations is not None:
+        rows = rows.where(F.col("relation").isin(*relations))
     empty = F.create_map().cast("map<string,string>")
     item = F.struct(F.lit("bridge").alias("source_adapter"), F.col("relation").alias("description"), F.lit(None).cast("string").alias("location"), F.lit("L1_SYNTAX").alias("fidelity"), F.col("ctx").alias("execution_context"), empty.alias("attributes"))
     return rows.select(
