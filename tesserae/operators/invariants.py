@@ -256,24 +256,23 @@ def from_rules(table: DataFrame) -> tuple[Invariant, ...]:
 VIOLATION = ["name", "kind", "node_id", "source_id", "target_id", "relation"]
 
 
-def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None, numbered: bool = False) -> DataFrame:
+def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None, numbered: bool = False, joined: DataFrame | None = None) -> DataFrame:
     """(key, name, kind, node_id, source_id, target_id, relation) of every violation; metrics has one row per graph.
 
-    With numbered also seq, the number of the node or edge, which tells equal edges apart.
+    With numbered also seq, the number of the node or edge, which tells equal edges apart. joined gives the edges with roles, where they are made already.
 
     All invariants of a scope run over one scan of its rows. A graph whose metric is NULL has the invariant skipped.
     """
     spark = nodes.sparkSession
     null = lambda: F.lit(None).cast("string")
     out = spark.createDataFrame([], "subject_id string, scan_id string, name string, kind string, node_id string, source_id string, target_id string, relation string" + ", seq bigint" * numbered)
-    joined = None
     for scope, rows in (("NODE", nodes), ("EDGE", edges), ("GRAPH", metrics)):
         mine = [i for i in invariants if i.scope == scope]
         if not mine:
             continue
         require(rows is not None, "a graph-scope invariant needs metrics")
         if scope == "EDGE":
-            rows = joined = with_roles(edges.select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation"), nodes)
+            rows = joined if joined is not None else with_roles(edges.select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation"), nodes)
         broken = []
         for i in mine:
             bad = compiled(i.when, scope, {}) & ~compiled(i.then, scope, {})

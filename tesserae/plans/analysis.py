@@ -76,7 +76,9 @@ def analyse(nodes: DataFrame, edges: DataFrame, policy: GovernancePolicy, catalo
     edges = stored(edges, "edges")
     final, passes = roles.refined(nodes, edges, catalog.seed_rules, catalog.refinement())
     final = stored(final, "nodes")
-    layer = stored(metrics.layer_edges(final, edges, policy.layer_policy, policy.subsystems), "layer")
+    # layers and invariants read the same edges with roles, joined once
+    joined = stored(metrics.with_roles(edges.select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation"), final), "joined")
+    layer = metrics.judged(joined.where(F.col("relation").isin(*metrics.LAYER_RELATIONS)), policy.layer_policy, policy.subsystems)
     comps = stored(cycles.components(final, edges), "cycle")
     persistence = stored(metrics.persistence_edges(final, edges), "persistence")
     security = metrics.security_findings(final, catalog.security_rules)
@@ -88,7 +90,7 @@ def analyse(nodes: DataFrame, edges: DataFrame, policy: GovernancePolicy, catalo
     values = calibration.total_entropy(values, policy.calibration)
     values = values.withColumn("maturity", calibration.maturity(F.col("total_entropy"))).withColumn("level", calibration.maturity_level(F.col("maturity")))
     values = stored(values, "values")
-    found = stored(invariants.violations(policy.invariants, final, edges, values.select(*KEY, "total_entropy"), numbered=True), "violations")
+    found = stored(invariants.violations(policy.invariants, final, edges, values.select(*KEY, "total_entropy"), numbered=True, joined=joined), "violations")
     results = invariants.indicators(policy.invariants, found, final, values.select(*KEY, "total_entropy"))
     aggregate = invariants.weighted(results, policy.invariant_weights, [i.name for i in policy.invariants])
     null = F.lit(None).cast("string")
