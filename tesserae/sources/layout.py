@@ -6,12 +6,14 @@ partition alone, and Parquet's least and greatest id of each row group skip the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.schema import EDGES, KEY
+from tesserae.storage import stored
 
 #: Edges of a bucket.
 BUCKET = 1_000_000
@@ -25,9 +27,10 @@ class Adjacency:
     spark: SparkSession
     path: str
     buckets: int
+    schema: str = EDGES
 
     def _side(self, side: str) -> DataFrame:
-        return self.spark.read.schema(EDGES + ", bucket int").parquet(f"{self.path}/{side}")
+        return self.spark.read.schema(self.schema + ", bucket int").parquet(f"{self.path}/{side}")
 
     def _of(self, id_: Column) -> Column:
         return F.pmod(F.xxhash64(id_), F.lit(self.buckets)).cast("int")
@@ -48,13 +51,15 @@ class Adjacency:
         return self._side(side).groupBy(*KEY, F.col(f"{_SIDES[side]}_id").alias("id")).agg(F.count("*").alias("edges"))
 
 
-def stored_adjacency(edges: DataFrame, path: str, buckets: int | None = None) -> Adjacency:
-    """Writes both sides of edges, a checked table, at path."""
+def stored_adjacency(edges: DataFrame, path: str, buckets: int | None = None, sides: Sequence[str] = tuple(_SIDES)) -> Adjacency:
+    """Writes both sides of edges, a checked table or some of its columns, at path; or only the sides that are asked for."""
+    edges = stored(edges, "edges")  # the ranges are sampled first, which would make the edges once more
     n = buckets or max(1, -(-edges.count() // BUCKET))
-    for side, end in _SIDES.items():
+    for side in sides:
+        end = _SIDES[side]
         mine = edges.where(f"{end}_resolved").withColumn("bucket", F.pmod(F.xxhash64(f"{end}_id"), F.lit(n)).cast("int"))
         # a bucket is split over tasks by the id's range, so that a large one isn't one task's
         tasks = max(n, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         dealt = mine.repartitionByRange(tasks, "bucket", f"{end}_id").sortWithinPartitions("bucket", f"{end}_id")
         dealt.write.partitionBy("bucket").parquet(f"{path}/{side}")
-    return Adjacency(edges.sparkSession, path, n)
+    return Adjacency(edges.sparkSession, path, n, ", ".join(f"{c} {t}" for c, t in edges.dtypes))
