@@ -31,7 +31,7 @@ NAME = "tesserae_facts"
 _HEAD = "subject_id string, scan_id string"
 NODE_FACTS = f"{_HEAD}, id string, type string, attributes map<string,string>, evidence array<{EVIDENCE}>"
 EDGE_FACTS = f"{_HEAD}, src_id string, dst_id string, dst_desc string, relation string, provenance array<{EVIDENCE}>"
-SPLIT, ROWS = 64 << 20, 65_536
+SPLIT, ROWS, LOOKED_UP = 64 << 20, 65_536, 1 << 20
 _OPS = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, ">": operator.gt, ">=": operator.ge}
 
 
@@ -79,7 +79,7 @@ class NodeRule:
 
 @dataclass(frozen=True)
 class Lookup:
-    """A column of another table, found by a key that this table has; read for the range of keys of a batch alone."""
+    """A column of another table, found by a key that this table has; the other table is streamed for LOOKED_UP rows at once, in their range of keys alone."""
 
     table: str
     key: str
@@ -122,6 +122,27 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def _scanned(fragment: ds.ParquetFileFragment, columns: list[str], where: ds.Expression | None) -> Iterator[pa.Table]:
+    """The fragment's rows, batch by batch; nothing is read ahead, and a row group isn't held whole."""
+    streamed = ds.ParquetFragmentScanOptions(use_buffered_stream=True, buffer_size=1 << 20, pre_buffer=False)
+    for group in fragment.split_by_row_group(where):
+        for batch in group.to_batches(columns=columns, filter=where, batch_size=ROWS, use_threads=False, batch_readahead=0, fragment_readahead=0, fragment_scan_options=streamed):
+            if batch.num_rows:
+                yield pa.Table.from_batches([batch])
+
+
+def _gathered(tables: Iterator[pa.Table], rows: int) -> Iterator[pa.Table]:
+    """The same rows in tables of about so many."""
+    held: list[pa.Table] = []
+    for t in tables:
+        held.append(t)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_tables(held)
+            held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _records(adapter: pa.Array, description: pa.Array, context: pa.Array, fidelity: str, annotation: pa.Array) -> pa.Array:
     """A list of one evidence record for each row, or an empty list where the adapter is null."""
     n = len(adapter)
@@ -209,21 +230,28 @@ class FactReader(DataSourceReader):
                 for x in v[1:]:
                     any_ = any_ | key.matching(x)
                 where = any_ if where is None else where & any_
-        for batch in fragment.to_batches(columns=sorted(rule.columns()), filter=where, batch_size=ROWS, use_threads=False):
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                if isinstance(rule, NodeRule):
-                    yield self._nodes(rule, t)
-                else:
-                    t = self._looked_up(rule.lookup, t) if rule.lookup else t
-                    if t.num_rows:
-                        yield self._edges(rule, t)
+        batches = _scanned(fragment, sorted(rule.columns()), where)
+        if isinstance(rule, NodeRule):
+            yield from (self._nodes(rule, t) for t in batches)
+        elif rule.lookup is None:
+            yield from (self._edges(rule, t) for t in batches)
+        else:
+            for t in _gathered(batches, LOOKED_UP):
+                found = self._looked_up(rule.lookup, t)
+                yield from (self._edges(rule, found.slice(i, ROWS)) for i in range(0, found.num_rows, ROWS))
 
     def _looked_up(self, lookup: Lookup, t: pa.Table) -> pa.Table:
+        """t with the looked-up column; of the other table only rows that t asks for are held, however many its range of keys spans."""
         fs, base = file_system(f"{self.path}/{lookup.table}.parquet")
-        low, high = pc.min_max(t[lookup.by]).values()
-        other = ds.dataset(base, filesystem=fs, format="parquet").to_table(columns=[lookup.key, lookup.column], filter=(ds.field(lookup.key) >= low) & (ds.field(lookup.key) <= high), use_threads=False)
-        return t.join(other, lookup.by, lookup.key, "inner", use_threads=False)
+        wanted = pc.unique(t[lookup.by].combine_chunks()).drop_null()
+        low, high = pc.min_max(wanted).values()
+        span = (ds.field(lookup.key) >= low) & (ds.field(lookup.key) <= high)
+        other = ds.dataset(base, filesystem=fs, format="parquet")
+        names = [lookup.key, lookup.column]
+        held = [pa.table([pa.array([], other.schema.field(n).type) for n in names], names)]
+        for fragment in other.get_fragments(span) if len(wanted) else ():
+            held += [x.filter(pc.is_in(x[lookup.key], pc.cast(wanted, x[lookup.key].type))) for x in _scanned(fragment, names, span)]
+        return t.join(pa.concat_tables(held), lookup.by, lookup.key, "inner", use_threads=False)
 
     def _head(self, n: int) -> list[pa.Array]:
         return [pa.array([x] * n, pa.string()) for x in (self.subject, self.scan)]
