@@ -148,9 +148,9 @@ class Document:
             for n, r in enumerate(p.rows.orderBy(*p.order).select("json").toLocalIterator()):
                 yield ("," if n and not p.joined else "") + r["json"]
 
-    def write(self, spark: SparkSession, path: str, separator: str = "") -> None:
+    def write(self, spark: SparkSession, path: str, separator: str = "", compression: str = "") -> None:
         """The document in parts with a manifest, written by many tasks; a job that fails leaves what was there."""
-        reports.write(self.rows(spark).orderBy("piece", "place").select("text"), path, separator)
+        reports.write(self.rows(spark).orderBy("piece", "place").select("text"), path, separator, compression)
 
 
 def constant(value: object) -> Document:

@@ -8,7 +8,7 @@ of attempts that lost are deleted when the winner's manifest is there. Rows go o
 Reading gives the document's elements, part by part, in order; a part whose size or digest isn't the manifest's is refused.
 
 Options: path (by any URI that Arrow's file systems open; on a cluster a store that all executors reach), separator (what ends an element, "" or a line
-end; only with one are elements told apart when they are read).
+end; only with one are elements told apart when they are read), compression ("", gzip or zstd, of each part; sizes and digests are the text's).
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def manifest(path: str) -> dict | None:
 class ReportWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path = not_blank(options.get("path"), "path").rstrip("/")
-        self.separator = options.get("separator", "")
+        self.separator, self.compression = options.get("separator", ""), options.get("compression") or None
+        require(self.compression in (None, "gzip", "zstd"), "parts are plain, gzip or zstd")
         require(self.separator in ("", "\n"), "elements end with nothing or with a line end")
         require(overwrite or manifest(self.path) is None, f"there is a document at {self.path}: it can be replaced, not appended to")
         self.job = uuid.uuid4().hex
@@ -64,7 +65,7 @@ class ReportWriter(DataSourceWriter):
         fs, base = file_system(self.path)
         fs.create_dir(base, recursive=True)
         digest, size, n, held, held_size = hashlib.sha256(), 0, 0, [], 0
-        with fs.open_output_stream(f"{base}/{name}") as out:
+        with fs.open_output_stream(f"{base}/{name}", compression=self.compression) as out:
 
             def flush() -> None:
                 nonlocal size
@@ -90,7 +91,7 @@ class ReportWriter(DataSourceWriter):
         fs.create_dir(base, recursive=True)
         listed = [{"name": m.name, "size": m.size, "sha256": m.sha256, "elements": m.elements} for m in parts]
         with fs.open_output_stream(f"{base}/{MANIFEST}.{self.job}") as out:
-            out.write(json.dumps({"job": self.job, "separator": self.separator, "parts": listed}, indent=1).encode())
+            out.write(json.dumps({"job": self.job, "separator": self.separator, "compression": self.compression, "parts": listed}, indent=1).encode())
         fs.move(f"{base}/{MANIFEST}.{self.job}", f"{base}/{MANIFEST}")
         self._clean(fs, base, {m.name for m in parts})
 
@@ -127,7 +128,7 @@ class ReportReader(DataSourceReader):
             return
         end = self.about["separator"].encode()
         seen, size, rest, n = hashlib.sha256(), 0, b"", 0
-        for data in chunks(self.path, partition.name):
+        for data in chunks(self.path, partition.name, self.about.get("compression")):
             seen.update(data)
             size += len(data)
             *whole, rest = (rest + data).split(end) if end else (rest + data,)
@@ -139,9 +140,9 @@ class ReportReader(DataSourceReader):
             yield partition.place, n, rest.decode()
 
 
-def chunks(path: str, name: str) -> Iterator[bytes]:
+def chunks(path: str, name: str, compression: str | None = None) -> Iterator[bytes]:
     fs, base = file_system(path)
-    with fs.open_input_stream(f"{base}/{name}") as f:
+    with fs.open_input_stream(f"{base}/{name}", compression=compression) as f:
         while data := f.read(CHUNK):
             yield data
 
@@ -151,7 +152,7 @@ def text(path: str) -> Iterator[bytes]:
     about = manifest(path)
     require(about is not None, f"no document at {path}")
     for p in about["parts"]:
-        yield from chunks(path, p["name"])
+        yield from chunks(path, p["name"], about.get("compression"))
 
 
 class ReportSource(DataSource):
@@ -170,10 +171,10 @@ class ReportSource(DataSource):
         return ReportWriter(dict(self.options), overwrite)
 
 
-def write(rows: DataFrame, path: str, separator: str = "") -> None:
+def write(rows: DataFrame, path: str, separator: str = "", compression: str = "") -> None:
     """The texts of rows, one sorted column, as a document at path, in place of one that is there."""
     rows.sparkSession.dataSource.register(ReportSource)
-    rows.write.format(NAME).option("separator", separator).mode("overwrite").save(path)
+    rows.write.format(NAME).option("separator", separator).option("compression", compression).mode("overwrite").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
