@@ -77,9 +77,29 @@ def _release_all() -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage is cut and survives lost executors."""
-    return stored_at(df, fresh_path(df.sparkSession, name))
+#: Spark's own setting: rows of an Arrow batch that goes to Python.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage is cut and survives lost executors.
+
+    Arrow batches have at most batch rows, where rows become much more than their text on the way to Python.
+    """
+    with _set(df.sparkSession, {} if batch is None else {BATCH: str(min(batch, int(df.sparkSession.conf.get(BATCH))))}):
+        return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+@contextmanager
+def _set(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @contextmanager

@@ -197,9 +197,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
         cut = _cutter(t.added)
         for batch in batches:
             doc, pieces, odd = batch.columns
-            if odd.null_count < len(odd):
-                pieces = pa.array([p if o is None else cut(o) for p, o in zip(pieces.to_pylist(), odd.to_pylist())], pa.list_(pa.string()))
-            codes, offsets, words = pretokens.coded(pieces, pa.nulls(len(doc), pa.string()))
+            codes, offsets, words = pretokens.coded(pretokens.filled(pieces, odd, cut), pa.nulls(len(doc), pa.string()))
             ids, counts = word_ids(t, words)
             starts = np.cumsum(counts) - counts
             for lo, hi in flat.slabs(np.diff(offsets), PIECES):

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tesserae.llm import merges, pretokens
 from tesserae.llm.common import stored
 
-LENGTH, END, GROUP, CACHE = 1024, 2, 20_000, 300_000
+#: BATCH: rows of an Arrow batch, each of which brings all its words.
+LENGTH, END, GROUP, CACHE, BATCH = 1024, 2, 20_000, 300_000, 2_000
 _tokenizer: dict = {}
 
 
@@ -152,4 +153,4 @@ def packed(cut: DataFrame, capacity: int = LENGTH, group_size: int = GROUP) -> D
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end: int = END, group_size: int = GROUP, special: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    return packed(stored(pieces(docs, path, text, id_col, length, end, special), "pieces"), length, group_size)
+    return packed(stored(pieces(docs, path, text, id_col, length, end, special), "pieces", BATCH), length, group_size)

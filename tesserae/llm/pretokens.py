@@ -6,7 +6,7 @@ Java's Unicode tables don't know is split by the regex module instead, whose tab
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -39,11 +39,20 @@ def _python_pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+def filled(pieces: pa.ListArray, odd: pa.Array, cut: Callable[[str], list[str]]) -> pa.ListArray:
+    """pieces with those of the odd texts; only these become Python objects, whatever else is in the batch."""
+    if odd.null_count == len(odd):
+        return pieces
+    parts, at = [], 0
+    for i in np.flatnonzero(odd.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        parts += [pieces.slice(at, i - at), pa.array([cut(odd[i].as_py())], pieces.type)]
+        at = i + 1
+    return pa.concat_arrays([*parts, pieces.slice(at)])
+
+
 def coded(pieces: pa.ListArray, odd: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(codes, offsets, words): each row's pre-tokens as places in the list of distinct words of the batch."""
-    if odd.null_count < len(odd):
-        lists = [p if o is None else _python_pattern().findall(o) for p, o in zip(pieces.to_pylist(), odd.to_pylist())]
-        pieces = pa.array(lists, pa.list_(pa.string()))
+    pieces = filled(pieces, odd, lambda text: _python_pattern().findall(text))
     offsets = pieces.offsets.to_numpy().astype(np.int64)
     flat = pieces.values.slice(offsets[0], offsets[-1] - offsets[0])
     if not len(flat):
