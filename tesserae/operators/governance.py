@@ -58,6 +58,8 @@ class Subsystem:
 
 #: Characters of prefixes and names that an index may hold as constants; larger tables of prefixes are joined.
 INDEXED = 4 << 20
+#: So few prefixes are compared one by one, which is compiled; the search is interpreted row by row.
+COMPARED = 16
 _APART = "\x00"
 
 
@@ -103,8 +105,17 @@ class PrefixIndex:
         at = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), begin, halve, lambda acc: acc["low"] - 1)
         return F.transform(F.array(at), lambda i: F.when((i >= 0) & F.startswith(id_, F.get(bounds, i)), i))[0]
 
+    def compared(self, id_: Column) -> Column:
+        """place(), without a search where there are few prefixes: for what is asked of every edge."""
+        if not 0 < len(self.entries) <= COMPARED:
+            return self.place(id_)
+        return F.coalesce(*[F.when(F.startswith(id_, F.lit(e[0])), F.lit(i)) for i, e in enumerate(self.entries)])
+
     def name(self, id_: Column) -> Column:
-        return F.get(constants([e[1] for e in self.entries]), self.place(id_)) if self.entries else F.lit(None).cast("string")
+        return self.named(self.place(id_))
+
+    def named(self, place: Column) -> Column:
+        return F.get(constants([e[1] for e in self.entries]), place) if self.entries else F.lit(None).cast("string")
 
 
 def claimed_by(nodes: DataFrame, prefixes: DataFrame, id_col: str = "id", name: str = "claimed_by", indexed: int = INDEXED) -> DataFrame:

@@ -273,12 +273,15 @@ def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFra
         require(rows is not None, "a graph-scope invariant needs metrics")
         if scope == "EDGE":
             rows = joined if joined is not None else with_roles(edges.select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation"), nodes)
-        broken = []
+        broken, some = [], F.lit(False)
         for i in mine:
             bad = compiled(i.when, scope, {}) & ~compiled(i.then, scope, {})
             for m in sorted(i.metrics()) if scope == "GRAPH" else ():
                 bad = F.col(m).isNotNull() & bad
             broken.append(F.when(bad, F.lit(i.name)))
+            some = some | bad
+        # a filter is compiled and, what of it asks for one end's role, put before the joins; the list is interpreted, for what is left
+        rows = rows.where(some)
         ids = {"NODE": ("node", F.col("id"), null(), null(), null()), "EDGE": ("edge", null(), F.col("src_id"), F.col("dst_id"), F.col("relation")), "GRAPH": ("graph", null(), null(), null(), null())}[scope]
         seq = {"NODE": F.col("node_seq"), "EDGE": F.col("edge_seq")}.get(scope, F.lit(None).cast("bigint")) if numbered else None
         found = rows.select(*KEY, F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("name"), F.lit(ids[0]).alias("kind"), *[c.alias(n) for c, n in zip(ids[1:], VIOLATION[2:])], *([seq.alias("seq")] if numbered else []))

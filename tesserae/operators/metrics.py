@@ -37,12 +37,13 @@ def summary(found: DataFrame, of: DataFrame, flag: str, flagged: str, value: str
 
 def with_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends resolved, and the role and type of either end."""
-    # the joins' sorts compare the hash first, because ids begin alike; equal ids are still asked for
+    # the joins compare the hash first, because ids begin alike; equal ids are still asked for
     at = lambda x: F.xxhash64(*KEY, x).alias("_at")
     side = lambda x: nodes.select(at("id"), *KEY, F.col("id").alias(f"{x}_id"), F.col("role").alias(f"{x}_role"), F.col("type").alias(f"{x}_type"))
     out = edges.where("src_resolved and dst_resolved")
     for x in ("src", "dst"):
-        out = out.select("*", at(f"{x}_id")).join(side(x), ["_at", *KEY, f"{x}_id"]).drop("_at")
+        # nodes are never broadcast (a stored table's files are many times smaller than its rows); ids are unique, so a task holds its even share of them
+        out = out.select("*", at(f"{x}_id")).join(side(x).hint("shuffle_hash"), ["_at", *KEY, f"{x}_id"]).drop("_at")
     return out
 
 
@@ -56,23 +57,35 @@ def layer_edges(nodes: DataFrame, edges: DataFrame, policy: LayerPolicy, subsyst
     judges. The matrices are looked up as constants, so that no join is spent on them.
     """
     pruned = edges.where(F.col("relation").isin(*relations)).select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation")
-    return judged(with_roles(pruned, nodes), policy, subsystems)
+    # who judges is asked before the joins, so that the source's id goes no further than its own join where nothing else needs it
+    return judged(with_roles(pruned.withColumn("_judge", _judges(subsystems)[0].compared(F.col("src_id"))), nodes), policy, subsystems)
+
+
+def _judges(subsystems: Subsystems | None) -> tuple[PrefixIndex, dict[str, LayerPolicy]]:
+    """The subsystems with a matrix of their own, and the matrix of each by its name."""
+    declared = [s for s in (subsystems.declared if subsystems else ()) if s.policy is not None]
+    return PrefixIndex([(s.id_prefix, s.name) for s in declared]), {s.name: s.policy for s in declared}
 
 
 def judged(found: DataFrame, policy: LayerPolicy, subsystems: Subsystems | None = None) -> DataFrame:
-    """layer_edges() of edges of the relations that have roles already."""
+    """layer_edges() of edges of the relations that have roles already; _judge, where it is there, is the place of the source's prefix."""
     known, allowed = policy.knows("src_role", "dst_role"), policy.allows("src_role", "dst_role")
-    judges = [s for s in (subsystems.declared if subsystems else ()) if s.policy is not None]
+    index, policies = _judges(subsystems)
+    if "_judge" not in found.columns:
+        found = found.withColumn("_judge", index.compared(F.col("src_id")))
     # one lookup finds the subsystem, and there are as many branches as differing matrices, not as subsystems
-    matrices = list({s.policy.text(): s.policy for s in judges}.items())
-    number = {text: str(i) for i, (text, _) in enumerate(matrices)}
-    found = found.withColumn("_judge", PrefixIndex([(s.id_prefix, f"{number[s.policy.text()]}:{s.name}") for s in judges]).name(F.col("src_id")))
-    matrix, judge = F.substring_index("_judge", ":", 1), F.regexp_replace("_judge", "^[0-9]+:", "")
-    for i, (_, p) in enumerate(matrices):
-        mine = F.coalesce(matrix == str(i), F.lit(False))
+    matrices: dict[str, list[int]] = {}
+    for i, (_, name) in enumerate(index.entries):
+        matrices.setdefault(policies[name].text(), []).append(i)
+    for places in matrices.values():
+        p, mine = policies[index.entries[places[0]][1]], F.coalesce(F.col("_judge").isin(*places), F.lit(False))
         known = F.when(mine, p.knows("src_role", "dst_role")).otherwise(known)
         allowed = F.when(mine, p.allows("src_role", "dst_role")).otherwise(allowed)
-    return found.where(known).withColumn("governed_by", judge).withColumn("violating", ~allowed).drop("_judge")
+    # no matrix knows other roles; the optimizer asks this of the nodes, before they meet the edges
+    some = sorted({r for p in (policy, *policies.values()) for r in p.known})
+    for x in ("src_role", "dst_role"):
+        found = found.where(F.col(x).isin(*some) if some else F.lit(False))
+    return found.where(known).withColumn("governed_by", index.named(F.col("_judge"))).withColumn("violating", ~allowed).drop("_judge")
 
 
 def layer_entropy(nodes: DataFrame, edges: DataFrame, policy: LayerPolicy, subsystems: Subsystems | None = None, relations: Sequence[str] = LAYER_RELATIONS) -> DataFrame:

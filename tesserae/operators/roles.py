@@ -123,7 +123,9 @@ def refined(nodes: DataFrame, edges: DataFrame, rules: Sequence[SeedRule] = SEED
     bounds the passes, the number of nodes in any case. Rules of one's own always go pass by pass.
     """
     spark = nodes.sparkSession
-    base = stored(seeded(nodes, rules).select(*KEY, "id", "role", "signals"), "roles")
+    # the rules are asked once: what they give is stored with all that the nodes have
+    nodes = stored(seeded(nodes, rules), "roles")
+    base = nodes.select(*KEY, "id", "role", "signals")
     inherits = edges.where(F.col("relation").isin("EXTENDS", "IMPLEMENTS") & F.col("src_resolved") & F.col("dst_resolved")).select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation")
     # only edges that lead out of unknown nodes can matter
     unknown = base.where("role = 'UNKNOWN'").select(*KEY, F.col("id").alias("src_id"))
@@ -161,7 +163,7 @@ def refined(nodes: DataFrame, edges: DataFrame, rules: Sequence[SeedRule] = SEED
         raise RuntimeError(f"role refinement did not settle within {max_passes} passes")
     columns = [*KEY, "id", "added", F.col("role").alias("gained"), "pass"]
     gained = chained.select(*columns).unionByName((spark.read.schema(schema + ", pass int").parquet(path) if written else gained).select(*columns))
-    out = seeded(nodes, rules).join(gained, [*KEY, "id"], "left")
+    out = nodes.join(gained, [*KEY, "id"], "left")
     out = out.withColumn("signals", F.concat("signals", F.coalesce("added", F.array().cast(f"array<{SIGNAL}>")))).withColumn("role", F.coalesce("gained", "role"))
     counts = nodes.select(*KEY).distinct().join(gained.groupBy(*KEY).agg(F.max("pass").cast("long").alias("passes")), KEY, "left").select(*KEY, F.coalesce("passes", F.lit(0)).alias("passes"))
     return out.drop("added", "gained").withColumn("pass", F.coalesce("pass", F.lit(0))), counts
