@@ -273,24 +273,44 @@ def violations(invariants: Sequence[Invariant], nodes: DataFrame, edges: DataFra
         require(rows is not None, "a graph-scope invariant needs metrics")
         if scope == "EDGE":
             rows = joined if joined is not None else with_roles(edges.select(*KEY, "edge_seq", "src_resolved", "src_id", "dst_resolved", "dst_id", "relation"), nodes)
-        broken, some = [], F.lit(False)
-        for i in mine:
-            bad = compiled(i.when, scope, {}) & ~compiled(i.then, scope, {})
-            for m in sorted(i.metrics()) if scope == "GRAPH" else ():
-                bad = F.col(m).isNotNull() & bad
-            broken.append(F.when(bad, F.lit(i.name)))
-            some = some | bad
+        some, broken = _broken(mine, scope)
         # a filter is compiled and, what of it asks for one end's role, put before the joins; the list is interpreted, for what is left
         rows = rows.where(some)
         ids = {"NODE": ("node", F.col("id"), null(), null(), null()), "EDGE": ("edge", null(), F.col("src_id"), F.col("dst_id"), F.col("relation")), "GRAPH": ("graph", null(), null(), null(), null())}[scope]
         seq = {"NODE": F.col("node_seq"), "EDGE": F.col("edge_seq")}.get(scope, F.lit(None).cast("bigint")) if numbered else None
-        found = rows.select(*KEY, F.explode(F.filter(F.array(*broken), lambda x: x.isNotNull())).alias("name"), F.lit(ids[0]).alias("kind"), *[c.alias(n) for c, n in zip(ids[1:], VIOLATION[2:])], *([seq.alias("seq")] if numbered else []))
+        found = rows.select(*KEY, F.explode(broken).alias("name"), F.lit(ids[0]).alias("kind"), *[c.alias(n) for c, n in zip(ids[1:], VIOLATION[2:])], *([seq.alias("seq")] if numbered else []))
         out = out.unionByName(found)
     return out
 
 
+def _broken(mine: Sequence[Invariant], scope: str) -> tuple[Column, Column]:
+    """(whether a row of the scope breaks an invariant, the names of those that it breaks)."""
+    broken, some = [], F.lit(False)
+    for i in mine:
+        bad = compiled(i.when, scope, {}) & ~compiled(i.then, scope, {})
+        for m in sorted(i.metrics()) if scope == "GRAPH" else ():
+            bad = F.col(m).isNotNull() & bad
+        broken.append(F.when(bad, F.lit(i.name)))
+        some = some | bad
+    return some, F.filter(F.array(*broken), lambda x: x.isNotNull())
+
+
+def counted(invariants: Sequence[Invariant], nodes: DataFrame, profile: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """(key, name, n): how many violations() there are of each invariant that has some; edges are counted by their profile, metrics.edge_profile()."""
+    out = nodes.sparkSession.createDataFrame([], "subject_id string, scan_id string, name string, n bigint")
+    for scope, rows in (("NODE", nodes), ("EDGE", profile), ("GRAPH", metrics)):
+        mine = [i for i in invariants if i.scope == scope]
+        if not mine:
+            continue
+        require(rows is not None, "a graph-scope invariant needs metrics")
+        rows = rows.where("src_role is not null") if scope == "EDGE" else rows.withColumn("n", F.lit(1).cast("bigint"))
+        some, broken = _broken(mine, scope)
+        out = out.unionByName(rows.where(some).select(*KEY, F.explode(broken).alias("name"), "n"))
+    return out.groupBy(*KEY, "name").agg(F.sum("n").alias("n"))
+
+
 def indicators(invariants: Sequence[Invariant], found: DataFrame, nodes: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
-    """(key, ord, name, scope, evaluated, violations, indicator, holds) of every declared invariant in every graph.
+    """(key, ord, name, scope, evaluated, violations, indicator, holds) of every declared invariant in every graph; found is from violations() or counted().
 
     Not evaluated, all three NULL: the invariant reads a metric that is undefined for the graph.
     """
@@ -304,7 +324,7 @@ def indicators(invariants: Sequence[Invariant], found: DataFrame, nodes: DataFra
     if not rows:
         return base.select(*KEY, F.lit(0).alias("ord"), F.lit("").alias("name"), F.lit("").alias("scope"), F.lit(True).alias("evaluated"), F.lit(0).cast("long").alias("violations"), F.lit(0).alias("indicator"), F.lit(True).alias("holds")).limit(0)
     declared = base.select(*KEY, F.explode(F.array(*rows)).alias("i")).select(*KEY, "i.*")
-    counts = found.groupBy(*KEY, "name").agg(F.count("*").alias("n"))
+    counts = found if "n" in found.columns else found.groupBy(*KEY, "name").agg(F.count("*").alias("n"))
     out = declared.join(counts, [*KEY, "name"], "left")
     n = F.when(F.col("evaluated"), F.coalesce("n", F.lit(0)))
     return out.select(*KEY, "ord", "name", "scope", "evaluated", n.alias("violations"), F.when(n > 0, 1).when(n == 0, 0).cast("int").alias("indicator"), (n == 0).alias("holds"))

@@ -29,22 +29,39 @@ def graphs(nodes: DataFrame) -> DataFrame:
 
 
 def summary(found: DataFrame, of: DataFrame, flag: str, flagged: str, value: str = "value") -> DataFrame:
-    """(key, relevant, flagged, value) with a row for each graph of `of`."""
-    counts = found.groupBy(*KEY).agg(F.count("*").alias("relevant"), F.count_if(flag).alias(flagged))
+    """(key, relevant, flagged, value) with a row for each graph of `of`; a row of found stands for n where it has such a column."""
+    n = F.col("n") if "n" in found.columns else F.lit(1)
+    counts = found.groupBy(*KEY).agg(F.sum(n).alias("relevant"), F.sum(F.when(F.col(flag), n).otherwise(0)).alias(flagged))
     out = of.join(counts, KEY, "left").select(*KEY, F.coalesce("relevant", F.lit(0)).alias("relevant"), F.coalesce(flagged, F.lit(0)).alias(flagged))
     return out.withColumn(value, ratio(F.col(flagged), F.col("relevant")))
 
 
+def _met(edges: DataFrame, nodes: DataFrame, x: str, how: str = "inner") -> DataFrame:
+    """edges with the role and type of one end, x being src or dst."""
+    # the join compares the hash first, because ids begin alike; equal ids are still asked for
+    at = lambda c: F.xxhash64(*KEY, c).alias("_at")
+    side = nodes.select(at("id"), *KEY, F.col("id").alias(f"{x}_id"), F.col("role").alias(f"{x}_role"), F.col("type").alias(f"{x}_type"))
+    # nodes are never broadcast (a stored table's files are many times smaller than its rows); ids are unique, so a task holds its even share of them
+    return edges.select("*", at(f"{x}_id")).join(side.hint("shuffle_hash"), ["_at", *KEY, f"{x}_id"], how).drop("_at")
+
+
 def with_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends resolved, and the role and type of either end."""
-    # the joins compare the hash first, because ids begin alike; equal ids are still asked for
-    at = lambda x: F.xxhash64(*KEY, x).alias("_at")
-    side = lambda x: nodes.select(at("id"), *KEY, F.col("id").alias(f"{x}_id"), F.col("role").alias(f"{x}_role"), F.col("type").alias(f"{x}_type"))
-    out = edges.where("src_resolved and dst_resolved")
-    for x in ("src", "dst"):
-        # nodes are never broadcast (a stored table's files are many times smaller than its rows); ids are unique, so a task holds its even share of them
-        out = out.select("*", at(f"{x}_id")).join(side(x).hint("shuffle_hash"), ["_at", *KEY, f"{x}_id"]).drop("_at")
-    return out
+    return _met(_met(edges.where("src_resolved and dst_resolved"), nodes, "src"), nodes, "dst")
+
+
+def edge_profile(nodes: DataFrame, edges: DataFrame, subsystems: Subsystems | None = None) -> DataFrame:
+    """(key, relation, src_role, src_type, dst_role, dst_type, _judge, flagged, n): how many edges with both ends resolved are alike in all these.
+
+    src_role is NULL where the source is no node; _judge is the place of the source's prefix, flagged as in persistence_edges(). All that counts
+    edges can be read off it. Edges that leave like sources for one target are counted before they meet the target's role, so a busy target gets few rows.
+    """
+    calls = F.col("relation").isin(*PERSISTENCE_RELATIONS)
+    rows = edges.where("src_resolved and dst_resolved").select(*KEY, "src_id", "dst_id", "relation", F.coalesce(calls & (iterated() > 0), F.lit(False)).alias("flagged"))
+    rows = _met(rows.withColumn("_judge", _judges(subsystems)[0].compared(F.col("src_id"))), nodes, "src", "left")
+    alike = [*KEY, "relation", "src_role", "src_type", "_judge", "flagged"]
+    counted = rows.groupBy("dst_id", *alike).agg(F.count("*").alias("n"))
+    return _met(counted, nodes, "dst").groupBy(*alike, "dst_role", "dst_type").agg(F.sum("n").alias("n"))
 
 
 # --- layer -----------------------------------------------------------------
