@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.governance import PrefixIndex, Subsystems, constants
@@ -29,6 +29,8 @@ from tesserae.storage import Steps, stored
 GROUPED_EDGES = 100_000
 #: Edges of a part that one task contracts.
 PART_EDGES = 1_000_000
+#: So many nodes, 8 bytes each, may be sent to every task; edges are shuffled to more.
+SENT_NODES = 2_000_000
 #: Rounds of trimming before a phase, which only save it work.
 TRIMMED = 3
 _PAIR = [*KEY, "a", "b"]
@@ -244,11 +246,22 @@ def _contraction(steps: Steps, pairs: DataFrame, degrees: DataFrame, n: int, lea
     between busy nodes go anywhere, so no part follows a busy node. A part's components are found by one task. A node's representative is the least of its names in all
     parts, tied to its other names by edges both ways, so nothing that is connected comes apart.
     """
-    busy = 4.0 * degrees.agg((F.sum("into") + F.sum("out_of")) / F.count("*")).first()[0]
-    quiet = F.col("into") + F.col("out_of") <= busy
-    ends = pairs.join(degrees.where("out_of > 0").select(F.col("v").alias("b"), quiet.alias("qb")), "b")
-    ends = ends.join(degrees.where("into > 0").select(F.col("v").alias("a"), quiet.alias("qa")), "a")
-    homed = ends.select("a", "b", F.when(F.col("qb"), F.col("b")).when(F.col("qa"), F.col("a")).otherwise(F.xxhash64("a", "b")).alias("home"), (~F.col("qb") & F.col("qa")).alias("whole"))
+    most = 4.0 * degrees.agg((F.sum("into") + F.sum("out_of")) / F.count("*")).first()[0]
+    busy, last, first = F.col("into") + F.col("out_of") > most, F.col("out_of") == 0, F.col("into") == 0
+    sizes = degrees.agg(F.count_if(busy), F.count_if(last), F.count_if(first)).first()
+
+    def listed(which: int, of: Column, name: str, *more: Column) -> DataFrame:
+        """Nodes for a join: they are few beside the edges, so while their number is bounded the edges stay where they are."""
+        found = degrees.where(of).select(F.col("v").alias(name), *more)
+        return F.broadcast(found) if sizes[which] <= SENT_NODES else found
+
+    # no cycle goes through a node that nothing leaves or nothing enters
+    ends = pairs.join(listed(1, last, "b"), "b", "left_anti").join(listed(2, first, "a"), "a", "left_anti")
+    for x in ("a", "b"):
+        ends = ends.join(listed(0, busy, x, F.lit(True).alias(f"busy_{x}")), x, "left")
+    # 0: at home at its target, 1: at its source, 2: anywhere
+    homed = ends.select("a", "b", F.when(F.col("busy_b").isNull(), 0).when(F.col("busy_a").isNull(), 1).otherwise(2).cast("byte").alias("at"))
+    home = F.when(F.col("at") == 0, F.col("b")).when(F.col("at") == 1, F.col("a")).otherwise(F.xxhash64("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*[[c.to_numpy(zero_copy_only=False) for c in x.columns] for x in batches]))
@@ -258,7 +271,7 @@ def _contraction(steps: Steps, pairs: DataFrame, degrees: DataFrame, n: int, lea
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([node, x])), pa.array(np.concatenate([least, y]))], ["named", "x", "y"])
 
     parts = max(least_parts, -(-n // PART_EDGES))
-    found = steps.keep("found", homed.repartition(parts, "home").select("a", "b", "whole").mapInArrow(run, "named boolean, x long, y long"))
+    found = steps.keep("found", homed.repartition(parts, home).select("a", "b", (F.col("at") == 1).alias("whole")).mapInArrow(run, "named boolean, x long, y long"))
     names = found.where("named").groupBy("x").agg(F.min("y").alias("rep"), F.collect_set("y").alias("all"))
     names = steps.keep("names", names.select(F.col("x").alias("v"), "rep", F.filter("all", lambda y: y != F.col("rep")).alias("others")))
     reps = stored(names.select("v", "rep"), "scc")
@@ -275,19 +288,26 @@ def _degrees(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("e.v").agg(F.sum("e.o").alias("out_of"), F.sum("e.i").alias("into"))
 
 
-def contracted_components(pairs: DataFrame, grouped_edges: int = GROUPED_EDGES, rounds: list[str] | None = None) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(key, id, out_of, into, loops): a node's edges to others, from others and to itself."""
+    other = F.col("a") != F.col("b")
+    end = lambda x, o, i, n: F.struct(*KEY, F.col(x).alias("id"), o.alias("o"), i.alias("i"), n.alias("n"))
+    no, yes = F.lit(0), other.cast("int")
+    rows = pairs.where("a is not null and b is not null").select(F.explode(F.array(end("a", yes, no, 1 - yes), end("b", no, yes, no))).alias("e")).select("e.*")
+    return rows.groupBy(*KEY, "id").agg(F.sum("o").alias("out_of"), F.sum("i").alias("into"), F.sum("n").alias("loops"))
+
+
+def contracted_components(pairs: DataFrame, grouped_edges: int = GROUPED_EDGES, rounds: list[str] | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(key, id, scc) of the nodes that lie on cycles, by contracting what is connected within parts of the edges; repeated pairs do no harm.
 
     Ids go by 64-bit hashes, so that no text is shuffled with the edges; a seed under which no two ids share a hash is sought.
-    Each round leaves the edges between parts' components. Rounds end when few edges are left, which go through one task,
+    ends is _ends(pairs), where it is stored already: pairs are read once besides. Each round leaves the edges between parts' components. Rounds end when few edges are left, which go through one task,
     or none, or when a round no longer halves them: distributed_components() takes those.
     """
     spark, rounds = pairs.sparkSession, [] if rounds is None else rounds
     steps = Steps(spark, "scc")
     loose = pairs.where("a <> b")
-    end = lambda x, o, i: F.struct(*KEY, F.col(x).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
-    ends = loose.select(F.explode(F.array(end("a", 1, 0), end("b", 0, 1))).alias("e")).select("e.*")
-    counted = steps.keep("ids", ends.groupBy(*KEY, "id").agg(F.sum("o").alias("out_of"), F.sum("i").alias("into")))
+    counted = (steps.keep("ids", _ends(pairs)) if ends is None else ends).where("out_of + into > 0")
     seed = next(k for k in range(1000) if counted.groupBy(F.xxhash64(F.lit(k), *KEY, "id")).count().where("count > 1").isEmpty())
     v = lambda x: F.xxhash64(F.lit(seed), *KEY, F.col(x))
     ids = counted.withColumn("v", v("id"))
@@ -326,13 +346,18 @@ def components(nodes: DataFrame, edges: DataFrame, relations: Sequence[str] = CY
 
     Graphs of up to grouped_edges edges take one task each; larger ones are contracted part by part.
     """
-    pairs = stored(_pairs(edges, relations), "scc")
-    sizes = stored(pairs.groupBy(*KEY).agg(F.count("*").alias("n")), "scc")
-    large = sizes.where(F.col("n") > grouped_edges).select(*KEY)
-    found = grouped_components(pairs.join(large, KEY, "left_anti").distinct())
+    pairs = _pairs(edges, relations)
+    ends = stored(_ends(pairs), "scc")
+    sizes = stored(ends.groupBy(*KEY).agg((F.sum("out_of") + F.sum("loops")).alias("n")), "scc")
+    large, small = sizes.where(F.col("n") > grouped_edges).select(*KEY), sizes.where(F.col("n") <= grouped_edges).select(*KEY)
+    found = ends.select(*KEY, "id", F.col("id").alias("scc")).limit(0)
+    # what no graph asks for is left out, so the edges aren't read for it
+    if not small.isEmpty():
+        found = grouped_components(pairs.join(large, KEY, "left_anti").distinct())
     if not large.isEmpty():
-        found = found.unionByName(contracted_components(pairs.join(F.broadcast(large), KEY, "left_semi"), grouped_edges))
-    loops = pairs.where("a = b").select(*KEY, F.col("a").alias("id"), F.lit(True).alias("loop")).distinct()
+        mine = lambda rows: rows.join(F.broadcast(large), KEY, "left_semi")
+        found = found.unionByName(contracted_components(mine(pairs), grouped_edges, ends=mine(ends)))
+    loops = ends.where("loops > 0").select(*KEY, "id", F.lit(True).alias("loop"))
     all_ = nodes.select(*KEY, "id").join(found, [*KEY, "id"], "left").join(loops, [*KEY, "id"], "left")
     all_ = stored(all_.select(*KEY, "id", F.coalesce("scc", "id").alias("scc"), F.coalesce("loop", F.lit(False)).alias("self_loop")), "scc")
     count = all_.groupBy(*KEY, "scc").agg(F.count("*").alias("size"))
