@@ -41,6 +41,8 @@ WINDOW, MIN_RUN = 20, 36
 ANCHOR, FILTER_BITS, BLOCK = 8, 28, 4096
 #: A key of more rows is dealt by so many salts.
 HOT, SALTS = 20_000, 32
+#: Texts that are Python objects at once.
+PART = 500
 MARKED = "doc_id long, variant long, keeper long, first int, words int"
 
 
@@ -353,7 +355,7 @@ def removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **optio
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, PART) for b in batches for k in range(0, b.num_rows, PART)):
             texts, spans, gone = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), []
             for k, (t, runs) in enumerate(zip(texts, spans)):
                 if not runs:

@@ -238,7 +238,8 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int
     kept = stored(kept, "simhash")
     columns, own = docs.columns, unused(docs, "_own")
     rows = docs.withColumn(own, _column(k)(F.col(text).cast("string")))
-    # texts are dealt by id at every size; the hint keeps them unsorted
-    named = rows.join(kept.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(id_)) & (F.col(own) == F.col(fp)))
+    # texts are dealt by id at every size; the hint keeps them unsorted. Fingerprints are never null, but equality would have Spark filter
+    # them by that first, and so make each twice, in two Python workers of a task
+    named = rows.join(kept.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(id_)) & F.col(own).eqNullSafe(F.col(fp)))
     out = named.where(F.col(n) == 1) if kept.where(F.col(n) > 1).isEmpty() else named.dropDuplicates([id_, fp])
     return out.select(columns).unionByName(docs.where(F.col(id_col).isNull()))
