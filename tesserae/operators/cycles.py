@@ -277,9 +277,11 @@ def _contraction(steps: Steps, pairs: DataFrame, degrees: DataFrame, n: int, lea
     reps = stored(names.select("v", "rep"), "scc")
     rep = lambda x: reps.select(F.col("v").alias(x), F.col("rep").alias(f"r{x}"))
     tied = names.select("rep", F.explode("others").alias("b"))
-    rest = found.where("not named").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(tied.select(F.col("rep").alias("a"), "b")).unionByName(tied.select(F.col("b").alias("a"), F.col("rep").alias("b")))
-    moved = rest.join(rep("a"), "a", "left").join(rep("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    return reps, steps.keep("pairs", moved.where("a <> b").distinct())
+    rest = found.where("not named").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = rest.join(rep("a"), "a", "left").join(rep("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
+    # ties stay between names themselves: a name that lies in several parts has a representative of its own, to which its own tie leads
+    both = tied.select(F.col("rep").alias("a"), "b").unionByName(tied.select(F.col("b").alias("a"), F.col("rep").alias("b")))
+    return reps, steps.keep("pairs", moved.unionByName(both).distinct())
 
 
 def _degrees(pairs: DataFrame) -> DataFrame:
