@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,24 @@ UNADDRESSED = "what evidence supports each conclusion: {0} finding(s) resolved t
 # --- JSON in columns ---------------------------------------------------------------
 
 
-def json_string(c: Column) -> Column:
-    """The column as a JSON string, null where it is null; control characters are escaped like the report writer's."""
+def _quoted(c: Column) -> Column:
+    """The column as a JSON string, null where it is null; control characters are left to without_controls()."""
     plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = plain
+    return F.coalesce(F.concat(F.lit('"'), plain, F.lit('"')), F.lit("null"))
+
+
+def without_controls(json: Column) -> Column:
+    """JSON text with its control characters escaped like the report writer's; outside of strings there are none, so an element is searched once."""
+    escaped = json
     short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
     for code in range(32):
         escaped = F.replace(escaped, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    return F.coalesce(F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"')), F.lit("null"))
+    return F.when(json.rlike(r"[\x00-\x1f]"), escaped).otherwise(json)
+
+
+def json_string(c: Column) -> Column:
+    """The column as a JSON string, null where it is null."""
+    return without_controls(_quoted(c))
 
 
 def json_number(c: Column) -> Column:
@@ -67,25 +78,32 @@ def json_array(items: Column) -> Column:
 
 
 def attributes_json(attributes: Column) -> Column:
-    entries = F.map_entries(F.coalesce(attributes, F.create_map().cast("map<string,string>")))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_string(e["value"]))), ","), F.lit("}"))
+    entries = F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _quoted(e["value"])))
+    # most have none, and only code for those is compiled
+    return F.when(F.size(attributes) > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))).otherwise(F.lit("{}"))
 
 
 def evidence_json(e: Column) -> Column:
-    return json_object(sourceAdapter=json_string(e["source_adapter"]), description=json_string(e["description"]), location=json_string(e["location"]), fidelity=json_string(e["fidelity"]), executionContext=json_string(e["execution_context"]), attributes=attributes_json(e["attributes"]))
+    return json_object(sourceAdapter=_quoted(e["source_adapter"]), description=_quoted(e["description"]), location=_quoted(e["location"]), fidelity=_quoted(e["fidelity"]), executionContext=_quoted(e["execution_context"]), attributes=attributes_json(e["attributes"]))
+
+
+def _evidences_json(items: Column) -> Column:
+    """A list of evidence. Spark doesn't compile functions over lists, so lists of one, which most are, go without."""
+    one = F.concat(F.lit("["), evidence_json(F.get(items, F.lit(0))), F.lit("]"))
+    return F.when(F.size(items) == 1, one).otherwise(json_array(F.transform(items, evidence_json)))
 
 
 def node_json() -> Column:
-    return json_object(id=json_string(F.col("id")), type=json_string(F.col("type")), role=json_string(F.col("role")), attributes=attributes_json(F.col("attributes")), evidence=json_array(F.transform("evidence", evidence_json)))
+    return json_object(id=_quoted(F.col("id")), type=_quoted(F.col("type")), role=_quoted(F.col("role")), attributes=attributes_json(F.col("attributes")), evidence=_evidences_json(F.col("evidence")))
 
 
 def _end(x: str) -> Column:
-    resolved = json_object(resolved=F.lit("true"), id=json_string(F.col(f"{x}_id")))
-    return F.when(F.col(f"{x}_resolved"), resolved).otherwise(json_object(resolved=F.lit("false"), description=json_string(F.col(f"{x}_desc"))))
+    resolved = json_object(resolved=F.lit("true"), id=_quoted(F.col(f"{x}_id")))
+    return F.when(F.col(f"{x}_resolved"), resolved).otherwise(json_object(resolved=F.lit("false"), description=_quoted(F.col(f"{x}_desc"))))
 
 
 def edge_json() -> Column:
-    return json_object(source=_end("src"), target=_end("dst"), relation=json_string(F.col("relation")), provenance=json_array(F.transform("provenance", evidence_json)))
+    return json_object(source=_end("src"), target=_end("dst"), relation=_quoted(F.col("relation")), provenance=_evidences_json(F.col("provenance")))
 
 
 def target_json() -> Column:
@@ -100,24 +118,43 @@ def target_json() -> Column:
 
 @dataclass(frozen=True)
 class Elements:
-    """List elements: rows has json and the columns that order them, together unique; joined where json has its own separators."""
+    """List elements: rows has the columns that order them, together unique, and json, or what json is made of; joined where json has its own separators."""
 
     rows: DataFrame
     order: tuple[str, ...]
     joined: bool = False
+    json: Column | None = None
 
     def placed(self) -> DataFrame:
         """(place, json): place orders like the columns, with separators in json."""
         kinds = dict(self.rows.dtypes)
         parts = [F.col(c) if kinds[c] == "string" else F.lpad(F.col(c).cast("string"), 19, "0") for c in self.order]
-        rows = self.rows.select(F.array(*parts).alias("place"), "json")
+        return self._separated(self.rows, F.array(*parts).alias("place"))
+
+    def sorted(self) -> DataFrame:
+        """(json) in order, with separators: rows are sorted as they are, and the text is made of what is sorted, once."""
+        return self._separated(self.rows.orderBy(*self.order)).select("json")
+
+    def texts(self) -> DataFrame:
+        """(json) in order, without separators."""
+        return self._made(self.rows.orderBy(*self.order)).select("json")
+
+    def _made(self, rows: DataFrame, *more: Column) -> DataFrame:
+        keys = [c for c in self.order if c != "json"]
+        made = rows.select(*keys, *more, (F.col("json") if self.json is None else self.json).alias("json"))
+        return made.withColumn("json", without_controls(F.col("json")))
+
+    def _separated(self, rows: DataFrame, *more: Column) -> DataFrame:
+        made = self._made(rows, *more)
         if self.joined:
-            return rows
-        first = rows.agg(F.min("place")).first()[0]
+            return made
+        first = self.rows.agg(F.min(F.struct(*self.order))).first()[0]
         if first is None:
-            return rows
-        begins = F.col("place") == F.array(*[F.lit(x) for x in first])
-        return rows.select("place", F.when(begins, F.col("json")).otherwise(F.concat(F.lit(","), "json")).alias("json"))
+            return made
+        begins = F.lit(True)
+        for c in self.order:
+            begins = begins & F.col(c).eqNullSafe(F.lit(first[c]))
+        return made.withColumn("json", F.concat(F.when(begins, F.lit("")).otherwise(F.lit(",")), "json"))
 
 
 @dataclass(frozen=True)
@@ -145,20 +182,22 @@ class Document:
             if isinstance(p, str):
                 yield p
                 continue
-            for n, r in enumerate(p.rows.orderBy(*p.order).select("json").toLocalIterator()):
+            for n, r in enumerate(p.texts().toLocalIterator()):
                 yield ("," if n and not p.joined else "") + r["json"]
 
     def write(self, spark: SparkSession, path: str, separator: str = "", compression: str = "") -> None:
         """The document in parts with a manifest, written by many tasks; a job that fails leaves what was there."""
-        reports.write(self.rows(spark).orderBy("piece", "place").select("text"), path, separator, compression)
+        # a union's partitions come one table after the other, so each piece is sorted by itself
+        each = [p.sorted() if isinstance(p, Elements) else spark.createDataFrame([(p,)], "json string").coalesce(1) for p in self.pieces]
+        reports.write(reduce(DataFrame.union, each), path, separator, compression)
 
 
 def constant(value: object) -> Document:
     return Document((json_text(value),))
 
 
-def listed(rows: DataFrame, *order: str) -> Document:
-    return Document(("[", Elements(rows, order), "]"))
+def listed(rows: DataFrame, *order: str, json: Column | None = None) -> Document:
+    return Document(("[", Elements(rows, order, json=json), "]"))
 
 
 def obj(fields: dict[str, Document]) -> Document:
@@ -172,14 +211,19 @@ def mine(df: DataFrame, subject_id: str, scan_id: str) -> DataFrame:
     return df.where((F.col("subject_id") == subject_id) & (F.col("scan_id") == scan_id))
 
 
+# what node_json() and edge_json() read
+_NODE = ("id", "type", "role", "attributes", "evidence")
+_EDGE = ("src_resolved", "src_id", "src_desc", "dst_resolved", "dst_id", "dst_desc", "relation", "provenance")
+
+
 def graph(nodes: DataFrame, edges: DataFrame) -> Document:
     """One graph, nodes and edges in order."""
-    return obj({"nodes": listed(nodes.select("node_seq", node_json().alias("json")), "node_seq"), "edges": _edges(edges)})
+    return obj({"nodes": listed(nodes.select("node_seq", *_NODE), "node_seq", json=node_json()), "edges": _edges(edges)})
 
 
 def _edges(edges: DataFrame, some: DataFrame | None = None) -> Document:
     rows = edges if some is None else edges.join(some.select(*KEY, "edge_seq"), [*KEY, "edge_seq"], "left_semi")
-    return listed(rows.select("edge_seq", edge_json().alias("json")), "edge_seq")
+    return listed(rows.select("edge_seq", *_EDGE), "edge_seq", json=edge_json())
 
 
 def _one(df: DataFrame, *names: str) -> list:

@@ -19,10 +19,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tesserae.schema import not_blank, require
@@ -50,7 +53,7 @@ def manifest(path: str) -> dict | None:
         return json.loads(f.read())
 
 
-class ReportWriter(DataSourceWriter):
+class ReportWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path = not_blank(options.get("path"), "path").rstrip("/")
         self.separator, self.compression = options.get("separator", ""), options.get("compression") or None
@@ -59,30 +62,20 @@ class ReportWriter(DataSourceWriter):
         require(overwrite or manifest(self.path) is None, f"there is a document at {self.path}: it can be replaced, not appended to")
         self.job = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[Row]) -> PartWritten:
+    def write(self, iterator: Iterator[pa.RecordBatch | Row]) -> PartWritten:
         task = TaskContext.get()
         name = f"part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, base = file_system(self.path)
         fs.create_dir(base, recursive=True)
-        digest, size, n, held, held_size = hashlib.sha256(), 0, 0, [], 0
+        digest, size, n = hashlib.sha256(), 0, 0
         with fs.open_output_stream(f"{base}/{name}", compression=self.compression) as out:
-
-            def flush() -> None:
-                nonlocal size
-                data = b"".join(held)
+            for some in iterator:
+                texts = some.column(0) if isinstance(some, pa.RecordBatch) else pa.array([some[0]], pa.string())
+                data = ended(texts, self.separator)
                 out.write(data)
                 digest.update(data)
                 size += len(data)
-                held.clear()
-
-            for row in iterator:
-                held.append(f"{row[0]}{self.separator}".encode())
-                held_size += len(held[-1])
-                n += 1
-                if held_size > CHUNK:
-                    flush()
-                    held_size = 0
-            flush()
+                n += len(texts)
         return PartWritten(task.partitionId(), name, size, digest.hexdigest(), n)
 
     def commit(self, messages: Sequence[PartWritten | None]) -> None:
@@ -105,6 +98,17 @@ class ReportWriter(DataSourceWriter):
                 fs.delete_file(x.path)
 
 
+def ended(texts: pa.Array, separator: str) -> memoryview:
+    """The bytes of the texts, each followed by the separator."""
+    require(texts.null_count == 0, "an element has no text")
+    whole = pc.binary_join_element_wise(texts.cast(pa.large_binary()), pa.scalar(separator.encode(), pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+    if not len(whole):
+        return memoryview(b"")
+    _, places, data = whole.buffers()
+    ends = np.frombuffer(places, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return memoryview(data or b"")[int(ends[0]) : int(ends[-1])]
+
+
 @dataclass
 class Stretch(InputPartition):
     place: int
@@ -123,21 +127,26 @@ class ReportReader(DataSourceReader):
     def partitions(self) -> Sequence[Stretch]:
         return [Stretch(i, p["name"], p["size"], p["sha256"]) for i, p in enumerate(self.about["parts"])]
 
-    def read(self, partition: Stretch | None) -> Iterator[tuple]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         end = self.about["separator"].encode()
         seen, size, rest, n = hashlib.sha256(), 0, b"", 0
+
+        def batch(texts: list[bytes]) -> pa.RecordBatch:
+            place, at = pa.array(np.full(len(texts), partition.place, np.int32)), pa.array(np.arange(n, n + len(texts)))
+            return pa.RecordBatch.from_arrays([place, at, pa.array(texts, pa.binary()).cast(pa.string())], ["part", "element", "text"])
+
         for data in chunks(self.path, partition.name, self.about.get("compression")):
             seen.update(data)
             size += len(data)
             *whole, rest = (rest + data).split(end) if end else (rest + data,)
-            for text in whole:
-                yield partition.place, n, text.decode()
-                n += 1
+            if whole:
+                yield batch(whole)
+                n += len(whole)
         require((size, seen.hexdigest()) == (partition.size, partition.sha256), f"{partition.name} isn't what the manifest says")
         if rest:
-            yield partition.place, n, rest.decode()
+            yield batch([rest])
 
 
 def chunks(path: str, name: str, compression: str | None = None) -> Iterator[bytes]:

@@ -3,7 +3,9 @@
 import glob
 import json
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -93,6 +95,28 @@ def test_a_task_that_is_run_again_gives_the_same_bytes(tmp_path):
     assert len(files(tmp_path / "doc")) == 3  # another job's parts stay
 
 
+def test_texts_come_and_go_in_batches(tmp_path, monkeypatch):
+    at = str(tmp_path / "doc")
+    monkeypatch.setattr(reports.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    writer = reports.ReportWriter({"path": at, "separator": "\n", "compression": "zstd"}, True)
+    batches = [pa.record_batch([pa.array(x, pa.string())], ["text"]) for x in (["é1", "", "skipped"], [], ["2"])]
+    done = writer.write(iter([batches[0].slice(0, 2), *batches[1:]]))
+    writer.commit([done])
+    assert (done.elements, b"".join(reports.text(at)).decode()) == (3, "é1\n\n2\n")
+    reader = reports.ReportReader({"path": at})
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert pa.Table.from_batches(got).to_pydict() == {"part": [0, 0, 0], "element": [0, 1, 2], "text": ["é1", "", "2"]}
+    with pytest.raises(ValueError, match="no text"):
+        writer.write(iter([pa.record_batch([pa.array([None], pa.string())], ["text"])]))
+
+
+def test_elements_are_sorted_before_their_text_is_made(spark):
+    edges = bridge.edges(spark, DATA)
+    (elements,) = [p for p in documents._edges(edges).pieces if isinstance(p, documents.Elements)]
+    made, _, sorted_ = elements.sorted()._jdf.queryExecution().optimizedPlan().toString().partition("Sort ")
+    assert "sourceAdapter" in made and sorted_ and "sourceAdapter" not in sorted_
+
+
 def test_parts_are_checked(spark, tmp_path):
     at = tmp_path / "doc"
     reports.write(numbers(spark, 100), str(at))
